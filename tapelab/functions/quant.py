@@ -26,7 +26,7 @@ def _floor_vol(v: Column, low: float) -> Column:
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    q = a / b
+    q = F.try_divide(a, b)
     return F.when(finite(a) & finite(q), q).otherwise(F.lit(0.0))
 
 
@@ -50,7 +50,9 @@ def quant_features(
     else:
         dsig = F.when(finite(dist), _ratio(dist, sigma))
     s = sigma / 100.0
-    d2 = (F.ln(spot / target) - 0.5 * s * s * secs) / (s * F.sqrt(secs.cast("double")))
+    d2 = F.try_divide(
+        F.ln(F.try_divide(spot, target)) - 0.5 * s * s * secs, s * F.sqrt(secs.cast("double"))
+    )
     usable = positive(spot) & positive(target)
     cdf = normal_cdf(F.when(usable & (secs > 0) & finite(d2), d2))
     p = (

@@ -188,6 +188,38 @@ def lag_asof(
     return _per_offset(left, right, on, by, ids, value, back, False, right_on, tie, width)
 
 
+def interpolated_offsets(
+    left: DataFrame,
+    ticks: DataFrame,
+    on: str,
+    by: Sequence[str],
+    ids: Sequence[str],
+    price: str,
+    offsets: dict[str, int],
+    tick_on: str | None = None,
+    tie: str | None = None,
+    width: int = scan.HOUR_MS,
+) -> DataFrame:
+    """Interpolated price at ``t + offset`` for every offset, in one pass."""
+    targets = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(n).alias("_h"), (F.col(on) + F.lit(ms)).alias("_target"))
+                for n, ms in offsets.items()
+            ]
+        )
+    )
+    need = list(dict.fromkeys([*ids, *by]))
+    long = left.select(*need, targets.alias("_x")).select(*need, "_x._h", "_x._target")
+    got = interpolate(
+        long, ticks, "_target", by, price, tick_on=tick_on or on, tie=tie, out="_value", width=width
+    )
+    wide = got.groupBy(*ids).agg(
+        *[F.max(F.when(F.col("_h") == n, F.col("_value"))).alias(n) for n in offsets]
+    )
+    return left.join(wide, list(ids), "left")
+
+
 def lag_exact(
     df: DataFrame, on: str, by: Sequence[str], value: str, lags: dict[str, int]
 ) -> DataFrame:

@@ -112,6 +112,64 @@ def running_sum(
     return work.drop(BUCKET, *drop)
 
 
+def running_last(
+    df: DataFrame,
+    by: Sequence[str],
+    ts: str,
+    values: dict[str, Column],
+    tie: Sequence[str] = (),
+    width: int = HOUR_MS,
+) -> DataFrame:
+    """Last non-null value per key up to and including the row: ``out name -> value``."""
+    work = with_bucket(df, ts, width)
+    names = list(values)
+    work = work.withColumns({f"_x{i}": values[n] for i, n in enumerate(names)})
+    order = F.struct(ts, *tie)
+    before = carry(
+        work,
+        by,
+        [
+            F.max_by(f"_x{i}", F.when(F.col(f"_x{i}").isNotNull(), order)).alias(f"_s{i}")
+            for i in range(len(names))
+        ],
+        {f"_b{i}": (last_value, f"_s{i}", False) for i in range(len(names))},
+    )
+    w = (
+        bucket_window(by)
+        .orderBy(ts, *tie)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    work = work.withColumns(
+        {f"_l{i}": last_value(F.col(f"_x{i}")).over(w) for i in range(len(names))}
+    )
+    work = join_carry(work, before, by)
+    work = work.withColumns(
+        {n: F.coalesce(F.col(f"_l{i}"), F.col(f"_b{i}")) for i, n in enumerate(names)}
+    )
+    return work.drop(BUCKET, *[f"_{p}{i}" for p in "xlb" for i in range(len(names))])
+
+
+def running_max(
+    df: DataFrame,
+    by: Sequence[str],
+    ts: str,
+    value: Column,
+    out: str,
+    tie: Sequence[str] = (),
+    width: int = DAY_MS,
+) -> DataFrame:
+    """Highest value per key up to and including the row."""
+    work = with_bucket(df, ts, width).withColumn("_x", value)
+    before = carry(work, by, [F.max("_x").alias("_s")], {"_b": (F.max, "_s", False)})
+    w = (
+        bucket_window(by)
+        .orderBy(ts, *tie)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    work = join_carry(work.withColumn("_l", F.max("_x").over(w)), before, by)
+    return work.withColumn(out, F.greatest("_l", "_b")).drop(BUCKET, "_x", "_l", "_b")
+
+
 def numbered(
     df: DataFrame,
     by: Sequence[str],
@@ -192,6 +250,32 @@ def range_window(
     return work.where(F.col(BUCKET) == F.col("_home")).drop("_home", BUCKET)
 
 
+def rows_window(
+    df: DataFrame,
+    by: Sequence[str],
+    ts: str,
+    n: int,
+    aggs: dict[str, Column],
+    tie: Sequence[str] = (),
+    width: int = HOUR_MS,
+    block: int = 100_000,
+) -> DataFrame:
+    """Aggregates over the last ``n`` rows per key.
+
+    Rows are numbered, cut into blocks of ``block`` rows, and the last ``n - 1`` rows of
+    a block are copied into the next one as context.
+    """
+    block = max(block, n)
+    work = numbered(df, by, ts, tie, width, rn="_rn")
+    home = F.floor((F.col("_rn") - 1) / block).cast("long")
+    tail = F.pmod(F.col("_rn") - 1, F.lit(block)) >= block - (n - 1)
+    copies = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
+    work = work.withColumn("_home", home).withColumn(BUCKET, F.explode(copies))
+    w = bucket_window(by).orderBy("_rn").rowsBetween(-(n - 1), 0)
+    work = work.withColumns({name: agg.over(w) for name, agg in aggs.items()})
+    return work.where(F.col(BUCKET) == F.col("_home")).drop("_home", BUCKET, "_rn")
+
+
 def max_drawdown(
     df: DataFrame,
     by: Sequence[str],
