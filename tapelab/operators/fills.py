@@ -122,7 +122,7 @@ def fill_labels(
     qty = F.least(size * F.col("_want"), F.col("_eff"))
     work = work.withColumns(
         {
-            "fill_qty": F.when((F.col("_eff") > 0) & size.isNotNull(), F.coalesce(qty, F.lit(0.0))).otherwise(0.0),
+            "fill_qty": F.when((F.col("_eff") > 0) & size.isNotNull() & F.col("_want").isNotNull(), qty).otherwise(0.0),
             "_complete": F.coalesce(complete, F.lit(False)),
             "_need": F.col("base_vol") + F.ceil(F.round(threshold / max(share, 1e-12) * LOT, 2) - 0.01).cast("long"),
         }
@@ -146,7 +146,7 @@ def fill_labels(
     return out.select(
         *orders.columns,
         filled.alias("filled"),
-        F.coalesce(F.least(F.try_divide("fill_qty", "size"), F.lit(1.0)), F.lit(0.0)).alias("fill_fraction"),
+        F.when(filled, F.least(F.col("fill_qty") / F.col("size"), F.lit(1.0))).otherwise(0.0).alias("fill_fraction"),
         "fill_qty",
         F.when(filled, F.when(F.col("_complete"), F.col("_done")).otherwise(F.col("last_print_ms"))).alias("fill_ts_ms"),
         F.lit(profile).alias("fill_profile"),

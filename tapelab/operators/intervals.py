@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,25 +30,29 @@ def interval_join(
 _FAN = 16
 
 
-def _blocks(lo: Column, hi: Column, levels: int) -> Column:
-    """Cut ``[lo, hi)`` into aligned blocks of 16^level: at most 30 per level."""
-    pieces = []
+def _cover(spans: DataFrame, keep: Sequence[str], levels: int) -> DataFrame:
+    """Cut ``[_lo, _hi)`` into aligned blocks of 16^level: at most 30 per level.
 
-    def run(a: Column, b: Column, level: int) -> Column:
-        seq = F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(seq, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))
+    At each level the span keeps what the next coarser level cannot cover.
+    """
+    size = F.pow(F.lit(float(_FAN)), F.col("level"))
+    long = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    long = long.withColumns(
+        {
+            "_a": F.ceil(F.col("_lo") / size).cast("long"),
+            "_b": F.floor(F.col("_hi") / size).cast("long"),
+            "_up": F.ceil(F.col("_lo") / (size * _FAN)).cast("long") * _FAN,
+            "_down": F.floor(F.col("_hi") / (size * _FAN)).cast("long") * _FAN,
+        }
+    ).where(F.col("_b") > F.col("_a"))
+    coarser = (F.col("_up") < F.col("_down")) & (F.col("level") < levels - 1)
+    none = F.array().cast("array<bigint>")
 
-    for level in range(levels):
-        up, down = F.ceil(lo / _FAN).cast("long"), F.floor(hi / _FAN).cast("long")
-        whole = up < down
-        if level == levels - 1:
-            pieces.append(run(lo, hi, level))
-            break
-        pieces.append(run(lo, F.when(whole, up * _FAN).otherwise(hi), level))
-        pieces.append(run(F.when(whole, down * _FAN).otherwise(hi), hi, level))
-        lo = F.when(whole, up).otherwise(F.lit(0)).cast("long")
-        hi = F.when(whole, down).otherwise(F.lit(0)).cast("long")
-    return F.concat(*pieces)
+    def run(a: str, b: str):
+        return F.when(F.col(b) > F.col(a), F.sequence(F.col(a), F.col(b) - 1)).otherwise(none)
+
+    pieces = F.when(coarser, F.concat(run("_a", "_up"), run("_down", "_b"))).otherwise(run("_a", "_b"))
+    return long.select(*keep, "level", F.explode(pieces).alias("block"))
 
 
 def interval_extremes(
@@ -63,12 +67,9 @@ def interval_extremes(
     """
     lo = F.floor(F.col(start) / unit_ms).cast("long")
     hi = (F.floor(F.col(end) / unit_ms) + 1).cast("long")
-    cover = (
-        spans.where(F.col(end) >= F.col(start))
-        .select(*ids, *[b for b in by if b not in ids], lo.alias("_lo"), hi.alias("_hi"))
-        .withColumn("_x", F.explode(_blocks(F.col("_lo"), F.col("_hi"), levels)))
-        .select(*ids, *[b for b in by if b not in ids], "_x.level", "_x.block")
-    )
+    keep = [*ids, *[b for b in by if b not in ids]]
+    whole = spans.where(F.col(end) >= F.col(start)).select(*keep, lo.alias("_lo"), hi.alias("_hi"))
+    cover = _cover(whole, keep, levels)
     units = F.floor(F.col(ts) / unit_ms).cast("long")
     leaf = ticks.groupBy(*by, units.alias("_u")).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi")
