@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelab.functions.decisions import splitmix_index
+from tapelab.functions.decisions import splitmix_stream
 from tapelab.functions.prices import finite
 from tapelab.operators import ledger
 
@@ -49,7 +49,7 @@ def block_bootstrap(df: DataFrame, block: str, value: str, draws: int = 10_000,
         blocks.select(F.col("index").alias("i"))
         .join(F.broadcast(n), F.lit(True))
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("pick", splitmix_index(seed)(F.col("draw").cast("long") * F.col("n") + F.col("i"), F.col("n")))
+        .withColumn("pick", splitmix_stream(seed)(F.col("draw").cast("long") * F.col("n") + F.col("i"), F.col("n")))
     )
     joined = picks.join(blocks.select(F.col("index").alias("pick"), "total"), "pick")
     return joined.groupBy("draw").agg(F.sum("total").alias("total"))
