@@ -1,8 +1,8 @@
 """As-of joins, interpolation and event merging.
 
-Every as-of join here is a union of both sides, one sort inside (key, time bucket)
-and a carried value per bucket; no range condition is ever joined and a hot key is
-spread over its buckets (see ``scan``).
+Every as-of join here is a union of both sides and one sort inside (key, time bucket);
+what a bucket inherits from others is looked up in a table of one row per bucket. No range
+condition is ever joined and a hot key is spread over its buckets (see ``scan``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,51 @@ from tapelab.operators import scan
 
 
 
+def _bucket_edges(right: DataFrame, by: Sequence[str], prev: bool, nxt: bool) -> tuple[DataFrame, DataFrame]:
+    """What a bucket inherits from the right rows of other buckets.
+
+    The first table has a row for every bucket between a key's first and last; the
+    second has one row per key for the buckets outside that range. Both come from the
+    right side alone, so a chain of as-of joins reads its left side once.
+    """
+    order = F.struct("_t", "_tie")
+    aggs = [F.max_by("_v", order).alias("_hi")] if prev else []
+    aggs += [F.min_by("_v", order).alias("_lo")] if nxt else []
+    summary = right.groupBy(*by, scan.BUCKET).agg(*aggs)
+    keys = [F.col(k) for k in by] or [F.lit(0)]
+    w = Window.partitionBy(*keys).orderBy(scan.BUCKET)
+    cols = {"_after": F.lead(scan.BUCKET).over(w)}
+    if prev:
+        cols["_hi0"] = F.lag("_hi").over(w)
+    if nxt:
+        cols["_lo1"] = F.lead("_lo").over(w)
+    run = summary.withColumns(cols)
+    here = F.col(scan.BUCKET)
+    reach = F.sequence(here, F.coalesce(F.col("_after") - 1, here))
+    out = []
+    if prev:
+        out.append(F.when(F.col("_d") == here, F.col("_hi0")).otherwise(F.col("_hi")).alias("_cprev"))
+    if nxt:
+        out.append(F.col("_lo1").alias("_cnext"))
+    dense = run.withColumn("_d", F.explode(reach)).select(*by, F.col("_d").alias("_eb"), *out)
+    ends = [F.max(scan.BUCKET).alias("_zb"), F.min(scan.BUCKET).alias("_ab")]
+    if prev:
+        ends.append(F.max_by("_hi", scan.BUCKET).alias("_zv"))
+    if nxt:
+        ends.append(F.min_by("_lo", scan.BUCKET).alias("_av"))
+    return dense, summary.groupBy(*by).agg(*ends)
+
+
+def _outer(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Left join on renamed keys, null keys included; a join without keys has a one-row right side."""
+    renamed = right.withColumnsRenamed({r: f"_k{i}" for i, (_, r) in enumerate(pairs)})
+    cond = None
+    for i, (k, _) in enumerate(pairs):
+        term = left[k].eqNullSafe(renamed[f"_k{i}"])
+        cond = term if cond is None else cond & term
+    return left.join(renamed, F.lit(True) if cond is None else cond, "left").drop(*[f"_k{i}" for i in range(len(pairs))])
+
+
 def neighbours(
     left: DataFrame,
     right: DataFrame,
@@ -35,6 +80,8 @@ def neighbours(
     to. Each struct holds ``cols`` and ``_ts``. Among right rows of one time, ``_prev``
     takes the last and ``_next`` the first in ``tie`` order.
     """
+    by = list(by)
+    prev, nxt = "prev" in want, "next" in want
     payload = F.struct(*[F.col(c) for c in cols], F.col(right_on).alias("_ts"))
     seq = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
     right_side = 0 if equal_to == "prev" else 1
@@ -52,35 +99,31 @@ def neighbours(
         seq.alias("_tie"),
         payload.alias("_v"),
     )
-    rows = scan.with_bucket(
-        lrows.unionByName(rrows, allowMissingColumns=True), "_t", width
-    )
-    aggs, carried, local = [], {}, {}
-    when_right = F.col("_v").isNotNull()
-    order = F.when(when_right, F.struct("_t", "_tie"))
+    rrows = scan.with_bucket(rrows, "_t", width)
+    rows = scan.with_bucket(lrows, "_t", width).unionByName(rrows, allowMissingColumns=True)
+    local = {}
     frame = (Window.unboundedPreceding, Window.currentRow)
-    if "prev" in want:
-        aggs.append(F.max_by("_v", order).alias("_hi"))
-        carried["_cprev"] = (scan.last_value, "_hi", False)
+    if prev:
         w = scan.bucket_window(by).orderBy("_t", "_side", "_tie").rowsBetween(*frame)
         local["_lprev"] = scan.last_value(F.col("_v")).over(w)
-    if "next" in want:
-        aggs.append(F.min_by("_v", order).alias("_lo"))
-        carried["_cnext"] = (scan.last_value, "_lo", True)
+    if nxt:
         w = (
             scan.bucket_window(by)
             .orderBy(F.col("_t").desc(), F.col("_side").desc(), F.col("_tie").desc())
             .rowsBetween(*frame)
         )
         local["_lnext"] = scan.last_value(F.col("_v")).over(w)
-    others = scan.carry(rows, by, aggs, carried)
-    rows = rows.withColumns(local).where(F.col("_l").isNotNull())
-    rows = scan.join_carry(rows.drop("_v"), others, by)
+    dense, ends = _bucket_edges(rrows, by, prev, nxt)
+    rows = rows.withColumns(local).where(F.col("_l").isNotNull()).drop("_v", "_side", "_tie")
+    rows = _outer(rows, dense, [*[(k, k) for k in by], (scan.BUCKET, "_eb")])
+    rows = _outer(rows, ends, [(k, k) for k in by])
     out = [F.col(f"_l.`{c}`").alias(c) for c in left.columns]
-    if "prev" in want:
-        out.append(F.coalesce("_lprev", "_cprev").alias("_prev"))
-    if "next" in want:
-        out.append(F.coalesce("_lnext", "_cnext").alias("_next"))
+    if prev:
+        tail = F.when(F.col(scan.BUCKET) > F.col("_zb"), F.col("_zv"))
+        out.append(F.coalesce(F.col("_lprev"), F.col("_cprev"), tail).alias("_prev"))
+    if nxt:
+        head = F.when(F.col(scan.BUCKET) < F.col("_ab"), F.col("_av"))
+        out.append(F.coalesce(F.col("_lnext"), F.col("_cnext"), head).alias("_next"))
     return rows.select(*out)
 
 
@@ -134,6 +177,35 @@ def _unpack(got, left, struct, on, cols, tolerance, matched_ts) -> DataFrame:
     return got.select(*left.columns, *out)
 
 
+def _targets(left: DataFrame, on: str, by: Sequence[str], ids: Sequence[str], offsets: dict[str, int]) -> DataFrame:
+    """One row per offset; the left row itself travels with the first offset only."""
+    row = F.struct(*left.columns)
+    none = F.lit(None).cast(left.select(row.alias("_r")).schema["_r"].dataType)
+    entries = [
+        F.struct(
+            F.lit(n).alias("_h"),
+            (F.col(on) + F.lit(ms)).alias("_target"),
+            (row if i == 0 else none).alias("_row"),
+        )
+        for i, (n, ms) in enumerate(offsets.items())
+    ]
+    need = list(dict.fromkeys([*ids, *by]))
+    long = left.select(*need, F.explode(F.array(*entries)).alias("_x"))
+    return long.select(*need, "_x._h", "_x._target", "_x._row")
+
+
+def _fold(got: DataFrame, ids: Sequence[str], columns: Sequence[str], offsets: dict[str, int]) -> DataFrame:
+    """Back to one row per id: the left row and one value column per offset."""
+    wide = got.groupBy(*[F.col(i).alias(f"_id{n}") for n, i in enumerate(ids)]).agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        *[F.max(F.when(F.col("_h") == n, F.col("_value"))).alias(f"_v{i}") for i, n in enumerate(offsets)],
+    )
+    return wide.select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in columns],
+        *[F.col(f"_v{i}").alias(n) for i, n in enumerate(offsets)],
+    )
+
+
 def _per_offset(
     left: DataFrame,
     right: DataFrame,
@@ -147,26 +219,13 @@ def _per_offset(
     tie: str | None,
     width: int,
 ) -> DataFrame:
-    """One as-of pass for all offsets: targets are exploded and folded back by id."""
-    targets = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("_h"), (F.col(on) + F.lit(ms)).alias("_target"))
-                for n, ms in offsets.items()
-            ]
-        )
-    )
-    need = list(dict.fromkeys([*ids, *by]))
-    long = left.select(*need, targets.alias("_x")).select(*need, "_x._h", "_x._target")
+    """One as-of pass for all offsets, folded back by ``ids`` (unique in ``left``)."""
     joiner = asof_forward if forward else asof_backward
-    right = right.withColumnRenamed(value, "_value")
     got = joiner(
-        long, right, "_target", by, ["_value"], right_on=right_on or on, tie=tie, width=width
-    )
-    wide = got.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("_h") == n, F.col("_value"))).alias(n) for n in offsets]
+        _targets(left, on, by, ids, offsets), right.withColumnRenamed(value, "_value"), "_target", by,
+        ["_value"], right_on=right_on or on, tie=tie, width=width,
     )
-    return left.join(wide, list(ids), "left")
+    return _fold(got, ids, left.columns, offsets)
 
 
 def forward_labels(
@@ -201,23 +260,11 @@ def interpolated_offsets(
     width: int = scan.HOUR_MS,
 ) -> DataFrame:
     """Interpolated price at ``t + offset`` for every offset, in one pass."""
-    targets = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("_h"), (F.col(on) + F.lit(ms)).alias("_target"))
-                for n, ms in offsets.items()
-            ]
-        )
-    )
-    need = list(dict.fromkeys([*ids, *by]))
-    long = left.select(*need, targets.alias("_x")).select(*need, "_x._h", "_x._target")
     got = interpolate(
-        long, ticks, "_target", by, price, tick_on=tick_on or on, tie=tie, out="_value", width=width
-    )
-    wide = got.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("_h") == n, F.col("_value"))).alias(n) for n in offsets]
+        _targets(left, on, by, ids, offsets), ticks, "_target", by, price, tick_on=tick_on or on, tie=tie,
+        out="_value", width=width,
     )
-    return left.join(wide, list(ids), "left")
+    return _fold(got, ids, left.columns, offsets)
 
 
 def lag_exact(

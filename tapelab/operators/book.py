@@ -83,16 +83,12 @@ def stale_flags(
     a failed hash; only a snapshot clears it.
     """
     snap = F.col("kind") == "snapshot"
-    known = F.struct(F.col("sequence").alias("s"))
-    seen = F.when(snap | F.col("sequence").isNotNull(), known)
-    work = scan.running_last(messages.withColumn("_own", seen), by, ts, {"_upto": F.col("_own")}, tie, width)
-    prev = scan.previous_row(work, by, ts, ["_upto"], tie, width, prefix="_before")
-    expected = F.col("_before_upto.s") + 1
+    seen = F.when(snap | F.col("sequence").isNotNull(), F.struct(F.col("sequence").alias("s")))
+    work = scan.running_last(messages, by, ts, {"_seen": seen}, tie, width, inclusive=False)
+    expected = F.col("_seen.s") + 1
     gap = ~snap & expected.isNotNull() & ~F.coalesce(F.col("sequence") == expected, F.lit(False))
-    broke = F.when(gap | ~F.coalesce(F.col("hash_ok"), F.lit(True)), 1).otherwise(0)
-    work = prev.withColumn("_f", broke)
-    work = scan.running_sum(work, by, ts, {"_cum": F.col("_f")}, tie, width)
-    base = F.when(snap, F.col("_cum") - F.col("_f"))
-    work = scan.running_last(work, by, ts, {"_base": base}, tie, width)
-    stale = F.col("_base").isNull() | (F.col("_cum") > F.col("_base"))
-    return work.select(*messages.columns, stale.alias("stale"))
+    broke = gap | ~F.coalesce(F.col("hash_ok"), F.lit(True))
+    # A snapshot resets the state to its own check; a break sets it; other rows leave it.
+    event = F.when(snap | broke, broke)
+    work = scan.running_last(work, by, ts, {"_broken": event}, tie, width)
+    return work.select(*messages.columns, F.coalesce("_broken", F.lit(True)).alias("stale"))

@@ -32,7 +32,7 @@ def _chain(ts: np.ndarray, first: int, interval: int) -> np.ndarray:
 
 def cooldown(
     df: DataFrame, by: Sequence[str], ts: str, interval_ms: int, tie: Sequence[str] = (),
-    width: int = scan.HOUR_MS, out: str = "accepted",
+    width: int = scan.HOUR_MS, out: str = "accepted", shards: int = 256,
 ) -> DataFrame:
     """Adds ``out``: true on rows a first-come limit of one per interval would accept."""
     keys = list(by)
@@ -41,57 +41,79 @@ def cooldown(
     firsts = df.groupBy(*keys, F.col(ts).alias("_t")).agg(F.min(F.struct(*tie)).alias("_tie")) if tie else (
         df.groupBy(*keys, F.col(ts).alias("_t")).agg(F.lit(0).alias("_tie"))
     )
-    back = scan.previous_row(firsts.select(*keys, "_t"), keys, "_t", ["_t"], width=width, prefix="_p")
-    fresh = F.when(F.col("_p_t").isNull() | (F.col("_t") - F.col("_p_t") >= interval_ms), F.col("_t"))
-    runs = scan.running_last(back.drop("_p_t"), keys, "_t", {"_run": fresh}, width=width)
+    runs = scan.gap_runs(firsts.select(*keys, "_t"), keys, "_t", interval_ms, width=width)
     runs = runs.withColumn(scan.BUCKET, scan.bucket_of(F.col("_t"), width))
+    # Many runs share one pandas group: a shard of a bucket, or a shard of all runs.
+    runs = runs.withColumn(
+        "_shard", F.pmod(F.xxhash64(*keys, "_run"), F.lit(shards)).cast("int")
+    )
     group = [*keys, "_run", scan.BUCKET]
     kind = {f.name: f for f in runs.schema.fields}
 
-    entry_schema = T.StructType(
-        [*[kind[k] for k in group], T.StructField("_enter", T.LongType()), T.StructField("_leave", T.LongType())]
-    )
+    def schema(names: Sequence[str], *extra: str) -> T.StructType:
+        return T.StructType([*[kind[k] for k in names], *[T.StructField(e, T.LongType()) for e in extra]])
+
+    def parts(pdf: pd.DataFrame, names: list[str], order: str):
+        """Row positions of each run in the pandas group, ordered inside the run."""
+        code = pdf.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+        rows = np.lexsort((pdf[order].to_numpy(), code))
+        cuts = np.flatnonzero(np.diff(code[rows])) + 1
+        return np.split(rows, cuts)
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
-        bucket = int(pdf[scan.BUCKET].iloc[0])
-        # A chain enters at the run's start or at a row at most one interval into the bucket.
-        may = np.flatnonzero(t < bucket * width + 2 * interval_ms)
-        last = np.empty(len(t), dtype=np.int64)
-        step = np.searchsorted(t, t + interval_ms, side="left")
-        for i in range(len(t) - 1, -1, -1):
-            last[i] = i if step[i] >= len(t) else last[step[i]]
-        if len(may) == 0:
-            may = np.array([0])
-        head = pdf.iloc[[0] * len(may)][group].reset_index(drop=True)
-        return head.assign(_enter=t[may], _leave=t[last[may]] + interval_ms)
+        bound = int(pdf[scan.BUCKET].iloc[0]) * width + 2 * interval_ms
+        all_t = pdf["_t"].to_numpy()
+        source, enter, leave = [], [], []
+        for rows in parts(pdf, [*keys, "_run"], "_t"):
+            t = all_t[rows]
+            step = np.searchsorted(t, t + interval_ms, side="left")
+            last = np.arange(len(t))
+            for i in range(len(t) - 1, -1, -1):
+                if step[i] < len(t):
+                    last[i] = last[step[i]]
+            # A chain enters at the run's start or within one interval after the bucket's.
+            may = np.flatnonzero(t < bound)
+            may = may if len(may) else np.array([0])
+            source.append(rows[may])
+            enter.append(t[may])
+            leave.append(t[last[may]] + interval_ms)
+        head = pdf.iloc[np.concatenate(source)][[*group, "_shard"]].reset_index(drop=True)
+        return head.assign(_enter=np.concatenate(enter), _leave=np.concatenate(leave))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([scan.BUCKET, "_enter"])
-        start, need = [], int(pdf["_run"].iloc[0])
-        for bucket, part in pdf.groupby(scan.BUCKET, sort=True):
-            t = part["_enter"].to_numpy()
-            i = int(np.searchsorted(t, need, side="left"))
-            if i < len(t):
-                start.append((bucket, int(t[i])))
-                need = int(part["_leave"].iloc[i])
-        head = pdf.iloc[[0] * len(start)][[*keys, "_run"]].reset_index(drop=True)
-        return head.assign(**{scan.BUCKET: [b for b, _ in start], "_start": [s for _, s in start]})
-
-    start_schema = T.StructType([*[kind[k] for k in group], T.StructField("_start", T.LongType())])
-    starts = (
-        runs.groupBy(*group).applyInPandas(entries, entry_schema)
-        .groupBy(*keys, "_run").applyInPandas(walk, start_schema)
-    )
+        t_all, leave_all = pdf["_enter"].to_numpy(), pdf["_leave"].to_numpy()
+        bucket_all, run_all = pdf[scan.BUCKET].to_numpy(), pdf["_run"].to_numpy()
+        picks = []
+        for rows in parts(pdf, [*keys, "_run"], "_enter"):
+            t, bucket = t_all[rows], bucket_all[rows]
+            need, i = int(run_all[rows[0]]), 0
+            while i < len(rows):
+                i = int(np.searchsorted(t, need, side="left"))
+                if i >= len(rows):
+                    break
+                picks.append(rows[i])
+                need = int(leave_all[rows[i]])
+                i = int(np.searchsorted(bucket, bucket[i], side="right"))
+        head = pdf.iloc[picks][[*group, "_shard"]].reset_index(drop=True)
+        return head.assign(_start=t_all[picks])
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
-        picks = _chain(t, int(np.searchsorted(t, pdf["_start"].iloc[0])), interval_ms)
-        head = pdf.iloc[[0] * len(picks)][keys].reset_index(drop=True)
-        return head.assign(_t=t[picks])
+        all_t, starts_at = pdf["_t"].to_numpy(), pdf["_start"].to_numpy()
+        picks = []
+        for rows in parts(pdf, [*keys, "_run"], "_t"):
+            t = all_t[rows]
+            first = int(np.searchsorted(t, starts_at[rows[0]]))
+            picks.append(rows[_chain(t, first, interval_ms)])
+        return pdf.iloc[np.concatenate(picks)][[*keys, "_t"]].reset_index(drop=True)
 
-    hit_schema = T.StructType([*[kind[k] for k in keys], kind["_t"]])
-    hits = runs.join(starts, group).groupBy(*group).applyInPandas(replay, hit_schema)
+    starts = (
+        runs.groupBy(scan.BUCKET, "_shard").applyInPandas(entries, schema([*group, "_shard"], "_enter", "_leave"))
+        .groupBy("_shard").applyInPandas(walk, schema([*group, "_shard"], "_start"))
+    )
+    hits = (
+        runs.join(starts.drop("_shard"), group)
+        .groupBy(scan.BUCKET, "_shard").applyInPandas(replay, schema([*keys, "_t"]))
+    )
     won = firsts.join(hits.withColumn("_hit", F.lit(True)), [*keys, "_t"])
     got = df.withColumn("_t", F.col(ts))
     got = got.join(won, [*keys, "_t"], "left")
@@ -102,7 +124,7 @@ def cooldown(
 
 def quote_lock(
     df: DataFrame, by: Sequence[str], ts: str, passes: str, lock_ms: int = 5_000, tie: Sequence[str] = (),
-    width: int = scan.HOUR_MS,
+    width: int = scan.HOUR_MS, shards: int = 256,
 ) -> DataFrame:
     """Entries and cancels with one live quote per key.
 
@@ -117,7 +139,7 @@ def quote_lock(
     mark = F.when(begins, F.struct(ts, *order))
     work = scan.running_last(work, keys, ts, {"_run_id": F.when(begins, F.xxhash64(mark))}, order, width)
     live = work.where(F.col(passes))
-    got = cooldown(live, [*keys, "_run_id"], ts, lock_ms, order, width, out="entered")
+    got = cooldown(live, [*keys, "_run_id"], ts, lock_ms, order, width, "entered", shards)
     first = F.col("entered") & begins
     got = got.withColumn("cancelled", F.col("entered") & ~first)
     dead = work.where(~F.col(passes)).withColumns(

@@ -127,21 +127,21 @@ def fill_labels(
             "_need": F.col("base_vol") + F.ceil(F.round(threshold / max(share, 1e-12) * LOT, 2) - 0.01).cast("long"),
         }
     )
-    by_volume = asof.asof_forward(
-        work.where("_complete").select("order_id", *keys, "_need", "base_thr"),
-        series.groupBy(*keys, "cum_vol").agg(F.min("ts_ms").alias("_vts")),
+    # Orders that never complete look nothing up: their target is null.
+    work = work.withColumn("_need", F.when(F.col("_complete"), F.col("_need")))
+    out = asof.asof_forward(
+        work, series.groupBy(*keys, "cum_vol").agg(F.min("ts_ms").alias("_vts")),
         "_need", keys, ["_vts"], right_on="cum_vol", width=volume_width,
     )
     done: Column = F.col("_vts")
     if profile == "CONSERVATIVE":
-        by_volume = asof.asof_forward(
-            by_volume.withColumn("_two", F.col("base_thr") + 2),
+        out = asof.asof_forward(
+            out.withColumn("_two", F.when(F.col("_complete"), F.col("base_thr") + 2)),
             series.groupBy(*keys, "cum_thr").agg(F.min("ts_ms").alias("_tts")),
             "_two", keys, ["_tts"], right_on="cum_thr", width=100_000,
         )
         done = F.greatest("_vts", "_tts")
-    done_at = by_volume.select("order_id", done.alias("_done"))
-    out = work.join(done_at, "order_id", "left")
+    out = out.withColumn("_done", done)
     filled = F.col("fill_qty") > 0
     return out.select(
         *orders.columns,

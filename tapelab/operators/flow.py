@@ -66,11 +66,11 @@ def rolling_stats(
 
 def horizon_returns(
     ends: DataFrame, ticks: DataFrame, on: str, by: Sequence[str], ids: Sequence[str], price: str,
-    horizons: dict[str, int], tie: str | None = None, width: int = HOUR_MS,
+    horizons: dict[str, int], tick_on: str | None = None, tie: str | None = None, width: int = HOUR_MS,
 ) -> DataFrame:
     """Percent return from ``t - h`` to ``t`` on the interpolated series; 0.0 if short."""
     offsets = {"_end": 0, **{f"_p_{n}": -ms for n, ms in horizons.items()}}
-    got = asof.interpolated_offsets(ends, ticks, on, by, ids, price, offsets, tie=tie, width=width)
+    got = asof.interpolated_offsets(ends, ticks, on, by, ids, price, offsets, tick_on, tie, width)
     rets = {
         n: F.coalesce(pct_return(F.col(f"_p_{n}"), F.col("_end")), F.lit(0.0)) for n in horizons
     }

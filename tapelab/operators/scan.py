@@ -119,8 +119,9 @@ def running_last(
     values: dict[str, Column],
     tie: Sequence[str] = (),
     width: int = HOUR_MS,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Last non-null value per key up to and including the row: ``out name -> value``."""
+    """Last non-null value per key up to the row (itself included or not): ``out -> value``."""
     work = with_bucket(df, ts, width)
     names = list(values)
     work = work.withColumns({f"_x{i}": values[n] for i, n in enumerate(names)})
@@ -137,7 +138,7 @@ def running_last(
     w = (
         bucket_window(by)
         .orderBy(ts, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
     work = work.withColumns(
         {f"_l{i}": last_value(F.col(f"_x{i}")).over(w) for i in range(len(names))}
@@ -220,6 +221,36 @@ def previous_row(
     )
 
 
+def gap_runs(
+    df: DataFrame, by: Sequence[str], ts: str, gap: int, out: str = "_run", width: int = HOUR_MS
+) -> DataFrame:
+    """Start time of each row's run; a pause of at least ``gap`` starts a new run.
+
+    Rows must have distinct times per key. Inside a bucket only the first row needs to
+    know the bucket before it, so one summary per bucket settles both the border and the run
+    carried over it.
+    """
+    work = with_bucket(df, ts, width)
+    w = bucket_window(by).orderBy(ts)
+    prev = F.lag(ts).over(w)
+    work = work.withColumn("_own", F.when(F.col(ts) - prev >= gap, F.col(ts)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work = work.withColumn("_own", last_value(F.col("_own")).over(so_far))
+    summary = work.groupBy(*by, BUCKET).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.max("_own").alias("_latest")
+    )
+    keys = [F.col(k) for k in by] or [F.lit(0)]
+    order = Window.partitionBy(*keys).orderBy(BUCKET)
+    before = F.lag("_last").over(order)
+    fresh = before.isNull() | (F.col("_first") - before >= gap)
+    summary = summary.withColumn("_open", F.when(fresh, F.col("_first")))
+    ending = F.coalesce(F.col("_latest"), F.col("_open"))
+    summary = summary.withColumn("_carry", last_value(ending).over(_across(by)))
+    edges = summary.select(*by, BUCKET, F.coalesce("_open", "_carry").alias("_start"))
+    work = join_carry(work, edges, by)
+    return work.withColumn(out, F.coalesce("_own", "_start")).drop("_own", "_start", BUCKET)
+
+
 def range_window(
     df: DataFrame,
     by: Sequence[str],

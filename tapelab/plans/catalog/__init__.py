@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("joins", "scalars", "windows", "analytics")
+MODULES = ("joins", "scalars", "windows", "analytics", "corpus")
 
 
 def load():

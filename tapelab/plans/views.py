@@ -116,6 +116,8 @@ def with_views(using: str, sql: str) -> str:
         return sql
     head = ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"
