@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("joins", "scalars", "windows", "analytics", "corpus")
+MODULES = ("joins", "scalars", "windows", "analytics", "corpus", "streams")
 
 
 def load():
