@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapelab.functions.prices import candidate_micros, finite
 
@@ -125,7 +126,7 @@ def splitmix64(x: np.ndarray) -> np.ndarray:
 def splitmix_index(seed: int):
     """UDF ``(sequence, n) -> splitmix64(seed + sequence) mod n``."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def pick(seq: pd.Series, n: pd.Series) -> pd.Series:
         base = np.uint64(seed % 2**64)
         with np.errstate(over="ignore"):
@@ -138,7 +139,7 @@ def splitmix_index(seed: int):
 def splitmix_stream(seed: int):
     """UDF ``(k, n) -> k-th output of the splitmix64 stream of ``seed``, mod n``."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def pick(k: pd.Series, n: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
             state = np.uint64(seed % 2**64) + k.to_numpy().astype(np.uint64) * np.uint64(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapelab.functions.prices import finite, positive
 
@@ -12,7 +13,7 @@ MIN_VOL_PCT = 1e-6
 BASELINE_MODEL = "zero_drift_lognormal"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Standard normal distribution function; Spark SQL has no erf."""
     from math import erfc, sqrt

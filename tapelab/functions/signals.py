@@ -24,10 +24,12 @@ PRESSURE_LEVELS = {
 SUM_TOLERANCE = 0.02
 FORBIDDEN_KEYS = ("outcome", "resolved_ts_ms")
 
+_ANSWER = "STRUCT<type: STRING, noul: DOUBLE, probabilities: MAP<STRING, DOUBLE>, confidence: DOUBLE>"
+# The answers read, as struct fields: a field access each instead of a map lookup.
 ANSWERS_SCHEMA = (
-    "answers MAP<STRING, STRUCT<type: STRING, noul: DOUBLE, choice: STRING, "
-    "probabilities: MAP<STRING, DOUBLE>, confidence: DOUBLE>>, "
-    "usage STRUCT<input_tokens: BIGINT, output_tokens: BIGINT>, _corrupt_record STRING"
+    "answers STRUCT<"
+    + ", ".join(f"{n}: {_ANSWER}" for n in (*PROBABILITY_ANSWERS, "fair_p_yes", "repricing_ticks", "pressure_5s"))
+    + ">, usage STRUCT<input_tokens: BIGINT, output_tokens: BIGINT>, _corrupt_record STRING"
 )
 
 
@@ -36,7 +38,7 @@ def _decoded(json: Column) -> Column:
 
 
 def _probability_error(answers: Column, name: str) -> Column:
-    a = answers[name]
+    a = answers.getField(name)
     value = a.getField("noul")
     return (
         F.when(a.isNull(), F.lit(f"missing_answer:{name}"))
@@ -47,7 +49,7 @@ def _probability_error(answers: Column, name: str) -> Column:
 
 
 def _choice_error(answers: Column, name: str, levels, sum_to_one: bool) -> Column:
-    a = answers[name]
+    a = answers.getField(name)
     probs = a.getField("probabilities")
     known = F.array(*[F.lit(x) for x in levels])
     values = F.map_values(probs)
@@ -76,13 +78,13 @@ def parse_signal(df: DataFrame, json: str) -> DataFrame:
     error = F.coalesce(error, _choice_error(answers, "repricing_ticks", BUCKETS, True))
     for name in PROBABILITY_ANSWERS:
         error = F.coalesce(error, _probability_error(answers, name))
-    probs = answers["repricing_ticks"].getField("probabilities")
+    probs = answers.getField("repricing_ticks").getField("probabilities")
     signal = F.struct(
-        *[answers[n].getField("noul").alias(n) for n in PROBABILITY_ANSWERS],
+        *[answers.getField(n).getField("noul").alias(n) for n in PROBABILITY_ANSWERS],
         F.struct(
             *[probs[b].alias(f) for b, f in zip(BUCKETS, BUCKET_FIELDS, strict=True)]
         ).alias("repricing"),
-        answers["repricing_ticks"].getField("confidence").alias("repricing_confidence"),
+        answers.getField("repricing_ticks").getField("confidence").alias("repricing_confidence"),
         (probs["UP_1_TICK"] + probs["UP_2_TICKS"] + probs["UP_3_PLUS_TICKS"]).alias("p_up"),
         F.coalesce(F.col("_d.usage.input_tokens"), F.lit(0)).alias("tokens_in"),
         F.coalesce(F.col("_d.usage.output_tokens"), F.lit(0)).alias("tokens_out"),
@@ -91,19 +93,29 @@ def parse_signal(df: DataFrame, json: str) -> DataFrame:
     return work.withColumn("signal", F.when(F.col("signal_error").isNull(), signal)).drop("_d")
 
 
+def parse_fair_value(df: DataFrame, json: str) -> DataFrame:
+    """Adds ``fair_p_yes`` or ``fair_error``."""
+    work = df.withColumn("_d", _decoded(F.col(json)))
+    answers = F.col("_d.answers")
+    error = F.when(F.col("_d._corrupt_record").isNotNull() | answers.isNull(), F.lit("json"))
+    work = work.withColumn("fair_error", F.coalesce(error, _probability_error(answers, "fair_p_yes")))
+    value = answers.getField("fair_p_yes").getField("noul")
+    return work.withColumn("fair_p_yes", F.when(F.col("fair_error").isNull(), value)).drop("_d")
+
+
 def parse_pressure(df: DataFrame, json: str) -> DataFrame:
     """Adds ``pressure`` (probabilities times levels), its confidence, or an error."""
     work = df.withColumn("_d", _decoded(F.col(json)))
     answers = F.col("_d.answers")
     error = F.when(F.col("_d._corrupt_record").isNotNull() | answers.isNull(), F.lit("json"))
     error = F.coalesce(error, _choice_error(answers, "pressure_5s", PRESSURE_LEVELS, False))
-    probs = answers["pressure_5s"].getField("probabilities")
+    probs = answers.getField("pressure_5s").getField("probabilities")
     value = sum((probs[k] * v for k, v in PRESSURE_LEVELS.items()), F.lit(0.0))
     ok = F.col("pressure_error").isNull()
     return work.withColumn("pressure_error", error).withColumns(
         {
             "pressure": F.when(ok, value),
-            "pressure_confidence": F.when(ok, answers["pressure_5s"].getField("confidence")),
+            "pressure_confidence": F.when(ok, answers.getField("pressure_5s").getField("confidence")),
         }
     ).drop("_d")
 

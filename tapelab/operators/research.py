@@ -18,9 +18,10 @@ def corr_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str], by: Sequenc
         for j, y in enumerate(ys):
             both = F.col(x).isNotNull() & F.col(y).isNotNull()
             a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
-            varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
             aggs.append(F.count(a).alias(f"n_{i}_{j}"))
-            aggs.append(F.when((F.count(a) >= 3) & varies, F.corr(a, b)).alias(f"r_{i}_{j}"))
+            # Without variance the co-moments are exactly zero and corr is NaN.
+            r = F.corr(a, b)
+            aggs.append(F.when((F.count(a) >= 3) & ~F.isnan(r), r).alias(f"r_{i}_{j}"))
     wide = df.groupBy(*by).agg(*aggs)
     cells = F.array(
         *[
