@@ -69,13 +69,12 @@ def decision_time(df: DataFrame, scenarios: DataFrame, ts: str) -> DataFrame:
     """Rows of each latency scenario with ``ts + percentile + execution`` time.
 
     ``scenarios`` is a handful of rows (one per latency setting) and every row is
-    wanted under each, so it is attached as one array and exploded: no join.
+    wanted under each, so it is one array value exploded per row: no join.
     """
     packed = scenarios.agg(
         F.collect_list(F.struct("scenario", "latency_ms", "execution_latency_ms")).alias("_s")
     )
-    one = df.join(F.broadcast(packed), F.lit(True), "left")
-    long = one.withColumn("_x", F.explode("_s"))
+    long = df.withColumn("_s", packed.scalar()).withColumn("_x", F.explode("_s"))
     when = F.col(ts) + F.col("_x.latency_ms") + F.col("_x.execution_latency_ms")
     return long.select(
         *df.columns, F.col("_x.scenario").alias("scenario"), when.alias("decision_ms")

@@ -47,7 +47,7 @@ def block_bootstrap(df: DataFrame, block: str, value: str, draws: int = 10_000,
     n = blocks.agg(F.count(F.lit(1)).alias("n"))
     picks = (
         blocks.select(F.col("index").alias("i"))
-        .join(F.broadcast(n), F.lit(True))
+        .withColumn("n", n.scalar())
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("pick", splitmix_stream(seed)(F.col("draw").cast("long") * F.col("n") + F.col("i"), F.col("n")))
     )

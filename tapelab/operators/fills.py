@@ -4,7 +4,8 @@ For a given market, side and price level the eligible prints form one volume ser
 An order needs three readings of the running sum of its level: before arrival, at its
 end, and where the sum first passes what the order needs. Each reading is an as-of
 join, on time for the first two and on the running volume for the last. A print
-belongs to every order level it can fill; levels are bounded by the tick grid.
+belongs to every order level it can fill; levels are bounded by the tick grid. The series are
+read by every lookup, so they are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tapelab.functions.prices import finite
 from tapelab.operators import asof, scan
+from tapelab.session import settle
 
 # Share of volume assumed queued ahead, per fill profile.
 QUEUE_AHEAD = {"OPTIMISTIC": 0.0, "BASE": 0.3, "CONSERVATIVE": 0.6}
@@ -60,7 +62,7 @@ def level_series(orders: DataFrame, prints: DataFrame, width: int = scan.HOUR_MS
 
 def order_evidence(orders: DataFrame, prints: DataFrame, width: int = scan.HOUR_MS, series: DataFrame | None = None) -> DataFrame:
     """Per order: weighted volume, through prints and last print in [arrival, end]."""
-    series = series if series is not None else level_series(orders, prints, width)
+    series = series if series is not None else settle(level_series(orders, prints, width), "levels")
     keys = ["market", "side_buy", "level"]
     reads = orders.select(
         "order_id", *keys,
@@ -102,7 +104,7 @@ def fill_labels(
     """Filled flag, fraction and completing print time of each resting order."""
     queue = QUEUE_AHEAD[profile] if queue_ahead is None else min(max(queue_ahead, 0.0), 1.0)
     keys = ["market", "side_buy", "level"]
-    series = level_series(orders, prints, width)
+    series = settle(level_series(orders, prints, width), "levels")
     ev = order_evidence(orders, prints, width, series)
     size = F.when(finite(F.col("size")) & (F.col("size") > 0), F.col("size"))
     share = 1.0 - queue

@@ -104,9 +104,7 @@ def validate_corpus(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage of every value, nulls included."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(total), F.lit(True)).select(
-        column, "n", (F.col("n") * 100.0 / F.col("_t")).alias("percent")
-    )
+    return counts.select(column, "n", (F.col("n") * 100.0 / total.scalar()).alias("percent"))
 
 
 def strata_counts(df: DataFrame, expected: Sequence[Sequence[str]], keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelab.functions.decisions import GATES, THRESHOLDS, passes_gate
@@ -82,23 +82,19 @@ def rank_values(df: DataFrame, x: str, probs: Sequence[float], accuracy: int = 1
     target = F.array(*[F.floor(F.col("n") * F.lit(p)).cast("long") for p in probs])
     target = F.transform(target, lambda t: F.least(t, F.col("n") - 1))
     one = sketch.withColumn("t", target)
-    rows = v.join(F.broadcast(one), F.lit(True))
-    counted = rows.agg(
-        *[F.count_if(F.col("v") < F.col("lo")[i]).alias(f"b{i}") for i in range(k)]
-    )
+    rows = v.withColumn("_k", one.select(F.struct("lo", "hi", "t")).scalar())
+    below = rows.agg(F.array(*[F.count_if(F.col("v") < F.col("_k.lo")[i]) for i in range(k)]))
+    at = lambda c: F.get(F.col(f"_k.{c}"), F.col("i"))
     near = (
         rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .where((F.col("v") >= F.get("lo", F.col("i"))) & (F.col("v") <= F.get("hi", F.col("i"))))
-        .groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"), F.first(F.get("t", F.col("i"))).alias("t"))
+        .where((F.col("v") >= at("lo")) & (F.col("v") <= at("hi")))
+        .groupBy("i", "v")
+        .agg(F.count(F.lit(1)).alias("c"), F.first(at("t")).alias("t"))
     )
-    from pyspark.sql import Window
-
     cum = F.sum("c").over(Window.partitionBy("i").orderBy("v"))
-    placed = near.withColumn("cum", cum).join(
-        F.broadcast(counted.select(F.array(*[F.col(f"b{i}") for i in range(k)]).alias("below"))), F.lit(True)
-    )
-    first = placed.where(F.get("below", F.col("i")) + F.col("cum") > F.col("t"))
-    picks = first.groupBy("i").agg(F.min("v").alias("cut"), F.min(F.get("below", F.col("i")) - F.col("t")).alias("gap"))
+    placed = near.withColumns({"cum": cum, "below": below.scalar()}).withColumn("b", F.get("below", F.col("i")))
+    first = placed.where(F.col("b") + F.col("cum") > F.col("t"))
+    picks = first.groupBy("i").agg(F.min("v").alias("cut"), F.min(F.col("b") - F.col("t")).alias("gap"))
     checked = F.when(F.col("gap") > 0, F.raise_error(F.lit("rank outside its bracket"))).otherwise(F.col("cut"))
     ordered = F.array_sort(F.collect_list(F.struct("i", checked.alias("cut"))))
     return picks.agg(F.transform(ordered, lambda s: s["cut"]).alias("cuts"))
@@ -107,7 +103,7 @@ def rank_values(df: DataFrame, x: str, probs: Sequence[float], accuracy: int = 1
 def quintile_means(df: DataFrame, x: str, ys: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """Mean of each ``y`` by the number of quintile cuts ``x`` exceeds (0..4)."""
     cuts = rank_values(df, x, (0.2, 0.4, 0.6, 0.8), accuracy)
-    rows = df.where(F.col(x).isNotNull()).join(F.broadcast(cuts), F.lit(True))
+    rows = df.where(F.col(x).isNotNull()).withColumn("cuts", cuts.scalar())
     bucket = F.size(F.filter("cuts", lambda c: F.col(x) > c))
     return rows.groupBy(bucket.cast("long").alias("bucket")).agg(
         *[F.count(y).alias(f"n_{y}") for y in ys], *[F.avg(y).alias(f"mean_{y}") for y in ys]

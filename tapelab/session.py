@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "tapelab") -> SparkSession:
@@ -35,3 +36,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named:
         return named
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared folder the cluster names."""
+    return f"{checkpoint_dir(spark)}/tapelab-{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate table once and reads it back.
+
+    For a costly input that a plan would otherwise recompute at every use. The table lies in
+    shared storage, so a lost executor costs a read and not the computation.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

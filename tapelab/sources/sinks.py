@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelab.session import checkpoint_dir
+from tapelab.session import scratch as scratch
 
 # The stored event tables and their columns after ``ts``.
 _DIMS = "run_id STRING, pair_id STRING, market_id STRING, asset STRING, horizon STRING"
@@ -61,11 +60,6 @@ EVALUATIONS = (
 )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder the cluster names."""
-    return f"{checkpoint_dir(spark)}/tapelab-{name}-{uuid.uuid4().hex}"
-
-
 def shaped(df: DataFrame, schema: str) -> DataFrame:
     """The schema's columns in order; absent ones are null."""
     fields = T._parse_datatype_string(schema).fields
