@@ -53,13 +53,16 @@ def _bucket_edges(right: DataFrame, by: Sequence[str], prev: bool, nxt: bool) ->
 
 
 def _outer(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Left join on renamed keys, null keys included; a join without keys has a one-row right side."""
+    """Left join on renamed keys, null keys included; without keys the right side is one row."""
+    if not pairs:
+        one = right.select(F.struct(*right.columns)).scalar()
+        return left.withColumn("_one", one).select(*left.columns, "_one.*")
     renamed = right.withColumnsRenamed({r: f"_k{i}" for i, (_, r) in enumerate(pairs)})
     cond = None
     for i, (k, _) in enumerate(pairs):
         term = left[k].eqNullSafe(renamed[f"_k{i}"])
         cond = term if cond is None else cond & term
-    return left.join(renamed, F.lit(True) if cond is None else cond, "left").drop(*[f"_k{i}" for i in range(len(pairs))])
+    return left.join(renamed, cond, "left").drop(*[f"_k{i}" for i in range(len(pairs))])
 
 
 def neighbours(
@@ -335,15 +338,14 @@ def asof_regime(
 ) -> DataFrame:
     """Regime of the newest regime day at or before the row's UTC day, by symbol prefix.
 
-    A symbol serves each distinct asset it starts with; the assets are few and are
-    matched to the symbols before the rows are touched.
+    A symbol serves every asset it starts with: its prefixes are listed, which leaves an
+    equality on the asset.
     """
-    assets = rows.select(F.col(asset).alias("_a")).distinct()
-    symbols = regimes.select("symbol").distinct()
-    served = symbols.join(assets, F.expr("startswith(symbol, _a)"))
+    length = F.length("symbol")
+    prefixes = F.transform(F.sequence(F.lit(0), length), lambda i: F.substring(F.col("symbol"), F.lit(1), i))
     label = F.concat_ws("-", "vol_regime", "trend_regime")
     right = (
-        regimes.join(served, "symbol")
+        regimes.withColumn("_a", F.explode(prefixes))
         .groupBy(F.col("_a").alias(asset), (F.col("day_ts") * 1000).alias("_day"))
         .agg(F.max_by(label, F.col("symbol")).alias("regime"))
     )

@@ -96,7 +96,7 @@ def economy_summary(df: DataFrame, by: Sequence[str], width: int = 30 * DAY_MS)
     if by:
         out = base.join(dd, list(by), "left").join(pk, list(by), "left")
     else:
-        out = base.join(dd, F.lit(True), "left").join(pk, F.lit(True), "left")
+        out = base.withColumns({dd.columns[0]: dd.scalar(), pk.columns[0]: pk.scalar()})
     return out.fillna(0.0, subset=["max_drawdown_usd", "max_simultaneous_capital_usd"])
 
 

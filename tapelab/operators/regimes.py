@@ -59,7 +59,7 @@ def expanding_rank(
     edges = df.where(finite(F.col(value))).groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, probs, 10_000)).alias("_edges")
     )
-    work = rows.join(edges, keys) if keys else rows.join(F.broadcast(edges), F.lit(True))
+    work = rows.join(edges, keys) if keys else rows.withColumn("_edges", edges.scalar())
     work = work.withColumns(
         {
             "_tb": F.floor((F.col("_rn") - 1) / time_block).cast("int"),

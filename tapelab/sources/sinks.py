@@ -142,4 +142,4 @@ def lineage_entry(before: DataFrame, after: DataFrame, ts: str, market: str, dat
         F.count(F.lit(1)).alias("rows_after"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"),
         F.approx_count_distinct(market).alias("markets_approx"),
     )
-    return b.join(a, F.lit(True)).withColumns({"dataset": F.lit(dataset), "filters": F.lit(filters)})
+    return a.withColumns({"rows_before": b.scalar(), "dataset": F.lit(dataset), "filters": F.lit(filters)})
