@@ -130,7 +130,7 @@ STATE_FEATURES = {
 }
 
 
-def extract_features(df: DataFrame, json: str, quotes: str = "polymarket") -> DataFrame:
+def extract_features(df: DataFrame, json: str, quotes: str) -> DataFrame:
     """State JSON to analysis columns; absent numbers are 0.0, the spread has a fallback.
 
     ``quotes`` names the JSON object that holds the YES quotes (micro units).

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelab.session import scratch as scratch
+from tapelab.session import scratch as scratch  # noqa: PLC0414
 
 # The stored event tables and their columns after ``ts``.
 _DIMS = "run_id STRING, pair_id STRING, market_id STRING, asset STRING, horizon STRING"
