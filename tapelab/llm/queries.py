@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelab.llm import mixing, neardup
-from tapelab.llm.common import table
+from tapelab.llm import kneser_ney, mixing, neardup
+from tapelab.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_score_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(fold_of("doc_id", 7) != 2))
+    held_out = (fold_of("doc_id", 7) == 2).alias("held_out")
+    return kneser_ney.score(docs, model).select("*", held_out, F.lit(model["tokens"]).cast("long").alias("train_tokens"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -52,6 +59,7 @@ FROM r
 QUERIES: dict[str, Query] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
+    "op9_score_language": op9_score_language,
 }
 
 ORACLES: dict[str, str] = {"op7_mix_sources": OP7_SQL}
