@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelab.llm import kneser_ney, mixing, neardup
-from tapelab.llm.common import fold_of, table
+from tapelab.llm import decontam, kneser_ney, mixing, neardup, pii
+from tapelab.llm.common import fold_of, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    found = pii.find_spans(docs.select(F.monotonically_increasing_id().alias("row"), "*"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", pii.all_spans().alias("spans"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -29,6 +35,10 @@ def op9_score_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, model).select("*", held_out, F.lit(model["tokens"]).cast("long").alias("train_tokens"))
 
 
+def op10_find_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -57,9 +67,11 @@ FROM r
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_find_personal_data": op1_find_personal_data,
     "op3_near_duplicates": op3_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op9_score_language": op9_score_language,
+    "op10_find_benchmark_items": op10_find_benchmark_items,
 }
 
 ORACLES: dict[str, str] = {"op7_mix_sources": OP7_SQL}
