@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelab.llm import decontam, kneser_ney, mixing, neardup, pii
+from tapelab.llm import decontam, kneser_ney, merkle, mixing, neardup, pii
 from tapelab.llm.common import fold_of, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", pii.all_spans().alias("spans"))
 
 
+def op2_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -68,6 +72,7 @@ FROM r
 
 QUERIES: dict[str, Query] = {
     "op1_find_personal_data": op1_find_personal_data,
+    "op2_fingerprint_documents": op2_fingerprint_documents,
     "op3_near_duplicates": op3_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op9_score_language": op9_score_language,
