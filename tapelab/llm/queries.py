@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelab.llm import decontam, kneser_ney, merkle, mixing, neardup, pii
+from tapelab.llm import decontam, kneser_ney, langid, merkle, mixing, neardup, pii, quality
 from tapelab.llm.common import fold_of, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op4_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -74,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "op1_find_personal_data": op1_find_personal_data,
     "op2_fingerprint_documents": op2_fingerprint_documents,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_score_quality": op4_score_quality,
+    "op6_identify_language": op6_identify_language,
     "op7_mix_sources": op7_mix_sources,
     "op9_score_language": op9_score_language,
     "op10_find_benchmark_items": op10_find_benchmark_items,
