@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelab.llm import decontam, kneser_ney, langid, merkle, mixing, neardup, pii, quality
+from tapelab.llm import chat, decontam, kneser_ney, langid, merkle, mixing, neardup, pii, quality, urlfilter
 from tapelab.llm.common import fold_of, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op5_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("pattern")
+
+
 def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,19 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    read = chat.read_back(*chat.prefix_trees(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_score_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.train(docs.where(fold_of("doc_id", 7) != 2))
@@ -51,6 +68,25 @@ def op10_find_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def _sql_rules() -> str:
+    listed = [(r.action, *r.pattern.removeprefix("||").split("/", 1)) for r in urlfilter.LISTED]
+    return ", ".join(f"('{action}', '{host}', '/{path}')" for action, host, path in listed)
+
+
+OP5_SQL = rf"""
+WITH u AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+listed(action, h, p) AS (VALUES {_sql_rules()}),
+other(action, x, len, pattern) AS (VALUES {", ".join(f"('{r.action}', '{urlfilter.expression(r.pattern)}', {len(r.pattern)}, '{r.pattern.removeprefix('||')}')" for r in urlfilter.PATTERNS)})
+SELECT page_id, host, path, l.h || l.p AS rule,
+  coalesce(l.action, (SELECT o.action FROM other o WHERE regexp_matches(host || path, o.x)
+                      ORDER BY o.len DESC, o.action = 'block' DESC, o.pattern DESC LIMIT 1), 'allow') AS verdict
+FROM u LEFT JOIN LATERAL (
+  SELECT * FROM listed WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
+  ORDER BY length(h || p) DESC LIMIT 1) l ON true
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -78,15 +114,29 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+OP8_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, '<|role|>' || regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g') || '<|text|>' || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|end|>' AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(shown))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_find_personal_data": op1_find_personal_data,
     "op2_fingerprint_documents": op2_fingerprint_documents,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_score_quality": op4_score_quality,
+    "op5_judge_urls": op5_judge_urls,
     "op6_identify_language": op6_identify_language,
     "op7_mix_sources": op7_mix_sources,
+    "op8_format_conversations": op8_format_conversations,
     "op9_score_language": op9_score_language,
     "op10_find_benchmark_items": op10_find_benchmark_items,
 }
 
-ORACLES: dict[str, str] = {"op7_mix_sources": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_judge_urls": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_format_conversations": OP8_SQL}
