@@ -1,21 +1,44 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again before the next.
+
+Each stage works on all rows its predecessor kept, and returns the columns of ``documents``; the last adds ``mix_taken``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapelab.llm import mixing
+from tapelab.llm import decontam, mixing, neardup, pii, quality
 from tapelab.llm.common import keep, table
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; the network learns from ``labels`` outside the held-out fold."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (shingles of five words, similarity of 0.8 or more)."""
+    return neardup.deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark``, up to its edits, go."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that disclose it are replaced in the texts; ``n_chars`` follows."""
+    return pii.sanitised(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources to their target weights; documents of which the mix takes nothing go."""
+    """Documents of which the mix of sources takes nothing go; ``mix_taken`` has the words it takes of the others."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix", mix)]
+STAGES = [("quality", classify), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("personal_data", sanitise), ("mix", mix)]
 
-#: The quality model and the sketches can't be said in SQL; tests compare run() with a brute-force version.
+#: The quality model and the sketches can't be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
