@@ -169,7 +169,7 @@ def labelled_sample(features: DataFrame, labels: DataFrame, most: int = SAMPLE)
     drawn = known.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).where(F.col("draw") < int(part * 1_000_000))
     rows = features.join(drawn, "doc_id").orderBy("draw", "doc_id", "row").limit(most).select("features", "quality").toArrow()
     y = rows.column("quality").to_numpy().astype(float)
-    x = np.array(rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(y), -1)
+    x = np.array(rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(y), 2 * WIDTH)
     return x, y
 
 
@@ -184,7 +184,7 @@ def score_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             n = part.num_rows
-            held = np.array(part.column("features").flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1)
+            held = np.array(part.column("features").flatten().to_numpy(zero_copy_only=False), float).reshape(n, 2 * WIDTH)
             yield batch(row=part.column("row"), doc_id=part.column("doc_id"), score=network.scores(held) if network else np.full(n, constant))
 
     return features.mapInArrow(run, "row long, doc_id long, score double")
