@@ -77,7 +77,8 @@ def oos_headline(episodes: DataFrame, is_oos: Column, block: str, draws: int, se
     """One row per side (IN_SAMPLE, OUT_OF_SAMPLE); the interval belongs to OOS only."""
     rows = episodes.withColumn("side", F.when(is_oos, "OUT_OF_SAMPLE").otherwise("IN_SAMPLE"))
     filled = F.col("is_filled")
-    net = F.when(filled & finite(F.col("net_pnl_usd")), F.col("net_pnl_usd"))
+    rows = rows.withColumn("_net", ledger.historical_net(episodes))
+    net = F.when(filled & finite(F.col("_net")), F.col("_net"))
     used = F.sum(F.when(filled, F.col("actual_notional_usd")))
     base = rows.groupBy("side").agg(
         F.coalesce(F.sum(net), F.lit(0.0)).alias("net_pnl_usd"),
@@ -86,9 +87,11 @@ def oos_headline(episodes: DataFrame, is_oos: Column, block: str, draws: int, se
         F.coalesce(F.try_divide(F.sum(net), F.count_if(filled)), F.lit(0.0)).alias("pnl_per_trade"),
         F.when(used > 0, F.sum(net) / used).alias("roi"),
         ledger.profit_factor(net).alias("profit_factor"),
+        F.coalesce(F.sum(F.when(filled, F.col("capital_seconds_usd_s"))), F.lit(0.0)).alias("capital_seconds"),
     )
     dd = ledger.drawdown(rows, ["side"])
     oos = rows.where((F.col("side") == "OUT_OF_SAMPLE") & filled)
-    ci = summarize_distribution(block_bootstrap(oos, block, "net_pnl_usd", draws, seed), "total")
+    ci = summarize_distribution(block_bootstrap(oos, block, "_net", draws, seed), "total")
     ci = ci.select(F.lit("OUT_OF_SAMPLE").alias("side"), "ci95_low", "median", "ci95_high", "p_positive")
-    return base.join(dd, "side", "left").join(ci, "side", "left")
+    peak = ledger.peak_capital(rows, ["side"])
+    return base.join(dd, "side", "left").join(peak, "side", "left").join(ci, "side", "left")

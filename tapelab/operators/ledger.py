@@ -19,6 +19,12 @@ def exit_class(exit_type: Column) -> Column:
     return F.when(exit_type == "hedge", "hedge").when(exit_type == "no_fill", "no_fill").otherwise("hold")
 
 
+def historical_net(df: DataFrame) -> Column:
+    """The PnL at the fees of its time; rows (or tables) without it have their net PnL."""
+    net = F.col("net_pnl_usd")
+    return F.coalesce("pnl_historical_usd", net) if "pnl_historical_usd" in df.columns else net
+
+
 def breakdown_key(df: DataFrame) -> Column:
     """``asset|horizon|regime|strategy|profile|exit class``; missing parts read unknown."""
     return F.concat_ws(
@@ -52,7 +58,7 @@ def drawdown(df: DataFrame, by: Sequence[str], width: int = 30 * DAY_MS) -> Data
     """Max drawdown of historical net PnL of filled episodes in exit order."""
     rows = df.where("is_filled").withColumn("_ts", F.coalesce("exit_ts_ms", "fill_ts_ms"))
     return scan.max_drawdown(
-        rows.where(F.col("_ts").isNotNull()), by, "_ts", F.col("net_pnl_usd"), ("episode_id",), width,
+        rows.where(F.col("_ts").isNotNull()), by, "_ts", historical_net(df), ("episode_id",), width,
         "max_drawdown_usd",
     )
 
@@ -60,13 +66,13 @@ def drawdown(df: DataFrame, by: Sequence[str], width: int = 30 * DAY_MS) -> Data
 def economy_summary(df: DataFrame, by: Sequence[str], width: int = 30 * DAY_MS) -> DataFrame:
     """The episode metrics per key (``by`` may be empty for one overall row).
 
-    Expects ``is_filled, gross_pnl_usd, net_pnl_usd`` (historical), ``pnl_current_usd,
+    Expects ``is_filled, gross_pnl_usd, net_pnl_usd``, optionally ``pnl_historical_usd``, ``pnl_current_usd,
     actual_notional_usd, capital_seconds_usd_s, exit_type, is_maker, markout_5s_pp``.
     """
     filled = F.col("is_filled")
     only = lambda c: F.when(filled, c)
     total = lambda c: F.coalesce(F.sum(only(c)), F.lit(0.0))
-    net, gross, cap = F.col("net_pnl_usd"), F.col("gross_pnl_usd"), F.col("actual_notional_usd")
+    net, gross, cap = historical_net(df), F.col("gross_pnl_usd"), F.col("actual_notional_usd")
     n, nf = F.count(F.lit(1)), F.count_if(filled)
     mark = F.when(F.col("is_maker") & finite(F.col("markout_5s_pp")), F.col("markout_5s_pp"))
     used = total(cap)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelab.operators import scan
@@ -49,7 +49,7 @@ def sample_endpoints(df: DataFrame, by: Sequence[str], ts: str, k: int, tie: Seq
     return got.where(F.when(take == 1, middle).otherwise(hit)).drop("_rn", "_n")
 
 
-def stride(df: DataFrame, by: Sequence[str], ts: str, cap: int, head: int = 500, tie: Sequence[str] = (), width: int = DAY_MS):
+def stride(df: DataFrame, by: Sequence[str], ts: str, cap: int, head: int, tie: Sequence[str] = (), width: int = DAY_MS):
     """Strided rows (stride ``n div cap``, up to ``head``) and the dense head for labels."""
     got = scan.numbered(df, by, ts, tie, width, rn="_rn", total="_n")
     step = F.greatest(F.floor(F.col("_n") / max(cap, 1)), F.lit(1))
@@ -59,10 +59,10 @@ def stride(df: DataFrame, by: Sequence[str], ts: str, cap: int, head: int = 500,
     return strided.drop("_rn", "_n"), dense.drop("_rn", "_n")
 
 
-def cap_per_bucket(df: DataFrame, bucket: Sequence[str], ts: str, cap: int, tie: Sequence[str] = (), width: int = DAY_MS) -> DataFrame:
-    """The first ``cap`` rows of each bucket in source order."""
-    got = scan.numbered(df, bucket, ts, tie, width, rn="_rn")
-    return got.where(F.col("_rn") <= cap).drop("_rn")
+def cap_per_bucket(df: DataFrame, bucket: Sequence[str], ts: str, cap: int, tie: Sequence[str] = ()) -> DataFrame:
+    """The first ``cap`` rows of each bucket in source order; each task keeps no more than ``cap`` of a bucket before the shuffle."""
+    order = Window.partitionBy(*bucket).orderBy(ts, *tie)
+    return df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def round_robin(df: DataFrame, bucket: Sequence[str], ts: str, tie: Sequence[str] = (), width: int = DAY_MS) -> DataFrame:

@@ -46,8 +46,8 @@ def _economy_sql(keys):
     join = " AND ".join(f"b.{x} = d.{x}" for x in keys) or "true"
     join2 = " AND ".join(f"b.{x} = p.{x}" for x in keys) or "true"
     return f"""
-WITH e AS (SELECT *, CASE WHEN l_linenumber <> 5 THEN gross_pnl_usd - 0.07::DOUBLE * actual_notional_usd END AS cur, stake_usd * (exit_ts_ms - fill_ts_ms) / 1000 AS cs FROM episodes),
-eq AS (SELECT {k} sum(net_pnl_usd) OVER ({part} ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING) AS q, exit_ts_ms, episode_id, actual_notional_usd FROM e WHERE is_filled),
+WITH e AS (SELECT *, CASE WHEN l_linenumber <> 5 THEN gross_pnl_usd - 0.07::DOUBLE * actual_notional_usd END AS cur, stake_usd * (exit_ts_ms - fill_ts_ms) / 1000 AS cs, coalesce(pnl_historical_usd, net_pnl_usd) AS hist FROM episodes),
+eq AS (SELECT {k} sum(hist) OVER ({part} ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING) AS q, exit_ts_ms, episode_id, actual_notional_usd FROM e WHERE is_filled),
 pk AS (SELECT *, greatest(0, max(q) OVER ({part} ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING)) AS peak FROM eq),
 d AS (SELECT {k} max(peak - q) AS dd FROM pk {group}),
 mv AS (SELECT {k} fill_ts_ms AS ts, actual_notional_usd AS v FROM e WHERE is_filled UNION ALL SELECT {k} exit_ts_ms, -actual_notional_usd FROM e WHERE is_filled),
@@ -55,11 +55,11 @@ nt AS (SELECT {k} ts, sum(v) AS v FROM mv GROUP BY {k} ts),
 lv AS (SELECT {k} sum(v) OVER ({part} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS l FROM nt),
 p AS (SELECT {k} greatest(0, max(l)) AS pc FROM lv {group}),
 b AS (SELECT {k} count(*) AS n_episodes, count(*) FILTER (is_filled) AS n_filled, count(*) FILTER (NOT is_filled) AS n_nofill,
-  coalesce(sum(gross_pnl_usd) FILTER (is_filled), 0) AS g, coalesce(sum(net_pnl_usd) FILTER (is_filled), 0) AS h, coalesce(sum(cur) FILTER (is_filled), 0) AS c,
-  coalesce(sum(actual_notional_usd) FILTER (is_filled), 0) AS u, count(*) FILTER (is_filled AND net_pnl_usd > 0) AS wins, count(*) FILTER (is_filled AND net_pnl_usd < 0) AS losses,
+  coalesce(sum(gross_pnl_usd) FILTER (is_filled), 0) AS g, coalesce(sum(hist) FILTER (is_filled), 0) AS h, coalesce(sum(cur) FILTER (is_filled), 0) AS c,
+  coalesce(sum(actual_notional_usd) FILTER (is_filled), 0) AS u, count(*) FILTER (is_filled AND hist > 0) AS wins, count(*) FILTER (is_filled AND hist < 0) AS losses,
   coalesce(sum(gross_pnl_usd) FILTER (is_filled AND gross_pnl_usd > 0), 0) / nullif(-sum(gross_pnl_usd) FILTER (is_filled AND gross_pnl_usd < 0), 0) AS pf,
   coalesce(sum(cs) FILTER (is_filled), 0) AS s, avg(markout_5s_pp) FILTER (is_filled AND is_maker) AS adv,
-  coalesce(sum(net_pnl_usd) FILTER (is_filled AND exit_type IN ('resolution','sell','stop')), 0) AS hold, coalesce(sum(net_pnl_usd) FILTER (is_filled AND exit_type = 'hedge'), 0) AS hedge
+  coalesce(sum(hist) FILTER (is_filled AND exit_type IN ('resolution','sell','stop')), 0) AS hold, coalesce(sum(hist) FILTER (is_filled AND exit_type = 'hedge'), 0) AS hedge
   FROM e {group})
 SELECT {''.join(f'b.{x}, ' for x in keys)} n_episodes, n_filled, n_nofill, round(n_filled / n_episodes, 6) AS fill_rate, round(n_nofill / n_episodes, 6) AS nofill_rate,
  round(g, 2) AS gross_pnl_usd, round(h, 2) AS historical_net_usd, round(c, 2) AS current_net_usd, round(coalesce(h / nullif(n_filled, 0), 0), 4) AS pnl_per_trade,
@@ -214,7 +214,7 @@ def _(t):
 
 
 @query("A14_max_drawdown", using="episodes", sql="""
-WITH e AS (SELECT asset, horizon, exit_ts_ms, episode_id, actual_notional_usd, sum(net_pnl_usd) OVER w AS q FROM episodes WHERE is_filled WINDOW w AS (PARTITION BY asset, horizon ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING)),
+WITH e AS (SELECT asset, horizon, exit_ts_ms, episode_id, actual_notional_usd, sum(coalesce(pnl_historical_usd, net_pnl_usd)) OVER w AS q FROM episodes WHERE is_filled WINDOW w AS (PARTITION BY asset, horizon ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT *, greatest(0, max(q) OVER (PARTITION BY asset, horizon ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
 SELECT asset, horizon, round(max(peak - q), 2) AS max_drawdown_usd FROM p GROUP BY 1, 2""")
 def _(t):
@@ -270,7 +270,7 @@ def _(t):
 
 @query("A19_oos_headline")
 def _(t):
-    got = bootstrap.oos_headline(t.episodes, col("fill_profile") == "O", "market", draws=200, seed=42)
+    got = bootstrap.oos_headline(_ep(t), col("fill_profile") == "O", "market", draws=200, seed=42)
     return got.select("side", "fills", "nofills", *[r(c, c, 4) for c in got.columns if c not in ("side", "fills", "nofills")])
 
 

@@ -58,8 +58,9 @@ def _(t):
     out = sinks.scratch(t.spark, "klines")
     blank = F.lit("0")
     for unit, keep in ((1, col("user_id") % 2 == 0), (1000, col("user_id") % 2 == 1)):
-        cols = {n: blank for n in readers.KLINE} | {"close_t": col("ts_ms") * unit, "close": col("price")}
-        t.ticks.where(keep).select(*[c.cast("string").alias(n) for n, c in cols.items()]).write.csv(f"{out}/{unit}")
+        known = {"close_t": col("ts_ms") * unit, "close": col("price")}
+        cols = [known.get(readers.KLINE_PLACES.get(i), blank).cast("string").alias(f"c{i}") for i in range(readers.KLINE_WIDTH)]
+        t.ticks.where(keep).select(*cols).write.csv(f"{out}/{unit}")
     return readers.read_klines(t.spark, [f"{out}/1", f"{out}/1000"], "BTCUSDT")
 
 
@@ -142,7 +143,11 @@ def _messages(t):
         col("asset").alias("asset_id"), F.when(col("user_id") % 2 == 0, "BUY").when(col("user_id") % 5 == 0, "HOLD").otherwise("SELL").alias("side"),
         text(col("bid_micros")).alias("price"), F.when(col("user_id") % 3 == 0, "0").otherwise(col("size").cast("long").cast("string")).alias("size"))
     payload = (
-        F.when(col("event_type") == "view", mk("book", F.array(lv(col("bid_micros"), col("size")), lv(low, col("size") + 1)).alias("bids"),
+        F.when((col("event_type") == "view") & (col("user_id") % 11 == 0), mk("book", F.array().alias("bids"), F.array().alias("asks")))
+        .when((col("event_type") == "click") & (col("user_id") % 13 == 0), mk("price_change", F.lit("oops").alias("price_changes")))
+        .when((col("event_type") == "error") & (col("user_id") % 7 == 0), F.lit("{broken"))
+        .when((col("event_type") == "signup") & (col("user_id") % 5 == 0), mk("mystery"))
+        .when(col("event_type") == "view", mk("book", F.array(lv(col("bid_micros"), col("size")), lv(low, col("size") + 1)).alias("bids"),
                                                F.array(lv(col("ask_micros"), col("size") + 2)).alias("asks")))
         .when(col("event_type") == "click", mk("price_change", F.array(change).alias("price_changes")))
         .when(col("event_type") == "purchase", mk("last_trade_price", text(col("bid_micros")).alias("price"), F.lit("BUY").alias("side"), F.lit("12.5").alias("size")))
@@ -154,14 +159,18 @@ def _messages(t):
 
 @query("S10_parse_market_messages", using="quotes", sql="""
 SELECT seq AS msg, 'snapshot' AS kind, side, price_micros, quantity::BIGINT AS quantity, pos::BIGINT AS pos, NULL AS reject_reason FROM (
- SELECT seq, 'BID' AS side, bid_micros AS price_micros, size * 1000000 AS quantity, 0 AS pos FROM quotes WHERE event_type = 'view'
- UNION ALL SELECT seq, 'BID', greatest(bid_micros - 10000, 0), (size + 1) * 1000000, 1 FROM quotes WHERE event_type = 'view'
- UNION ALL SELECT seq, 'ASK', ask_micros, (size + 2) * 1000000, 0 FROM quotes WHERE event_type = 'view')
+ SELECT seq, 'BID' AS side, bid_micros AS price_micros, size * 1000000 AS quantity, 0 AS pos FROM quotes WHERE event_type = 'view' AND user_id % 11 <> 0
+ UNION ALL SELECT seq, 'BID', greatest(bid_micros - 10000, 0), (size + 1) * 1000000, 1 FROM quotes WHERE event_type = 'view' AND user_id % 11 <> 0
+ UNION ALL SELECT seq, 'ASK', ask_micros, (size + 2) * 1000000, 0 FROM quotes WHERE event_type = 'view' AND user_id % 11 <> 0
+ UNION ALL SELECT seq, NULL, NULL, NULL, -1 FROM quotes WHERE event_type = 'view')
+UNION ALL SELECT seq, 'delta', NULL, NULL, NULL, 0, 'changes' FROM quotes WHERE event_type = 'click' AND user_id % 13 = 0
+UNION ALL SELECT seq, 'invalid', NULL, NULL, NULL, 0, 'invalid_json' FROM quotes WHERE event_type = 'error' AND user_id % 7 = 0
+UNION ALL SELECT seq, 'ignored', NULL, NULL, NULL, 0, NULL FROM quotes WHERE event_type = 'signup' AND user_id % 5 = 0
 UNION ALL SELECT seq, 'delta', CASE WHEN user_id % 2 = 0 THEN 'BID' WHEN user_id % 5 = 0 THEN NULL ELSE 'ASK' END, bid_micros, CASE WHEN user_id % 3 = 0 THEN 0 ELSE size * 1000000 END::BIGINT, 0,
-  CASE WHEN user_id % 2 <> 0 AND user_id % 5 = 0 THEN 'side' END FROM quotes WHERE event_type = 'click'
+  CASE WHEN user_id % 2 <> 0 AND user_id % 5 = 0 THEN 'side' END FROM quotes WHERE event_type = 'click' AND user_id % 13 <> 0
 UNION ALL SELECT seq, 'last_trade', 'BUY', bid_micros, 12500000, 0, NULL FROM quotes WHERE event_type = 'purchase'
-UNION ALL SELECT seq, 'tick_size', NULL, 10000, NULL, 0, 'price' FROM quotes WHERE event_type = 'error'
-UNION ALL SELECT seq, 'resolved', NULL, NULL, NULL, 0, NULL FROM quotes WHERE event_type NOT IN ('view', 'click', 'purchase', 'error')""")
+UNION ALL SELECT seq, 'tick_size', NULL, 10000, NULL, 0, 'price' FROM quotes WHERE event_type = 'error' AND user_id % 7 <> 0
+UNION ALL SELECT seq, 'resolved', NULL, NULL, NULL, 0, NULL FROM quotes WHERE event_type NOT IN ('view', 'click', 'purchase', 'error') AND NOT (event_type = 'signup' AND user_id % 5 = 0)""")
 def _(t):
     got = venues.parse_market_messages(_messages(t))
     return got.select("msg", "kind", "side", "price_micros", "quantity", col("pos").cast("long").alias("pos"), "reject_reason")
@@ -172,10 +181,11 @@ def _levels(t):
     return got.where(col("kind").isin("snapshot", "delta") & col("reject_reason").isNull()).withColumnRenamed("event_ms", "ts_ms")
 
 
-_LV = """lv AS (SELECT asset, seq, 'snapshot' AS kind, 'BID' AS side, bid_micros AS p, size AS q, 0 AS pos FROM quotes WHERE event_type = 'view'
- UNION ALL SELECT asset, seq, 'snapshot', 'BID', greatest(bid_micros - 10000, 0), size + 1, 1 FROM quotes WHERE event_type = 'view'
- UNION ALL SELECT asset, seq, 'snapshot', 'ASK', ask_micros, size + 2, 0 FROM quotes WHERE event_type = 'view'
- UNION ALL SELECT asset, seq, 'delta', CASE WHEN user_id % 2 = 0 THEN 'BID' ELSE 'ASK' END, bid_micros, CASE WHEN user_id % 3 = 0 THEN 0 ELSE size END, 0 FROM quotes WHERE event_type = 'click' AND (user_id % 2 = 0 OR user_id % 5 <> 0)),
+_LV = """lv AS (SELECT asset, seq, 'snapshot' AS kind, 'BID' AS side, bid_micros AS p, size AS q, 0 AS pos FROM quotes WHERE event_type = 'view' AND user_id % 11 <> 0
+ UNION ALL SELECT asset, seq, 'snapshot', 'BID', greatest(bid_micros - 10000, 0), size + 1, 1 FROM quotes WHERE event_type = 'view' AND user_id % 11 <> 0
+ UNION ALL SELECT asset, seq, 'snapshot', 'ASK', ask_micros, size + 2, 0 FROM quotes WHERE event_type = 'view' AND user_id % 11 <> 0
+ UNION ALL SELECT asset, seq, 'snapshot', NULL, NULL, NULL, -1 FROM quotes WHERE event_type = 'view'
+ UNION ALL SELECT asset, seq, 'delta', CASE WHEN user_id % 2 = 0 THEN 'BID' ELSE 'ASK' END, bid_micros, CASE WHEN user_id % 3 = 0 THEN 0 ELSE size END, 0 FROM quotes WHERE event_type = 'click' AND user_id % 13 <> 0 AND (user_id % 2 = 0 OR user_id % 5 <> 0)),
  snap AS (SELECT asset, max(seq) AS s FROM lv WHERE kind = 'snapshot' GROUP BY 1),
  cur AS (SELECT l.asset, side, p, arg_max(q, seq * 10 + pos) AS q FROM lv l JOIN snap USING (asset) WHERE seq >= s GROUP BY 1, 2, 3)"""
 
@@ -532,20 +542,21 @@ def _(t):
 
 
 @query("S19_window_table", sql="""
-WITH d AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS d FROM orders), n AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS k FROM d)
-SELECT 'w' || lpad(k::VARCHAR, 2, '0') AS name, epoch_ms(d) AS train_start_ms, epoch_ms(d) + 86400000 AS train_end_ms, epoch_ms(d) + 86400000 + 60000 * (1 + k % 2) AS test_start_ms, epoch_ms(d) + 172800000 AS test_end_ms,
- CASE WHEN k % 2 = 1 THEN 'embargo' END AS window_reject FROM n WHERE k < 100""")
+WITH d AS (SELECT DISTINCT date_trunc('week', o_orderdate) AS d FROM orders), n AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS k FROM d)
+SELECT CASE WHEN k % 50 = 7 THEN 'x' ELSE 'w' END || lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0') AS name, epoch_ms(d) AS train_start_ms, epoch_ms(d) + 86400000 AS train_end_ms, epoch_ms(d) + 86400000 + 60000 * (1 + k % 2) AS test_start_ms, epoch_ms(d) + 172800000 AS test_end_ms,
+ CASE WHEN k % 50 = 7 THEN 'name' WHEN k % 2 = 1 THEN 'embargo' END AS window_reject FROM n""")
 def _(t):
     from tapelab.operators import scan
 
-    d = t.raw("orders").select(F.unix_millis(F.date_trunc("month", col("o_orderdate").cast("timestamp"))).alias("ms")).distinct()
+    d = t.raw("orders").select(F.unix_millis(F.date_trunc("week", col("o_orderdate").cast("timestamp"))).alias("ms")).distinct()
     d = scan.numbered(d, [], "ms", (), DAY_MS * 365, rn="k").withColumn("k", col("k") - 1)
     iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ms = col("ms")
     line = F.concat(
-        F.lit("| w"), F.lpad(col("k").cast("string"), 2, "0"), F.lit(" | "), iso(ms), F.lit(" – "), iso(ms + DAY_MS), F.lit(" (train) | "),
+        F.lit("| "), F.when(col("k") % 50 == 7, "x").otherwise("w"), F.format_string("%02d", "k"), F.lit(" | "), iso(ms), F.lit(" – "), iso(ms + DAY_MS), F.lit(" (train) | "),
         iso(ms + DAY_MS + 60000 * (1 + col("k") % 2)), F.lit(" – "), iso(ms + 2 * DAY_MS), F.lit(" |"))
-    return readers.parse_window_table(d.where(col("k") < 100).select(line.alias("value")))
+    head = t.spark.createDataFrame([("# Windows",), ("| name | train | test |",), ("|---|---|---|",)], "value string")
+    return readers.parse_window_table(head.unionByName(d.select(line.alias("value"))))
 
 
 @query("D2_market_features", using="quotes prints", sql="""

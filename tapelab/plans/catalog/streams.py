@@ -15,17 +15,35 @@ from tapelab.streaming import streams
 col = F.col
 
 
+#: How late a row may come.
+DELAY_MS = HOUR_MS
+
+
 class StreamTables(Tables):
-    """The same domain tables over a file stream of the driver's folder."""
+    """The same domain tables over a stream of two files, so two micro-batches, of the driver's events.
+
+    ``late``: some rows of the last hour of the first half come with the second.
+    """
+
+    late = True
 
     def raw(self, name: str) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.dir}/{name}.parquet").schema
-        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return stream.parquet(self.dir)
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        out = sinks.scratch(self.spark, f"stream-{name}")
+        ms = F.unix_millis(col("ts").cast("timestamp"))
+        half = rows.select(F.percentile_approx(ms, 0.5)).scalar()
+        second = ms > half
+        if self.late:
+            second = second | ((ms > half - DELAY_MS) & (col("event_id") % 3 == 0))
+        for part, chosen in (("a", ~second), ("b", second)):
+            rows.where(chosen).coalesce(1).write.parquet(f"{out}/{part}")
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/*")
 
 
-def _stream(t) -> StreamTables:
-    return StreamTables(t.spark, t.dir)
+def _stream(t, late: bool = True) -> StreamTables:
+    tables = StreamTables(t.spark, t.dir)
+    tables.late = late
+    return tables
 
 
 def run(df: DataFrame, mode: str, name: str) -> DataFrame:
@@ -45,7 +63,7 @@ def run(df: DataFrame, mode: str, name: str) -> DataFrame:
 
 
 def _timed(ticks: DataFrame) -> DataFrame:
-    return streams.event_time(ticks.withColumn("exchange_ms", col("ts_ms")), "0 seconds", "exchange_ms", "ts_ms")
+    return streams.event_time(ticks.withColumn("exchange_ms", col("ts_ms")), f"{DELAY_MS} milliseconds", "exchange_ms", "ts_ms")
 
 
 @query("T1_tick_stream", using="ticks", sql="""
@@ -63,16 +81,17 @@ def _(t):
 
 
 @query("T3_stream_order_flow", using="ticks", sql="""
-WITH w AS (SELECT *, unnest([ts_ms // 7200000 * 7200000, ts_ms // 7200000 * 7200000 - 7200000, ts_ms // 7200000 * 7200000 - 14400000]) AS start_ms FROM ticks)
-SELECT asset, start_ms, start_ms + 21600000 AS end_ms, coalesce(sum(qty) FILTER (side = 'BUY'), 0) AS buy_vol, coalesce(sum(qty) FILTER (side = 'SELL'), 0) AS sell_vol FROM w
-WHERE start_ms + 21600000 <= (SELECT max(ts_ms) FROM ticks) GROUP BY 1, 2""")
+WITH w AS (SELECT *, unnest([ts_ms // 7200000 * 7200000, ts_ms // 7200000 * 7200000 - 7200000, ts_ms // 7200000 * 7200000 - 14400000]) AS start_ms FROM ticks),
+g AS (SELECT asset, start_ms, start_ms + 21600000 AS end_ms, coalesce(sum(qty) FILTER (side = 'BUY'), 0) AS buy_vol, coalesce(sum(qty) FILTER (side = 'SELL'), 0) AS sell_vol FROM w
+WHERE start_ms + 21600000 <= (SELECT max(ts_ms) FROM ticks) - 3600000 GROUP BY 1, 2)
+SELECT *, buy_vol - sell_vol AS ofi, CASE WHEN buy_vol + sell_vol > 0 THEN buy_vol / (buy_vol + sell_vol) ELSE 0 END AS buy_ratio FROM g""")
 def _(t):
     got = streams.stream_order_flow(_timed(_stream(t).ticks), "asset", "6 hours", "2 hours")
-    return run(got, "append", "T3").select("asset", "start_ms", "end_ms", "buy_vol", "sell_vol")
+    return run(got, "append", "T3").drop("batch")
 
 
 @query("T4_latest_venue_price", using="ticks", sql="""
-SELECT asset, venue, arg_max(CASE WHEN event_type = 'view' THEN (price + (price + 2)) / 2 ELSE price END, ts_ms) AS microprice, max(ts_ms) AS as_of_ms FROM ticks GROUP BY 1, 2""")
+SELECT asset, venue, arg_max(CASE WHEN event_type = 'view' THEN (price + (price + 2)) / 2 ELSE price END, ts_ms::HUGEINT * 1000000000 + seq) AS microprice, max(ts_ms) AS as_of_ms FROM ticks GROUP BY 1, 2""")
 def _(t):
     view = col("event_type") == "view"
     rows = _stream(t).ticks.withColumns({"best_bid": F.when(view, col("price")), "best_ask": F.when(view, col("price") + 2), "event_ms": col("ts_ms")})
@@ -90,35 +109,42 @@ WITH m AS (SELECT *, max(ts_ms) OVER (PARTITION BY asset) AS mx FROM ticks) SELE
 FROM m WHERE ts_ms >= mx - 234000000 GROUP BY 1""")
 def _(t):
     rows = _stream(t).ticks.withColumn("event_ms", col("ts_ms"))
-    return _newest(run(streams.spot_history(rows, retention_ms=65 * HOUR_MS), "update", "T5"))
+    return _newest(run(streams.spot_history(_timed(rows), retention_ms=65 * HOUR_MS, expire_ms=65 * HOUR_MS), "update", "T5"))
 
 
 @query("T6_late_history", using="ticks", sql="""
 WITH m AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts_ms DESC) AS k FROM ticks) SELECT asset, count(*) AS n, min(ts_ms) AS oldest_ms, max(ts_ms) AS newest_ms, arg_max(price, ts_ms) AS last_price FROM m WHERE k <= 500 GROUP BY 1""")
 def _(t):
     rows = _stream(t).ticks.withColumn("event_ms", col("ts_ms"))
-    return _newest(run(streams.late_history(rows, 500), "update", "T6"))
+    return _newest(run(streams.late_history(_timed(rows), 500, expire_ms=1000 * HOUR_MS), "update", "T6"))
 
 
 _HZ = tuple(h * HOUR_MS for h in (1, 5, 10, 30, 60))
+_GRACE = 2 * HOUR_MS
 
 
 @query("T7_stream_labels", using="ticks", sql=f"""
-WITH e AS (SELECT * FROM ticks WHERE event_type = 'purchase'), {', '.join(f"h{i} AS (SELECT a.seq, b.price FROM (SELECT seq, asset, ts_ms + {h} AS g FROM e) a ASOF JOIN ticks b ON a.asset = b.asset AND a.g <= b.ts_ms)" for i, h in enumerate(_HZ))}
-SELECT e.asset, e.seq AS eval_id, e.ts_ms AS event_ms, {', '.join(f'h{i}.price AS mid_{h}' for i, h in enumerate(_HZ))} FROM e {' '.join(f'JOIN h{i} ON h{i}.seq = e.seq' for i in range(len(_HZ)))}""")
+WITH e AS (SELECT * FROM ticks WHERE event_type = 'purchase'), {', '.join(f"h{i} AS (SELECT a.seq, b.price, b.ts_ms FROM (SELECT seq, asset, ts_ms + {h} AS g FROM e) a ASOF JOIN ticks b ON a.asset = b.asset AND a.g <= b.ts_ms)" for i, h in enumerate(_HZ))}
+SELECT e.asset, e.seq AS eval_id, e.ts_ms AS event_ms, {', '.join(f'h{i}.price AS mid_{h}' for i, h in enumerate(_HZ))} FROM e {' '.join(f'JOIN h{i} ON h{i}.seq = e.seq AND h{i}.ts_ms <= e.ts_ms + {_HZ[-1] + _GRACE}' for i in range(len(_HZ)))}
+WHERE h{len(_HZ) - 1}.ts_ms < (SELECT max(ts_ms) FROM ticks) - 3600000""")
 def _(t):
     ticks = _timed(_stream(t).ticks)
     kinds = F.when(col("event_type") == "purchase", F.array(F.lit("mid"), F.lit("eval"))).otherwise(F.array(F.lit("mid")))
     rows = ticks.select("asset", "event_ts", "event_ms", col("seq").alias("eval_id"), "price", F.explode(kinds).alias("kind"))
-    return run(streams.stream_labels(rows, "asset", _HZ, partial=False), "append", "T7").drop("batch")
+    return run(streams.stream_labels(rows, "asset", _HZ, _GRACE, partial=False), "append", "T7").drop("batch")
 
 
 @query("T8_stream_book", using="quotes", sql=f"""
-WITH {_LV}, z AS (SELECT * FROM cur WHERE q > 0) SELECT asset AS token_id, max(p) FILTER (side = 'BID') AS best_bid_micros, min(p) FILTER (side = 'ASK') AS best_ask_micros, count(*) AS n_levels, false AS stale FROM z GROUP BY 1""")
+WITH {_LV}, z AS (SELECT * FROM cur WHERE q > 0),
+m AS (SELECT asset, seq, kind, lag(seq) OVER (PARTITION BY asset ORDER BY seq) AS before FROM (SELECT DISTINCT asset, seq, kind FROM lv)),
+st AS (SELECT asset, s IS NULL OR coalesce(bool_or(kind = 'delta' AND seq <> before + 1) FILTER (seq > s), false) AS stale FROM m LEFT JOIN snap USING (asset) GROUP BY asset, s),
+b AS (SELECT asset, max(p) FILTER (side = 'BID') AS best_bid_micros, min(p) FILTER (side = 'ASK') AS best_ask_micros, count(*) AS n FROM z GROUP BY 1)
+SELECT asset AS token_id, best_bid_micros, best_ask_micros, coalesce(n, 0) AS n_levels, stale FROM st LEFT JOIN b USING (asset)""")
 def _(t):
-    msgs = venues.parse_market_messages(_messages(_stream(t)))
-    rows = msgs.where(col("kind").isin("snapshot", "delta") & col("reject_reason").isNull()).withColumn("sequence", F.lit(None).cast("long"))
-    got = run(streams.stream_book(rows), "update", "T8")
+    msgs = venues.parse_market_messages(_messages(_stream(t, late=False)))
+    rows = msgs.where(col("kind").isin("snapshot", "delta") & col("reject_reason").isNull()).withColumn("sequence", col("msg"))
+    rows = rows.withColumn("event_ts", F.timestamp_millis("event_ms")).withWatermark("event_ts", f"{DELAY_MS} milliseconds")
+    got = run(streams.stream_book(rows, expire_ms=10_000 * HOUR_MS), "update", "T8")
     cols = ("best_bid_micros", "best_ask_micros", "n_levels", "stale")
     # max_by skips nothing: a side emptied by the last batch stays null.
     last = F.max_by(F.struct(*cols), "batch").alias("s")
@@ -127,7 +153,7 @@ def _(t):
 
 @query("T9_stream_candles", using="ticks", sql="""
 SELECT asset, ts_ms // 86400000 * 86400000 AS start_ms, arg_min(price, ts_ms) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts_ms) AS close FROM ticks
-WHERE ts_ms // 86400000 * 86400000 + 86400000 <= (SELECT max(ts_ms) FROM ticks) GROUP BY 1, 2""")
+WHERE ts_ms // 86400000 * 86400000 + 86400000 <= (SELECT max(ts_ms) FROM ticks) - 3600000 GROUP BY 1, 2""")
 def _(t):
     got = streams.stream_candles(_timed(_stream(t).ticks), "asset")
     return run(got, "append", "T9").drop("batch")
@@ -138,8 +164,8 @@ WITH RECURSIVE acc AS (SELECT asset, min(ts_ms) AS ts_ms FROM ticks GROUP BY 1
  UNION ALL SELECT a.asset, (SELECT min(t.ts_ms) FROM ticks t WHERE t.asset = a.asset AND t.ts_ms >= a.ts_ms + 7200000) FROM acc a WHERE a.ts_ms IS NOT NULL)
 SELECT a.asset, min(t.seq) AS seq, a.ts_ms AS event_ms FROM acc a JOIN ticks t ON a.asset = t.asset AND a.ts_ms = t.ts_ms GROUP BY 1, 3""")
 def _(t):
-    rows = _stream(t).ticks.withColumn("event_ms", col("ts_ms"))
-    return run(streams.stream_cooldown(rows, "asset", 2 * HOUR_MS), "append", "T10").drop("batch")
+    rows = _timed(_stream(t, late=False).ticks)
+    return run(streams.stream_cooldown(rows, "asset", 2 * HOUR_MS, expire_ms=3 * HOUR_MS), "append", "T10").drop("batch")
 
 
 @query("T11_stream_tables", using="ticks", sql="SELECT asset, count(*) AS n, round(sum(price), 2) AS total FROM ticks GROUP BY 1")

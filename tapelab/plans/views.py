@@ -50,6 +50,7 @@ SQL_VIEWS: dict[str, str] = {
         FROM prints WHERE event_type = 'purchase'""",
     "episodes": """
         SELECT *, gross_pnl_usd - fees_usd AS net_pnl_usd,
+          CASE WHEN l_linenumber % 3 <> 0 THEN gross_pnl_usd - fees_usd * 1.5::DOUBLE END AS pnl_historical_usd,
           CASE WHEN exit_type = 'no_fill' THEN NULL ELSE f0 END AS fill_ts_ms,
           CASE WHEN exit_type = 'no_fill' THEN NULL ELSE x0 END AS exit_ts_ms,
           (exit_type <> 'no_fill') AS is_filled
@@ -246,6 +247,7 @@ class Tables:
             .withColumns(
                 {
                     "net_pnl_usd": col("gross_pnl_usd") - col("fees_usd"),
+                    "pnl_historical_usd": F.when(col("l_linenumber") % 3 != 0, col("gross_pnl_usd") - col("fees_usd") * 1.5),
                     "fill_ts_ms": F.when(filled, col("f0")),
                     "exit_ts_ms": F.when(filled, col("x0")),
                     "is_filled": filled,

@@ -5,7 +5,10 @@ A cluster hands its own session in; ``local_session`` is for tests and the bench
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,11 +34,24 @@ def local_session(cpus: int | str = 8, app: str = "tapelab") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where it names none."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A local session that names none gets one private folder, removed when the process ends; a cluster must name one, as
+    its executors do not see each other's disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return _private_folder()
+
+
+@functools.cache
+def _private_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:

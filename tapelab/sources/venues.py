@@ -127,8 +127,10 @@ def parse_market_messages(df: DataFrame, payload: str = "payload", msg: str = "m
     """Market-channel messages as rows of one table, told apart by ``kind``.
 
     ``snapshot``/``delta`` rows carry one level each; ``last_trade``, ``tick_size``, ``best_bid_ask``,
-    ``new_market`` and ``resolved`` rows carry one message each. A row with a field that does not
-    parse has ``reject_reason``.
+    ``new_market`` and ``resolved`` rows carry one message each. Each book also has a snapshot row without a level
+    (``pos`` -1), so an empty book clears the levels before it. A row with a field that does not parse has
+    ``reject_reason``; so have a payload that is no JSON (kind ``invalid``), a book whose levels and a price change whose
+    list do not parse. Other events, and changes with an empty list, are of kind ``ignored``: every message gives a row.
     """
     event = _get(payload, "event_type")
     base = df.withColumns(
@@ -148,27 +150,42 @@ def parse_market_messages(df: DataFrame, payload: str = "payload", msg: str = "m
         got = F.coalesce(F.from_json(s(path), _LEVELS), F.array().cast(_LEVELS))
         return F.transform(got, lambda x, i: row("snapshot", F.col("_asset"), F.lit(side), x["price"], x["size"], pos=i))
 
+    # an unreadable list parses to null, or to elements without any field
+    unreadable = lambda path, kind: s(path).isNotNull() & (
+        F.from_json(s(path), kind).isNull() | ~F.startswith(F.ltrim(s(path)), F.lit("["))
+    )
+    broken_book = unreadable("bids", _LEVELS) | unreadable("asks", _LEVELS)
+    broken_changes = s("price_changes").isNull() | unreadable("price_changes", _CHANGES)
+    marker = row("snapshot", F.col("_asset"), pos=F.lit(-1))
+    ignored = F.array(row("ignored", F.col("_asset")))
     deltas = F.transform(
         F.from_json(s("price_changes"), _CHANGES),
         lambda x, i: row("delta", x["asset_id"], F.when(x["side"] == "BUY", "BID").when(x["side"] == "SELL", "ASK"),
                          x["price"], x["size"], detail=x["hash"], pos=i),
     )
     rows = (
-        F.when(F.col("_e") == "book", F.concat(levels("bids", "BID"), levels("asks", "ASK")))
-        .when(F.col("_e") == "price_change", deltas)
+        F.when((F.col("_e") == "book") & broken_book, F.array(marker))
+        .when(F.col("_e") == "book", F.concat(F.array(marker), levels("bids", "BID"), levels("asks", "ASK")))
+        .when((F.col("_e") == "price_change") & broken_changes, F.array(row("delta", F.col("_asset"))))
+        .when(F.col("_e") == "price_change", F.when(F.size(deltas) > 0, deltas).otherwise(ignored))
         .when(F.col("_e") == "last_trade_price", F.array(row("last_trade", F.col("_asset"), s("side"), s("price"), s("size"))))
         .when(F.col("_e") == "tick_size_change", F.array(row("tick_size", F.col("_asset"), price=s("old_tick_size"), price2=s("new_tick_size"))))
         .when(F.col("_e") == "best_bid_ask", F.array(row("best_bid_ask", F.col("_asset"), price=s("best_bid"), price2=s("best_ask"))))
         .when(F.col("_e") == "new_market", F.array(row("new_market", none, detail=s("question"))))
         .when(F.col("_e") == "market_resolved", F.array(row("resolved", s("winning_asset_id"), detail=s("winning_outcome"))))
+        .when(F.col("_e").isNull() & F.try_parse_json(F.coalesce(payload, F.lit(""))).isNull(), F.array(row("invalid", none)))
+        .otherwise(ignored)
     )
-    out = base.withColumn("_x", F.explode(rows))
+    bad_list = F.when((F.col("_e") == "book") & broken_book, "levels").when((F.col("_e") == "price_change") & broken_changes, "changes")
+    out = base.withColumns({"_bad_list": bad_list, "_x": F.explode(rows)})
     kind, price = F.col("_x.kind"), F.col("_x.price")
     level = kind.isin("snapshot", "delta")
+    marks = (kind == "snapshot") & (F.col("_x.pos") < 0)
     priced = kind.isin("snapshot", "delta", "last_trade", "tick_size", "best_bid_ask")
     micros, units = price_micros(price), base_units(F.col("_x.size"))
     reason = (
-        F.when(priced & micros.isNull(), "price").when((kind == "delta") & F.col("_x.side").isNull(), "side")
+        F.when(kind == "invalid", "invalid_json").when(F.col("_bad_list").isNotNull(), F.col("_bad_list"))
+        .when(marks, F.lit(None)).when(priced & micros.isNull(), "price").when((kind == "delta") & F.col("_x.side").isNull(), "side")
         .when((kind == "snapshot") & units.isNull(), "size")
         .when(F.col("_x.size").isNotNull() & units.isNull(), "size")
         .when(kind.isin("tick_size", "best_bid_ask") & price_micros(F.col("_x.price2")).isNull(), "price")

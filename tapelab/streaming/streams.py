@@ -49,118 +49,158 @@ def stream_order_flow(df: DataFrame, key: str, span: str = "5 seconds", slide: s
     )
 
 
-def latest_venue_price(df: DataFrame) -> DataFrame:
-    """Newest usable price per asset and venue: the mid if both sides are positive, else the trade."""
+def latest_venue_price(df: DataFrame, tie: str = "seq") -> DataFrame:
+    """Newest usable price per asset and venue: the mid if both sides are positive, else the trade; ``tie`` orders equal times."""
     quoted = positive(F.col("best_bid")) & positive(F.col("best_ask"))
     p = F.when(quoted, (F.col("best_bid") + F.col("best_ask")) / 2.0).when(positive(F.col("price")), F.col("price"))
     good = df.withColumn("_p", p).where(F.col("_p").isNotNull())
     return good.groupBy("asset", "venue").agg(
-        F.max_by("_p", "event_ms").alias("microprice"), F.max("event_ms").alias("as_of_ms")
+        F.max_by("_p", F.struct("event_ms", tie)).alias("microprice"), F.max("event_ms").alias("as_of_ms")
     )
 
 
-_HISTORY = "n INT, oldest_ms BIGINT, newest_ms BIGINT, last_price DOUBLE, samples ARRAY<STRUCT<ts: BIGINT, price: DOUBLE>>"
-_HISTORY_STATE = "ts ARRAY<BIGINT>, price ARRAY<DOUBLE>"
+def _timeout(expire_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.EventTimeTimeout
 
 
-def _history(df: DataFrame, key: str, ts: str, price: str, retention_ms: int | None, capacity: int | None) -> DataFrame:
+def _keep_until(state: GroupState, newest_ms: int, expire_ms: int | None) -> None:
+    """The state goes once the watermark passes the newest time plus ``expire_ms``."""
+    if expire_ms is not None:
+        state.setTimeoutTimestamp(max(newest_ms + expire_ms, state.getCurrentWatermarkMs() + 1))
+
+
+_HISTORY = "n INT, n_late BIGINT, oldest_ms BIGINT, newest_ms BIGINT, last_price DOUBLE, samples ARRAY<STRUCT<ts: BIGINT, price: DOUBLE>>"
+_HISTORY_STATE = "ts ARRAY<BIGINT>, price ARRAY<DOUBLE>, late BIGINT"
+
+
+def _history(
+    df: DataFrame, key: str, ts: str, price: str, retention_ms: int | None, capacity: int | None, expire_ms: int | None
+) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def update(group, batches: Iterator[pd.DataFrame], state: GroupState):
-        held = dict(zip(*state.get)) if state.exists else {}
-        for pdf in batches:
-            for t, p in zip(pdf[ts].to_numpy(), pdf[price].to_numpy()):
-                held[int(t)] = float(p)
-        order = sorted(held)
-        if retention_ms is not None and order:
-            order = [t for t in order if t >= order[-1] - retention_ms]
-        if capacity is not None:
-            order = order[-capacity:]
-        state.update((order, [held[t] for t in order]))
-        samples = [{"ts": t, "price": held[t]} for t in order]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old_ts, old_price, late = state.get if state.exists else ([], [], 0)
+        pdf = pd.concat(list(batches), ignore_index=True)
+        held = pd.Series([*old_price, *pdf[price]], index=[*old_ts, *pdf[ts].astype("int64")])
+        held = held[~held.index.duplicated(keep="last")].sort_index()
+        first = held.index[-1] - retention_ms if retention_ms is not None else held.index[0]
+        kept = held[held.index >= first].iloc[-capacity if capacity is not None else 0 :]
+        # a new sample that is older than all that is kept came too late to count
+        late += int((pdf[ts] < kept.index[0]).sum())
+        times_, prices_ = kept.index.tolist(), kept.tolist()
+        state.update((times_, prices_, late))
+        _keep_until(state, times_[-1], expire_ms)
+        samples = [{"ts": t, "price": p} for t, p in zip(times_, prices_, strict=True)]
         yield pd.DataFrame(
-            {key: [group[0]], "n": [len(order)], "oldest_ms": [order[0]], "newest_ms": [order[-1]],
-             "last_price": [held[order[-1]]], "samples": [samples]}
+            {key: [group[0]], "n": [len(times_)], "n_late": [late], "oldest_ms": [times_[0]], "newest_ms": [times_[-1]],
+             "last_price": [prices_[-1]], "samples": [samples]}
         )
 
-    rows = df.where(positive(F.col(price))).select(key, ts, price)
+    stamp = [c for c in ("event_ts",) if c in df.columns]
+    rows = df.where(positive(F.col(price))).select(key, ts, price, *stamp)
     return rows.groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, {_HISTORY}", _HISTORY_STATE, "update", GroupStateTimeout.NoTimeout
+        update, f"{key} {kind}, {_HISTORY}", _HISTORY_STATE, "update", _timeout(expire_ms)
     )
 
 
-def spot_history(df: DataFrame, key: str = "asset", ts: str = "event_ms", price: str = "price", retention_ms: int = SPOT_RETENTION_MS) -> DataFrame:
-    """Retained spot samples per key, late ones inserted in order."""
-    return _history(df, key, ts, price, retention_ms, None)
+def spot_history(
+    df: DataFrame, key: str = "asset", ts: str = "event_ms", price: str = "price", retention_ms: int = SPOT_RETENTION_MS,
+    expire_ms: int | None = None,
+) -> DataFrame:
+    """Retained spot samples per key, late ones inserted in order; those older than the retention are counted in ``n_late``.
+
+    With ``expire_ms`` (and a watermark) the state of a key goes that long after its newest sample.
+    """
+    return _history(df, key, ts, price, retention_ms, None, expire_ms)
 
 
-def late_history(df: DataFrame, cap: int, key: str = "asset", ts: str = "event_ms", price: str = "price") -> DataFrame:
-    """The newest ``cap`` samples per key; an equal time replaces the older sample."""
-    return _history(df, key, ts, price, None, cap)
+def late_history(
+    df: DataFrame, cap: int, key: str = "asset", ts: str = "event_ms", price: str = "price", expire_ms: int | None = None
+) -> DataFrame:
+    """The newest ``cap`` samples per key; an equal time replaces the older sample, ``n_late`` counts what came too late."""
+    return _history(df, key, ts, price, None, cap, expire_ms)
 
 
 def stream_labels(
     df: DataFrame, key: str, horizons_ms=HORIZONS_MS, grace_ms: int = 60_000, partial: bool = True
 ) -> DataFrame:
-    """Forward mids of every evaluation once all horizons were seen.
+    """Forward mids of every evaluation, however the stream is cut into batches.
 
-    ``df`` is one stream of ``kind`` (eval/mid), ``event_ms``, ``eval_id`` and ``price`` with a watermark.
-    When the watermark passes the last horizon plus the grace, what is missing stays null
-    and the row is emitted (dropped, if ``partial`` is false).
+    ``df`` is one stream of ``kind`` (eval/mid), ``event_ms``, ``eval_id`` and ``price`` with a watermark. The mid
+    of a horizon is the first at or after its time (of equal times the lowest id), and no later than the last horizon
+    plus the grace. It counts only once the watermark has passed it, so that no earlier one can come. An evaluation
+    is emitted when all its horizons are settled; what is missing stays null (the row is dropped, if ``partial`` is false).
+    The state holds the mids from the oldest open evaluation (or the watermark) on.
     """
     kind = df.schema[key].dataType.simpleString()
     names = [f"mid_{h}" for h in horizons_ms]
-    n = len(horizons_ms)
     h = np.array(horizons_ms, dtype=np.int64)
+    last = int(h.max()) + grace_ms
 
     def update(group, batches: Iterator[pd.DataFrame], state: GroupState):
-        pending = {k: [t, *v] for k, t, v in json.loads(state.get[0])} if state.exists else {}
-        done: list[list] = []
-        if state.hasTimedOut:
-            limit = state.getCurrentWatermarkMs()
-            for k in [k for k, v in pending.items() if v[0] + int(h[-1]) + grace_ms <= limit]:
-                row = pending.pop(k)
-                if partial:
-                    done.append([k, *row])
+        if state.exists:
+            mid_ts, mid_id, mid_price, eval_ts, eval_id = (np.array(x) for x in state.get)
         else:
-            pdf = pd.concat(list(batches), ignore_index=True)
-            for r in pdf[pdf["kind"] == "eval"].itertuples():
-                pending[int(r.eval_id)] = [int(r.event_ms), *([None] * n)]
-            mids = pdf[pdf["kind"] == "mid"].sort_values(["event_ms", "eval_id"])
-            t, p = mids["event_ms"].to_numpy(dtype=np.int64), mids["price"].to_numpy(dtype=float)
-            for k in list(pending):
-                row = pending[k]
-                at = np.searchsorted(t, row[0] + h, side="left")
-                for i in range(n):
-                    if row[i + 1] is None and at[i] < len(t):
-                        row[i + 1] = float(p[at[i]])
-                if all(v is not None for v in row[1:]):
-                    done.append([k, *pending.pop(k)])
-        if pending:
-            state.update((json.dumps([[k, v[0], v[1:]] for k, v in pending.items()]),))
-            due = min(v[0] for v in pending.values()) + int(h[-1]) + grace_ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            mid_ts = mid_id = mid_price = eval_ts = eval_id = np.array([], np.int64)
+        parts = [] if state.hasTimedOut else list(batches)
+        if parts:
+            pdf = pd.concat(parts, ignore_index=True)
+            mids, evals = pdf[pdf["kind"] == "mid"], pdf[pdf["kind"] == "eval"]
+            mid_ts = np.concatenate((mid_ts, mids["event_ms"].to_numpy())).astype(np.int64)
+            mid_id = np.concatenate((mid_id, mids["eval_id"].to_numpy())).astype(np.int64)
+            mid_price = np.concatenate((mid_price, mids["price"].to_numpy())).astype(float)
+            eval_ts = np.concatenate((eval_ts, evals["event_ms"].to_numpy())).astype(np.int64)
+            eval_id = np.concatenate((eval_id, evals["eval_id"].to_numpy())).astype(np.int64)
+            order = np.lexsort((mid_id, mid_ts))
+            mid_ts, mid_id, mid_price = mid_ts[order], mid_id[order], mid_price[order]
+        passed = state.getCurrentWatermarkMs()
+        at = np.searchsorted(mid_ts, eval_ts[:, None] + h, side="left")
+        when = np.append(mid_ts, np.iinfo(np.int64).max)[at]
+        limit = eval_ts[:, None] + last
+        found = when <= limit
+        # a horizon is settled when the watermark has passed its mid, or the time until which one would count
+        settled_at = np.where(found, when, limit).max(axis=1) if len(eval_ts) else eval_ts
+        done = settled_at < passed
+        emit = done & (found.all(axis=1) | partial) if len(eval_ts) else done
+        values = np.where(found, np.append(mid_price, np.nan)[at], np.nan)[emit]
+        out = pd.DataFrame({key: group[0], "eval_id": eval_id[emit], "event_ms": eval_ts[emit]})
+        for i, name in enumerate(names):
+            out[name] = values[:, i] if len(out) else []
+        open_ts, open_id, due = eval_ts[~done], eval_id[~done], settled_at[~done]
+        # an evaluation may still come at the watermark
+        keep = mid_ts >= min([passed, *open_ts.tolist()]) + h.min()
+        if len(open_ts) or keep.any():
+            state.update(tuple(x.tolist() for x in (mid_ts[keep], mid_id[keep], mid_price[keep], open_ts, open_id)))
+            wake = int(due.min()) if len(due) else int(mid_ts[keep].max() - h.min())
+            state.setTimeoutTimestamp(max(wake, passed + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([[group[0], *d] for d in done], columns=[key, "eval_id", "event_ms", *names])
+        yield out
 
     cols = ", ".join(f"{c} DOUBLE" for c in names)
+    longs = "mid_ts ARRAY<BIGINT>, mid_id ARRAY<BIGINT>, mid_price ARRAY<DOUBLE>, eval_ts ARRAY<BIGINT>, eval_id ARRAY<BIGINT>"
     return df.groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, eval_id BIGINT, event_ms BIGINT, {cols}", "pending STRING", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        update, f"{key} {kind}, eval_id BIGINT, event_ms BIGINT, {cols}", longs, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def stream_book(df: DataFrame, token: str = "token_id") -> DataFrame:
+def stream_book(df: DataFrame, token: str = "token_id", expire_ms: int | None = None, ts: str = "event_ms") -> DataFrame:
     """Book per token from snapshot and delta level rows; only a snapshot clears ``stale``.
 
-    Rows carry ``msg, pos, kind, side, price_micros, quantity, sequence``. The state holds the live levels,
-    which the price grid bounds.
+    Rows carry ``msg, pos, kind, side, price_micros, quantity, sequence``; a snapshot row without a level clears the book, so
+    an empty snapshot leaves none. The state holds the live levels, which the price grid bounds; with ``expire_ms`` (and
+    a watermark) it goes that long after the token's newest message.
     """
     kind = df.schema[token].dataType.simpleString()
     out = f"{token} {kind}, msg BIGINT, best_bid_micros BIGINT, best_ask_micros BIGINT, n_levels INT, stale BOOLEAN"
 
     def update(group, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             raw, expected, stale = state.get
             book = {s: {int(k): v for k, v in lv.items()} for s, lv in json.loads(raw).items()}
@@ -184,13 +224,15 @@ def stream_book(df: DataFrame, token: str = "token_id") -> DataFrame:
             if seq is not None:
                 expected = seq + 1
         state.update((json.dumps(book), expected, stale))
+        if expire_ms is not None:
+            _keep_until(state, int(pdf[ts].max()), expire_ms)
         yield pd.DataFrame(
             {token: [group[0]], "msg": [int(pdf["msg"].max())], "best_bid_micros": [max(book["BID"], default=None)],
              "best_ask_micros": [min(book["ASK"], default=None)], "n_levels": [len(book["BID"]) + len(book["ASK"])], "stale": [stale]}
         )
 
     return df.groupBy(token).applyInPandasWithState(
-        update, out, "book STRING, expected BIGINT, stale BOOLEAN", "update", GroupStateTimeout.NoTimeout
+        update, out, "book STRING, expected BIGINT, stale BOOLEAN", "update", _timeout(expire_ms)
     )
 
 
@@ -204,11 +246,20 @@ def stream_candles(df: DataFrame, key: str, price: str = "price") -> DataFrame:
     return out.select(key, F.unix_millis("window.start").alias("start_ms"), "open", "high", "low", "close")
 
 
-def stream_cooldown(df: DataFrame, key: str, interval_ms: int, ts: str = "event_ms", ident: str = "seq") -> DataFrame:
-    """Rows a limit of one per key and interval accepts; the state is one time per key."""
+def stream_cooldown(
+    df: DataFrame, key: str, interval_ms: int, ts: str = "event_ms", ident: str = "seq", expire_ms: int | None = None
+) -> DataFrame:
+    """Rows a limit of one per key and interval accepts; the state is one time per key.
+
+    With ``expire_ms`` (at least the interval, and a watermark) it goes that long after the accepted time: no row that can still
+    come would be held back by it.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def update(group, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values([ts, ident])
         t, ids = pdf[ts].to_numpy(dtype=np.int64), pdf[ident].to_numpy(dtype=np.int64)
@@ -220,10 +271,12 @@ def stream_cooldown(df: DataFrame, key: str, interval_ms: int, ts: str = "event_
             i = int(np.searchsorted(t, last + interval_ms, side="left"))
         if last is not None:
             state.update((last,))
+            _keep_until(state, last, expire_ms)
         yield pd.DataFrame({key: [group[0]] * len(picks), ident: ids[picks], ts: t[picks]})
 
-    return df.select(key, ident, ts).groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, {ident} BIGINT, {ts} BIGINT", "last BIGINT", "append", GroupStateTimeout.NoTimeout
+    stamp = [c for c in ("event_ts",) if c in df.columns]
+    return df.select(key, ident, ts, *stamp).groupBy(key).applyInPandasWithState(
+        update, f"{key} {kind}, {ident} BIGINT, {ts} BIGINT", "last BIGINT", "append", _timeout(expire_ms)
     )
 
 
