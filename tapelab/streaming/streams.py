@@ -88,8 +88,9 @@ def _history(
         held = held[~held.index.duplicated(keep="last")].sort_index()
         first = held.index[-1] - retention_ms if retention_ms is not None else held.index[0]
         kept = held[held.index >= first].iloc[-capacity if capacity is not None else 0 :]
-        # a new sample that is older than all that is kept came too late to count
-        late += int((pdf[ts] < kept.index[0]).sum())
+        # a new sample older than what was held before, and than what is kept, came too late to count
+        if old_ts:
+            late += int((pdf[ts] < min(kept.index[0], old_ts[0])).sum())
         times_, prices_ = kept.index.tolist(), kept.tolist()
         state.update((times_, prices_, late))
         _keep_until(state, times_[-1], expire_ms)
