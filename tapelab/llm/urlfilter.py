@@ -84,8 +84,8 @@ def rule_index(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     made = [(i, r.action, r.listed, len(r.pattern), r.pattern.removeprefix("||"), expression(r.pattern), literals(r.pattern) or [""]) for i, r in enumerate(rules)]
     table = spark.createDataFrame(made, "id long, action string, listed boolean, length long, rule string, expression string, tokens array<string>")
     entries = table.withColumn("token", F.explode("tokens")).drop("tokens")
-    seen = rows.select(F.explode(tokens(F.concat("host", "path"))).alias("token")).join(entries.select("token").distinct(), "token", "left_semi")
-    counts = seen.groupBy("token").agg(F.count("*").alias("n"))
+    asked = sorted({t for *_, own in made for t in own})
+    counts = rows.select(F.explode(tokens(F.concat("host", "path"))).alias("token")).where(F.col("token").isin(asked)).groupBy("token").agg(F.count("*").alias("n"))
     order = Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "token")
     return keep(entries.join(counts, "token", "left").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "n"), "rules")
 
