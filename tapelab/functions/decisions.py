@@ -136,21 +136,6 @@ def splitmix_index(seed: int):
     return pick
 
 
-def splitmix_stream(seed: int):
-    """UDF ``(k, n) -> k-th output of the splitmix64 stream of ``seed``, mod n``."""
-
-    @F.pandas_udf(T.LongType())
-    def pick(k: pd.Series, n: pd.Series) -> pd.Series:
-        with np.errstate(over="ignore"):
-            state = np.uint64(seed % 2**64) + k.to_numpy().astype(np.uint64) * np.uint64(
-                0x9E3779B97F4A7C15
-            )
-            mixed = splitmix64(state)
-        return pd.Series((mixed % n.to_numpy().astype(np.uint64)).astype(np.int64))
-
-    return pick
-
-
 def sample_latency(seq: Column, samples: list[int], seed: int, exact: bool = True) -> Column:
     """Observed latency picked by hashing ``seed + sequence``; no global random state."""
     if not samples or min(samples) <= 0:

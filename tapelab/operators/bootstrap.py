@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelab.functions.decisions import splitmix_stream
+from tapelab.functions.decisions import splitmix64
 from tapelab.functions.prices import finite
 from tapelab.operators import ledger
 
-_SHARDS = 1024
+#: Blocks whose totals one task holds, and draws that it sums over them.
+CHUNK, DRAWS_PER_TASK = 65_536, 250
+_GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
 def dense_blocks(df: DataFrame, block: str, value: str) -> DataFrame:
     """One row per block: total of finite values and a dense index from 0.
 
-    The index is numbered inside hash shards and shifted by the shard sizes, so no task
-    sees all blocks; it depends on the block labels alone.
+    The index is numbered inside 4096 hash shards (the first digits of the label's md5) and shifted by the shard
+    sizes, so no task sees all blocks; it depends on the block labels alone.
     """
     v = F.when(finite(F.col(value)), F.col(value)).otherwise(0.0)
     totals = df.groupBy(block).agg(F.sum(v).alias("total"))
-    totals = totals.withColumn("_shard", F.pmod(F.xxhash64(block), F.lit(_SHARDS)))
+    shard = F.substring(F.md5(F.coalesce(F.col(block).cast("string"), F.lit("")).cast("binary")), 1, 3)
+    totals = totals.withColumn("_shard", shard)
     sizes = totals.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(
         Window.partitionBy(F.lit(0)).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,20 +44,36 @@ def dense_blocks(df: DataFrame, block: str, value: str) -> DataFrame:
 def block_bootstrap(df: DataFrame, block: str, value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """``draw, total``: each draw takes as many whole blocks, with replacement, as exist.
 
-    Pick ``i`` of draw ``d`` is splitmix64 at counter ``d * n + i``, so a draw does not
-    depend on any other and the picks spread over the executors. The picks meet the
-    totals in a join on the index, which is uniform by construction.
+    Pick ``i`` of draw ``d`` is the output of the splitmix64 stream of ``seed`` at ``d * n + i``, modulo ``n``, so a draw
+    does not depend on any other. A task holds one chunk of totals and one range of draws: it makes the
+    picks of its draws and sums those that fall into its chunk. What is shuffled are the totals, once for each range of
+    draws, and one partial sum per draw and chunk; no pick is.
     """
     blocks = dense_blocks(df, block, value)
     n = blocks.agg(F.count(F.lit(1)).alias("n"))
-    picks = (
-        blocks.select(F.col("index").alias("i"))
-        .withColumn("n", n.scalar())
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("pick", splitmix_stream(seed)(F.col("draw").cast("long") * F.col("n") + F.col("i"), F.col("n")))
-    )
-    joined = picks.join(blocks.select(F.col("index").alias("pick"), "total"), "pick")
-    return joined.groupBy("draw").agg(F.sum("total").alias("total"))
+    chunk = F.floor(F.col("index") / CHUNK).alias("chunk")
+    chunks = blocks.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct("index", "total"))).alias("held"))
+    ranges = F.sequence(F.lit(0), F.lit(max(draws - 1, 0)), F.lit(DRAWS_PER_TASK))
+    tasks = chunks.select((F.col("chunk") * CHUNK).alias("low"), F.col("held.total").alias("totals"), F.explode(ranges).alias("first"))
+    tasks = tasks.withColumn("n", n.scalar()).repartition("low", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for row in range(part.num_rows):
+                low, first, size = (part.column(c)[row].as_py() for c in ("low", "first", "n"))
+                totals = part.column("totals")[row].values.to_numpy(zero_copy_only=False)
+                ids = np.arange(first, min(first + DRAWS_PER_TASK, draws))
+                sums = np.zeros(len(ids))
+                for k, draw in enumerate(ids):
+                    for at in range(0, size, 1 << 20):
+                        places = np.arange(draw * size + at, draw * size + min(size, at + (1 << 20)), dtype=np.uint64)
+                        with np.errstate(over="ignore"):
+                            picks = splitmix64(np.uint64(seed % 2**64) + places * _GAMMA) % np.uint64(size)
+                        inside = picks.astype(np.int64) - low
+                        sums[k] += totals[inside[(inside >= 0) & (inside < len(totals))]].sum()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(sums)], ["draw", "part"])
+
+    return tasks.mapInArrow(run, "draw int, part double").groupBy("draw").agg(F.sum("part").alias("total"))
 
 
 def summarize_distribution(samples: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -252,10 +252,27 @@ def _(t):
     )
 
 
-@query("A17_block_bootstrap")
+def _boot_sql(rows: str, value: str, draws: int = 10_000, seed: int = 42) -> str:
+    """Tables blk, picks and boot (draw, total): whole blocks drawn with replacement."""
+    wide = "18446744073709551616::UHUGEINT"
+    state = f"(({seed}::UHUGEINT + (k::UHUGEINT * 11400714819323198485::UHUGEINT) % {wide}) % {wide})::UBIGINT"
+    a = f"((({state})::UHUGEINT + 11400714819323198485::UHUGEINT) % {wide})::UBIGINT"
+    times = lambda x, c: f"((({x})::UHUGEINT * {c}::UHUGEINT) % {wide})::UBIGINT"
+    return f"""blk AS (SELECT market, sum({value}) AS total, row_number() OVER (ORDER BY substr(md5(market), 1, 3), market) - 1 AS i FROM {rows} GROUP BY market),
+cnt AS (SELECT count(*) AS n FROM blk),
+p1 AS (SELECT d.d AS draw, n, {a} AS a FROM (SELECT d, b.i, n, d * n + b.i AS k FROM range(0, {draws}) t(d), blk b, cnt) d),
+p2 AS (SELECT draw, n, {times('xor(a, a >> 30)', 13787848793156543929)} AS b FROM p1),
+p3 AS (SELECT draw, n, {times('xor(b, b >> 27)', 10723151780598845931)} AS c FROM p2),
+p4 AS (SELECT draw, (xor(c, c >> 31) % n::UBIGINT)::BIGINT AS pick FROM p3),
+boot AS (SELECT draw, sum(total) AS total FROM p4 JOIN blk ON blk.i = p4.pick GROUP BY draw)"""
+
+
+@query("A17_block_bootstrap", using="episodes", sql=f"""
+WITH e AS (SELECT * FROM episodes WHERE is_filled), {_boot_sql("e", "net_pnl_usd")}
+SELECT draw::INT AS draw, round(total, 6) AS total FROM boot""")
 def _(t):
     rows = t.episodes.where("is_filled")
-    return bootstrap.block_bootstrap(rows, "market", "net_pnl_usd", draws=200, seed=42).withColumn("total", r("total", "x", 2))
+    return bootstrap.block_bootstrap(rows, "market", "net_pnl_usd", seed=42).withColumn("total", r("total", "x", 6))
 
 
 @query("A18_summarize_distribution", using="episodes", sql="""
@@ -268,10 +285,24 @@ def _(t):
     return got.select("asset", "n", *[r(c, c, 4) for c in ("mean", "ci95_low", "median", "ci95_high")], r("p_positive", "p_positive"))
 
 
-@query("A19_oos_headline")
-def _(t):
-    got = bootstrap.oos_headline(_ep(t), col("fill_profile") == "O", "market", draws=200, seed=42)
-    return got.select("side", "fills", "nofills", *[r(c, c, 4) for c in got.columns if c not in ("side", "fills", "nofills")])
+@query("A19_oos_headline", using="episodes", sql=f"""
+WITH x AS (SELECT *, CASE WHEN fill_profile = 'O' THEN 'OUT_OF_SAMPLE' ELSE 'IN_SAMPLE' END AS side, coalesce(pnl_historical_usd, net_pnl_usd) AS v, stake_usd * (exit_ts_ms - fill_ts_ms) / 1000 AS cs FROM episodes),
+e AS (SELECT * FROM x WHERE is_filled AND side = 'OUT_OF_SAMPLE'), {_boot_sql("e", "v")},
+b AS (SELECT side, coalesce(sum(v) FILTER (is_filled), 0) AS net, count(*) FILTER (is_filled) AS fills, count(*) FILTER (NOT is_filled) AS nofills, sum(actual_notional_usd) FILTER (is_filled) AS used,
+  coalesce(sum(v) FILTER (is_filled AND v > 0), 0) / nullif(-sum(v) FILTER (is_filled AND v < 0), 0) AS pf, coalesce(sum(cs) FILTER (is_filled), 0) AS cs FROM x GROUP BY 1),
+q AS (SELECT side, exit_ts_ms, episode_id, actual_notional_usd, sum(v) OVER w AS q FROM x WHERE is_filled WINDOW w AS (PARTITION BY side ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT side, max(peak - q) AS dd FROM (SELECT *, greatest(0, max(q) OVER (PARTITION BY side ORDER BY exit_ts_ms, episode_id, actual_notional_usd ROWS UNBOUNDED PRECEDING)) AS peak FROM q) GROUP BY 1),
+mv AS (SELECT side, fill_ts_ms AS ts, actual_notional_usd AS v FROM x WHERE is_filled UNION ALL SELECT side, exit_ts_ms, -actual_notional_usd FROM x WHERE is_filled),
+nt AS (SELECT side, ts, sum(v) AS v FROM mv GROUP BY 1, 2), lv AS (SELECT side, sum(v) OVER (PARTITION BY side ORDER BY ts ROWS UNBOUNDED PRECEDING) AS l FROM nt),
+pk AS (SELECT side, greatest(0, max(l)) AS pc FROM lv GROUP BY 1),
+ci AS (SELECT 'OUT_OF_SAMPLE' AS side, quantile_cont(total, 0.025) AS lo, quantile_cont(total, 0.5) AS mid, quantile_cont(total, 0.975) AS hi, count(*) FILTER (total > 0) / count(*) AS pp FROM boot)
+SELECT side, fills, nofills, round(net, 4) AS net_pnl_usd, round(coalesce(net / nullif(fills, 0), 0), 4) AS pnl_per_trade, round(CASE WHEN used > 0 THEN net / used END, 4) AS roi, round(pf, 4) AS profit_factor,
+  round(cs, 0) AS capital_seconds, round(dd, 4) AS max_drawdown_usd, round(pc, 2) AS max_simultaneous_capital_usd, round(lo, 4) AS ci95_low, round(mid, 4) AS median, round(hi, 4) AS ci95_high, round(pp, 4) AS p_positive
+FROM b LEFT JOIN d USING (side) LEFT JOIN pk USING (side) LEFT JOIN ci USING (side)""")
+def _(t):
+    got = bootstrap.oos_headline(_ep(t), col("fill_profile") == "O", "market", draws=10_000, seed=42)
+    digits = {"capital_seconds": 0, "max_simultaneous_capital_usd": 2}
+    return got.select("side", "fills", "nofills", *[r(c, c, digits.get(c, 4)) for c in got.columns if c not in ("side", "fills", "nofills")])
 
 
 _ANS = ["yes_pressure_5s", "no_pressure_5s", "move_persists", "underreact_up", "underreact_down", "p_up", "fill_before_decay", "fill_toxic"]

@@ -37,6 +37,15 @@ def test_quant_golden(spark):
     assert row.quant_baseline_p_yes == pytest.approx(0.5 * math.erfc(-d2 / math.sqrt(2)), abs=1e-12)
 
 
+def test_normal_distribution_function(spark):
+    z = [-40.0, -37.5, -10.0, -5.0, -3.0001, -3.0, -2.0, -1e-9, 0.0, 0.3, 1.0, 2.9, 3.0, 3.1, 6.0, 9.0, 40.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", quant.normal_cdf(F.col("z")).alias("p")).collect()
+    for r in got:
+        want = 0.5 * math.erfc(-r.z / math.sqrt(2))
+        assert r.p == pytest.approx(want, abs=1e-13, rel=1e-9), r
+    assert one(spark.range(1).select(quant.normal_cdf(F.lit(None).cast("double")).alias("p"))).p is None
+
+
 def test_epoch_units(spark):
     raw = ["1700000000", "1700000000123", "1700000000123456", "1700000000123456789", "2023-11-14T22:13:20Z", "2023-11-14T23:13:20+01:00", "NaT", "", "x"]
     got = [r.m for r in spark.createDataFrame([(x,) for x in raw], "s string").select(times.epoch_ms(F.col("s")).alias("m")).collect()]
