@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import GOLD, batch, keep, list_array, map_batches, mix, rows_of, words
+from tapelab.llm.common import GOLD, batch, bytes_of, keep, list_array, map_batches, mix, rows_of, words
 
 #: 40 bands of 5 bins: a pair of similarity 0.8 shares no band with probability 1.2e-7.
 BANDS, BINS_PER_BAND = 40, 5
 #: Rounds in which the copies of a bucket are compared with one of them, before all open pairs are.
-ROUNDS = 3
+ROUNDS = 2
+#: Items (and so many more for each set) that one block of sets holds.
+BLOCK_ITEMS, NODE_WEIGHT = 32_768, 64
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +165,54 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
 
 
+def common_items(x: np.ndarray, first_x: np.ndarray, y: np.ndarray, first_y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each set of one block with each of another, as one product of 0/1 matrices."""
+    both = np.intersect1d(x, y)
+    sides = []
+    for items, first in ((x, first_x), (y, first_y)):
+        matrix = np.zeros((len(first) - 1, len(both)), np.float32)
+        if len(both):
+            at = np.minimum(np.searchsorted(both, items), len(both) - 1)
+            hit = both[at] == items
+            matrix[rows_of(first)[hit], at[hit]] = 1
+        sides.append(matrix)
+    return np.rint(sides[0] @ sides[1].T).astype(np.int64)
+
+
+def block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sets of two blocks of different labels; one is enough for a set and a label."""
+
+    def block(held: pa.ListScalar):
+        rows = held.values
+        raw, borders = bytes_of(rows.field("items"))
+        return rows.field("node").to_numpy(), rows.field("label").to_numpy(), raw.view(np.uint64), borders // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for left, right in zip(part.column("some"), part.column("all"), strict=True):
+                node, label, x, first_x = block(left)
+                other, other_label, y, first_y = block(right)
+                both = common_items(x, first_x, y, first_y)
+                union = np.diff(first_x)[:, None] + np.diff(first_y) - both
+                good = (100 * both >= percent * union) & (label[:, None] != other_label)
+                i, k = np.nonzero(good)
+                _, once = np.unique(np.stack((i, other_label[k])), axis=1, return_index=True)
+                yield batch(a=np.minimum(node[i], other[k])[once], b=np.maximum(node[i], other[k])[once])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
 def near_links(marked: DataFrame, texts: DataFrame, size: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """(node, label) of the nodes that are linked with others.
 
     ``marked`` is the sketch table, ``texts`` has (row, text). Nodes are sets, so copies are one node. A bucket is
     open while its nodes have different labels. In each round every open bucket compares one of its nodes, chosen by hash,
-    with those of other labels; what is linked gets one label. The buckets that are still open after the rounds compare all
-    nodes outside the chosen one's label with all nodes of other labels, so no shared bucket is left unchecked.
+    with those of other labels; what is linked gets one label, so after the rounds nearly all of a large group has one.
+
+    The rest meets in blocks. A node's hub is the largest label it shares an open bucket with. The nodes outside their
+    hub's label are compared with all nodes of that hub, block by block: a task holds two blocks of bounded size and counts
+    all their intersections at once, so no pair becomes a row. Nodes of different hubs in one bucket are compared pair by
+    pair. So no pair that shares a bucket is left out, however large its group.
     """
     per_band = marked.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     shared = per_band.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
@@ -178,31 +221,48 @@ def near_links(marked: DataFrame, texts: DataFrame, size: int, percent: int, rou
     chosen = marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     sets = keep(sets_of(texts.join(chosen, "row").select("node", "text"), size), "sets")
     labels = links = tested = None
-    for turn in range(rounds + 1):
+
+    def labelled() -> DataFrame:
         now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label"))
-        centres = (
-            now.groupBy("bucket").agg(pick.alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
-            .where("low < high").select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("of"))
-        )
-        apart = now.join(centres, "bucket").where("label <> of")
-        if turn == rounds:
-            apart = apart.select("bucket", F.col("node").alias("centre"), F.col("label").alias("of"))
-            apart = now.join(apart, "bucket").where("label <> of")
-        pairs = apart.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        if turn < rounds and pairs.isEmpty():
-            continue
+        return now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
+
+    def pairs_of(apart: DataFrame) -> DataFrame:
+        found = apart.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+        return keep(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+    mixed = (F.min("label").alias("low"), F.max("label").alias("high"))
+    for turn in range(rounds):
+        now = labelled()
+        pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")).alias("c")
+        centres = now.groupBy("bucket").agg(pick, *mixed).where("low < high").select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("of"))
+        pairs = pairs_of(now.join(centres, "bucket").where("label <> of"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = keep(linked(pairs, sets, percent), "links")
-        if links is not None and found.isEmpty():
-            continue
         links = found if links is None else links.unionByName(found)
         labels = keep(components(links), "labels")
-    return labels
+
+    sizes = labels.groupBy("label").agg((F.count("*") + 1).alias("size"))
+    now = labelled().join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    hubs = now.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("c"), *mixed).where("low < high").select("bucket", F.col("c").alias("of"))
+    left = keep(now.join(hubs, "bucket").drop("size"), "left")
+    if left.isEmpty():
+        return labels
+    own = keep(left.groupBy("node").agg(F.first("label").alias("label"), F.max("of")["label"].alias("hub")), "hubs")
+    outside = F.col("label") != F.col("hub")
+    pool = own.join(own.where(outside).select("hub").distinct(), "hub").join(sets, "node")
+    weight = F.octet_length("items") / 8 + NODE_WEIGHT
+    parts = pool.groupBy("hub").agg(*(F.ceil(F.sum(w) / BLOCK_ITEMS).alias(n) for n, w in (("all_parts", weight), ("some_parts", F.when(outside, weight)))))
+    held = F.collect_list(F.struct("node", "label", "items"))
+    pool = keep(pool.join(parts, "hub"), "pool")
+    place = F.xxhash64("node")
+    every = pool.groupBy("hub", F.pmod(place, F.col("all_parts"))).agg(held.alias("all")).select("hub", "all")
+    some = pool.where(outside).groupBy("hub", F.pmod(place, F.col("some_parts"))).agg(held.alias("some")).select("hub", "some")
+    found = block_links(some.join(every, "hub").select("some", "all"), percent)
+    odd = left.join(own.select("node", "hub"), "node")
+    apart = odd.where(F.col("hub") != F.col("of.label")).select("bucket", F.col("node").alias("centre"), F.col("label").alias("centre_label"), F.col("hub").alias("centre_hub"))
+    pairs = pairs_of(odd.join(apart, "bucket").where("hub <> centre_hub AND label <> centre_label"))
+    found = keep(found.unionByName(linked(pairs, sets, percent)), "links")
+    return labels if found.isEmpty() else keep(components(links.unionByName(found)), "labels")
 
 
 def classify(
@@ -226,7 +286,7 @@ def classify(
     texts = numbered.select("row", F.col("doc")[id_column].cast("long").alias("doc_id"), F.coalesce(F.col("doc")[text], F.lit("")).alias("text"))
     marked = keep(sketch_table(texts, size, n_bands, width), "sketches")
     labels = near_links(marked, texts.select("row", "text"), size, percent)
-    classes = marked.join(labels, "node", "left") if labels is not None else marked.withColumn("label", F.col("node"))
+    classes = marked.join(labels, "node", "left")
     group = F.when(F.col("node").isNull(), F.struct(F.lit(1).alias("own"), F.col("row").alias("key"))).otherwise(
         F.struct(F.lit(0).alias("own"), F.coalesce("label", "node").alias("key"))
     )
@@ -234,6 +294,7 @@ def classify(
     heads = classes.groupBy("group").agg(
         F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head")
     )
+    heads = keep(heads, "heads")
     found = classes.join(heads, "group").select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("head.row")).alias("first"))
     return numbered, found
 
