@@ -79,6 +79,13 @@ def full(keys: np.ndarray) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint64)
+
+
 def sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the place of one occurrence of each, and the sum of the counts of each."""
     order = np.argsort(keys)
@@ -106,25 +113,29 @@ SCHEMA = "kind long, shard long, data binary"
 
 def count_rows(bits: int, word_bits: int):
     def flush(token: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ones = np.ones(len(token), np.uint64)
-        counted = np.concatenate((token, before[before == BEGIN]))
-        keys, _, n = sums(counted, np.ones(len(counted), np.uint64))
+        keys, n = tally(np.concatenate((token, before[before == BEGIN])))
         yield from parts(UNI, keys, [keys.view("V8")], n, word_bits)
-        v, w = before >> CUT, token >> CUT
-        keys, at, n = sums(pair_key(v, w), ones)
-        yield from parts(BI, keys, [short(v[at]), short(w[at])], n, bits)
+        order = np.argsort(keys := pair_key(before >> CUT, token >> CUT))
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        n = np.diff(np.append(at, len(keys))).astype(np.uint64)
+        keys, order = keys[at], order[at]
+        yield from parts(BI, keys, [short(before[order] >> CUT), short(token[order] >> CUT)], n, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            token, before = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            held.clear()
+            yield from flush(token, before)
+
         for part in slices(batches):
-            token, before, _ = tokens(part.column("text"))
-            held.append((token, before))
-            n += len(token)
-            if n >= FLUSH:
-                yield from flush(*map(np.concatenate, zip(*held, strict=True)))
-                held, n = [], 0
-        if n:
-            yield from flush(*map(np.concatenate, zip(*held, strict=True)))
+            held.append(tokens(part.column("text"))[:2])
+            if sum(len(t) for t, _ in held) >= FLUSH:
+                yield from gathered()
+        if held:
+            yield from gathered()
 
     return run
 
@@ -177,7 +188,7 @@ def merge_rows(folder: str, word_bits: int):
             store(folder, f"pairs-{shard}-{values.dtype}", values)
             store(folder, f"pairs-{shard}", keys)
             for what, key in ((CONT, w), (ONE, v[n == 1]), (TWO, v[n == 2]), (MORE, v[n > 2])):
-                key, _, times = sums(key << CUT, np.ones(len(key), np.uint64))
+                key, times = tally(key << CUT)
                 yield from parts(what, key, [short(key >> CUT)], times, word_bits)
             total = np.concatenate((of_counts(n), [0] * 10)).astype(np.int64)
             yield batch(kind=[TOTAL], shard=[0], data=pa.array([total.tobytes()], pa.binary()))
@@ -290,8 +301,9 @@ def train(docs: DataFrame, folder: str | None = None) -> dict:
     tasks = max(1, docs.rdd.getNumPartitions())
     bits, word_bits = (2 * tasks - 1).bit_length(), max(0, (tasks // 4).bit_length())
     counted = docs.select(text_of().alias("text")).mapInArrow(count_rows(bits, word_bits), SCHEMA)
-    merged = counted.repartition(1 << bits, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(merge_rows(folder, word_bits), SCHEMA)
-    dealt = merged.select("shard", "kind", "data").repartition(1 << word_bits, "shard").sortWithinPartitions("shard", "kind")
+    shard = F.col("shard").cast("int")
+    merged = counted.repartitionById(1 << bits, shard).sortWithinPartitions("kind", "shard").mapInArrow(merge_rows(folder, word_bits), SCHEMA)
+    dealt = merged.select("shard", "kind", "data").repartitionById(1 << word_bits, shard).sortWithinPartitions("shard", "kind")
     total = dealt.mapInArrow(word_rows(folder), ", ".join(f"t{i} long" for i in range(14)))
     n = [int(x or 0) for x in total.agg(*(F.sum(f"t{i}") for i in range(14))).first()]
     return {"folder": folder, "bits": bits, "word_bits": word_bits, "pairs": discounts(n[:4]), "words": discounts(n[4:8])} | dict(
