@@ -37,13 +37,17 @@ def _bucket_edges(right: DataFrame, by: Sequence[str], prev: bool, nxt: bool) ->
         cols["_lo1"] = F.lead("_lo").over(w)
     run = summary.withColumns(cols)
     here = F.col(scan.BUCKET)
-    reach = F.sequence(here, F.coalesce(F.col("_after") - 1, here))
+    # the buckets up to the next one with right rows, in runs of 1024 so that no array grows with a gap
+    end = F.coalesce(F.col("_after") - 1, here)
+    starts = F.sequence(here, end, F.lit(1024).cast("long"))
     out = []
     if prev:
         out.append(F.when(F.col("_d") == here, F.col("_hi0")).otherwise(F.col("_hi")).alias("_cprev"))
     if nxt:
         out.append(F.col("_lo1").alias("_cnext"))
-    dense = run.withColumn("_d", F.explode(reach)).select(*by, F.col("_d").alias("_eb"), *out)
+    run = run.withColumn("_end", end).withColumn("_start", F.explode(starts))
+    run = run.withColumn("_d", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + 1023, "_end"))))
+    dense = run.select(*by, F.col("_d").alias("_eb"), *out)
     ends = [F.max(scan.BUCKET).alias("_zb"), F.min(scan.BUCKET).alias("_ab")]
     if prev:
         ends.append(F.max_by("_hi", scan.BUCKET).alias("_zv"))

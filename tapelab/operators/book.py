@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelab.operators import scan
+from tapelab.operators import asof, intervals, scan
 
 
 def book_levels(levels: DataFrame, token: str = "token_id", at: int | None = None, ts: str = "ts_ms") -> DataFrame:
@@ -46,6 +46,37 @@ def book_state(levels: DataFrame, token: str = "token_id", depth: int = 5) -> Da
     )
 
 
+def book_tops(levels: DataFrame, token: str = "token_id", width: int = 100_000, cover_levels: int = 8) -> DataFrame:
+    """``token, msg, best_bid_micros, best_ask_micros`` after every message: the book as it was published each time.
+
+    ``levels`` as in ``book_levels``; the times of change of one level (side and price of a token) lie in one task. A level
+    is live from its message to the next message about it or the next snapshot. That run of message numbers is covered by
+    aligned blocks of 16^k numbers (at most 30 a size), the blocks keep their best prices, and a message reads the few blocks
+    it lies in: no book is rebuilt, and no token needs one task. ``width`` is the number of messages in a bucket of the
+    lookup of the next snapshot.
+    """
+    messages = levels.select(token, "msg").distinct()
+    snapshots = levels.where(F.col("kind") == "snapshot").select(token, F.col("msg").alias("_next_snap")).distinct()
+    change = Window.partitionBy(token, "side", "price_micros").orderBy("msg", "pos")
+    rows = levels.where(F.col("price_micros").isNotNull()).select(token, "side", "price_micros", "quantity", "msg", F.lead("msg").over(change).alias("_until"))
+    rows = rows.where(F.col("quantity") > 0).withColumn("_after", F.col("msg") + 1)
+    rows = asof.asof_forward(rows, snapshots, "_after", [token], ["_next_snap"], right_on="_next_snap", width=width)
+    last = messages.groupBy(token).agg(F.max("msg").alias("_last"))
+    spans = rows.join(last, token).select(
+        token, "side", "price_micros", F.col("msg").alias("_lo"), F.least("_until", "_next_snap", F.col("_last") + 1).alias("_hi")
+    )
+    cover = intervals.cover(spans, [token, "side", "price_micros"], cover_levels)
+    price = F.col("price_micros")
+    best = cover.groupBy(token, "level", "block").agg(
+        F.max(F.when(F.col("side") == "BID", price)).alias("_bid"), F.min(F.when(F.col("side") == "ASK", price)).alias("_ask")
+    )
+    places = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("msg") / intervals.FAN**n).cast("long").alias("block")) for n in range(cover_levels)])
+    probes = messages.select(token, "msg", F.explode(places).alias("_p")).select(token, "msg", "_p.level", "_p.block")
+    return probes.join(best, [token, "level", "block"], "left").groupBy(token, "msg").agg(
+        F.max("_bid").alias("best_bid_micros"), F.min("_ask").alias("best_ask_micros")
+    )
+
+
 def book_metrics(levels: DataFrame, token: str = "token_id") -> DataFrame:
     """Best prices, spread, mid, depth, imbalance and microprice; crossed books are null."""
     bid, ask = F.col("side") == "BID", F.col("side") == "ASK"

@@ -27,22 +27,22 @@ def interval_join(
     return home.join(spread, [*by, "_b"], "inner").where(inside).drop("_b")
 
 
-_FAN = 16
+FAN = 16
 
 
-def _cover(spans: DataFrame, keep: Sequence[str], levels: int) -> DataFrame:
+def cover(spans: DataFrame, keep: Sequence[str], levels: int) -> DataFrame:
     """Cut ``[_lo, _hi)`` into aligned blocks of 16^level: at most 30 per level.
 
     At each level the span keeps what the next coarser level cannot cover.
     """
-    size = F.pow(F.lit(float(_FAN)), F.col("level"))
+    size = F.pow(F.lit(float(FAN)), F.col("level"))
     long = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     long = long.withColumns(
         {
             "_a": F.ceil(F.col("_lo") / size).cast("long"),
             "_b": F.floor(F.col("_hi") / size).cast("long"),
-            "_up": F.ceil(F.col("_lo") / (size * _FAN)).cast("long") * _FAN,
-            "_down": F.floor(F.col("_hi") / (size * _FAN)).cast("long") * _FAN,
+            "_up": F.ceil(F.col("_lo") / (size * FAN)).cast("long") * FAN,
+            "_down": F.floor(F.col("_hi") / (size * FAN)).cast("long") * FAN,
         }
     ).where(F.col("_b") > F.col("_a"))
     coarser = (F.col("_up") < F.col("_down")) & (F.col("level") < levels - 1)
@@ -69,7 +69,7 @@ def interval_extremes(
     hi = (F.floor(F.col(end) / unit_ms) + 1).cast("long")
     keep = [*ids, *[b for b in by if b not in ids]]
     whole = spans.where(F.col(end) >= F.col(start)).select(*keep, lo.alias("_lo"), hi.alias("_hi"))
-    cover = _cover(whole, keep, levels)
+    pieces = cover(whole, keep, levels)
     units = F.floor(F.col(ts) / unit_ms).cast("long")
     leaf = ticks.groupBy(*by, units.alias("_u")).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi")
@@ -82,7 +82,7 @@ def interval_extremes(
                     *[
                         F.struct(
                             F.lit(n).alias("level"),
-                            F.floor(F.col("_u") / (_FAN**n)).cast("long").alias("block"),
+                            F.floor(F.col("_u") / (FAN**n)).cast("long").alias("block"),
                         )
                         for n in range(levels)
                     ]
@@ -92,7 +92,7 @@ def interval_extremes(
         .groupBy(*by, "_x.level", "_x.block")
         .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     )
-    hits = cover.join(blocks, [*by, "level", "block"])
+    hits = pieces.join(blocks, [*by, "level", "block"])
     found = hits.groupBy(*ids).agg(F.min("_lo").alias("low"), F.max("_hi").alias("high"))
     return spans.join(found, list(ids), "left")
 

@@ -12,28 +12,18 @@ from tapelab.functions.prices import finite
 
 
 def corr_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson r of every (x, y) in one pass; null under 3 rows or without variance."""
-    aggs = []
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            both = F.col(x).isNotNull() & F.col(y).isNotNull()
-            a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
-            aggs.append(F.count(a).alias(f"n_{i}_{j}"))
-            # Without variance the co-moments are exactly zero and corr is NaN.
-            r = F.corr(a, b)
-            aggs.append(F.when((F.count(a) >= 3) & ~F.isnan(r), r).alias(f"r_{i}_{j}"))
-    wide = df.groupBy(*by).agg(*aggs)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("x"), F.lit(y).alias("y"),
-                F.col(f"n_{i}_{j}").alias("n"), F.col(f"r_{i}_{j}").alias("r"),
-            )
-            for i, x in enumerate(xs)
-            for j, y in enumerate(ys)
-        ]
-    )
-    return wide.select(*by, F.explode(cells).alias("c")).select(*by, "c.x", "c.y", "c.n", "c.r")
+    """Pearson r of every (x, y) in one pass; null under 3 rows or without variance.
+
+    A row gives one entry per pair of which it has both values; the entries are summed per pair before the shuffle.
+    """
+    value = lambda c: F.col(c).cast("double")
+    entries = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), value(x).alias("a"), value(y).alias("b")) for x in xs for y in ys])
+    long = df.select(*by, F.explode(entries).alias("c")).select(*by, "c.x", "c.y", "c.a", "c.b")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    a, b = F.when(both, F.col("a")), F.when(both, F.col("b"))
+    # Without variance the co-moments are exactly zero and corr is NaN.
+    r = F.corr(a, b)
+    return long.groupBy(*by, "x", "y").agg(F.count(a).alias("n"), F.when((F.count(a) >= 3) & ~F.isnan(r), r).alias("r"))
 
 
 def _stack(cols: Sequence[str]) -> Column:

@@ -84,6 +84,39 @@ def _(t):
     return readers.normalise_resolutions(raw)
 
 
+@query("S7_market_metas", sql="""
+WITH m AS (SELECT CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey::VARCHAR WHEN o_orderkey % 2 = 0 THEN '' END AS cid, o_orderpriority AS asset, CASE o_custkey % 4 WHEN 0 THEN 'VALIDATION' WHEN 1 THEN 'OUT_OF_SAMPLE' WHEN 2 THEN 'other' END AS split FROM orders),
+s AS (SELECT o_orderkey::VARCHAR AS cid, CASE o_orderkey % 5 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'PROXY' WHEN 2 THEN 'odd' END AS f FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT m.cid AS condition_id, asset, '' AS slug, CASE WHEN split IN ('VALIDATION', 'OUT_OF_SAMPLE') THEN split ELSE 'EXPLORATION' END AS split, CASE WHEN f IN ('EXACT', 'PROXY') THEN f ELSE 'UNKNOWN' END AS fidelity
+FROM m LEFT JOIN s USING (cid) WHERE m.cid <> ''""")
+def _(t):
+    o = t.raw("orders")
+    key = col("o_orderkey")
+    markets = o.select(
+        F.when(key % 17 != 0, key.cast("string")).when(key % 2 == 0, "").alias("condition_id"), col("o_orderpriority").alias("asset"),
+        F.when(col("o_custkey") % 4 == 0, "VALIDATION").when(col("o_custkey") % 4 == 1, "OUT_OF_SAMPLE").when(col("o_custkey") % 4 == 2, "other").alias("split"))
+    fidelity = F.when(key % 5 == 0, "EXACT").when(key % 5 == 1, "PROXY").when(key % 5 == 2, "odd").alias("fidelity")
+    got = readers.market_metas(markets, o.where(key % 3 != 0).select(key.alias("condition_id"), fidelity))
+    return got.select("condition_id", "asset", "slug", "split", "fidelity")
+
+
+@query("S7_specs", sql="""
+SELECT o_orderkey::VARCHAR AS condition_id, epoch_ms(o_orderdate) AS end_ms, CASE WHEN o_custkey % 2 = 0 THEN 'EXACT' ELSE 'UNKNOWN' END AS fidelity, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END AS strike, NULL AS reference FROM orders""")
+def _(t):
+    raw = t.raw("orders").select(
+        col("o_orderkey").alias("condition_id"), F.unix_millis(col("o_orderdate").cast("timestamp")).cast("string").alias("end_at"),
+        F.when(col("o_custkey") % 2 == 0, "exact").alias("fidelity"), F.when(col("o_custkey") % 5 == 0, "n/a").otherwise(col("o_totalprice").cast("string")).alias("strike"))
+    return readers.normalise_specs(raw)
+
+
+@query("S7_regimes", sql="""
+SELECT o_orderpriority AS symbol, epoch_ms(o_orderdate) // 1000 AS day_ts, CASE WHEN o_orderstatus = 'F' THEN 'LOW_VOL' ELSE 'UNKNOWN' END AS vol_regime, 'UNKNOWN' AS trend_regime FROM orders""")
+def _(t):
+    raw = t.raw("orders").select(
+        col("o_orderpriority").alias("asset"), F.floor(F.unix_millis(col("o_orderdate").cast("timestamp")) / 1000).alias("day"), F.when(col("o_orderstatus") == "F", "LOW_VOL").alias("vol_regime"))
+    return readers.normalise_regimes(raw)
+
+
 @query("S8_harmonise", sql="""
 SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, 'customer' AS source FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'supplier' FROM supplier
 UNION ALL SELECT p_partkey, p_name, NULL, 'part' FROM part""")
@@ -204,6 +237,15 @@ def _(t):
     return got.select("token_id", "best_bid_micros", "best_ask_micros", F.size("bids").cast("long").alias("n_bids"), F.size("asks").cast("long").alias("n_asks"))
 
 
+@query("E8_book_tops", using="quotes", sql=f"""
+WITH {_LV}, m AS (SELECT asset, seq, max(seq) FILTER (kind = 'snapshot') OVER (PARTITION BY asset ORDER BY seq) AS s FROM (SELECT DISTINCT asset, seq, kind FROM lv)),
+held AS (SELECT m.asset, m.seq AS msg, l.side, l.p, arg_max(l.q, l.seq * 10 + l.pos) AS q FROM m JOIN lv l ON l.asset = m.asset AND l.seq <= m.seq AND l.seq >= coalesce(m.s, 0) AND l.p IS NOT NULL GROUP BY 1, 2, 3, 4)
+SELECT m.asset AS token_id, m.seq AS msg, max(p) FILTER (side = 'BID' AND q > 0) AS best_bid_micros, min(p) FILTER (side = 'ASK' AND q > 0) AS best_ask_micros
+FROM m LEFT JOIN held ON held.asset = m.asset AND held.msg = m.seq GROUP BY 1, 2""")
+def _(t):
+    return book.book_tops(_levels(t), width=10_000)
+
+
 @query("E9_book_metrics", using="quotes", sql=f"""
 WITH {_LV}, z AS (SELECT asset, max(p) FILTER (side = 'BID') AS b, min(p) FILTER (side = 'ASK') AS a, coalesce(sum(q) FILTER (side = 'BID'), 0) AS bd, coalesce(sum(q) FILTER (side = 'ASK'), 0) AS ad FROM cur WHERE q > 0 GROUP BY 1)
 SELECT asset AS token_id, CASE WHEN b <= a THEN a - b END AS spread_micros, CASE WHEN b <= a THEN (a + b) // 2 END AS mid_micros, round((bd - ad) / (bd + ad), 6) AS imbalance, coalesce(b > a, false) AS crossed FROM z""")
@@ -573,7 +615,16 @@ def _(t):
     return got.select("seq", r("momentum_1h", "momentum_1h"), r("one_day_change", "one_day_change"), "volume_24h", "minutes_to_resolution")
 
 
-@query("D3_external_ticks")
+@query("D3_external_ticks", using="ticks", sql="""
+WITH e AS (SELECT DISTINCT asset, ts_ms // 3600000 * 3600000 AS ts_ms FROM ticks),
+g AS (SELECT DISTINCT asset, ts_ms - k * 3600000 AS tgt FROM e, range(0, 13) r(k)),
+l AS (SELECT g.asset, g.tgt, b.price p, b.ts_ms s FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt > b.ts_ms),
+h AS (SELECT g.asset, g.tgt, b.price p, b.ts_ms s FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt <= b.ts_ms),
+v AS (SELECT h.asset, h.tgt, CASE WHEN h.s = h.tgt THEN h.p WHEN l.s IS NOT NULL AND h.s IS NOT NULL THEN l.p + (h.p - l.p) * ((h.tgt - l.s) / (h.s - l.s)) END AS v FROM h JOIN l ON h.asset = l.asset AND h.tgt = l.tgt),
+ret AS (SELECT a.asset, a.tgt, (a.v / b.v - 1) * 100 AS r FROM v a JOIN v b ON a.asset = b.asset AND b.tgt = a.tgt - 3600000),
+vol AS (SELECT e.asset, e.ts_ms, CASE WHEN count(r) = 12 THEN stddev_pop(r) ELSE 0 END AS x FROM e LEFT JOIN ret ON e.asset = ret.asset AND tgt <= e.ts_ms AND tgt > e.ts_ms - 12 * 3600000 GROUP BY 1, 2)
+SELECT vol.asset AS symbol, vol.ts_ms, round(coalesce((a.v / b.v - 1) * 100, 0), 6) AS ret_5m, round(coalesce((a.v / c.v - 1) * 100, 0), 6) AS ret_1h, round(x, 6) AS vol_1h
+FROM vol LEFT JOIN v a ON a.asset = vol.asset AND a.tgt = vol.ts_ms LEFT JOIN v b ON b.asset = vol.asset AND b.tgt = vol.ts_ms - 5 * 3600000 LEFT JOIN v c ON c.asset = vol.asset AND c.tgt = vol.ts_ms - 12 * 3600000""")
 def _(t):
     ticks = t.ticks.select("seq", "asset", "ts_ms", "price")
     ends = ticks.withColumn("ts_ms", col("ts_ms") - F.pmod("ts_ms", F.lit(HOUR_MS))).select("asset", "ts_ms").distinct()

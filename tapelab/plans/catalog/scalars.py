@@ -552,6 +552,15 @@ def _(t):
     return t.evals.select(*_IDS, fresh.alias("fresh"))
 
 
+@query("P35_exact_latency", using="ticks", sql="""
+WITH a AS (SELECT seq, ((seq::UHUGEINT + 42 + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS a FROM ticks),
+b AS (SELECT seq, ((xor(a, a >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS b FROM a),
+c AS (SELECT seq, ((xor(b, b >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS c FROM b)
+SELECT seq, [307, 1019, 441, 520][(xor(c, c >> 31) % 4)::INT + 1]::BIGINT AS latency_ms FROM c""")
+def _(t):
+    return t.ticks.select("seq", decisions.sample_latency(col("seq"), [307, 1019, 441, 520], 42).alias("latency_ms"))
+
+
 @query("P35_sample_latency")
 def _(t):
     return t.ticks.select(

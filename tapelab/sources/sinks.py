@@ -106,8 +106,11 @@ def write_evaluations(df: DataFrame, path: str, mode: str = "append") -> None:
     shaped(df, EVALUATIONS).write.mode(mode).parquet(path)
 
 
-def write_report(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> None:
-    if fmt == "csv":
+def write_report(df: DataFrame, path: str, fmt: str, mode: str = "overwrite", order: Sequence[str] = ()) -> None:
+    """A summary as CSV, JSON or a Markdown table (its rows in ``order``)."""
+    if fmt == "markdown":
+        df.sparkSession.createDataFrame([(markdown(df, order or df.columns),)], "value string").coalesce(1).write.mode(mode).text(path)
+    elif fmt == "csv":
         df.write.mode(mode).option("header", True).csv(path)
     elif fmt == "json":
         df.write.mode(mode).json(path)
