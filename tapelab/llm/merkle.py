@@ -175,5 +175,5 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names)
 
     dealt = map_batches(rows, deal, "at long, guest boolean, doc_id long, tie binary, blob binary")
-    sorted_ = dealt.repartition(2 * tasks, "at").sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "tie")
+    sorted_ = dealt.repartitionById(len(borders) + 2, F.col("at").cast("int")).sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "tie")
     return sorted_.select("at", "guest", "doc_id", "blob").mapInArrow(meet, COMPARED)
