@@ -151,18 +151,55 @@ def group_means(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(by).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def verdicts(stats: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Flags over the small per-answer frames (``name, std`` and ``name, mean_abs_delta``)."""
-    s = stats.select("name", "std").join(deltas.select("name", "mean_abs_delta"), "name", "left")
+# The cut-offs that were set before the experiment.
+SIGN_MIN, NO_MARKOUT_R, PREDICTIVE_R, PREDICTIVE_N, PREDICTIVE_SPREAD_PP, SENSIBLE_STD = 0.75, 0.15, 0.30, 50, 1.0, 0.10
+
+
+def verdicts(stats: DataFrame, deltas: DataFrame, markout: DataFrame | None = None, sign_min: float = SIGN_MIN) -> DataFrame:
+    """Flags over the small per-answer frames (``name, std``; ``name, mean_abs_delta, sign_agreement``; ``x, r``).
+
+    ``uses_both`` needs two answers that move strongly with one sign in at least ``sign_min`` of their large moves (the experiment
+    asks for a consistent sign and names no part; 0.75 is the choice here). ``reacts_without_markout`` needs one of the reacting
+    verdicts and no answer whose correlation with the drift (``markout``) reaches 0.15; it is null without ``markout``.
+    """
+    s = stats.select("name", "std").join(deltas.select("name", "mean_abs_delta", "sign_agreement"), "name", "left")
     flat, varied = F.count_if(F.col("std") < 0.05), F.count_if(F.col("std") >= 0.10)
     moved = F.count_if(F.col("mean_abs_delta") >= 0.05)
-    strong = F.count_if(F.col("mean_abs_delta") >= 0.10)
-    return s.agg(
+    strong = F.count_if((F.col("mean_abs_delta") >= 0.10) & (F.col("sign_agreement") >= sign_min))
+    found = s.agg(
         flat.alias("flat"), varied.alias("varied"), moved.alias("moved"),
         (flat >= 6).alias("ignores_state"),
         ((varied >= 4) & (moved == 0)).alias("state_not_quant"),
         ((varied >= 4) & (strong >= 2)).alias("uses_both"),
     )
+    tied = None if markout is None else markout.agg(F.count_if(F.abs("r") >= NO_MARKOUT_R)).scalar()
+    quiet = F.lit(None).cast("boolean") if tied is None else tied == 0
+    return found.withColumn("reacts_without_markout", (F.col("state_not_quant") | F.col("uses_both")) & quiet)
+
+
+def branch_verdict(df: DataFrame, answer: str, drift: str, variant: str) -> DataFrame:
+    """One row: does an answer vary (overall, and the least and most by variant), does it predict the drift, and the branch.
+
+    Branch 1: it varies and predicts (correlation of 0.30 or more on 50 rows or more, and 1.0 pp between the quintile means of the
+    drift; an empty quintile counts as 0); branch 2: it varies only; branch 3: it does not vary.
+    """
+    a, d = F.col(answer).cast("double"), F.col(drift).cast("double")
+    both = finite(a) & finite(d)
+    r = F.corr(F.when(both, a), F.when(both, d))
+    n = F.count_if(both)
+    whole = df.agg(
+        F.coalesce(F.stddev_pop(a), F.lit(0.0)).alias("std"), n.alias("n"), F.when((n >= 3) & ~F.isnan(r), r).alias("r")
+    )
+    by = df.groupBy(variant).agg(F.coalesce(F.stddev_pop(a), F.lit(0.0)).alias("s"))
+    spread = by.agg(F.struct(F.min("s").alias("least"), F.max("s").alias("most"))).scalar()
+    means = F.when(F.col(f"n_{drift}") > 0, F.col(f"mean_{drift}"))
+    empty = F.when(F.count(means) < 5, 0.0)
+    quintiles = quintile_means(df, answer, [drift]).agg(F.greatest(F.max(means), empty) - F.least(F.min(means), empty)).scalar()
+    out = whole.withColumns({"_v": spread, "spread_pp": quintiles})
+    sensible = F.col("std") >= SENSIBLE_STD
+    predicts = (F.abs("r") >= PREDICTIVE_R) & (F.col("n") >= PREDICTIVE_N) & (F.col("spread_pp") >= PREDICTIVE_SPREAD_PP)
+    branch = F.when(sensible & F.coalesce(predicts, F.lit(False)), 1).when(sensible, 2).otherwise(3)
+    return out.select("std", F.col("_v.least").alias("std_least"), F.col("_v.most").alias("std_most"), "n", "r", "spread_pp", branch.alias("branch"))
 
 
 def gate_report(df: DataFrame, thresholds: dict = THRESHOLDS) -> DataFrame:

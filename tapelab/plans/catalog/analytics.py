@@ -368,13 +368,27 @@ def _(t):
 
 @query("A26_verdicts", using="ab", sql=f"""
 WITH s AS ({' UNION ALL '.join(f"SELECT '{x}' AS name, stddev_pop({x}) AS std FROM ab" for x in _ANS)}),
-d AS ({' UNION ALL '.join(f"SELECT '{x}' AS name, avg(abs(q.{x} - c.{x})) AS m FROM ab c JOIN ab q ON c.pair_id = q.pair_id AND c.variant = 'CONTROL' AND q.variant = 'QUANT'" for x in _ANS)})
+d AS ({' UNION ALL '.join(f"SELECT '{x}' AS name, avg(abs(q.{x} - c.{x})) AS m, greatest(count(*) FILTER (q.{x} - c.{x} >= 0.05) / count(*) FILTER (abs(q.{x} - c.{x}) >= 0.05), 1 - count(*) FILTER (q.{x} - c.{x} >= 0.05) / count(*) FILTER (abs(q.{x} - c.{x}) >= 0.05)) AS sa FROM ab c JOIN ab q ON c.pair_id = q.pair_id AND c.variant = 'CONTROL' AND q.variant = 'QUANT'" for x in _ANS)}),
+c AS ({' UNION ALL '.join(f"SELECT corr({x}, drift_1s_pp) AS r FROM ab" for x in _ANS)})
 SELECT count(*) FILTER (std < 0.05) AS flat, count(*) FILTER (std >= 0.1) AS varied, count(*) FILTER (m >= 0.05) AS moved, count(*) FILTER (std < 0.05) >= 6 AS ignores_state,
- (count(*) FILTER (std >= 0.1) >= 4 AND count(*) FILTER (m >= 0.05) = 0) AS state_not_quant, (count(*) FILTER (std >= 0.1) >= 4 AND count(*) FILTER (m >= 0.1) >= 2) AS uses_both FROM s JOIN d USING (name)""")
+ (count(*) FILTER (std >= 0.1) >= 4 AND count(*) FILTER (m >= 0.05) = 0) AS state_not_quant, (count(*) FILTER (std >= 0.1) >= 4 AND count(*) FILTER (m >= 0.1 AND sa >= 0.75) >= 2) AS uses_both,
+ ((count(*) FILTER (std >= 0.1) >= 4 AND count(*) FILTER (m >= 0.05) = 0) OR (count(*) FILTER (std >= 0.1) >= 4 AND count(*) FILTER (m >= 0.1 AND sa >= 0.75) >= 2)) AND (SELECT count(*) FROM c WHERE abs(r) >= 0.15) = 0 AS reacts_without_markout FROM s JOIN d USING (name)""")
 def _(t):
     stats = research.variance_split(t.ab, _ANS, "market_id")
     deltas = research.paired_delta_stats(reports.paired(t.ab, "CONTROL", "QUANT", _ANS), _ANS)
-    return research.verdicts(stats, deltas)
+    return research.verdicts(stats, deltas, research.corr_matrix(t.ab, _ANS, ["drift_1s_pp"]))
+
+
+@query("A26_branch_verdict", using="evals", sql="""
+WITH v AS (SELECT variant, stddev_pop(underreact_up) AS s FROM evals GROUP BY 1), o AS (SELECT list_sort(list(underreact_up)) AS l, count(underreact_up) AS n FROM evals),
+b AS (SELECT (underreact_up > l[floor(n * 0.2::DOUBLE)::BIGINT + 1])::INT + (underreact_up > l[floor(n * 0.4::DOUBLE)::BIGINT + 1])::INT + (underreact_up > l[floor(n * 0.6::DOUBLE)::BIGINT + 1])::INT + (underreact_up > l[floor(n * 0.8::DOUBLE)::BIGINT + 1])::INT AS k, avg(drift_1s_pp) AS m FROM evals, o GROUP BY 1),
+w AS (SELECT stddev_pop(underreact_up) AS std, count(*) FILTER (drift_1s_pp IS NOT NULL AND underreact_up IS NOT NULL) AS n, corr(underreact_up, drift_1s_pp) AS r FROM evals),
+q AS (SELECT CASE WHEN count(m) < 5 THEN greatest(max(m), 0) - least(min(m), 0) ELSE max(m) - min(m) END AS x FROM b)
+SELECT round(std, 6) AS std, (SELECT round(min(s), 6) FROM v) AS std_least, (SELECT round(max(s), 6) FROM v) AS std_most, n, round(r, 6) AS r, round(x, 6) AS spread_pp,
+ CASE WHEN std >= 0.1 AND abs(r) >= 0.3 AND n >= 50 AND x >= 1 THEN 1 WHEN std >= 0.1 THEN 2 ELSE 3 END AS branch FROM w, q""")
+def _(t):
+    got = research.branch_verdict(t.evals, "underreact_up", "drift_1s_pp", "variant")
+    return got.select(*[r(c, c) if c not in ("n", "branch") else c for c in got.columns])
 
 
 _CUTS = {"under_min": 0.3, "next_up_min": 0.2, "persist_min": 0.2, "fill_min": 0.3, "toxic_max": 0.35, "conflict_max": 0.7, "no_pressure_max": 0.3}

@@ -94,8 +94,11 @@ def build_features(
 def market_features(quotes: DataFrame, prints: DataFrame, ends: DataFrame, scale: int = 1, width: int = DAY_MS) -> DataFrame:
     """Momentum, volatility, traded volume, day change and time left of every quote.
 
-    ``quotes``: market, ts_ms, seq, yes_bid, yes_ask; ``prints``: market, ts_ms, qty; ``ends``: market, end_ms, target.
+    ``quotes``: market, ts_ms, seq, yes_bid, yes_ask; ``prints``: market, ts_ms, qty; ``ends``: market, end_ms, target and, if the
+    venue tells it, liquidity (null otherwise).
     """
+    if "liquidity" not in ends.columns:
+        ends = ends.withColumn("liquidity", F.lit(None).cast("double"))
     q = quotes.withColumns({"mid": (F.col("yes_bid") + F.col("yes_ask")) / 2.0, "spread": F.col("yes_ask") - F.col("yes_bid")})
     mids = q.select("market", "ts_ms", "seq", F.col("mid").alias("_m"))
     lags = {"_5m": 300_000 * scale, "_1h": 3_600_000 * scale, "_1d": DAY_MS}
@@ -114,7 +117,7 @@ def market_features(quotes: DataFrame, prints: DataFrame, ends: DataFrame, scale
         "market", "ts_ms", "seq", "mid", "spread",
         prices.pct_return(F.col("_5m"), F.col("mid")).alias("momentum_5m"),
         prices.pct_return(F.col("_1h"), F.col("mid")).alias("momentum_1h"),
-        "volatility_1h", "volume_24h",
+        "volatility_1h", "volume_24h", "liquidity",
         prices.pct_return(F.col("_1d"), F.col("mid")).alias("one_day_change"),
         F.floor(F.greatest(F.col("end_ms") - F.col("ts_ms"), F.lit(0)) / 60_000).cast("long").alias("minutes_to_resolution"),
         F.when(F.col("target").isNotNull(), prices.rel_diff(F.col("mid"), F.col("target"))).alias("distance_to_target"),
