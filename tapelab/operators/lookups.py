@@ -133,7 +133,7 @@ MEMO_KEY = (
 
 def memo_join(
     states: DataFrame, cache: DataFrame, key: Sequence[str], live: bool, order: str, budget: int | None = None,
-    tie: Sequence[str] = (), width: int = scan.DAY_MS,
+    tie: Sequence[str] = (), width: int = scan.KEYLESS_MS,
 ) -> DataFrame:
     """States with ``memo`` = hit, call, or over_budget; hits carry ``result``.
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelab.operators import scan
-from tapelab.operators.scan import DAY_MS
+from tapelab.operators.scan import DAY_MS, KEYLESS_MS
 
 
 def scan_window(
     df: DataFrame, asset_col: str, asset: str, ts: str, lo: int, hi: int, every: int = 1,
-    limit: int | None = None, tie: Sequence[str] = (), width: int = DAY_MS,
+    limit: int | None = None, tie: Sequence[str] = (), width: int = KEYLESS_MS,
 ) -> DataFrame:
     """Rows of one asset in ``[lo, hi]``, every n-th, up to a cap the user asked for."""
     got = df.where((F.col(asset_col) == asset) & F.col(ts).between(lo, hi))
@@ -72,7 +72,7 @@ def round_robin(df: DataFrame, bucket: Sequence[str], ts: str, tie: Sequence[str
 
 
 def temporal_split(
-    df: DataFrame, fractions: dict[str, float], ts: str, tie: Sequence[str] = (), width: int = DAY_MS
+    df: DataFrame, fractions: dict[str, float], ts: str, tie: Sequence[str] = (), width: int = KEYLESS_MS
 ) -> DataFrame:
     """Chronological split: each named fraction takes ``floor(n * f)`` rows, the last name the rest."""
     got = scan.numbered(df, [], ts, tie, width, rn="_rn", total="_n")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
+#: Bucket of scans without a key: a busy day is 96 buckets, ten years are 350,000 rows of the second window.
+KEYLESS_MS = 900_000
 BUCKET = "_bucket"
 
 

@@ -15,7 +15,9 @@ SF = "/root/testdata/sf0.001"
 QUICK = (
     "J1_asof_backward", "J12_assign_windows", "A1_segment_summary", "A2_economy_summary_overall", "A14_max_drawdown",
     "A22_quintile_means", "A28_order_flow", "E6_pit_vol_regime", "E10_stale_flags", "E15_fill_labels_base", "S9_parse_venue_json",
-    "P16_parse_signal", "T9_stream_candles",
+    "P16_parse_signal", "T9_stream_candles", "S5_scan_window", "S7_market_metas", "S10_parse_market_messages", "S19_window_table", "E8_book_tops",
+    "A17_block_bootstrap", "A19_oos_headline", "A20_corr_matrix", "A26_branch_verdict", "D3_external_ticks", "E21_temporal_split", "E29_quote_lock", "J17_memo_join",
+    "P35_exact_latency", "T3_stream_order_flow", "T7_stream_labels", "T8_stream_book",
 )
 
 
