@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import batch, keep, map_batches, text_of
+from tapelab.llm.common import batch, keep, kept_rows, map_batches, text_of
 
 #: One edit is allowed for each so many characters of an item.
 CHARS_PER_EDIT = 16
@@ -137,19 +138,25 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text:
     windows, and Myers' distance decides. Whole texts are searched; nothing is shuffled. Null or empty texts hold nothing;
     items without a word are in no text; repeated rows and items each give their rows; a null id stays null.
     """
-    asked = keep(items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")), "items")
-    size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_CHARS)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
     schema = "doc_id long, item_id long, edits long, start_char long, end_char long"
     found = None
-    for b in range(blocks):
-        one = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        mine = map_batches(rows, finder([(r.item_id, r.text) for r in one.collect()], chars_per_edit), schema)
+    for block in blocks_of(items):
+        mine = map_batches(rows, finder(block, chars_per_edit), schema)
         found = mine if found is None else found.unionByName(mine)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
+def blocks_of(items: DataFrame) -> Iterator[list[Item]]:
+    """The items in blocks of about BLOCK_CHARS characters, dealt by a hash; none without items."""
+    asked = keep(items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")), "items")
+    size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_CHARS)
+    for b in range(blocks):
+        one = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
+        yield [(r.item_id, r.text) for r in one.collect()]
+
+
 def finder(items: list[Item], chars_per_edit: int):
     held: list[Matcher] = []
 
@@ -165,9 +172,19 @@ def finder(items: list[Item], chars_per_edit: int):
     return run
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that hold no item, with all their columns; rows are told apart even where ids repeat or are null."""
-    numbered = keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-    rows = numbered.select(F.col("row").alias("doc_id"), F.col("doc")[text].alias("text"))
-    leaks = keep(matches(rows, items, **options).select(F.col("doc_id").alias("row")).distinct(), "leaks")
-    return numbered.join(leaks, "row", "left_anti").select("doc.*")
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """The documents that hold no item, with all their columns; every row is judged by itself, in one pass per block of items."""
+
+    def free_of(block: list[Item]):
+        held: list[Matcher] = []
+
+        def good(texts: pa.Array) -> np.ndarray:
+            if not held:
+                held.append(Matcher(block, chars_per_edit))
+            return np.array([next(held[0].find(normal(t)), None) is None for t in texts.to_pylist()], bool)
+
+        return good
+
+    for block in blocks_of(items):
+        docs = kept_rows(docs, text, free_of(block))
+    return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import batch, keep, map_batches, slices
+from tapelab.llm.common import batch, keep, map_batches, slices, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity, in at most so many characters, that are its context.
@@ -26,6 +27,8 @@ DISCLOSURE = 0.75
 SLOTS = 1 << 22
 #: Distinct terms that a task counts before it hands its sums on.
 FLUSH = 200_000
+#: Risky terms that are sent to the workers as a table, at most.
+RISKY_MOST = 100_000
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -101,6 +104,18 @@ def context(text: str, span: Span, taken: list[Span]) -> list[tuple[str, int, in
     return out
 
 
+def contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
+    """The entity behind each span, and its context terms."""
+    by_start = sorted(spans, key=lambda s: s[1])
+    longest = max((b - a for _, a, b in spans), default=0)
+    starts = [s[1] for s in by_start]
+    for span in by_start:
+        # only spans this close can touch the window
+        first = bisect.bisect_left(starts, span[1] - WINDOW_CHARS - longest)
+        close = by_start[first : bisect.bisect_right(starts, span[2] + WINDOW_CHARS)]
+        yield entity_of(span[0], text[span[1] : span[2]]), context(text, span, close)
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -118,12 +133,8 @@ def scan(rows: DataFrame) -> DataFrame:
         for text in part.column("text").to_pylist():
             spans = base_spans(text)
             base, near = joined(spans), []
-            by_start = sorted(spans, key=lambda s: s[1])
-            for i, span in enumerate(by_start):
-                # only spans this close can touch the window
-                close = [s for s in by_start[max(0, i - 64) : i + 65] if s[1] < span[2] + WINDOW_CHARS and s[2] > span[1] - WINDOW_CHARS]
-                terms = context(text, span, close)
-                entity, where = entity_of(span[0], text[span[1] : span[2]]), hashed(" ".join(t for t, _, _ in terms))
+            for entity, terms in contexts(text, spans):
+                where = hashed(" ".join(t for t, _, _ in terms))
                 near += [{"entity": entity, "context": where, "term": t, "start": a, "end": b} for t, a, b in terms]
                 near += [{"entity": entity, "context": where, "term": c, "start": -1, "end": -1} for c in {"", *(class_of(t) for t, _, _ in terms)}]
             counts.append(Counter(k for k, _, _ in spans))
@@ -209,23 +220,26 @@ def find_spans(rows: DataFrame, **options) -> DataFrame:
     are the words near an entity that disclose it. Null texts count as empty and have none; repeated rows each get theirs;
     an empty table gives no rows. A frequent entity, term or pair is summed in parts before the shuffle.
     """
-    found = keep(scan(rows), "found")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    risky = risky_terms(near, rows, found.count(), **options)
+    found, near, risky = disclosed(rows, **options)
     flagged = near.where("start >= 0").join(risky, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "label"))).alias("terms"))
     return found.drop("near").join(flagged, "row", "left")
 
 
+def disclosed(rows: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scanned rows, their context terms, and the risky terms."""
+    found = keep(scan(rows), "found")
+    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    return found, near, risky_terms(near, rows, found.count(), **options)
+
+
 def all_spans() -> Column:
     """Base spans, then terms, as kind:start:end, comma-joined."""
     terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
     return F.array_join(F.array_compact(F.concat(F.array(F.nullif(F.col("base"), F.lit(""))), F.coalesce(F.array_distinct(terms), F.array()))), ",")
 
 
-def replaced(text: str, base: str, terms: list[dict] | None) -> str:
-    """The text with spans replaced; spans that overlap are replaced as one, by the mark of the first."""
-    spans = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (s.split(":") for s in base.split(",") if s)]
-    spans += [(t["start"], t["end"], t["label"]) for t in terms or ()]
+def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with spans (start, end, mark) replaced; spans that overlap are replaced as one, by the mark of the first."""
     out, at = [], 0
     for a, b, mark in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= at:
@@ -234,27 +248,60 @@ def replaced(text: str, base: str, terms: list[dict] | None) -> str:
     return "".join([*out, text[at:]])
 
 
+def clean(text: str, labels: dict[tuple[int, str], str]) -> str:
+    """The text with its personal data, and the risky terms near it, replaced."""
+    spans = base_spans(text)
+    if not spans:
+        return text
+    marks = [(a, b, f"[{k.upper()}]") for k, a, b in spans]
+    if labels:
+        marks += [(a, b, labels[e, t]) for e, terms in contexts(text, spans) for t, a, b in terms if (e, t) in labels]
+    return replaced(text, marks)
+
+
 def sanitised(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: str = "n_chars", **options) -> DataFrame:
     """The documents with personal data and disclosing terms replaced in their texts; all other columns stay.
 
-    ``length`` is set to the new number of code points where the table has that column and the text changed. Null texts stay null.
+    ``length`` is set to the new number of code points where the table has that column and the text changed. Null texts stay
+    null. Up to ``RISKY_MOST`` risky terms go to the workers, which replace them in one pass; more are joined with the texts.
     """
+    row = F.monotonically_increasing_id().alias("row")
+    rows = docs.select(row, F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    risky = keep(disclosed(rows, **options)[2], "risky")
+    if risky.limit(RISKY_MOST + 1).count() > RISKY_MOST:
+        return sanitised_by_join(docs, id_column, text, length, **options)
+    labels = {(r.entity, r.term): r.label for r in risky.collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            old = part.column(text).to_pylist()
+            new = [t if t is None else clean(t, labels) for t in old]
+            columns = {c: part.column(c) for c in part.schema.names}
+            columns[text] = pa.array(new, part.schema.field(text).type)
+            if length in columns:
+                sizes = [n if a == b else len(b) for n, a, b in zip(columns[length].to_pylist(), old, new, strict=True)]
+                columns[length] = pa.array(sizes, part.schema.field(length).type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def sanitised_by_join(docs: DataFrame, id_column: str, text: str, length: str, **options) -> DataFrame:
+    """``sanitised`` for any number of risky terms: numbered rows meet the spans found in them."""
     numbered = keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     doc = F.col("doc")
     rows = numbered.select("row", doc[id_column].cast("long").alias("doc_id"), F.coalesce(doc[text], F.lit("")).alias("text"))
-    spans = keep(find_spans(rows, **options).where("base <> '' OR terms IS NOT NULL").select("row", "base", "terms"), "spans")
+    spans = find_spans(rows, **options).where("base <> ''").select("row", "base", "terms")
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        columns = zip(*(part.column(c).to_pylist() for c in ("text", "base", "terms")), strict=True)
-        new = [replaced(t, b or "", s) for t, b, s in columns]
-        yield batch(row=part.column("row"), text=pa.array(new, pa.string()))
-
-    changed = map_batches(rows.join(spans, "row").select("row", "text", "base", "terms"), run, "row long, text string")
-    changed = keep(changed.withColumnRenamed("text", "new_text"), "changed")
-    doc = F.when(F.col("new_text").isNotNull(), _with(doc, docs, text, length)).otherwise(doc)
-    return numbered.join(changed, "row", "left").select(doc.alias("doc")).select("doc.*")
-
-
-def _with(doc: Column, docs: DataFrame, text: str, length: str) -> Column:
-    out = doc.withField(text, F.col("new_text"))
-    return out.withField(length, F.length("new_text").cast(docs.schema[length].dataType)) if length in docs.columns else out
+        new = []
+        for old, base, terms in zip(*(part.column(c).to_pylist() for c in ("text", "base", "terms")), strict=True):
+            marks = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (s.split(":") for s in base.split(","))]
+            new.append(replaced(old, [*marks, *((t["start"], t["end"], t["label"]) for t in terms or ())]))
+        yield batch(row=part.column("row"), new_text=pa.array(new, pa.string()))
+
+    changed = keep(map_batches(rows.join(spans, "row").select("row", "text", "base", "terms"), run, "row long, new_text string"), "changed")
+    other = doc.withField(text, F.col("new_text"))
+    if length in docs.columns:
+        other = other.withField(length, F.length("new_text").cast(docs.schema[length].dataType))
+    return numbered.join(changed, "row", "left").select(F.when(F.col("new_text").isNotNull(), other).otherwise(doc).alias("doc")).select("doc.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import GOLD, batch, bytes_of, fold_of, keep, list_array, map_batches, mix, slices, span_hashes, text_of, word_spans
+from tapelab.llm.common import GOLD, batch, bytes_of, fold_of, keep, kept_rows, list_array, map_batches, mix, slices, span_hashes, text_of, word_spans
 
 #: Hash buckets of words and of word shapes, and the length of their vectors: 3.2 MB, whatever the corpus.
 WORD_BUCKETS, SHAPE_BUCKETS, WIDTH = 1 << 14, 1 << 10, 48
@@ -112,16 +112,6 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def pool(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(row, doc_id, features) of (row, doc_id, text)."""
-
-    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = pooled(part.column("text"), vectors)
-        yield batch(row=part.column("row"), doc_id=part.column("doc_id"), features=list_array(found.reshape(-1), np.arange(len(found) + 1) * 2 * WIDTH))
-
-    return map_batches(rows, run, "row long, doc_id long, features array<float>")
-
-
 class Network:
     """Two layers: tanh, then one logit, divided by a temperature that was fitted on rows set aside."""
 
@@ -161,33 +151,40 @@ class Network:
         return 1 / (1 + np.exp(-self.logits(x) / self.temperature))
 
 
-def labelled_sample(features: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``most`` labelled rows outside the held-out fold, chosen by a hash of the id."""
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+def labelled_sample(rows: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``most`` labelled rows outside the held-out fold, chosen by a hash of the id.
+
+    The chosen ids and labels are a table of bounded size, so only the texts of their documents are pooled here.
+    """
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     known = known.where(fold_of("doc_id", 5) != 0)
     part = min(1.0, most / max(1, known.count()))
-    drawn = known.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).where(F.col("draw") < int(part * 1_000_000))
-    rows = features.join(drawn, "doc_id").orderBy("draw", "doc_id", "row").limit(most).select("features", "quality").toArrow()
-    y = rows.column("quality").to_numpy().astype(float)
-    x = np.array(rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(y), 2 * WIDTH)
-    return x, y
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    drawn = keep(known.withColumn("draw", draw).where(F.col("draw") < int(part * 1_000_000)).orderBy("draw", "doc_id").limit(most), "drawn")
+
+    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = pooled(part.column("text"), vectors)
+        features = list_array(found.reshape(-1), np.arange(len(found) + 1) * 2 * WIDTH)
+        yield batch(features=features, quality=part.column("quality"), draw=part.column("draw"), doc_id=part.column("doc_id"))
+
+    chosen = map_batches(rows.join(drawn, "doc_id"), run, "features array<float>, quality double, draw long, doc_id long")
+    held = chosen.orderBy("draw", "doc_id", "features").limit(most).toArrow()
+    y = held.column("quality").to_numpy().astype(float)
+    return np.array(held.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(y), 2 * WIDTH), y
 
 
-def score_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """row, doc_id, score of each of (row, doc_id, text)."""
-    features = keep(pool(rows, word_vectors(rows)), "features")
-    x, y = labelled_sample(features, labels)
+def scorer(rows: DataFrame, labels: DataFrame):
+    """The function from texts to scores that ``rows`` (doc_id, text) and ``labels`` teach."""
+    vectors = word_vectors(rows)
+    x, y = labelled_sample(rows, labels, vectors)
     both = len(y) and 0 < y.sum() < len(y)
     network = Network(x, y) if both else None
     constant = float(y.mean()) if len(y) else 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            n = part.num_rows
-            held = np.array(part.column("features").flatten().to_numpy(zero_copy_only=False), float).reshape(n, 2 * WIDTH)
-            yield batch(row=part.column("row"), doc_id=part.column("doc_id"), score=network.scores(held) if network else np.full(n, constant))
+    def scores(texts: pa.Array) -> np.ndarray:
+        return network.scores(pooled(texts, vectors).astype(float)) if network else np.full(len(texts), constant)
 
-    return features.mapInArrow(run, "row long, doc_id long, score double")
+    return scores
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,14 +195,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     features and get the score of those; without labels, or with one kind of label, every score is that label's (0.5 without
     any); repeated ids are scored each; repeated labels count once, the lower one; an empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return score_rows(rows, labels).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    scores = scorer(rows, labels)
+
+    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch(doc_id=part.column("doc_id"), score=scores(part.column("text")))
+
+    scored = map_batches(rows, run, "doc_id long, score double")
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are predicted good, with all their columns; every row is judged by itself."""
-    numbered = keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-    doc = F.col("doc")
-    rows = numbered.select("row", doc[id_column].cast("long").alias("doc_id"), F.coalesce(doc[text], F.lit("")).alias("text"))
-    bad = keep(score_rows(rows, labels).where(F.col("score") < CUT).select("row"), "bad")
-    return numbered.join(bad, "row", "left_anti").select("doc.*")
+    """The documents that are predicted good, with all their columns; every row is judged by itself, in one pass."""
+    scores = scorer(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text")), labels)
+    return kept_rows(docs, text, lambda texts: scores(texts) >= CUT)

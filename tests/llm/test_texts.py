@@ -42,7 +42,7 @@ def test_base_spans_equal_the_patterns():
     assert pii.base_spans("a" * 300_000 + " " + "1" * 300_000) == []
 
 
-def test_disclosing_terms_are_found_and_generalised(spark):
+def test_disclosing_terms_are_found_and_generalised(spark, monkeypatch):
     docs = [(i, f"call zorb{i % 4} {i} times at p{i % 4}@mail.example.com please number {i * 3}") for i in range(80)]
     docs += [(100 + i, f"call the times at please number {i} and so on") for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -53,6 +53,8 @@ def test_disclosing_terms_are_found_and_generalised(spark):
     assert all(found[i].spans == "" for i, _ in docs[80:])
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     assert clean[4] == "call [NUMBER] 4 times at [EMAIL] please number 12" and clean[105] == docs[85][1]
+    monkeypatch.setattr(pii, "RISKY_MOST", 1)
+    assert {r.doc_id: r.text for r in pii.sanitised(df).collect()} == clean
 
 
 def test_copies_of_a_document_disclose_nothing(spark):
@@ -70,8 +72,8 @@ def test_personal_data_of_dirty_rows(dirty, nothing):
 
 def test_overlaps_are_replaced_once():
     text = "x +12 345 678 901 y"
-    spans = "card:3:17,phone:2:17"
-    assert pii.replaced(text, spans, None) == "x [PHONE] y"
+    assert pii.replaced(text, [(3, 17, "[CARD]"), (2, 17, "[PHONE]")]) == "x [PHONE] y"
+    assert pii.clean("x +12 345 678 901 y", {}) == "x [PHONE] y"
 
 
 def test_fingerprints_locate_edits():
