@@ -252,27 +252,44 @@ def _(t):
     )
 
 
+_LOW = "4294967295::UBIGINT"
+
+
+def _mul64(x: str, by: int) -> str:
+    """``x * by`` modulo 2^64 from 32-bit halves, which no unsigned 64-bit product or sum here exceeds."""
+    hi, lo = f"{by >> 32}::UBIGINT", f"{by & 0xFFFFFFFF}::UBIGINT"
+    low = f"(({x} & {_LOW}) * {lo})"
+    upper = f"(({low} >> 32) + ((({x} >> 32) * {lo}) & {_LOW}) + ((({x} & {_LOW}) * {hi}) & {_LOW}))"
+    return f"((({upper} & {_LOW}) * 4294967296::UBIGINT) | ({low} & {_LOW}))"
+
+
+def _add64(x: str, more: int) -> str:
+    low = f"(({x} & {_LOW}) + {more & 0xFFFFFFFF}::UBIGINT)"
+    return f"((((({x} >> 32) + {more >> 32}::UBIGINT + ({low} >> 32)) & {_LOW}) * 4294967296::UBIGINT) | ({low} & {_LOW}))"
+
+
 def _boot_sql(rows: str, value: str, draws: int = 10_000, seed: int = 42) -> str:
-    """Tables blk, picks and boot (draw, total): whole blocks drawn with replacement."""
-    wide = "18446744073709551616::UHUGEINT"
-    state = f"(({seed}::UHUGEINT + (k::UHUGEINT * 11400714819323198485::UHUGEINT) % {wide}) % {wide})::UBIGINT"
-    a = f"((({state})::UHUGEINT + 11400714819323198485::UHUGEINT) % {wide})::UBIGINT"
-    times = lambda x, c: f"((({x})::UHUGEINT * {c}::UHUGEINT) % {wide})::UBIGINT"
+    """Tables blk and boot (draw, total): whole blocks drawn with replacement by the splitmix64 stream of the seed."""
+    gamma = 0x9E3779B97F4A7C15
     return f"""blk AS (SELECT market, sum({value}) AS total, row_number() OVER (ORDER BY substr(md5(market), 1, 3), market) - 1 AS i FROM {rows} GROUP BY market),
 cnt AS (SELECT count(*) AS n FROM blk),
-p1 AS (SELECT d.d AS draw, n, {a} AS a FROM (SELECT d, b.i, n, d * n + b.i AS k FROM range(0, {draws}) t(d), blk b, cnt) d),
-p2 AS (SELECT draw, n, {times('xor(a, a >> 30)', 13787848793156543929)} AS b FROM p1),
-p3 AS (SELECT draw, n, {times('xor(b, b >> 27)', 10723151780598845931)} AS c FROM p2),
-p4 AS (SELECT draw, (xor(c, c >> 31) % n::UBIGINT)::BIGINT AS pick FROM p3),
-boot AS (SELECT draw, sum(total) AS total FROM p4 JOIN blk ON blk.i = p4.pick GROUP BY draw)"""
+p0 AS (SELECT t.d AS draw, n, (t.d * n + b.i)::UBIGINT AS k FROM range(0, {draws}) t(d), blk b, cnt),
+p1 AS (SELECT draw, n, {_mul64('k', gamma)} AS g FROM p0),
+p2 AS (SELECT draw, n, {_add64('g', (seed + gamma) % 2**64)} AS a FROM p1),
+p3 AS (SELECT draw, n, xor(a, a >> 30) AS a FROM p2),
+p4 AS (SELECT draw, n, {_mul64('a', 13787848793156543929)} AS b FROM p3),
+p5 AS (SELECT draw, n, xor(b, b >> 27) AS b FROM p4),
+p6 AS (SELECT draw, n, {_mul64('b', 10723151780598845931)} AS c FROM p5),
+p7 AS (SELECT draw, (xor(c, c >> 31) % n::UBIGINT)::BIGINT AS pick FROM p6),
+boot AS (SELECT draw, sum(total) AS total FROM p7 JOIN blk ON blk.i = p7.pick GROUP BY draw)"""
 
 
 @query("A17_block_bootstrap", using="episodes", sql=f"""
 WITH e AS (SELECT * FROM episodes WHERE is_filled), {_boot_sql("e", "net_pnl_usd")}
-SELECT draw::INT AS draw, round(total, 6) AS total FROM boot""")
+SELECT draw::INT AS draw, round(total, 5) AS total FROM boot""")
 def _(t):
     rows = t.episodes.where("is_filled")
-    return bootstrap.block_bootstrap(rows, "market", "net_pnl_usd", seed=42).withColumn("total", r("total", "x", 6))
+    return bootstrap.block_bootstrap(rows, "market", "net_pnl_usd", seed=42).withColumn("total", r("total", "x", 5))
 
 
 @query("A18_summarize_distribution", using="episodes", sql="""
@@ -296,12 +313,13 @@ mv AS (SELECT side, fill_ts_ms AS ts, actual_notional_usd AS v FROM x WHERE is_f
 nt AS (SELECT side, ts, sum(v) AS v FROM mv GROUP BY 1, 2), lv AS (SELECT side, sum(v) OVER (PARTITION BY side ORDER BY ts ROWS UNBOUNDED PRECEDING) AS l FROM nt),
 pk AS (SELECT side, greatest(0, max(l)) AS pc FROM lv GROUP BY 1),
 ci AS (SELECT 'OUT_OF_SAMPLE' AS side, quantile_cont(total, 0.025) AS lo, quantile_cont(total, 0.5) AS mid, quantile_cont(total, 0.975) AS hi, count(*) FILTER (total > 0) / count(*) AS pp FROM boot)
-SELECT side, fills, nofills, round(net, 4) AS net_pnl_usd, round(coalesce(net / nullif(fills, 0), 0), 4) AS pnl_per_trade, round(CASE WHEN used > 0 THEN net / used END, 4) AS roi, round(pf, 4) AS profit_factor,
-  round(cs, 0) AS capital_seconds, round(dd, 4) AS max_drawdown_usd, round(pc, 2) AS max_simultaneous_capital_usd, round(lo, 4) AS ci95_low, round(mid, 4) AS median, round(hi, 4) AS ci95_high, round(pp, 4) AS p_positive
+SELECT side, fills, nofills, round(net, 6) AS net_pnl_usd, round(coalesce(net / nullif(fills, 0), 0), 4) AS pnl_per_trade, round(CASE WHEN used > 0 THEN net / used END, 4) AS roi, round(pf, 4) AS profit_factor,
+  round(cs, 0) AS capital_seconds, round(dd, 6) AS max_drawdown_usd, round(pc, 2) AS max_simultaneous_capital_usd, round(lo, 2) AS ci95_low, round(mid, 2) AS median, round(hi, 2) AS ci95_high, round(pp, 4) AS p_positive
 FROM b LEFT JOIN d USING (side) LEFT JOIN pk USING (side) LEFT JOIN ci USING (side)""")
 def _(t):
     got = bootstrap.oos_headline(_ep(t), col("fill_profile") == "O", "market", draws=10_000, seed=42)
-    digits = {"capital_seconds": 0, "max_simultaneous_capital_usd": 2}
+    # sums are multiples of 5e-6, so six digits are exact and no sum lies on a rounding edge
+    digits = {"capital_seconds": 0, "max_simultaneous_capital_usd": 2, "net_pnl_usd": 6, "max_drawdown_usd": 6, "ci95_low": 2, "median": 2, "ci95_high": 2}
     return got.select("side", "fills", "nofills", *[r(c, c, digits.get(c, 4)) for c in got.columns if c not in ("side", "fills", "nofills")])
 
 
