@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import batch, bytes_of, fold_of, list_array, map_batches, rows_of, slices, text_of
+from tapelab.llm.common import batch, bytes_of, fold_of, keep, list_array, map_batches, rows_of, slices, text_of
 
 #: Hashed features; n-grams of 2 and 3 bytes of the lower-cased text, with all else than letters as one kind of gap.
 FEATURES = 2048
@@ -78,34 +78,60 @@ def clusters(x: np.ndarray, k: int, rounds: int = ITERATIONS) -> np.ndarray:
     return centres
 
 
+def drawn(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, order, text): for each language the ``most`` different texts with the smallest hashes, or all if it has fewer.
+
+    Copies count once and only texts with an n-gram count. The hashes of all different texts are written once; about twice
+    ``most`` a language reach the driver, which finds each language's last hash. Tasks drop the copies they see before the shuffle.
+    """
+    rows = rows.where((F.octet_length("text") > 1) & F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).withColumn("order", F.xxhash64("text"))
+    different = keep(rows.select("lang", "order").distinct(), "langid-texts")
+
+    def until(last: dict[str, int]) -> Column:
+        out = F.lit(False)
+        for lang, order in last.items():
+            out = F.when(F.col("lang") == lang, F.col("order") <= order).otherwise(out)
+        return out
+
+    sizes = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    low = different.where(until({lang: min(1 << 64, (1 << 64) * (2 * most + 100) // n) - (1 << 63) - 1 for lang, n in sizes.items()})).toArrow()
+    langs, orders = np.array(low.column("lang").to_pylist(), object), low.column("order").to_numpy()
+    last = {lang: int(np.sort(orders[langs == lang])[:most][-1]) for lang in set(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for part in batches:
+            fresh = []
+            for key in zip(part.column("lang").to_pylist(), part.column("order").to_pylist(), strict=True):
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield part.filter(pa.array(fresh, pa.bool_()))
+
+    few = rows.where(until(last)).select("lang", "order", "text").mapInArrow(run, "lang string, order long, text string")
+    return few.groupBy("lang", "order").agg(F.first("text").alias("text"))
+
+
 def train(rows: DataFrame, most: int = SAMPLE) -> dict:
     """The model of training rows (text, lang): languages, idf, centroids with their language and limit.
 
-    Frequencies cover all training texts. The centroids come from at most ``most`` texts a language, chosen by a hash of the
-    text; a bounded table of vectors and one row per language are all that reaches the driver.
+    Frequencies cover all training texts. The centroids come from at most ``most`` different texts a language; a bounded
+    table of vectors and of hashes and one row per language are all that reaches the driver. A language has a centroid unless
+    none of its texts has an n-gram (each is shorter than two bytes or has nothing but ASCII other than letters).
     """
     rows = rows.where("lang IS NOT NULL").select("lang", text_of().alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     seen, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    part = F.lit(0)
-    for lang, size in sizes.items():
-        part = F.when(F.col("lang") == lang, min(1_000_000, 1_000_000 * most // size)).otherwise(part)
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part)
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = vectors(counts(part.column("text")), idf).astype(np.float32)
-        yield batch(lang=part.column("lang"), x=list_array(x.reshape(-1), np.arange(len(x) + 1) * FEATURES))
+        yield batch(lang=part.column("lang"), order=part.column("order"), x=list_array(x.reshape(-1), np.arange(len(x) + 1) * FEATURES))
 
-    held = map_batches(drawn, run, "lang string, x array<float>").withColumn("order", F.xxhash64("x")).orderBy("lang", "order").limit(2 * most * max(1, len(sizes))).toArrow()
+    held = map_batches(drawn(rows, most), run, "lang string, order long, x array<float>").orderBy("lang", "order").toArrow()
     langs = np.array(held.column("lang").to_pylist(), object)
     x = held.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(langs), FEATURES) if len(langs) else np.zeros((0, FEATURES))
     centres, of, limits = [np.zeros((0, FEATURES))], [], []
-    for lang in sorted(sizes):
+    for lang in sorted(set(langs)):
         mine = x[langs == lang]
-        mine = mine[mine.any(1)]
-        if not len(mine):
-            continue
         found = clusters(mine, CENTROIDS)
         near = mine @ found.T
         own = near.argmax(1)

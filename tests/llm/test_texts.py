@@ -135,6 +135,21 @@ def test_languages_are_told_apart(spark):
     assert {r.doc_id: r.rejected for r in langid.identify(docs.unionByName(strange)).collect()}[1000]
 
 
+def test_copies_leave_every_language_its_texts(spark):
+    random.seed(9)
+    kinds = {"aa": "ka lo mi nu pe".split(), "bb": "strz krz wsch prz".split(), "cc": "thod quib voun".split()}
+    texts = [(f"{i} " + " ".join(random.choice(kinds[k]) for _ in range(30)), k) for i, k in enumerate(list(kinds) * 40)]
+    copied = [(f"copy {' '.join(kinds[k])}", k) for k in kinds]
+    rows = spark.createDataFrame(texts + copied * 4000 + [("x", "dd"), ("12 34", "dd"), ("", "dd")], "text string, lang string").repartition(3)
+    drawn = [(r.lang, r.text) for r in langid.drawn(rows, 20).collect()]
+    assert len(set(drawn)) == len(drawn) and {k: sum(a == k for a, _ in drawn) for k in kinds} == dict.fromkeys(kinds, 20)
+    assert len(langid.drawn(rows, 100).collect()) == 3 * 41
+    model = langid.train(rows, 20)
+    assert set(model["langs"]) == set(kinds)
+    docs = spark.createDataFrame([(i, t, k, True) for i, (t, k) in enumerate(texts)], "doc_id long, text string, lang string, letters boolean")
+    assert all(texts[r.doc_id][1] == r.lang_pred for r in langid.predict(docs.drop("lang"), model).collect())
+
+
 def test_languages_of_dirty_rows(dirty, nothing):
     assert langid.identify(dirty).count() == len(rows()) and langid.identify(nothing).count() == 0
     unlabelled = langid.identify(dirty.withColumn("lang", F.lit(None).cast("string"))).collect()
