@@ -6,7 +6,7 @@ import bisect
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,11 +121,11 @@ def joined(spans: list[Span]) -> str:
 
 
 NEAR = "array<struct<entity: bigint, context: bigint, term: string, start: bigint, end: bigint>>"
-FOUND = f"row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {NEAR}"
+FOUND = f"row long, doc_id long, same long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {NEAR}"
 
 
 def scan(rows: DataFrame) -> DataFrame:
-    """Per row of (row, doc_id, text): its base spans, and each entity's context terms."""
+    """Per row of (row, doc_id, text): a hash of its text, its base spans, and each entity's context terms."""
     near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -142,17 +142,18 @@ def scan(rows: DataFrame) -> DataFrame:
             bases.append(base)
             nears.append(near)
         yield batch(
-            row=part.column("row"), doc_id=part.column("doc_id"),
+            row=part.column("row"), doc_id=part.column("doc_id"), same=part.column("same"),
             **{f"n_{k}": pa.array([c[k] for c in counts], pa.int64()) for k in KINDS},
             base_sha256=pa.array(shas, pa.string()), base=pa.array(bases, pa.string()), near=pa.array(nears, near_type),
         )
 
-    return map_batches(rows, run, FOUND)
+    return map_batches(rows.withColumn("same", F.xxhash64("text")), run, FOUND)
 
 
-def document_counts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, df): in how many documents each candidate term occurs, over the whole texts of all documents.
+def document_counts(rows: DataFrame, candidates: DataFrame, copies: DataFrame) -> DataFrame:
+    """(term, df): in how many different texts each candidate term occurs, over the whole texts of all documents.
 
+    ``copies`` (same, copies) has the hashes of texts that occur more than once; each such row counts as one part in so many.
     The workers get a bit per slot of a fixed number of slots and sum what falls into a set one; the join with the
     candidates then removes the rest.
     """
@@ -163,24 +164,27 @@ def document_counts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(packed).astype(bool)
-        seen: Counter[str] = Counter()
+        seen: defaultdict[int, Counter[str]] = defaultdict(Counter)
 
         def flush() -> pa.RecordBatch:
-            held = [(t, n) for t, n in seen.items() if wanted[zlib.crc32(t.encode()) % SLOTS]]
+            held = [(t, c, n) for c, found in seen.items() for t, n in found.items() if wanted[zlib.crc32(t.encode()) % SLOTS]]
             seen.clear()
-            return batch(term=pa.array([t for t, _ in held], pa.string()), n=pa.array([n for _, n in held], pa.int64()))
+            return batch(term=pa.array([t for t, _, _ in held], pa.string()), copies=pa.array([c for _, c, _ in held], pa.int64()), n=pa.array([n for _, _, n in held], pa.int64()))
 
         for part in slices(batches):
-            for text in part.column("text").to_pylist():
+            for text, c in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
                 terms = set(_WORD.findall(text.lower()))
-                seen.update(terms)
-                seen.update({class_of(t) for t in terms})
-            if len(seen) >= FLUSH:
+                seen[c].update(terms)
+                seen[c].update({class_of(t) for t in terms})
+            if sum(map(len, seen.values())) >= FLUSH:
                 yield flush()
         if seen:
             yield flush()
 
-    counted = rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    shared = rows.select("text", F.xxhash64("text").alias("same")).join(copies, "same", "left").select("text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    # sums of the rows with equal copies are whole multiples of them
+    counted = shared.mapInArrow(run, "term string, copies long, n long").groupBy("term", "copies").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("df"))
     return counted.join(candidates.select("term").distinct(), "term", "left_semi")
 
 
@@ -190,20 +194,24 @@ def disclosure(joint: Column, of_entity: Column, of_term: Column, n: Column) ->
     return F.when(information > 0, F.log2(joint * n / (of_entity * of_term)) / information).otherwise(0.0)
 
 
-def risky_terms(near: DataFrame, rows: DataFrame, n: int, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
+def risky_terms(near: DataFrame, rows: DataFrame, texts: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
     """(entity, term, label): terms that disclose an entity, and what stands for them.
 
-    A term's probability is the part of all documents it occurs in; the joint one counts different contexts, so copies of
-    a document count once. The label is the term's class if that discloses less than the threshold, else empty (removed).
+    All probabilities are parts of the different texts (``texts`` has each with its number of copies), so copies of a document
+    count once in each of them. Only the support counts different contexts, so a passage that many texts share supports
+    nothing by itself. The label is the term's class if that discloses less than the threshold, else empty (removed).
     """
-    per_context = near.groupBy("entity", "term", "context").agg(F.min("row").alias("row"))
-    pairs = per_context.groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    held = near.where("term = ''").select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    pairs = keep(pairs.where((F.col("joint") >= support) & (F.col("term") != "")).join(held, "entity"), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit("").alias("label"))
-    judged = pairs.join(document_counts(rows, pairs), "term").select(
-        "entity", "term", disclosure(F.least("joint", "of_entity"), F.col("of_entity"), F.col("df"), F.lit(float(n))).alias("given")
+    terms = near.where("term <> ''")
+    supported = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("support"))
+    supported = keep(supported.where(F.col("support") >= support).select("entity", "term"), "supported")
+    if supported.isEmpty():
+        return supported.select("entity", "term", F.lit("").alias("label"))
+    joint = terms.join(supported, ["entity", "term"], "left_semi").select("entity", "term", "same").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
+    held = near.where("term = ''").select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
+    pairs = keep(joint.join(held, "entity"), "pairs")
+    copies = keep(texts.where("copies > 1"), "copies")
+    judged = pairs.join(document_counts(rows, pairs, copies), "term").select(
+        "entity", "term", disclosure(F.col("joint"), F.col("of_entity"), F.col("df"), F.lit(float(texts.count()))).alias("given")
     )
     judged = keep(judged, "judged")
     above = judged.where((F.col("given") >= threshold) & ~F.col("term").startswith("#"))
@@ -222,14 +230,15 @@ def find_spans(rows: DataFrame, **options) -> DataFrame:
     """
     found, near, risky = disclosed(rows, **options)
     flagged = near.where("start >= 0").join(risky, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "label"))).alias("terms"))
-    return found.drop("near").join(flagged, "row", "left")
+    return found.drop("near", "same").join(flagged, "row", "left")
 
 
 def disclosed(rows: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The scanned rows, their context terms, and the risky terms."""
     found = keep(scan(rows), "found")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    return found, near, risky_terms(near, rows, found.count(), **options)
+    near = found.select("row", "same", F.explode("near").alias("x")).select("row", "same", "x.*")
+    texts = keep(found.groupBy("same").agg(F.count("*").alias("copies")), "texts")
+    return found, near, risky_terms(near, rows, texts, **options)
 
 
 def all_spans() -> Column:

@@ -62,6 +62,22 @@ def test_copies_of_a_document_disclose_nothing(spark):
     assert pii.find_spans(df.withColumn("row", F.monotonically_increasing_id())).where("terms IS NOT NULL").count() == 0
 
 
+def test_copies_and_shared_passages_hide_no_disclosure(spark):
+    common = [f"call or write the times at now please {i} and so on" for i in range(300)]
+    copied = ["call the zorb at q@mail.example.com please"] * 200 + ["write zorb now at q@mail.example.com", "q@mail.example.com or zorb the times"]
+    padding = " and so on" * 10
+    shared = [f"{i}{padding} call the quib at r@mail.example.com please{padding}" for i in range(60)] + ["write quib now at r@mail.example.com", "r@mail.example.com or quib the times"]
+    texts = dict(enumerate(common + copied + shared))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = pii.find_spans(df.withColumn("row", F.monotonically_increasing_id())).select("doc_id", "terms").collect()
+    terms = {r.doc_id: [texts[r.doc_id][t.start : t.end] for t in r.terms or ()] for r in found}
+    assert terms == {i: ["zorb"] if "zorb" in t else ["quib"] if "quib" in t else [] for i, t in texts.items()}
+    # a term is counted once a different text, however many copies the texts have
+    ids = df.groupBy(F.xxhash64("text").alias("same")).agg(F.count("*").alias("copies")).where("copies > 1")
+    asked = spark.createDataFrame([("zorb",), ("quib",), ("call",)], "term string")
+    assert {r.term: r.df for r in pii.document_counts(df, asked, ids).collect()} == {"zorb": 3, "quib": 62, "call": 300 + 1 + 60}
+
+
 def test_personal_data_of_dirty_rows(dirty, nothing):
     clean = pii.sanitised(dirty)
     assert clean.columns == dirty.columns and clean.count() == len(rows())
