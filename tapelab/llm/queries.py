@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelab.llm import chat, decontam, kneser_ney, langid, merkle, mixing, neardup, pii, quality, urlfilter
+from tapelab.llm import chat, decontam, kneser_ney, langid, merkle, mixing, neardup, packing, phrases, pii, quality, trie, urlfilter
 from tapelab.llm.common import fold_of, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,19 @@ def op10_find_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_mine_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def _sql_rules() -> str:
     listed = [(r.action, *r.pattern.removeprefix("||").split("/", 1)) for r in urlfilter.LISTED]
     return ", ".join(f"('{action}', '{host}', '/{path}')" for action, host, path in listed)
@@ -126,6 +139,49 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, (xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b:
+    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+f AS (SELECT c.conv_id, c.h, t.place, t.said FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.place <= c.h),
+g AS (SELECT c.conv_id, c.h, (SELECT count(*) FROM f WHERE f.conv_id = c.conv_id) AS lent FROM c),
+r AS (SELECT conv_id, place, said FROM f
+  UNION ALL SELECT t.conv_id, t.place - g.h + g.lent, t.said FROM t JOIN g USING (conv_id) WHERE t.place > g.h),
+p AS (SELECT conv_id, place AS depth, said.text AS last, list(said) OVER (PARTITION BY conv_id ORDER BY place) AS node FROM r
+  UNION ALL SELECT conv_id, 0, '', [] FROM c),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(strlen(last)) AS size FROM p GROUP BY node, depth),
+m AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT p.node, string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) AS ends FROM p JOIN m ON p.conv_id = m.conv_id AND p.depth = m.depth GROUP BY p.node),
+k AS (SELECT n.conv_id, n.depth, q.node AS parent FROM n JOIN p AS q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+s AS (SELECT q.node, sum((n.n_convs - 1) * n.size) AS saved, count(*) FILTER (NOT EXISTS (SELECT 1 FROM k WHERE k.parent = n.node)) AS leaves
+      FROM n JOIN p AS q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY q.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs,
+  (SELECT count(*) FROM k WHERE k.parent = n.node) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens,
+  sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM n JOIN s ON s.node = n.node LEFT JOIN e ON e.node = n.node
+LEFT JOIN k ON k.conv_id = n.conv_id AND k.depth = n.depth LEFT JOIN n AS u ON u.node = k.parent
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+c AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, unnest(flatten([[w[i : i + k - 1] FOR i IN range(1, len(w) - k + 2)] FOR k IN range(1, 5)])) AS ws FROM p),
+f AS MATERIALIZED (SELECT lang, ws, count(*) AS a FROM g GROUP BY lang, ws HAVING count(*) >= 30),
+s AS (SELECT x.lang, x.ws, x.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * x.a // (l.a + r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1) x
+  JOIN f l ON l.lang = x.lang AND l.ws = x.ws[1 : k] JOIN f r ON r.lang = x.lang AND r.ws = x.ws[k + 1 :]),
+d AS (SELECT lang, ws, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+i AS (SELECT lang, sub, max(a) AS longer FROM
+  (SELECT lang, a, unnest(flatten([[ws[j : j + k - 1] FOR j IN range(1, len(ws) - k + 2)] FOR k IN range(2, len(ws))])) AS sub FROM f WHERE len(ws) > 2) GROUP BY lang, sub),
+e AS (SELECT d.*, array_to_string(d.ws, ' ') AS phrase FROM d LEFT JOIN i ON i.lang = d.lang AND i.sub = d.ws WHERE coalesce(100 * i.longer < 80 * d.a, true))
+SELECT e.lang, row_number() OVER (PARTITION BY e.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM e JOIN c ON c.lang = e.lang QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_find_personal_data": op1_find_personal_data,
     "op2_fingerprint_documents": op2_fingerprint_documents,
@@ -137,6 +193,9 @@ QUERIES: dict[str, Query] = {
     "op8_format_conversations": op8_format_conversations,
     "op9_score_language": op9_score_language,
     "op10_find_benchmark_items": op10_find_benchmark_items,
+    "op11_pack_documents": op11_pack_documents,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_mine_collocations": op13_mine_collocations,
 }
 
-ORACLES: dict[str, str] = {"op5_judge_urls": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_format_conversations": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_judge_urls": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_format_conversations": OP8_SQL, "op12_conversation_trie": OP12_SQL, "op13_mine_collocations": OP13_SQL}
