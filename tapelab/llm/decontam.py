@@ -109,6 +109,8 @@ class Matcher:
             for i, b in of:
                 _, length, edits, _, _ = self.items[i]
                 origin = last + 1 - b
+                if not edits and not (text[origin - 1 : origin].strip() == "" == text[last + 1 : last + 2].strip()):
+                    continue
                 a, z = max(0, origin - edits), min(len(text), origin + length + edits)
                 mine = windows.setdefault(i, [])
                 if mine and a <= mine[-1][1]:
@@ -135,7 +137,9 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text:
     ``items`` (item_id, text) is the stated query set; it is taken to the workers in blocks of bounded size, one pass over
     the documents each. An item of m characters in normal form (lower case, words with one space between) is found
     with up to ``m // chars_per_edit`` edits: it is cut into one piece more than that, exact hits of the pieces give the
-    windows, and Myers' distance decides. Whole texts are searched; nothing is shuffled. Null or empty texts hold nothing;
+    windows, and Myers' distance decides. An item of fewer than ``chars_per_edit`` characters has no edits and counts only as whole
+    words: 'no' is not in 'I know', but it is in every text that says no, so give items that are long enough to be a
+    trace. Whole texts are searched; nothing is shuffled. Null or empty texts hold nothing;
     items without a word are in no text; repeated rows and items each give their rows; a null id stays null.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
@@ -173,7 +177,7 @@ def finder(items: list[Item], chars_per_edit: int):
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """The documents that hold no item, with all their columns; every row is judged by itself, in one pass per block of items."""
+    """The documents that hold no item (see ``matches``), with all their columns; every row is judged by itself, in one pass per block of items."""
 
     def free_of(block: list[Item]):
         held: list[Matcher] = []

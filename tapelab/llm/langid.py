@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import batch, bytes_of, fold_of, keep, list_array, map_batches, rows_of, slices, text_of
+from tapelab.llm import common
+from tapelab.llm.common import batch, bytes_of, fold_of, keep, list_array, rows_of, text_of
 
 #: Hashed features; n-grams of 2 and 3 bytes of the lower-cased text, with all else than letters as one kind of gap.
 FEATURES = 2048
@@ -19,12 +20,29 @@ CENTROIDS, ITERATIONS = 4, 12
 #: A text is rejected if it is further from its centroid than this part of the centroid's own texts.
 TAIL = 0.005
 UNKNOWN = "und"
+#: Rows of a slice: a slice holds several matrices of rows x FEATURES doubles.
+ROWS = 512
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded bytes of text and of at most ROWS rows."""
+    for part in common.slices(batches):
+        for at in range(0, part.num_rows, ROWS):
+            yield part.slice(at, ROWS)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield from fn(part)
+
+    return df.mapInArrow(run, schema)
+
+
 def counts(texts: pa.Array) -> np.ndarray:
     """Rows x features: how often each hashed n-gram occurs."""
     raw, borders = bytes_of(texts)
@@ -81,22 +99,13 @@ def clusters(x: np.ndarray, k: int, rounds: int = ITERATIONS) -> np.ndarray:
 def drawn(rows: DataFrame, most: int) -> DataFrame:
     """(lang, order, text): for each language the ``most`` different texts with the smallest hashes, or all if it has fewer.
 
-    Copies count once and only texts with an n-gram count. The hashes of all different texts are written once; about twice
-    ``most`` a language reach the driver, which finds each language's last hash. Tasks drop the copies they see before the shuffle.
+    Copies count once and only texts with an n-gram count. A task keeps no more than ``most`` hashes of a language before the shuffle; the
+    last hash of each language is a row of a table that is joined back. Tasks drop the copies they see before the shuffle.
     """
     rows = rows.where((F.octet_length("text") > 1) & F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).withColumn("order", F.xxhash64("text"))
-    different = keep(rows.select("lang", "order").distinct(), "langid-texts")
-
-    def until(last: dict[str, int]) -> Column:
-        out = F.lit(False)
-        for lang, order in last.items():
-            out = F.when(F.col("lang") == lang, F.col("order") <= order).otherwise(out)
-        return out
-
-    sizes = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    low = different.where(until({lang: min(1 << 64, (1 << 64) * (2 * most + 100) // n) - (1 << 63) - 1 for lang, n in sizes.items()})).toArrow()
-    langs, orders = np.array(low.column("lang").to_pylist(), object), low.column("order").to_numpy()
-    last = {lang: int(np.sort(orders[langs == lang])[:most][-1]) for lang in set(langs)}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    first = rows.select("lang", "order").distinct().withColumn("place", place).where(F.col("place") <= most)
+    last = keep(first.groupBy("lang").agg(F.max("order").alias("last")), "langid-last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
@@ -107,7 +116,7 @@ def drawn(rows: DataFrame, most: int) -> DataFrame:
                 seen.add(key)
             yield part.filter(pa.array(fresh, pa.bool_()))
 
-    few = rows.where(until(last)).select("lang", "order", "text").mapInArrow(run, "lang string, order long, text string")
+    few = rows.join(last, "lang").where(F.col("order") <= F.col("last")).select("lang", "order", "text").mapInArrow(run, "lang string, order long, text string")
     return few.groupBy("lang", "order").agg(F.first("text").alias("text"))
 
 

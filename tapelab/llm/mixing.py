@@ -131,7 +131,13 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents of which the mix takes words: all their columns, and ``mix_taken`` (repeats counted)."""
+    """The documents of which the mix takes words: all their columns, and ``mix_taken`` (repeats counted).
+
+    Nulls, repeated rows and ties as in ``mix_sources``; a document without words is never taken; an empty table gives no rows; a column
+    ``mix_taken`` of the documents is replaced.
+    """
     rows = ranked_rows(docs, id_column, text, source)
     plan = plan_mix(keep(rows.drop("doc"), "mix-ranked"))
-    return planned(rows, plan).where("taken > 0").select("doc.*", F.col("taken").alias("mix_taken"))
+    return planned(rows, plan).where("taken > 0").select(
+        *[F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != "mix_taken"], F.col("taken").alias("mix_taken")
+    )

@@ -90,15 +90,26 @@ def entity_of(kind: str, found: str) -> int:
 
 
 def class_of(term: str) -> str:
-    return "#number" if any(c.isdigit() for c in term) else "#word"
+    return "#number" if any(c.isdecimal() for c in term) else "#word"
+
+
+def terms_of(text: str) -> set[str]:
+    """The terms of a text: its words, each in lower case."""
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether no word character touches the span from outside."""
+    inside = lambda i: text[i].isalnum() or text[i] == "_"
+    return not (start and inside(start - 1)) and not (end < len(text) and inside(end))
 
 
 def context(text: str, span: Span, taken: list[Span]) -> list[tuple[str, int, int]]:
-    """Terms around a span, outside all spans, in order."""
+    """Terms around a span, outside all spans, in order: whole words, as ``terms_of`` counts them; one that the window cuts is none."""
     _, a, b = span
     out = []
     for lo, hi, last in ((max(0, a - WINDOW_CHARS), a, True), (b, min(len(text), b + WINDOW_CHARS), False)):
-        found = list(_WORD.finditer(text, lo, hi))
+        found = [m for m in _WORD.finditer(text, lo, hi) if whole(text, *m.span())]
         found = found[-WINDOW_WORDS:] if last else found[:WINDOW_WORDS]
         out += [(m[0].lower(), m.start(), m.end()) for m in found if not any(x < m.end() and m.start() < y for _, x, y in taken)]
     return out
@@ -173,7 +184,7 @@ def document_counts(rows: DataFrame, candidates: DataFrame, copies: DataFrame) -
 
         for part in slices(batches):
             for text, c in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
-                terms = set(_WORD.findall(text.lower()))
+                terms = terms_of(text)
                 seen[c].update(terms)
                 seen[c].update({class_of(t) for t in terms})
             if sum(map(len, seen.values())) >= FLUSH:
@@ -215,7 +226,7 @@ def risky_terms(near: DataFrame, rows: DataFrame, texts: DataFrame, support: int
     )
     judged = keep(judged, "judged")
     above = judged.where((F.col("given") >= threshold) & ~F.col("term").startswith("#"))
-    kind = F.when(F.col("term").rlike(r"\p{N}"), "#number").otherwise("#word")
+    kind = F.when(F.col("term").rlike(r"\p{Nd}"), "#number").otherwise("#word")
     classes = judged.where(F.col("term").startswith("#")).select("entity", F.col("term").alias("kind"), F.col("given").alias("class_given"))
     general = F.when(F.coalesce("class_given", F.lit(0.0)) < threshold, F.concat(F.lit("["), F.upper(F.substring("kind", 2, 9)), F.lit("]"))).otherwise("")
     return above.withColumn("kind", kind).join(classes, ["entity", "kind"], "left").select("entity", "term", general.alias("label"))
@@ -228,15 +239,24 @@ def find_spans(rows: DataFrame, **options) -> DataFrame:
     are the words near an entity that disclose it. Null texts count as empty and have none; repeated rows each get theirs;
     an empty table gives no rows. A frequent entity, term or pair is summed in parts before the shuffle.
     """
-    found, near, risky = disclosed(rows, **options)
+    return with_terms(*disclosed(rows, **options))
+
+
+def with_terms(found: DataFrame, near: DataFrame, risky: DataFrame) -> DataFrame:
+    """The scanned rows with the places of the risky terms in them."""
     flagged = near.where("start >= 0").join(risky, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "label"))).alias("terms"))
     return found.drop("near", "same").join(flagged, "row", "left")
 
 
+def scanned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows and their context terms."""
+    found = keep(scan(rows), "found")
+    return found, found.select("row", "same", F.explode("near").alias("x")).select("row", "same", "x.*")
+
+
 def disclosed(rows: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The scanned rows, their context terms, and the risky terms."""
-    found = keep(scan(rows), "found")
-    near = found.select("row", "same", F.explode("near").alias("x")).select("row", "same", "x.*")
+    found, near = scanned(rows)
     texts = keep(found.groupBy("same").agg(F.count("*").alias("copies")), "texts")
     return found, near, risky_terms(near, rows, texts, **options)
 
@@ -248,9 +268,12 @@ def all_spans() -> Column:
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with spans (start, end, mark) replaced; spans that overlap are replaced as one, by the mark of the first."""
+    """The text with spans (start, end, mark) replaced; spans that overlap are replaced as one, by the mark of the first.
+
+    Of equal spans the empty mark wins: a term that is removed for one entity goes, whatever stands for it for another.
+    """
     out, at = [], 0
-    for a, b, mark in sorted(spans, key=lambda s: (s[0], -s[1])):
+    for a, b, mark in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
@@ -272,13 +295,14 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text: str = "text", le
     """The documents with personal data and disclosing terms replaced in their texts; all other columns stay.
 
     ``length`` is set to the new number of code points where the table has that column and the text changed. Null texts stay
-    null. Up to ``RISKY_MOST`` risky terms go to the workers, which replace them in one pass; more are joined with the texts.
+    null. Up to ``RISKY_MOST`` risky terms go to the workers, which replace them in one pass; more are joined with the texts, to the
+    same result (``replaced`` settles both).
     """
     row = F.monotonically_increasing_id().alias("row")
     rows = docs.select(row, F.col(id_column).cast("long").alias("doc_id"), text_of(text).alias("text"))
     risky = keep(disclosed(rows, **options)[2], "risky")
     if risky.limit(RISKY_MOST + 1).count() > RISKY_MOST:
-        return sanitised_by_join(docs, id_column, text, length, **options)
+        return sanitised_by_join(docs, id_column, text, length, risky)
     labels = {(r.entity, r.term): r.label for r in risky.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,12 +319,12 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text: str = "text", le
     return docs.mapInArrow(run, docs.schema)
 
 
-def sanitised_by_join(docs: DataFrame, id_column: str, text: str, length: str, **options) -> DataFrame:
+def sanitised_by_join(docs: DataFrame, id_column: str, text: str, length: str, risky: DataFrame) -> DataFrame:
     """``sanitised`` for any number of risky terms: numbered rows meet the spans found in them."""
     numbered = keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     doc = F.col("doc")
     rows = numbered.select("row", doc[id_column].cast("long").alias("doc_id"), F.coalesce(doc[text], F.lit("")).alias("text"))
-    spans = find_spans(rows, **options).where("base <> ''").select("row", "base", "terms")
+    spans = with_terms(*scanned(rows), risky).where("base <> ''").select("row", "base", "terms")
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         new = []

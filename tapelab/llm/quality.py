@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from tapelab.llm.common import GOLD, batch, bytes_of, fold_of, keep, kept_rows,
 #: Hash buckets of words and of word shapes, and the length of their vectors: 3.2 MB, whatever the corpus.
 WORD_BUCKETS, SHAPE_BUCKETS, WIDTH = 1 << 14, 1 << 10, 48
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
+#: Tasks whose matrices are added before the last sum.
+GROUP = 1024
 #: Each index vector has so many entries of 1 or -1; a word gathers those of the words beside it.
 ENTRIES = 2
 #: Labelled rows that the network is fitted on, at most; every fifth of them calibrates the temperature.
@@ -72,8 +75,9 @@ def gather(texts: pa.Array, into: np.ndarray) -> None:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of all buckets, from the neighbours of every word of every text.
 
-    Each task sums its own matrix; matrices are added in as many blocks as there are buckets / 512, one block at a time, and
-    the sums (of whole numbers, so the order of tasks doesn't matter) are all that reaches the driver: one fixed-size matrix.
+    Each task sums its own matrix; matrices are added in as many blocks as there are buckets / 512, first those of each
+    ``GROUP`` tasks, then the sums. These (of whole numbers, so the order of tasks doesn't matter) are all that reaches the driver: one
+    fixed-size matrix.
     """
     size = 512 * WIDTH
 
@@ -82,17 +86,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for part in slices(batches):
             gather(part.column("text"), total)
         blocks = total.reshape(-1, size)
-        yield batch(block=np.arange(len(blocks)), data=pa.array([b.tobytes() for b in blocks], pa.binary()))
+        group = np.full(len(blocks), TaskContext.get().partitionId() // GROUP)
+        yield batch(block=np.arange(len(blocks)), group=group, data=pa.array([b.tobytes() for b in blocks], pa.binary()))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for part in batches:
-            for block, data in zip(part.column("block").to_pylist(), part.column("data"), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(data.as_buffer(), np.int64)
-        yield batch(block=pa.array(list(total), pa.int64()), data=pa.array([b.tobytes() for b in total.values()], pa.binary()))
-
-    schema = "block long, data binary"
-    summed = docs.select(text_of().alias("text")).mapInArrow(partial, schema).repartition(BUCKETS // 512, "block").mapInArrow(add, schema)
+            for block, group, data in zip(part.column("block").to_pylist(), part.column("group").to_pylist(), part.column("data"), strict=True):
+                total[block, group] = total.get((block, group), 0) + np.frombuffer(data.as_buffer(), np.int64)
+        block, group = (pa.array([k[i] for k in total], pa.int64()) for i in (0, 1))
+        yield batch(block=block, group=group, data=pa.array([b.tobytes() for b in total.values()], pa.binary()))
+
+    schema = "block long, group long, data binary"
+    summed = docs.select(text_of().alias("text")).mapInArrow(partial, schema).repartition("block", "group").mapInArrow(add, schema)
+    summed = summed.withColumn("group", F.lit(0).cast("long")).repartition(BUCKETS // 512, "block").mapInArrow(add, schema)
     matrix = np.zeros((BUCKETS * WIDTH // size, size))
     for row in summed.collect():
         matrix[row["block"]] = np.frombuffer(row["data"], np.int64)
@@ -158,9 +165,11 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, vectors: np.ndarray, mos
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     known = known.where(fold_of("doc_id", 5) != 0)
-    part = min(1.0, most / max(1, known.count()))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    drawn = keep(known.withColumn("draw", draw).where(F.col("draw") < int(part * 1_000_000)).orderBy("draw", "doc_id").limit(most), "drawn")
+    size = max(1, known.count())
+    # a little more than the part that is wanted passes the draw, on 63 bits; the limit then takes the first ``most`` of it
+    draw = F.xxhash64("doc_id").bitwiseAND((1 << 63) - 1)
+    until = ((1 << 63) - 1) * min(size, most * 11 // 10 + 100) // size
+    drawn = keep(known.withColumn("draw", draw).where(F.col("draw") <= until).orderBy("draw", "doc_id").limit(most), "drawn")
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = pooled(part.column("text"), vectors)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tapelab.llm import decontam, kneser_ney, mixing, neardup
 from tapelab.llm.common import slices, words
@@ -178,6 +179,9 @@ def test_mix_of_dirty_rows(dirty, nothing):
     kept = mixing.mixed_documents(dirty)
     assert kept.columns == [*dirty.columns, "mix_taken"] and kept.where("mix_taken <= 0").count() == 0
     assert mixing.mix_sources(nothing).count() == mixing.mixed_documents(nothing).count() == 0
+    again = mixing.mixed_documents(dirty.withColumn("Mix_Taken", F.lit("old")).withColumn("taken", F.lit(-1)))
+    assert again.columns == [*dirty.columns, "taken", "mix_taken"]
+    assert sorted(map(str, again.drop("taken").collect())) == sorted(map(str, kept.collect()))
 
 
 def edit_distance(p, t):
@@ -211,7 +215,10 @@ def test_matches_equal_brute_force(spark):
     for i, t in enumerate(texts):
         for j, item in enumerate(items):
             p = decontam.normal(item or "")
-            if p and (d := edit_distance(p, decontam.normal(t))) <= len(p) // decontam.CHARS_PER_EDIT:
+            if p and len(p) < decontam.CHARS_PER_EDIT:
+                if f" {p} " in f" {decontam.normal(t)} ":
+                    want[i, j] = 0
+            elif p and (d := edit_distance(p, decontam.normal(t))) <= len(p) // decontam.CHARS_PER_EDIT:
                 want[i, j] = d
     assert {k: r.edits for k, r in got.items()} == want and len(want) > 30
     for (i, j), r in got.items():
@@ -220,6 +227,15 @@ def test_matches_equal_brute_force(spark):
         assert r.edits <= edit_distance(p, found) <= r.edits + 2 and abs(len(found) - len(p)) <= r.edits + 2
 
 
+def test_short_items_count_as_whole_words(spark):
+    texts = ["I know the party", "no", "Oh NO!", "noon, no noon", "n o", "piano", "a no-go area"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "no"), (2, "The Party!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, texts[r.doc_id][r.start_char : r.end_char]) for r in decontam.matches(docs, bench).collect()}
+    assert got == {(1, 1, "no"), (2, 1, "NO"), (3, 1, "no"), (6, 1, "no"), (0, 2, "the party")}
+    assert sorted(r.doc_id for r in decontam.clean_documents(docs, bench).collect()) == [4, 5]
+
+
 def test_blocks_and_dirty_rows(spark, dirty, nothing, monkeypatch):
     bench = spark.createDataFrame([(1, rows()[3][1]), (None, rows()[5][1]), (2, None)], "item_id long, text string")
     whole = sorted(map(str, decontam.matches(dirty, bench).collect()))

@@ -1,9 +1,14 @@
 """Personal data, fingerprints, classifiers, URL filters and chat formatting."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapelab.llm import chat, langid, merkle, pii, quality, urlfilter
@@ -78,6 +83,75 @@ def test_copies_and_shared_passages_hide_no_disclosure(spark):
     assert {r.term: r.df for r in pii.document_counts(df, asked, ids).collect()} == {"zorb": 3, "quib": 62, "call": 300 + 1 + 60}
 
 
+def risky_by_hand(texts):
+    """(entity, term) -> label by the definition, from all different texts at once."""
+    different = sorted(set(texts))
+    support, joint, held = defaultdict(set), defaultdict(set), defaultdict(set)
+    words = {t: {w.lower() for w in re.findall(r"\w+", t)} for t in different}
+    df = Counter(w for t in different for w in words[t] | {pii.class_of(x) for x in words[t]})
+    for t in different:
+        for entity, terms in pii.contexts(t, pii.base_spans(t)):
+            held[entity].add(t)
+            names = [x for x, _, _ in terms]
+            for x in {*names, *map(pii.class_of, names)}:
+                support[entity, x].add(tuple(names))
+                joint[entity, x].add(t)
+    n, given = len(different), {}
+    for (entity, x), found in support.items():
+        if len(found) >= pii.SUPPORT:
+            e = len(held[entity])
+            given[entity, x] = math.log2(len(joint[entity, x]) * n / (e * df[x])) / math.log2(n / e) if n > e else 0.0
+    return {
+        (e, x): f"[{pii.class_of(x)[1:].upper()}]" if given.get((e, pii.class_of(x)), 0.0) < pii.DISCLOSURE else ""
+        for (e, x), g in given.items() if g >= pii.DISCLOSURE and not x.startswith("#")
+    }
+
+
+def test_disclosure_equals_brute_force(spark, monkeypatch):
+    """Both ways of replacing, on terms whose label differs by entity, and the measure itself by its definition."""
+    rng = random.Random(9)
+    common = "call write the times at please number now and so".split()
+    texts = []
+    for i in range(240):
+        words = [rng.choice(common) for _ in range(rng.randrange(4, 14))]
+        if i % 3 == 0:
+            k = rng.randrange(5)
+            words.insert(rng.randrange(len(words) + 1), f"p{k}@mail.example.com")
+            words += [f"zorb{k}", ("quib", "x77")[k % 2]][: rng.randrange(3)]
+            if i % 9 == 0:
+                words.append(f"also p{rng.randrange(5)}@mail.example.com")
+        texts.append(" ".join(words))
+    texts += texts[:20] + ["\u0130zorb \u0130 at p1@mail.example.com"] * 4
+    texts += [f"12 34 {i} p9@mail.example.com 55{i} 7 secret p8@mail.example.com tail" for i in range(4)] + [f"secret p8@mail.example.com number {w}" for w in "abcd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = risky_by_hand(texts)
+    rows_ = df.withColumn("row", F.monotonically_increasing_id())
+    got = {(r.entity, r.term): r.label for r in pii.disclosed(rows_)[2].collect()}
+    assert got == want and len(want) > 4
+    clean = {i: pii.clean(t, want) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in pii.sanitised(df).collect()} == clean
+    monkeypatch.setattr(pii, "RISKY_MOST", 0)
+    assert {r.doc_id: r.text for r in pii.sanitised(df).collect()} == clean
+
+
+def test_a_term_with_two_labels_is_removed(spark):
+    text = "see a@mail.example.com word b@mail.example.com end"
+    a, b = (pii.hashed(f"email:{x}@mail.example.com") for x in "ab")
+    for labels in ({(a, "word"): "[WORD]", (b, "word"): ""}, {(a, "word"): "", (b, "word"): "[WORD]"}):
+        assert pii.clean(text, labels) == "see [EMAIL]  [EMAIL] end"
+        risky = spark.createDataFrame([(e, t, label) for (e, t), label in labels.items()], "entity long, term string, label string")
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert pii.sanitised_by_join(docs, "doc_id", "text", "n_chars", risky).first().text == "see [EMAIL]  [EMAIL] end"
+
+
+def test_windows_cut_no_word():
+    text = "confidential " + "x" * (pii.WINDOW_CHARS - 8) + " a.b@mail.example.com " + "y" * (pii.WINDOW_CHARS - 4) + " secret"
+    ((_, terms),) = pii.contexts(text, pii.base_spans(text))
+    assert [t for t, _, _ in terms] == ["x" * (pii.WINDOW_CHARS - 8), "y" * (pii.WINDOW_CHARS - 4)]
+    ((_, terms),) = pii.contexts("\u00fca.b@mail.example.com z", pii.base_spans("\u00fca.b@mail.example.com z"))
+    assert [t for t, _, _ in terms] == ["z"]
+
+
 def test_personal_data_of_dirty_rows(dirty, nothing):
     clean = pii.sanitised(dirty)
     assert clean.columns == dirty.columns and clean.count() == len(rows())
@@ -131,6 +205,40 @@ def test_quality_is_learned_and_held_out(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quality.score_documents(docs, labels).collect()))
 
 
+def test_word_vectors_equal_brute_force(spark, monkeypatch):
+    """Sums of the neighbours' index vectors, added in groups of tasks; features are means over words."""
+    monkeypatch.setattr(quality, "GROUP", 2)
+    texts = ["a b c a", "", "Solo", "x1 x1 Y, z", "b a", "\u00e9 a"]
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(5))
+    places, signs = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for t in texts:
+        word, shape, _ = quality.buckets(pa.array([t]))
+        for ids in (word.tolist(), shape.tolist()):
+            for i, own in enumerate(ids):
+                for other in ids[max(0, i - 1) : i] + ids[i + 1 : i + 2]:
+                    for e in range(quality.ENTRIES):
+                        want[own, places[other, e]] += 3 * signs[other, e]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1.0)
+    assert np.allclose(got, want, atol=1e-6)
+    features = quality.pooled(pa.array(texts), got)
+    word, shape, _ = quality.buckets(pa.array([texts[3]]))
+    assert np.allclose(features[3], np.concatenate((got[word].mean(0), got[shape].mean(0))), atol=1e-6) and not features[1].any()
+
+
+def test_labelled_sample_is_drawn_by_hash(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, quality int")
+    vectors = quality.word_vectors(docs)
+    x, y = quality.labelled_sample(docs, labels, vectors, most=50)
+    assert len(x) == len(y) == 50 and 0 < y.sum() < 50
+    fold = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5]
+    order = {r.doc_id: r.h & (2**63 - 1) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    first = sorted(fold, key=order.get)[:50]
+    assert y.tolist() == [i % 2 for i in first]
+    assert np.allclose(x, [quality.pooled(pa.array([f"text {i}"]), vectors)[0] for i in first], atol=1e-6)
+
+
 def test_quality_of_dirty_rows(spark, dirty, nothing):
     labels = spark.createDataFrame([(i, i % 2 if i != 3 else None) for i in range(12)] + [(None, 1), (1, 0), (22, 1)], "doc_id long, quality int")
     got = quality.score_documents(dirty, labels).collect()
@@ -166,6 +274,34 @@ def test_copies_leave_every_language_its_texts(spark):
     assert all(texts[r.doc_id][1] == r.lang_pred for r in langid.predict(docs.drop("lang"), model).collect())
 
 
+def test_languages_equal_brute_force(spark):
+    """The drawn texts, the counts of n-grams and the nearest centroid by their definitions."""
+    rng = random.Random(4)
+    texts = [("".join(rng.choice("abc de" if i % 2 else "xyz vw") for _ in range(rng.randrange(2, 60))), "ef"[i % 2]) for i in range(60)] * 2
+    df = spark.createDataFrame(texts, "text string, lang string").repartition(4)
+    got = {(r.lang, r.text) for r in langid.drawn(df, 7).collect()}
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = set()
+    for lang in "ef":
+        mine = {t for t, x in texts if x == lang and re.search("[A-Za-z]", t)}
+        want |= {(lang, t) for t in sorted(mine, key=hashes.get)[:7]}
+    assert got == want
+    model = langid.train(df, most=7)
+    docs = df.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.lit(True).alias("letters"))
+    idf = np.asarray(model["idf"])
+    for r in docs.join(langid.predict(docs, model), "doc_id").collect():
+        grams = Counter(r.text[i : i + k] for k in (2, 3) for i in range(len(r.text) - k + 1) if r.text[i : i + k].strip())
+        x = np.zeros(langid.FEATURES)
+        for g, n in grams.items():
+            code = 0
+            for c in g.encode():
+                code = (code * 257 + c) % 2**32
+            x[(code * 2654435761 % 2**32) >> (32 - langid.FEATURES.bit_length() + 1)] += n
+        x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * idf
+        near = model["centres"] @ (x / max(np.linalg.norm(x), 1e-12))
+        assert r.lang_pred == model["langs"][int(near.argmax())] and math.isclose(r.score, min(1.0, max(0.0, near.max())), abs_tol=1e-5)
+
+
 def test_languages_of_dirty_rows(dirty, nothing):
     assert langid.identify(dirty).count() == len(rows()) and langid.identify(nothing).count() == 0
     unlabelled = langid.identify(dirty.withColumn("lang", F.lit(None).cast("string"))).collect()
