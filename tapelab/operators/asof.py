@@ -1,7 +1,7 @@
 """As-of joins, interpolation and event merging.
 
 Every as-of join here is a union of both sides and one sort inside (key, time bucket);
-what a bucket inherits from others is looked up in a table of one row per bucket. No range
+what a bucket inherits from others is looked up in a table of one row per bucket that has rows. No range
 condition is ever joined and a hot key is spread over its buckets (see ``scan``).
 """
 
@@ -16,57 +16,24 @@ from pyspark.sql import functions as F
 from tapelab.operators import scan
 
 
+def edges(cells: DataFrame, right: DataFrame, by: Sequence[str], prev: bool, nxt: bool) -> DataFrame:
+    """What each bucket inherits from the right rows of other buckets: ``_cprev`` and ``_cnext``.
 
-def _bucket_edges(right: DataFrame, by: Sequence[str], prev: bool, nxt: bool) -> tuple[DataFrame, DataFrame]:
-    """What a bucket inherits from the right rows of other buckets.
-
-    The first table has a row for every bucket between a key's first and last; the
-    second has one row per key for the buckets outside that range. Both come from the
-    right side alone, so a chain of as-of joins reads its left side once.
+    ``cells`` has the (key, bucket) of every left row, ``right`` the right rows. Both shrink to one row per (key, bucket) before
+    the shuffle, and the values are filled along each key's buckets, so the table has at most as many rows as the two sides have
+    buckets, however far these lie apart.
     """
-    order = F.struct("_t", "_tie")
+    order = F.when(F.col("_v").isNotNull(), F.struct("_t", "_tie"))
     aggs = [F.max_by("_v", order).alias("_hi")] if prev else []
     aggs += [F.min_by("_v", order).alias("_lo")] if nxt else []
-    summary = right.groupBy(*by, scan.BUCKET).agg(*aggs)
-    keys = [F.col(k) for k in by] or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(scan.BUCKET)
-    cols = {"_after": F.lead(scan.BUCKET).over(w)}
-    if prev:
-        cols["_hi0"] = F.lag("_hi").over(w)
-    if nxt:
-        cols["_lo1"] = F.lead("_lo").over(w)
-    run = summary.withColumns(cols)
-    here = F.col(scan.BUCKET)
-    # the buckets up to the next one with right rows, in runs of 1024 so that no array grows with a gap
-    end = F.coalesce(F.col("_after") - 1, here)
-    starts = F.sequence(here, end, F.lit(1024).cast("long"))
+    narrow = right.select(*by, scan.BUCKET, "_t", "_tie", "_v")
+    summary = narrow.unionByName(cells, allowMissingColumns=True).groupBy(*by, scan.BUCKET).agg(*aggs)
     out = []
     if prev:
-        out.append(F.when(F.col("_d") == here, F.col("_hi0")).otherwise(F.col("_hi")).alias("_cprev"))
-    if nxt:
-        out.append(F.col("_lo1").alias("_cnext"))
-    run = run.withColumn("_end", end).withColumn("_start", F.explode(starts))
-    run = run.withColumn("_d", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + 1023, "_end"))))
-    dense = run.select(*by, F.col("_d").alias("_eb"), *out)
-    ends = [F.max(scan.BUCKET).alias("_zb"), F.min(scan.BUCKET).alias("_ab")]
-    if prev:
-        ends.append(F.max_by("_hi", scan.BUCKET).alias("_zv"))
+        out.append(scan.last_value(F.col("_hi")).over(scan.across(by)).alias("_cprev"))
     if nxt:
-        ends.append(F.min_by("_lo", scan.BUCKET).alias("_av"))
-    return dense, summary.groupBy(*by).agg(*ends)
-
-
-def _outer(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Left join on renamed keys, null keys included; without keys the right side is one row."""
-    if not pairs:
-        one = right.select(F.struct(*right.columns)).scalar()
-        return left.withColumn("_one", one).select(*left.columns, "_one.*")
-    renamed = right.withColumnsRenamed({r: f"_k{i}" for i, (_, r) in enumerate(pairs)})
-    cond = None
-    for i, (k, _) in enumerate(pairs):
-        term = left[k].eqNullSafe(renamed[f"_k{i}"])
-        cond = term if cond is None else cond & term
-    return left.join(renamed, cond, "left").drop(*[f"_k{i}" for i in range(len(pairs))])
+        out.append(scan.last_value(F.col("_lo")).over(scan.across(by, descending=True)).alias("_cnext"))
+    return summary.select(*by, scan.BUCKET, *out)
 
 
 def neighbours(
@@ -80,12 +47,16 @@ def neighbours(
     equal_to: str = "prev",
     want: Sequence[str] = ("prev",),
     width: int = scan.HOUR_MS,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Left rows plus ``_prev`` and/or ``_next`` structs of the nearest right rows.
 
     ``equal_to`` says which neighbour a right row at exactly the left time belongs
     to. Each struct holds ``cols`` and ``_ts``. Among right rows of one time, ``_prev``
     takes the last and ``_next`` the first in ``tie`` order.
+
+    The rows of the left side are read once; besides, its (key, time) columns alone are read to list its buckets. Where the left side is
+    costly, ``cells`` names a cheaper table with the same columns that holds at least these keys and times.
     """
     by = list(by)
     prev, nxt = "prev" in want, "next" in want
@@ -120,17 +91,15 @@ def neighbours(
             .rowsBetween(*frame)
         )
         local["_lnext"] = scan.last_value(F.col("_v")).over(w)
-    dense, ends = _bucket_edges(rrows, by, prev, nxt)
+    listed = (left if cells is None else cells).select(*by, scan.bucket_of(F.col(left_on).cast("long"), width).alias(scan.BUCKET))
+    carried = edges(listed, rrows, by, prev, nxt)
     rows = rows.withColumns(local).where(F.col("_l").isNotNull()).drop("_v", "_side", "_tie")
-    rows = _outer(rows, dense, [*[(k, k) for k in by], (scan.BUCKET, "_eb")])
-    rows = _outer(rows, ends, [(k, k) for k in by])
+    rows = scan.join_carry(rows, carried, by)
     out = [F.col(f"_l.`{c}`").alias(c) for c in left.columns]
     if prev:
-        tail = F.when(F.col(scan.BUCKET) > F.col("_zb"), F.col("_zv"))
-        out.append(F.coalesce(F.col("_lprev"), F.col("_cprev"), tail).alias("_prev"))
+        out.append(F.coalesce(F.col("_lprev"), F.col("_cprev")).alias("_prev"))
     if nxt:
-        head = F.when(F.col(scan.BUCKET) < F.col("_ab"), F.col("_av"))
-        out.append(F.coalesce(F.col("_lnext"), F.col("_cnext"), head).alias("_next"))
+        out.append(F.coalesce(F.col("_lnext"), F.col("_cnext")).alias("_next"))
     return rows.select(*out)
 
 
@@ -146,11 +115,12 @@ def asof_backward(
     allow_equal: bool = True,
     matched_ts: str | None = None,
     width: int = scan.HOUR_MS,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Newest right row with ``ts <= t`` (``< t`` if not ``allow_equal``), else nulls."""
     got = neighbours(
         left, right, on, right_on or on, by, cols, tie,
-        "prev" if allow_equal else "next", ("prev",), width,
+        "prev" if allow_equal else "next", ("prev",), width, cells,
     )
     return _unpack(got, left, "_prev", on, cols, tolerance, matched_ts)
 
@@ -166,10 +136,11 @@ def asof_forward(
     tolerance: int | None = None,
     matched_ts: str | None = None,
     width: int = scan.HOUR_MS,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Oldest right row with ``ts >= t``; the first row of a time wins."""
     got = neighbours(
-        left, right, on, right_on or on, by, cols, tie, "next", ("next",), width
+        left, right, on, right_on or on, by, cols, tie, "next", ("next",), width, cells
     )
     return _unpack(got, left, "_next", on, cols, tolerance, matched_ts)
 

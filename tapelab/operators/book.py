@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelab.operators import asof, intervals, scan
 
+# Fixed value: the levels a side that a book's hash covers.
+DEPTH = 5
+
 
 def book_levels(levels: DataFrame, token: str = "token_id", at: int | None = None, ts: str = "ts_ms") -> DataFrame:
     """Live levels per token: last quantity per (side, price) since the last snapshot.
@@ -26,7 +29,15 @@ def book_levels(levels: DataFrame, token: str = "token_id", at: int | None = Non
     return last.where(F.col("quantity") > 0)
 
 
-def book_state(levels: DataFrame, token: str = "token_id", depth: int = 5) -> DataFrame:
+def book_hash(bids: Column, asks: Column, depth: int = DEPTH) -> Column:
+    """Hash of the ``depth`` best levels a side, from arrays of (price_micros, quantity) with the best first."""
+    text = lambda side: F.array_join(
+        F.transform(F.slice(side, 1, depth), lambda x: F.concat_ws(":", x["price_micros"], x["quantity"])), ","
+    )
+    return F.md5(F.concat(text(bids), F.lit("|"), text(asks)))
+
+
+def book_state(levels: DataFrame, token: str = "token_id", depth: int = DEPTH) -> DataFrame:
     """Sorted sides per token, best prices and a hash of the top levels.
 
     Levels of a token are distinct prices on the tick grid, so the arrays are bounded.
@@ -36,47 +47,76 @@ def book_state(levels: DataFrame, token: str = "token_id", depth: int = 5) -> Da
         F.array_sort(F.collect_list(F.when(F.col("side") == "ASK", lv))).alias("asks"),
         F.reverse(F.array_sort(F.collect_list(F.when(F.col("side") == "BID", lv)))).alias("bids"),
     )
-    top = lambda c: F.slice(F.col(c), 1, depth)
     return sides.withColumns(
         {
             "best_bid_micros": F.get("bids", F.lit(0))["price_micros"],
             "best_ask_micros": F.get("asks", F.lit(0))["price_micros"],
-            "book_hash": F.xxhash64(top("bids"), top("asks")),
+            "book_hash": book_hash(F.col("bids"), F.col("asks"), depth),
         }
     )
 
 
-def book_tops(levels: DataFrame, token: str = "token_id", width: int = 100_000, cover_levels: int = 8) -> DataFrame:
-    """``token, msg, best_bid_micros, best_ask_micros`` after every message: the book as it was published each time.
+def _covered(levels: DataFrame, token: str, width: int, cover_levels: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks of message numbers that each live level fills, and the blocks that each message lies in.
 
-    ``levels`` as in ``book_levels``; the times of change of one level (side and price of a token) lie in one task. A level
-    is live from its message to the next message about it or the next snapshot. That run of message numbers is covered by
-    aligned blocks of 16^k numbers (at most 30 a size), the blocks keep their best prices, and a message reads the few blocks
-    it lies in: no book is rebuilt, and no token needs one task. ``width`` is the number of messages in a bucket of the
-    lookup of the next snapshot.
+    A level is live from its message to the next message about it or the next snapshot. That run of message numbers is covered by
+    aligned blocks of 16^k numbers (at most 30 a size), and a message lies in one block of each size: no book is rebuilt, and no
+    token needs one task.
     """
     messages = levels.select(token, "msg").distinct()
     snapshots = levels.where(F.col("kind") == "snapshot").select(token, F.col("msg").alias("_next_snap")).distinct()
     change = Window.partitionBy(token, "side", "price_micros").orderBy("msg", "pos")
-    rows = levels.where(F.col("price_micros").isNotNull()).select(token, "side", "price_micros", "quantity", "msg", F.lead("msg").over(change).alias("_until"))
+    rows = levels.where(F.col("price_micros").isNotNull()).select(
+        token, "side", "price_micros", "quantity", "msg", F.lead("msg").over(change).alias("_until")
+    )
     rows = rows.where(F.col("quantity") > 0).withColumn("_after", F.col("msg") + 1)
     rows = asof.asof_forward(rows, snapshots, "_after", [token], ["_next_snap"], right_on="_next_snap", width=width)
     last = messages.groupBy(token).agg(F.max("msg").alias("_last"))
+    level = [token, "side", "price_micros", "quantity"]
     spans = rows.join(last, token).select(
-        token, "side", "price_micros", F.col("msg").alias("_lo"), F.least("_until", "_next_snap", F.col("_last") + 1).alias("_hi")
+        *level, F.col("msg").alias("_lo"), F.least("_until", "_next_snap", F.col("_last") + 1).alias("_hi")
     )
-    cover = intervals.cover(spans, [token, "side", "price_micros"], cover_levels)
+    places = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("msg") / intervals.FAN**n).cast("long").alias("block")) for n in range(cover_levels)])
+    probes = messages.select(token, "msg", F.explode(places).alias("_p")).select(token, "msg", "_p.level", "_p.block")
+    return intervals.cover(spans, level, cover_levels), probes
+
+
+def book_tops(levels: DataFrame, token: str = "token_id", width: int = 100_000, cover_levels: int = 8) -> DataFrame:
+    """``token, msg, best_bid_micros, best_ask_micros`` after every message: the book as it was published each time.
+
+    ``levels`` as in ``book_levels``; the times of change of one level (side and price of a token) lie in one task. The blocks
+    of ``_covered`` keep their best prices, and a message reads the few blocks it lies in. ``width`` is the number of messages in
+    a bucket of the lookup of the next snapshot.
+    """
+    cover, probes = _covered(levels, token, width, cover_levels)
     price = F.col("price_micros")
     best = cover.groupBy(token, "level", "block").agg(
         F.max(F.when(F.col("side") == "BID", price)).alias("_bid"), F.min(F.when(F.col("side") == "ASK", price)).alias("_ask")
     )
-    places = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("msg") / intervals.FAN**n).cast("long").alias("block")) for n in range(cover_levels)])
-    probes = messages.select(token, "msg", F.explode(places).alias("_p")).select(token, "msg", "_p.level", "_p.block")
     return probes.join(best, [token, "level", "block"], "left").groupBy(token, "msg").agg(
         F.max("_bid").alias("best_bid_micros"), F.min("_ask").alias("best_ask_micros")
     )
 
 
+def book_hashes(
+    levels: DataFrame, token: str = "token_id", depth: int = DEPTH, width: int = 100_000, cover_levels: int = 8
+) -> DataFrame:
+    """``token, msg, book_hash`` after every message, as ``book_state`` would give it then.
+
+    As ``book_tops``, but a block keeps its ``depth`` best levels a side; the best of all blocks of a message are among them, as a
+    live level is in one block of a message only. An empty side hashes as the empty text.
+    """
+    cover, probes = _covered(levels, token, width, cover_levels)
+    bid = F.col("side") == "BID"
+    rank = F.when(bid, -F.col("price_micros")).otherwise(F.col("price_micros"))
+    order = Window.partitionBy(token, "level", "block", "side").orderBy(rank)
+    best = cover.withColumn("_rank", rank).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth)
+    best = best.groupBy(token, "level", "block").agg(F.collect_list(F.struct("side", "_rank", "price_micros", "quantity")).alias("_best"))
+    held = probes.join(best, [token, "level", "block"], "left").groupBy(token, "msg").agg(F.flatten(F.collect_list("_best")).alias("_all"))
+    side = lambda s: F.sort_array(F.filter("_all", lambda x: x["side"] == s))
+    return held.select(token, "msg", book_hash(side("BID"), side("ASK"), depth).alias("book_hash"))
+
+
 def book_metrics(levels: DataFrame, token: str = "token_id") -> DataFrame:
     """Best prices, spread, mid, depth, imbalance and microprice; crossed books are null."""
     bid, ask = F.col("side") == "BID", F.col("side") == "ASK"
@@ -115,11 +155,40 @@ def stale_flags(
     """
     snap = F.col("kind") == "snapshot"
     seen = F.when(snap | F.col("sequence").isNotNull(), F.struct(F.col("sequence").alias("s")))
-    work = scan.running_last(messages, by, ts, {"_seen": seen}, tie, width, inclusive=False)
-    expected = F.col("_seen.s") + 1
-    gap = ~snap & expected.isNotNull() & ~F.coalesce(F.col("sequence") == expected, F.lit(False))
-    broke = gap | ~F.coalesce(F.col("hash_ok"), F.lit(True))
-    # A snapshot resets the state to its own check; a break sets it; other rows leave it.
-    event = F.when(snap | broke, broke)
-    work = scan.running_last(work, by, ts, {"_broken": event}, tie, width)
-    return work.select(*messages.columns, F.coalesce("_broken", F.lit(True)).alias("stale"))
+    bad = ~F.coalesce(F.col("hash_ok"), F.lit(True))
+    work = scan.with_bucket(messages, ts, width).withColumns({"_seen": seen, "_bad": bad})
+    rows = scan.bucket_window(by).orderBy(ts, *tie)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work = work.withColumn("_last", scan.last_value(F.col("_seen")).over(rows.rowsBetween(Window.unboundedPreceding, -1)))
+    # Before the first sequence of its bucket a delta is judged by the sequence that the bucket inherits. Until then only breaks can
+    # happen: a failed hash at once, no sequence if the bucket inherits one, another sequence than the inherited one plus one.
+    head = ~snap & F.col("_last").isNull()
+    expected = F.col("_last.s") + 1
+    gap = ~snap & ~head & expected.isNotNull() & ~F.coalesce(F.col("sequence") == expected, F.lit(False))
+    broke = gap | F.col("_bad")
+    work = work.withColumns(
+        {
+            "_event": F.when(snap | broke, broke),
+            "_none": head & F.col("sequence").isNull(),
+            "_first": F.when(head, F.col("sequence")),
+        }
+    )
+    run = {"_event": scan.last_value, "_none": F.max, "_first": F.max}
+    work = work.withColumns({c: f(F.col(c)).over(so_far) for c, f in run.items()})
+    order = F.struct(ts, *tie)
+    ends = work.groupBy(*by, scan.BUCKET).agg(
+        F.max_by("_seen", F.when(F.col("_seen").isNotNull(), order)).alias("_seen"), *[F.max_by(c, order).alias(c) for c in run]
+    )
+
+    def broken(inherited: Column) -> Column:
+        """Whether the head of a bucket broke, given the sequence it inherits (null: none is expected)."""
+        wrong = F.col("_none") | F.coalesce(F.col("_first") != inherited + 1, F.lit(False))
+        return inherited.isNotNull() & wrong
+
+    before = scan.across(by)
+    ends = ends.withColumn("_inherited", scan.last_value(F.col("_seen")).over(before)["s"])
+    state = F.coalesce("_event", F.when(broken(F.col("_inherited")), F.lit(True)))
+    ends = ends.withColumn("_state", scan.last_value(state).over(before)).select(*by, scan.BUCKET, "_inherited", "_state")
+    work = scan.join_carry(work, ends, by)
+    stale = F.coalesce("_event", F.when(broken(F.col("_inherited")), F.lit(True)), "_state", F.lit(True))
+    return work.select(*messages.columns, stale.alias("stale"))

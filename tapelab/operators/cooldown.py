@@ -1,148 +1,139 @@
 """Greedy rate limits: at most one accepted row per key and interval.
 
-The chain "accept, wait, accept the next row" is sequential, but it restarts after
-any pause of at least the interval, because the row after such a pause is accepted
-whatever came before. Keys are cut there first. Inside a dense run the chain is split by
-time bucket: every bucket reports, for each row a chain could enter at, the row of a later
-bucket it leaves to; the short list of entries is walked once, and the buckets then
-replay from their known entry on their own.
+The chain "accept, wait, accept the next row" is sequential. It is split by time bucket: every bucket reports, for each time
+a chain could enter at, the time from which the next row may be accepted after it has left; that short list is walked once per key in
+time order, and the buckets then replay from their known entry on their own. All three steps stream over sorted partitions: none holds
+more than a bucket's times, and the walk holds one number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapelab.operators import scan
-
-
-def _chain(ts: np.ndarray, first: int, interval: int) -> np.ndarray:
-    """Accepted positions of the chain that starts at position ``first``."""
-    picks, i = [], first
-    while i < len(ts):
-        picks.append(i)
-        i = int(np.searchsorted(ts, ts[i] + interval, side="left"))
-    return np.array(picks, dtype=np.int64)
+from tapelab.session import settle
+
+_KEY, _T = "_key", "_t"
+
+
+def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of a partition sorted by key and bucket, cut where a bucket ends."""
+    rest: pd.DataFrame | None = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = (pdf[_KEY] == pdf[_KEY].iloc[-1]) & (pdf[scan.BUCKET] == pdf[scan.BUCKET].iloc[-1])
+        cut = int(np.argmax(last.to_numpy()))
+        rest = pdf.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
+class _Steps:
+    """Of every row of whole buckets: its bucket's number and end, and the first row of the bucket an interval later."""
+
+    def __init__(self, pdf: pd.DataFrame, width: int, interval: int) -> None:
+        key, bucket, self.t = pdf[_KEY].to_numpy(), pdf[scan.BUCKET].to_numpy(), pdf[_T].to_numpy()
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
+        self.starts = np.flatnonzero(fresh)
+        self.code = np.cumsum(fresh) - 1
+        self.end = np.append(self.starts[1:], len(key))[self.code]
+        self.rel = self.t - bucket * width
+        span = width + 2 * interval
+        self.place = self.code * span + self.rel
+        self.next = np.searchsorted(self.place, self.place + interval, side="left")
+        self.span = span
 
 
 def cooldown(
     df: DataFrame, by: Sequence[str], ts: str, interval_ms: int, tie: Sequence[str] = (),
-    width: int = scan.HOUR_MS, out: str = "accepted", shards: int = 256,
+    width: int = scan.HOUR_MS, out: str = "accepted", among: Column | None = None,
 ) -> DataFrame:
-    """Adds ``out``: true on rows a first-come limit of one per interval would accept."""
-    keys = list(by)
-    width = max(width, interval_ms)
-    # Equal times: only the first row of a time can be accepted.
-    firsts = df.groupBy(*keys, F.col(ts).alias("_t")).agg(F.min(F.struct(*tie)).alias("_tie")) if tie else (
-        df.groupBy(*keys, F.col(ts).alias("_t")).agg(F.lit(0).alias("_tie"))
-    )
-    runs = scan.gap_runs(firsts.select(*keys, "_t"), keys, "_t", interval_ms, width=width)
-    runs = runs.withColumn(scan.BUCKET, scan.bucket_of(F.col("_t"), width))
-    # Many runs share one pandas group: a shard of a bucket, or a shard of all runs.
-    runs = runs.withColumn(
-        "_shard", F.pmod(F.xxhash64(*keys, "_run"), F.lit(shards)).cast("int")
-    )
-    group = [*keys, "_run", scan.BUCKET]
-    kind = {f.name: f for f in runs.schema.fields}
-
-    def schema(names: Sequence[str], *extra: str) -> T.StructType:
-        return T.StructType([*[kind[k] for k in names], *[T.StructField(e, T.LongType()) for e in extra]])
-
-    def parts(pdf: pd.DataFrame, names: list[str], order: str):
-        """Row positions of each run in the pandas group, ordered inside the run."""
-        code = pdf.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
-        rows = np.lexsort((pdf[order].to_numpy(), code))
-        cuts = np.flatnonzero(np.diff(code[rows])) + 1
-        return np.split(rows, cuts)
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        bound = int(pdf[scan.BUCKET].iloc[0]) * width + 2 * interval_ms
-        all_t = pdf["_t"].to_numpy()
-        source, enter, leave = [], [], []
-        for rows in parts(pdf, [*keys, "_run"], "_t"):
-            t = all_t[rows]
-            step = np.searchsorted(t, t + interval_ms, side="left")
-            last = np.arange(len(t))
-            for i in range(len(t) - 1, -1, -1):
-                if step[i] < len(t):
-                    last[i] = last[step[i]]
-            # A chain enters at the run's start or within one interval after the bucket's.
-            may = np.flatnonzero(t < bound)
-            may = may if len(may) else np.array([0])
-            source.append(rows[may])
-            enter.append(t[may])
-            leave.append(t[last[may]] + interval_ms)
-        head = pdf.iloc[np.concatenate(source)][[*group, "_shard"]].reset_index(drop=True)
-        return head.assign(_enter=np.concatenate(enter), _leave=np.concatenate(leave))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        t_all, leave_all = pdf["_enter"].to_numpy(), pdf["_leave"].to_numpy()
-        bucket_all, run_all = pdf[scan.BUCKET].to_numpy(), pdf["_run"].to_numpy()
-        picks = []
-        for rows in parts(pdf, [*keys, "_run"], "_enter"):
-            t, bucket = t_all[rows], bucket_all[rows]
-            need, i = int(run_all[rows[0]]), 0
-            while i < len(rows):
-                i = int(np.searchsorted(t, need, side="left"))
-                if i >= len(rows):
-                    break
-                picks.append(rows[i])
-                need = int(leave_all[rows[i]])
-                i = int(np.searchsorted(bucket, bucket[i], side="right"))
-        head = pdf.iloc[picks][[*group, "_shard"]].reset_index(drop=True)
-        return head.assign(_start=t_all[picks])
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        all_t, starts_at = pdf["_t"].to_numpy(), pdf["_start"].to_numpy()
-        picks = []
-        for rows in parts(pdf, [*keys, "_run"], "_t"):
-            t = all_t[rows]
-            first = int(np.searchsorted(t, starts_at[rows[0]]))
-            picks.append(rows[_chain(t, first, interval_ms)])
-        return pdf.iloc[np.concatenate(picks)][[*keys, "_t"]].reset_index(drop=True)
-
-    starts = (
-        runs.groupBy(scan.BUCKET, "_shard").applyInPandas(entries, schema([*group, "_shard"], "_enter", "_leave"))
-        .groupBy("_shard").applyInPandas(walk, schema([*group, "_shard"], "_start"))
-    )
-    hits = (
-        runs.join(starts.drop("_shard"), group)
-        .groupBy(scan.BUCKET, "_shard").applyInPandas(replay, schema([*keys, "_t"]))
-    )
-    won = firsts.join(hits.withColumn("_hit", F.lit(True)), [*keys, "_t"])
-    got = df.withColumn("_t", F.col(ts))
-    got = got.join(won, [*keys, "_t"], "left")
-    mine = F.struct(*tie) == F.col("_tie") if tie else F.lit(True)
-    ok: Column = F.coalesce(F.col("_hit") & mine, F.lit(False))
-    return got.withColumn(out, ok).drop("_t", "_tie", "_hit")
+    """Adds ``out``: true on rows a first-come limit of one per interval would accept.
+
+    Of rows of one time the first in ``tie`` order can be accepted. With ``among`` only rows where it is true take part.
+    """
+    interval = int(interval_ms)
+    width = max(width, interval)
+    # Keys of any type, nulls included, as one text.
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    taking = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    times = df.where(taking).select(key.alias(_KEY), F.col(ts).cast("long").alias(_T)).where(F.col(_T).isNotNull())
+    times = times.withColumn(scan.BUCKET, scan.bucket_of(F.col(_T), width))
+    group = [_KEY, scan.BUCKET]
+    schema = f"{_KEY} string, {scan.BUCKET} long"
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_buckets(batches):
+            s = _Steps(pdf, width, interval)
+            # The last row of the chain from each row: steps doubled until none moves.
+            last = np.where(s.next < s.end, s.next, np.arange(len(pdf)))
+            while not np.array_equal(further := last[last], last):
+                last = further
+            late = s.rel >= interval
+            first_late = late & np.concatenate(([True], ~late[:-1] | (s.code[1:] != s.code[:-1])))
+            may = ~late | first_late
+            fresh = np.concatenate(([True], s.place[1:] != s.place[:-1]))
+            at = np.flatnonzero(may & fresh)
+            yield pdf.iloc[at].rename(columns={_T: "_enter"}).assign(_leave=s.t[last[at]] + interval)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        need, now, done = 0, None, None
+        for pdf in batches:
+            picks = []
+            columns = (pdf[c].tolist() for c in (_KEY, scan.BUCKET, "_enter", "_leave"))
+            for i, (k, b, enter, leave) in enumerate(zip(*columns, strict=True)):
+                if k != now:
+                    now, need, done = k, enter, None
+                if b != done and enter >= need:
+                    picks.append(i)
+                    need, done = leave, b
+            yield pdf.iloc[picks][[*group, "_enter"]].rename(columns={"_enter": "_start"})
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_buckets(batches):
+            s = _Steps(pdf, width, interval)
+            enter = pdf["_start"].to_numpy()[s.starts] - pdf[scan.BUCKET].to_numpy()[s.starts] * width
+            at = np.searchsorted(s.place, s.code[s.starts] * s.span + enter, side="left")
+            picks = []
+            while len(at):
+                picks.append(at)
+                at = s.next[at[s.next[at] < s.end[at]]]
+            yield pdf.iloc[np.concatenate(picks)][[_KEY, _T]]
+
+    dealt = times.repartition(*group)
+    doors = dealt.sortWithinPartitions(*group, _T).mapInPandas(entries, f"{schema}, _enter long, _leave long")
+    starts = doors.repartition(_KEY).sortWithinPartitions(*group, "_enter").mapInPandas(walk, f"{schema}, _start long")
+    begun = times.join(starts, group).repartition(*group).sortWithinPartitions(*group, _T)
+    hits = begun.select(*group, _T, "_start").mapInPandas(replay, f"{_KEY} string, {_T} long").withColumn("_hit", F.lit(True))
+    rows = df.withColumns({_KEY: key, _T: F.col(ts).cast("long"), "_among": taking}).join(hits, [_KEY, _T], "left")
+    first = F.row_number().over(Window.partitionBy(_KEY, _T).orderBy(F.desc("_among"), *tie)) == 1
+    ok = F.coalesce(F.col("_hit") & F.col("_among"), F.lit(False)) & first
+    return rows.withColumn(out, ok).drop(_KEY, _T, "_among", "_hit")
 
 
 def quote_lock(
     df: DataFrame, by: Sequence[str], ts: str, passes: str, lock_ms: int = 5_000, tie: Sequence[str] = (),
-    width: int = scan.HOUR_MS, shards: int = 256,
+    width: int = scan.HOUR_MS,
 ) -> DataFrame:
     """Entries and cancels with one live quote per key.
 
-    A row that fails the gate always ends the quote, so each unbroken run of passing rows
-    is a cooldown of its own: it enters, skips while the quote lives, cancels and enters
-    again. A cancel is counted where a live quote ends.
+    A row that fails the gate always ends the quote, so the passing rows after one failing row are a cooldown of their own:
+    the first enters, the others skip while the quote lives, cancel and enter again. A cancel is counted where a live quote ends. The rows
+    are marked in one pass and written once, as the cooldown reads them three times.
     """
-    keys = list(by)
-    order = list(tie)
-    work = scan.previous_row(df, keys, ts, [passes], order, width, prefix="_was_")
-    begins = F.col(passes) & ~F.coalesce(F.col(f"_was_{passes}"), F.lit(False))
-    mark = F.when(begins, F.struct(ts, *order))
-    work = scan.running_last(work, keys, ts, {"_run_id": F.when(begins, F.xxhash64(mark))}, order, width)
-    live = work.where(F.col(passes))
-    got = cooldown(live, [*keys, "_run_id"], ts, lock_ms, order, width, "entered", shards)
-    first = F.col("entered") & begins
-    got = got.withColumn("cancelled", F.col("entered") & ~first)
-    dead = work.where(~F.col(passes)).withColumns(
-        {"entered": F.lit(False), "cancelled": F.coalesce(F.col(f"_was_{passes}"), F.lit(False))}
-    )
-    return got.unionByName(dead).select(*df.columns, "entered", "cancelled")
+    ok = F.coalesce(F.col(passes), F.lit(False))
+    outputs = {"_was": scan.previous(passes), "_run": scan.latest(F.when(~ok, F.struct(ts, *tie)))}
+    work = settle(scan.ordered(df, by, ts, outputs, tie, width), "quotes")
+    was = F.coalesce(F.col(f"_was.`{passes}`"), F.lit(False))
+    got = cooldown(work, [*by, "_run"], ts, lock_ms, tie, width, "entered", among=ok)
+    ended = F.when(ok, F.col("entered") & was).otherwise(was)
+    return got.withColumn("cancelled", ended).select(*df.columns, "entered", "cancelled")

@@ -77,43 +77,53 @@ def horizon_returns(
     return got.withColumns(rets).drop(*offsets)
 
 
+#: Returns are summed as whole numbers of 1e-11 percent, so sums over a span are exact differences of running sums.
+_UNIT = 1e11
+
+
 def realized_vol(
     ends: DataFrame, ticks: DataFrame, on: str, by: Sequence[str], price: str,
     steps: dict[str, int], step_ms: int = 1_000, tie: str | None = None, width: int = HOUR_MS,
 ) -> DataFrame:
     """Population std of step returns over the last ``n`` steps; any gap gives 0.0.
 
-    Ends that share a phase (time modulo step) share one grid per key: each grid point
-    is interpolated once and the spread is a trailing window over that grid, so the
-    work follows the distinct grid points and not ends times steps.
+    Ends that share a phase (time modulo step) share one grid per key. An end adds only the points that the end before it does
+    not have, so overlapping spans are expanded once and no point is made twice. Each point is interpolated once; a spread is a
+    difference of running sums ``n`` rows apart, whatever ``n``. A step of more than a million percent counts as a gap.
     """
     longest = max(steps.values())
-    phase = F.pmod(F.col(on), F.lit(step_ms)).alias("_phase")
-    grid = (
-        ends.select(
-            *by, phase,
-            F.explode(
-                F.sequence(F.col(on) - longest * step_ms, F.col(on), F.lit(step_ms).cast("long"))
-            ).alias("_g"),
-        )
-        .distinct()
-    )
     keys = [*by, "_phase"]
-    priced = asof.interpolate(grid, ticks, "_g", by, price, tick_on=on, tie=tie, out="_p", width=width)
-    back = scan.previous_row(priced, keys, "_g", ["_g", "_p"], width=max(width, step_ms), prefix="_o")
-    ret = F.when(F.col("_g") - F.col("_o_g") == step_ms, pct_return(F.col("_o_p"), F.col("_p")))
-    back = back.withColumn("_r", ret)
-    aggs: dict[str, tuple[int, Column]] = {}
-    for name, n in steps.items():
-        span = (n - 1) * step_ms
-        aggs[f"_n_{name}"] = (span, F.count("_r"))
-        aggs[f"_s_{name}"] = (span, F.stddev_pop("_r"))
-    vols = scan.range_window(back, keys, "_g", aggs, width)
-    out = {
-        name: F.when(F.col(f"_n_{name}") == n, F.col(f"_s_{name}")).otherwise(0.0)
-        for name, n in steps.items()
-    }
-    vols = vols.select(*by, F.col("_g").alias(on), *[v.alias(k) for k, v in out.items()])
+    marks = ends.select(*by, on, F.pmod(F.col(on), F.lit(step_ms)).alias("_phase")).distinct()
+    marks = scan.ordered(marks, keys, on, {"_before": scan.previous(on)}, width=max(width, step_ms))
+    first = F.greatest(F.col(f"_before.`{on}`") + step_ms, F.col(on) - longest * step_ms)
+    grid = marks.select(*keys, F.explode(F.sequence(first, F.col(on), F.lit(step_ms).cast("long"))).alias("_g"))
+    work = asof.interpolate(grid, ticks, "_g", by, price, tick_on=on, tie=tie, out="_p", width=width)
+    # A point is copied into the next bucket if a span that ends there may reach back to it.
+    reach = longest * step_ms
+    wide = max(width, reach)
+    home = scan.bucket_of(F.col("_g"), wide)
+    copies = F.when(F.col("_g") + reach >= (home + 1) * wide, F.array(home, home + 1)).otherwise(F.array(home))
+    work = work.withColumn("_home", home).withColumn(scan.BUCKET, F.explode(copies))
+    rows = scan.bucket_window(keys).orderBy("_g")
+    work = work.withColumn("_o", F.lag(F.struct("_g", "_p")).over(rows))
+    ret = F.when(F.col("_g") - F.col("_o._g") == step_ms, pct_return(F.col("_o._p"), F.col("_p")))
+    work = work.withColumn("_r", F.when(F.abs(ret) <= 1e6, F.round(ret * _UNIT).cast("decimal(18,0)")))
+    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {"_n": F.count("_r"), "_s": F.sum("_r"), "_q": F.sum(F.col("_r") * F.col("_r"))}
+    work = work.withColumns({k: v.over(so_far) for k, v in sums.items()})
+    state = F.struct("_g", *sums)
+    work = work.withColumns({f"_b_{name}": F.lag(state, n).over(rows) for name, n in steps.items()})
+
+    def spread(name: str, n: int) -> Column:
+        was = lambda c: F.col(f"_b_{name}").getField(c)
+        since = lambda c: (F.col(c) - F.coalesce(was(c), F.lit(0))).cast("double")
+        whole = (was("_g") == F.col("_g") - n * step_ms) & (F.col("_n") - was("_n") == n)
+        var = since("_q") / n - F.pow(since("_s") / n, F.lit(2))
+        return F.when(whole, F.sqrt(F.greatest(var, F.lit(0.0))) / _UNIT).otherwise(0.0)
+
+    vols = work.where(F.col(scan.BUCKET) == F.col("_home")).select(
+        *by, F.col("_g").alias(on), *[spread(name, n).alias(name) for name, n in steps.items()]
+    )
     return ends.join(vols, [*by, on], "left")
 
 
@@ -213,18 +223,19 @@ def triggers(
     Spikes compare the row with the mean and standard deviation of the ``n`` rows up to
     and including it.
     """
-    prev = scan.previous_row(ticks, by, ts, [price, spread], tie, width)
+    marked = scan.ordered(ticks, by, ts, {"_prev": scan.previous(price, spread), "_rn": scan.number()}, tie, width)
+    before = lambda c: F.col(f"_prev.`{c}`")
     stats = {}
     for name, c in (("ofi", ofi), ("qty", qty)):
         stats[f"_m_{name}"] = F.avg(F.col(c))
         stats[f"_d_{name}"] = F.stddev_pop(F.col(c))
-    rolled = scan.rows_window(prev, by, ts, n, stats, tie, width, block)
-    move = F.try_divide(F.col(price), F.col(f"prev_{price}")) - 1.0
+    rolled = scan.rows_window(marked, by, ts, n, stats, tie, width, block, rn="_rn")
+    move = F.try_divide(F.col(price), before(price)) - 1.0
     high = lambda c, k: (F.col(f"_d_{k}") > 0) & (F.abs(F.col(c) - F.col(f"_m_{k}")) > z * F.col(f"_d_{k}"))
     trigger = (
         F.when(F.abs(move) * 10_000 > move_bps, "spot_move")
         .when(high(ofi, "ofi"), "ofi_spike")
-        .when(F.col(spread) != F.col(f"prev_{spread}"), "spread_change")
+        .when(F.col(spread) != before(spread), "spread_change")
         .when(high(qty, "qty"), "abnormal_volume")
     )
     return rolled.withColumn("trigger", trigger).select(*ticks.columns, "trigger")

@@ -5,14 +5,16 @@ task. The functions here cut each key into time buckets, scan each bucket on its
 own, and carry the state across buckets through a summary of one row per
 (key, bucket). The summary is built with partial aggregation, so its shuffle is
 small, and the second window runs over ``time range / width`` rows per key (ten
-years at one hour: 87,600) however many rows the key has.
+years at one hour: 87,600) however many rows the key has. ``ordered`` takes any number of
+running values over one order from one such pass.
 
 ``width`` is in the unit of the ordering column (ms for every time column here).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def bucket_window(by: Sequence[str]):
     return Window.partitionBy(*by, BUCKET)
 
 
-def _across(by: Sequence[str], descending: bool = False):
+def across(by: Sequence[str], descending: bool = False):
     """Buckets strictly before (after, if descending) the current one."""
     order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     keys = [F.col(k) for k in by] or [F.lit(0)]
@@ -47,24 +49,6 @@ def _across(by: Sequence[str], descending: bool = False):
     )
 
 
-def carry(
-    df: DataFrame,
-    by: Sequence[str],
-    aggs: Sequence[Column],
-    carried: dict[str, tuple],
-) -> DataFrame:
-    """One row per (key, bucket) holding state of the other buckets.
-
-    ``aggs`` are the aliased bucket summaries; ``carried`` maps an output name to
-    ``(function of the summary column -> aggregate, summary name, descending)``.
-    """
-    summary = df.groupBy(*by, BUCKET).agg(*aggs)
-    out = []
-    for name, (fn, column, descending) in carried.items():
-        out.append(fn(F.col(column)).over(_across(by, descending)).alias(name))
-    return summary.select(*by, BUCKET, *out)
-
-
 def join_carry(df: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
     """Left join on (key, bucket), null keys included."""
     keys = [*by, BUCKET]
@@ -80,177 +64,126 @@ def last_value(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
-def running_sum(
-    df: DataFrame,
-    by: Sequence[str],
-    ts: str,
-    values: dict[str, Column],
-    tie: Sequence[str] = (),
-    width: int = HOUR_MS,
+@dataclass(frozen=True)
+class Running:
+    """One value of an ordered pass: what a row takes from its bucket, and what its bucket takes from the others.
+
+    ``local`` and ``outer`` are aggregates over a frame of rows and of bucket summaries; ``summary`` reduces a bucket to
+    one value, given the value column and the order; ``joined`` makes the result of the two (either may be null).
+    """
+
+    value: Column | None
+    local: Callable[[Column], Column]
+    summary: Callable[[Column, Column], Column]
+    outer: Callable[[Column], Column]
+    joined: Callable[[Column, Column], Column]
+    #: The first and last row of the local frame, from the current row; None: no frame (a ranking function).
+    frame: tuple[int, int] | None = (Window.unboundedPreceding, Window.currentRow)
+    #: Over all buckets of the key and not only over those before.
+    everywhere: bool = False
+
+
+def total(value: Column) -> Running:
+    """Sum up to and including the row; null counts as zero."""
+    x = F.coalesce(value.cast("double"), F.lit(0.0))
+    return Running(x, F.sum, lambda v, _: F.sum(v), F.sum, lambda here, before: here + F.coalesce(before, F.lit(0.0)))
+
+
+def latest(value: Column, inclusive: bool = True) -> Running:
+    """Last non-null value up to the row, itself included or not."""
+    newest = lambda v, order: F.max_by(v, F.when(v.isNotNull(), order))
+    end = Window.currentRow if inclusive else -1
+    return Running(value, last_value, newest, last_value, lambda here, before: F.coalesce(here, before), (Window.unboundedPreceding, end))
+
+
+def highest(value: Column) -> Running:
+    return Running(value, F.max, lambda v, _: F.max(v), F.max, lambda here, before: F.greatest(here, before))
+
+
+def number() -> Running:
+    """Row number, from 1."""
+    count = lambda _, __: F.count(F.lit(1))
+    return Running(None, lambda _: F.row_number(), count, F.sum, lambda here, before: (here + F.coalesce(before, F.lit(0))).cast("long"), None)
+
+
+def rows_of_key() -> Running:
+    count = lambda _, __: F.count(F.lit(1))
+    return Running(None, lambda _: F.lit(None), count, F.sum, lambda _, every: every, None, True)
+
+
+def previous(*columns: str) -> Running:
+    """The row before, as a struct of ``columns``."""
+    row = F.struct(*columns)
+    return Running(row, lambda v: F.lag(v), lambda v, order: F.max_by(v, order), last_value, lambda here, before: F.coalesce(here, before), None)
+
+
+def ordered(
+    df: DataFrame, by: Sequence[str], ts: str, outputs: dict[str, Running], tie: Sequence[str] = (), width: int = HOUR_MS
 ) -> DataFrame:
-    """Inclusive running sums per key in (ts, tie) order: ``out name -> value``."""
+    """Adds every running value of ``outputs`` in (ts, tie) order per key.
+
+    All of them share one bucket, one summary, one sort of the rows and one join; the input is read twice, for the rows and for
+    the summary.
+    """
+    names, by = list(outputs), list(by)
+    made = list(outputs.values())
     work = with_bucket(df, ts, width)
-    names = list(values)
-    for i, name in enumerate(names):
-        work = work.withColumn(f"_x{i}", F.coalesce(values[name].cast("double"), F.lit(0.0)))
-    before = carry(
-        work,
-        by,
-        [F.sum(f"_x{i}").alias(f"_s{i}") for i in range(len(names))],
-        {f"_b{i}": (F.sum, f"_s{i}", False) for i in range(len(names))},
-    )
-    w = (
-        bucket_window(by)
-        .orderBy(ts, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work = work.withColumns({f"_x{i}": o.value for i, o in enumerate(made) if o.value is not None})
+    value = lambda i: F.col(f"_x{i}") if made[i].value is not None else F.lit(1)
+    order = F.struct(ts, *tie)
+    summary = work.groupBy(*by, BUCKET).agg(*[o.summary(value(i), order).alias(f"_s{i}") for i, o in enumerate(made)])
+    every = Window.partitionBy(*([F.col(k) for k in by] or [F.lit(0)]))
+    before = summary.select(
+        *by, BUCKET, *[o.outer(F.col(f"_s{i}")).over(every if o.everywhere else across(by)).alias(f"_b{i}") for i, o in enumerate(made)]
     )
-    work = work.withColumns({f"_l{i}": F.sum(f"_x{i}").over(w) for i in range(len(names))})
-    work = join_carry(work, before, by)
-    for i, name in enumerate(names):
-        work = work.withColumn(
-            name, F.col(f"_l{i}") + F.coalesce(F.col(f"_b{i}"), F.lit(0.0))
-        )
-    drop = [f"_{p}{i}" for p in "xlb" for i in range(len(names))]
-    return work.drop(BUCKET, *drop)
+    rows = bucket_window(by).orderBy(ts, *tie)
+    local = {}
+    for i, o in enumerate(made):
+        if not o.everywhere:
+            local[f"_l{i}"] = o.local(value(i)).over(rows.rowsBetween(*o.frame) if o.frame else rows)
+    work = join_carry(work.withColumns(local) if local else work, before, by)
+    here = lambda i: F.lit(None) if made[i].everywhere else F.col(f"_l{i}")
+    kept = [c for c in df.columns if c not in outputs]
+    return work.select(*kept, *[o.joined(here(i), F.col(f"_b{i}")).alias(names[i]) for i, o in enumerate(made)])
+
+
+def running_sum(
+    df: DataFrame, by: Sequence[str], ts: str, values: dict[str, Column], tie: Sequence[str] = (), width: int = HOUR_MS
+) -> DataFrame:
+    """Inclusive running sums per key in (ts, tie) order: ``out name -> value``."""
+    return ordered(df, by, ts, {n: total(v) for n, v in values.items()}, tie, width)
 
 
 def running_last(
-    df: DataFrame,
-    by: Sequence[str],
-    ts: str,
-    values: dict[str, Column],
-    tie: Sequence[str] = (),
-    width: int = HOUR_MS,
+    df: DataFrame, by: Sequence[str], ts: str, values: dict[str, Column], tie: Sequence[str] = (), width: int = HOUR_MS,
     inclusive: bool = True,
 ) -> DataFrame:
     """Last non-null value per key up to the row (itself included or not): ``out -> value``."""
-    work = with_bucket(df, ts, width)
-    names = list(values)
-    work = work.withColumns({f"_x{i}": values[n] for i, n in enumerate(names)})
-    order = F.struct(ts, *tie)
-    before = carry(
-        work,
-        by,
-        [
-            F.max_by(f"_x{i}", F.when(F.col(f"_x{i}").isNotNull(), order)).alias(f"_s{i}")
-            for i in range(len(names))
-        ],
-        {f"_b{i}": (last_value, f"_s{i}", False) for i in range(len(names))},
-    )
-    w = (
-        bucket_window(by)
-        .orderBy(ts, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    )
-    work = work.withColumns(
-        {f"_l{i}": last_value(F.col(f"_x{i}")).over(w) for i in range(len(names))}
-    )
-    work = join_carry(work, before, by)
-    work = work.withColumns(
-        {n: F.coalesce(F.col(f"_l{i}"), F.col(f"_b{i}")) for i, n in enumerate(names)}
-    )
-    return work.drop(BUCKET, *[f"_{p}{i}" for p in "xlb" for i in range(len(names))])
+    return ordered(df, by, ts, {n: latest(v, inclusive) for n, v in values.items()}, tie, width)
 
 
 def running_max(
-    df: DataFrame,
-    by: Sequence[str],
-    ts: str,
-    value: Column,
-    out: str,
-    tie: Sequence[str] = (),
-    width: int = DAY_MS,
+    df: DataFrame, by: Sequence[str], ts: str, value: Column, out: str, tie: Sequence[str] = (), width: int = DAY_MS
 ) -> DataFrame:
     """Highest value per key up to and including the row."""
-    work = with_bucket(df, ts, width).withColumn("_x", value)
-    before = carry(work, by, [F.max("_x").alias("_s")], {"_b": (F.max, "_s", False)})
-    w = (
-        bucket_window(by)
-        .orderBy(ts, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    work = join_carry(work.withColumn("_l", F.max("_x").over(w)), before, by)
-    return work.withColumn(out, F.greatest("_l", "_b")).drop(BUCKET, "_x", "_l", "_b")
+    return ordered(df, by, ts, {out: highest(value)}, tie, width)
 
 
 def numbered(
-    df: DataFrame,
-    by: Sequence[str],
-    ts: str,
-    tie: Sequence[str] = (),
-    width: int = HOUR_MS,
-    rn: str = "_rn",
+    df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str] = (), width: int = HOUR_MS, rn: str = "_rn",
     total: str | None = None,
 ) -> DataFrame:
     """Row number per key in (ts, tie) order, from 1; optionally the key's row count."""
-    work = with_bucket(df, ts, width)
-    summary = work.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    keys = [F.col(k) for k in by] or [F.lit(0)]
-    cols = [F.sum("_n").over(_across(by)).alias("_before")]
-    if total:
-        cols.append(F.sum("_n").over(Window.partitionBy(*keys)).alias(total))
-    before = summary.select(*by, BUCKET, *cols)
-    local = F.row_number().over(bucket_window(by).orderBy(ts, *tie)).cast("long")
-    work = join_carry(work.withColumn("_local", local), before, by)
-    return work.withColumn(
-        rn, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0)).cast("long")
-    ).drop(BUCKET, "_local", "_before")
+    return ordered(df, by, ts, {rn: number()} | ({total: rows_of_key()} if total else {}), tie, width)
 
 
 def previous_row(
-    df: DataFrame,
-    by: Sequence[str],
-    ts: str,
-    columns: Sequence[str],
-    tie: Sequence[str] = (),
-    width: int = HOUR_MS,
+    df: DataFrame, by: Sequence[str], ts: str, columns: Sequence[str], tie: Sequence[str] = (), width: int = HOUR_MS,
     prefix: str = "prev_",
 ) -> DataFrame:
     """``lag`` by one row per key, across bucket borders."""
-    work = with_bucket(df, ts, width).withColumn("_row", F.struct(*columns))
-    order = F.struct(ts, *tie)
-    before = carry(
-        work,
-        by,
-        [F.max_by("_row", order).alias("_last")],
-        {"_carry": (last_value, "_last", False)},
-    )
-    local = F.lag("_row").over(bucket_window(by).orderBy(ts, *tie))
-    work = join_carry(work.withColumn("_prev", local), before, by)
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    return work.select(
-        *df.columns, *[prev.getField(c).alias(f"{prefix}{c}") for c in columns]
-    )
-
-
-def gap_runs(
-    df: DataFrame, by: Sequence[str], ts: str, gap: int, out: str = "_run", width: int = HOUR_MS
-) -> DataFrame:
-    """Start time of each row's run; a pause of at least ``gap`` starts a new run.
-
-    Rows must have distinct times per key. Inside a bucket only the first row needs to
-    know the bucket before it, so one summary per bucket settles both the border and the run
-    carried over it.
-    """
-    work = with_bucket(df, ts, width)
-    w = bucket_window(by).orderBy(ts)
-    prev = F.lag(ts).over(w)
-    work = work.withColumn("_own", F.when(F.col(ts) - prev >= gap, F.col(ts)))
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    work = work.withColumn("_own", last_value(F.col("_own")).over(so_far))
-    summary = work.groupBy(*by, BUCKET).agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.max("_own").alias("_latest")
-    )
-    keys = [F.col(k) for k in by] or [F.lit(0)]
-    order = Window.partitionBy(*keys).orderBy(BUCKET)
-    before = F.lag("_last").over(order)
-    fresh = before.isNull() | (F.col("_first") - before >= gap)
-    summary = summary.withColumn("_open", F.when(fresh, F.col("_first")))
-    ending = F.coalesce(F.col("_latest"), F.col("_open"))
-    summary = summary.withColumn("_carry", last_value(ending).over(_across(by)))
-    edges = summary.select(*by, BUCKET, F.coalesce("_open", "_carry").alias("_start"))
-    work = join_carry(work, edges, by)
-    return work.withColumn(out, F.coalesce("_own", "_start")).drop("_own", "_start", BUCKET)
+    work = ordered(df, by, ts, {"_prev": previous(*columns)}, tie, width)
+    return work.select(*df.columns, *[F.col(f"_prev.`{c}`").alias(f"{prefix}{c}") for c in columns])
 
 
 def range_window(
@@ -292,21 +225,23 @@ def rows_window(
     tie: Sequence[str] = (),
     width: int = HOUR_MS,
     block: int = 100_000,
+    rn: str | None = None,
 ) -> DataFrame:
     """Aggregates over the last ``n`` rows per key.
 
-    Rows are numbered, cut into blocks of ``block`` rows, and the last ``n - 1`` rows of
-    a block are copied into the next one as context.
+    Rows are numbered (unless ``rn`` names a column that numbers them from 1), cut into blocks of ``block`` rows, and the last
+    ``n - 1`` rows of a block are copied into the next one as context.
     """
     block = max(block, n)
-    work = numbered(df, by, ts, tie, width, rn="_rn")
-    home = F.floor((F.col("_rn") - 1) / block).cast("long")
-    tail = F.pmod(F.col("_rn") - 1, F.lit(block)) >= block - (n - 1)
+    work = df if rn else numbered(df, by, ts, tie, width, rn="_rn")
+    at = F.col(rn or "_rn")
+    home = F.floor((at - 1) / block).cast("long")
+    tail = F.pmod(at - 1, F.lit(block)) >= block - (n - 1)
     copies = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
     work = work.withColumn("_home", home).withColumn(BUCKET, F.explode(copies))
-    w = bucket_window(by).orderBy("_rn").rowsBetween(-(n - 1), 0)
+    w = bucket_window(by).orderBy(at).rowsBetween(-(n - 1), 0)
     work = work.withColumns({name: agg.over(w) for name, agg in aggs.items()})
-    return work.where(F.col(BUCKET) == F.col("_home")).drop("_home", BUCKET, "_rn")
+    return work.where(F.col(BUCKET) == F.col("_home")).drop("_home", BUCKET, *([] if rn else ["_rn"]))
 
 
 def max_drawdown(
@@ -338,9 +273,9 @@ def max_drawdown(
         F.min("_eq").alias("_lo"),
         F.max(F.col("_peak") - F.col("_eq")).alias("_dd"),
     )
-    across = _across(by)
-    parts = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(across), F.lit(0.0)))
-    peak = F.max(F.col("_base") + F.col("_hi")).over(across)
+    earlier = across(by)
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    peak = F.max(F.col("_base") + F.col("_hi")).over(earlier)
     peak = F.greatest(F.lit(0.0), F.coalesce(peak, F.lit(0.0))) if zero_start else peak
     parts = parts.withColumn("_peak", peak)
     fall = F.greatest(F.col("_dd"), F.col("_peak") - (F.col("_base") + F.col("_lo")))
@@ -368,7 +303,7 @@ def peak_level(
         .groupBy(*by, BUCKET)
         .agg(F.sum("_v").alias("_sum"), F.max("_lvl").alias("_hi"))
     )
-    base = F.coalesce(F.sum("_sum").over(_across(by)), F.lit(0.0))
+    base = F.coalesce(F.sum("_sum").over(across(by)), F.lit(0.0))
     return (
         parts.withColumn("_top", base + F.col("_hi"))
         .groupBy(*by)

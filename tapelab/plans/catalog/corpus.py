@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapelab.operators import book, cooldown, flow, indicators, lookups, quality, regimes
+from tapelab.operators import book, cooldown, flow, indicators, lookups, quality, regimes, scan
 from tapelab.operators.scan import DAY_MS, HOUR_MS
 from tapelab.plans import features
 from tapelab.plans.registry import query, r
@@ -246,6 +246,33 @@ def _(t):
     return book.book_tops(_levels(t), width=10_000)
 
 
+_HASHES = """m AS (SELECT asset, seq, max(seq) FILTER (kind = 'snapshot') OVER (PARTITION BY asset ORDER BY seq) AS s FROM (SELECT DISTINCT asset, seq, kind FROM lv)),
+held AS (SELECT m.asset, m.seq AS msg, l.side, l.p, arg_max(l.q, l.seq * 10 + l.pos) AS q FROM m JOIN lv l ON l.asset = m.asset AND l.seq <= m.seq AND l.seq >= coalesce(m.s, 0) AND l.p IS NOT NULL GROUP BY 1, 2, 3, 4),
+best AS (SELECT * FROM held WHERE q > 0 QUALIFY row_number() OVER (PARTITION BY asset, msg, side ORDER BY CASE WHEN side = 'BID' THEN -p ELSE p END) <= 5),
+text AS (SELECT asset, msg, string_agg(p || ':' || CAST(q * 1000000 AS BIGINT), ',' ORDER BY p DESC) FILTER (side = 'BID') AS b, string_agg(p || ':' || CAST(q * 1000000 AS BIGINT), ',' ORDER BY p) FILTER (side = 'ASK') AS a FROM best GROUP BY 1, 2)"""
+
+
+@query("E8_book_hashes", using="quotes", sql=f"""
+WITH {_LV}, {_HASHES} SELECT m.asset AS token_id, m.seq AS msg, md5(coalesce(b, '') || '|' || coalesce(a, '')) AS book_hash FROM m LEFT JOIN text ON text.asset = m.asset AND text.msg = m.seq""")
+def _(t):
+    return book.book_hashes(_levels(t), width=10_000)
+
+
+# Every 17th message states a wrong hash, every 29th skips a sequence number.
+@query("E10_book_stale", using="quotes", sql=f"""
+WITH {_LV}, d AS (SELECT DISTINCT asset, seq, kind FROM lv), n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY seq) + CASE WHEN seq % 29 = 0 THEN 1 ELSE 0 END AS s FROM d),
+k AS (SELECT *, lag(s) OVER (PARTITION BY asset ORDER BY seq) AS e FROM n),
+f AS (SELECT *, CASE WHEN seq % 17 = 3 OR (kind = 'delta' AND s <> e + 1) THEN 1 ELSE 0 END AS bad, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY seq) AS ep FROM k)
+SELECT asset AS token_id, seq AS msg, ep = 0 OR sum(bad) OVER (PARTITION BY asset, ep ORDER BY seq) > 0 AS stale FROM f""")
+def _(t):
+    levels = _levels(t)
+    msgs = scan.numbered(levels.select("token_id", "msg", "ts_ms", "kind").distinct(), ["token_id"], "msg", width=100_000, rn="n")
+    stated = book.book_hashes(levels, width=10_000).withColumn("stated_hash", F.when(col("msg") % 17 == 3, "wrong").otherwise(col("book_hash")))
+    msgs = msgs.join(stated, ["token_id", "msg"]).withColumns(
+        {"sequence": col("n") + F.when(col("msg") % 29 == 0, 1).otherwise(0), "hash_ok": col("stated_hash") == col("book_hash")})
+    return book.stale_flags(msgs, ["token_id"], "msg", width=100_000).select("token_id", "msg", "stale")
+
+
 @query("E9_book_metrics", using="quotes", sql=f"""
 WITH {_LV}, z AS (SELECT asset, max(p) FILTER (side = 'BID') AS b, min(p) FILTER (side = 'ASK') AS a, coalesce(sum(q) FILTER (side = 'BID'), 0) AS bd, coalesce(sum(q) FILTER (side = 'ASK'), 0) AS ad FROM cur WHERE q > 0 GROUP BY 1)
 SELECT asset AS token_id, CASE WHEN b <= a THEN a - b END AS spread_micros, CASE WHEN b <= a THEN (a + b) // 2 END AS mid_micros, round((bd - ad) / (bd + ad), 6) AS imbalance, coalesce(b > a, false) AS crossed FROM z""")
@@ -260,8 +287,6 @@ k AS (SELECT *, last_value(CASE WHEN kind = 'snapshot' OR s IS NOT NULL THEN coa
 f AS (SELECT *, CASE WHEN kind = 'delta' AND e >= 0 AND (s IS NULL OR s <> e + 1) THEN 1 ELSE 0 END AS bad, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY ts_ms, seq) AS ep FROM k)
 SELECT seq, ep = 0 OR sum(bad) OVER (PARTITION BY asset, ep ORDER BY ts_ms, seq) > 0 AS stale FROM f""")
 def _(t):
-    from tapelab.operators import scan
-
     n = scan.numbered(t.ticks, ["asset"], "ts_ms", ("seq",), DAY_MS, rn="n")
     msgs = n.select(
         "asset", "seq", "ts_ms", F.when(col("user_id") % 9 == 0, "snapshot").otherwise("delta").alias("kind"),
@@ -325,7 +350,7 @@ WITH RECURSIVE acc AS (SELECT asset, min(ts_ms) AS ts_ms FROM ticks GROUP BY 1
  UNION ALL SELECT a.asset, (SELECT min(t.ts_ms) FROM ticks t WHERE t.asset = a.asset AND t.ts_ms >= a.ts_ms + 7200000) FROM acc a WHERE a.ts_ms IS NOT NULL)
 SELECT t.seq, a.ts_ms IS NOT NULL AS accepted FROM ticks t LEFT JOIN acc a ON a.asset = t.asset AND a.ts_ms = t.ts_ms""")
 def _(t):
-    got = cooldown.cooldown(t.ticks.select("seq", "asset", "ts_ms"), ["asset"], "ts_ms", 2 * HOUR_MS, ("seq",), width=DAY_MS, shards=8)
+    got = cooldown.cooldown(t.ticks.select("seq", "asset", "ts_ms"), ["asset"], "ts_ms", 2 * HOUR_MS, ("seq",), width=DAY_MS)
     return got.select("seq", "accepted")
 
 
@@ -338,7 +363,7 @@ SELECT p.seq, p.ok AND a.ts_ms IS NOT NULL AS entered, CASE WHEN p.ok THEN a.ts_
 FROM p LEFT JOIN acc a ON a.asset = p.asset AND a.run = p.run AND a.ts_ms = p.ts_ms AND p.ok""")
 def _(t):
     df = t.ticks.select("seq", "asset", "ts_ms", (col("qty") > 30).alias("passes"))
-    return cooldown.quote_lock(df, ["asset"], "ts_ms", "passes", 2 * HOUR_MS, ("seq",), width=DAY_MS, shards=8).select("seq", "entered", "cancelled")
+    return cooldown.quote_lock(df, ["asset"], "ts_ms", "passes", 2 * HOUR_MS, ("seq",), width=DAY_MS).select("seq", "entered", "cancelled")
 
 
 @query("J7_select_and_missing", sql="""
@@ -623,22 +648,22 @@ def _(t):
 
 @query("D3_external_ticks", using="ticks", sql="""
 WITH e AS (SELECT DISTINCT asset, ts_ms // 3600000 * 3600000 AS ts_ms FROM ticks),
-g AS (SELECT DISTINCT asset, ts_ms - k * 3600000 AS tgt FROM e, range(0, 13) r(k)),
+g AS (SELECT DISTINCT asset, ts_ms - k * 360000 AS tgt FROM e, range(0, 3601) r(k)),
 l AS (SELECT g.asset, g.tgt, b.price p, b.ts_ms s FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt > b.ts_ms),
 h AS (SELECT g.asset, g.tgt, b.price p, b.ts_ms s FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt <= b.ts_ms),
 v AS (SELECT h.asset, h.tgt, CASE WHEN h.s = h.tgt THEN h.p WHEN l.s IS NOT NULL AND h.s IS NOT NULL THEN l.p + (h.p - l.p) * ((h.tgt - l.s) / (h.s - l.s)) END AS v FROM h JOIN l ON h.asset = l.asset AND h.tgt = l.tgt),
-ret AS (SELECT a.asset, a.tgt, (a.v / b.v - 1) * 100 AS r FROM v a JOIN v b ON a.asset = b.asset AND b.tgt = a.tgt - 3600000),
-vol AS (SELECT e.asset, e.ts_ms, CASE WHEN count(r) = 12 THEN stddev_pop(r) ELSE 0 END AS x FROM e LEFT JOIN ret ON e.asset = ret.asset AND tgt <= e.ts_ms AND tgt > e.ts_ms - 12 * 3600000 GROUP BY 1, 2)
-SELECT vol.asset AS symbol, vol.ts_ms, round(coalesce((a.v / b.v - 1) * 100, 0), 6) AS ret_5m, round(coalesce((a.v / c.v - 1) * 100, 0), 6) AS ret_1h, round(x, 6) AS vol_1h
-FROM vol LEFT JOIN v a ON a.asset = vol.asset AND a.tgt = vol.ts_ms LEFT JOIN v b ON b.asset = vol.asset AND b.tgt = vol.ts_ms - 5 * 3600000 LEFT JOIN v c ON c.asset = vol.asset AND c.tgt = vol.ts_ms - 12 * 3600000""")
+ret AS (SELECT a.asset, a.tgt, (a.v / b.v - 1) * 100 AS r FROM v a JOIN v b ON a.asset = b.asset AND b.tgt = a.tgt - 360000),
+vol AS (SELECT e.asset, e.ts_ms, CASE WHEN count(r) = 3600 THEN stddev_pop(r) ELSE 0 END AS x FROM e LEFT JOIN ret ON e.asset = ret.asset AND tgt <= e.ts_ms AND tgt > e.ts_ms - 3600 * 360000 GROUP BY 1, 2)
+SELECT vol.asset AS symbol, vol.ts_ms, round(coalesce((a.v / b.v - 1) * 100, 0), 6) AS ret_5m, round(coalesce((a.v / c.v - 1) * 100, 0), 6) AS ret_1h, round(x, 4) AS vol_1h
+FROM vol LEFT JOIN v a ON a.asset = vol.asset AND a.tgt = vol.ts_ms LEFT JOIN v b ON b.asset = vol.asset AND b.tgt = vol.ts_ms - 300 * 360000 LEFT JOIN v c ON c.asset = vol.asset AND c.tgt = vol.ts_ms - 3600 * 360000""")
 def _(t):
     ticks = t.ticks.select("seq", "asset", "ts_ms", "price")
     ends = ticks.withColumn("ts_ms", col("ts_ms") - F.pmod("ts_ms", F.lit(HOUR_MS))).select("asset", "ts_ms").distinct()
     ends = ends.withColumn("id", F.concat_ws("-", "asset", "ts_ms"))
-    got = flow.horizon_returns(ends, ticks, "ts_ms", ["asset"], ["id"], "price", {"ret_5m": 5 * HOUR_MS, "ret_1h": 12 * HOUR_MS}, tie="seq", width=DAY_MS)
-    vol = flow.realized_vol(ends.select("asset", "ts_ms"), ticks, "ts_ms", ["asset"], "price", {"vol_1h": 12}, step_ms=HOUR_MS, tie="seq", width=DAY_MS)
+    got = flow.horizon_returns(ends, ticks, "ts_ms", ["asset"], ["id"], "price", {"ret_5m": 300 * 360_000, "ret_1h": 3600 * 360_000}, tie="seq", width=DAY_MS)
+    vol = flow.realized_vol(ends.select("asset", "ts_ms"), ticks, "ts_ms", ["asset"], "price", {"vol_1h": 3600}, step_ms=360_000, tie="seq", width=DAY_MS)
     got = got.join(vol, ["asset", "ts_ms"])
-    return got.select(col("asset").alias("symbol"), "ts_ms", r("ret_5m", "ret_5m"), r("ret_1h", "ret_1h"), r("vol_1h", "vol_1h"))
+    return got.select(col("asset").alias("symbol"), "ts_ms", r("ret_5m", "ret_5m"), r("ret_1h", "ret_1h"), r("vol_1h", "vol_1h", 4))
 
 
 @query("D4_toxic_fills", using="evals", sql="""
@@ -662,21 +687,65 @@ def _feature_rows(t):
     spot = t.ticks.where(col("venue") != "deribit").select("asset", "ts_ms", "seq", "price", "qty", "side")
     perp = t.ticks.where(col("venue") == "deribit").select("asset", "ts_ms", "seq", "price")
     quotes = t.quotes.select(col("asset").alias("market"), "ts_ms", "seq", "yes_bid", "yes_ask")
-    return features.build_features(evals, spot, perp, quotes, scale=3600, width=DAY_MS, vols={"realized_vol_1m_pct": 6, "realized_vol_5m_pct": 12, "realized_vol_1h_pct": 24})
+    return features.build_features(evals, spot, perp, quotes, scale=3600, width=DAY_MS, vols=_FEATURE_VOLS)
 
 
-@query("E27_build_features", using="ticks quotes", sql="""
+_HOUR = 3_600_000
+_SPOT_OFFSETS = {n: ms * 3600 for n, ms in features.RETURNS.items()}
+_FEATURE_VOLS = {"realized_vol_1m_pct": 6, "realized_vol_5m_pct": 12, "realized_vol_1h_pct": 24}
+
+
+def _features_sql() -> str:
+    """Every column of a feature row: prices at all offsets by interpolation, spreads from the steps, flows by range joins."""
+    offsets = sorted({0, *_SPOT_OFFSETS.values(), *(k * _HOUR for k in range(25))})
+    up = lambda now, then: f"CASE WHEN {now} > 0 AND {then} > 0 THEN ({now} / {then} - 1) * 100 END"
+    rets = ", ".join(f"coalesce({up('max(v) FILTER (o = 0)', f'max(v) FILTER (o = {ms})')}, 0) AS {n}" for n, ms in _SPOT_OFFSETS.items())
+    vols = ", ".join(f"CASE WHEN count(r) FILTER (k < {n}) = {n} THEN stddev_pop(r) FILTER (k < {n}) ELSE 0 END AS {name}" for name, n in _FEATURE_VOLS.items())
+    lags = ", ".join(f"l{i} AS (SELECT e.seq, (x.yes_bid + x.yes_ask) / 2 AS {n} FROM (SELECT seq, asset, ts_ms - {ms * 3600} AS g FROM ev) e ASOF LEFT JOIN quotes x ON x.asset = e.asset AND e.g >= x.ts_ms)" for i, (n, ms) in enumerate(features.LAGS.items()))
+    sides = ", ".join(
+        f"coalesce(sum(x.qty) FILTER (x.side = '{side}' AND x.ts_ms >= e.ts_ms - {ms}), 0) AS {side.lower()}_{span}"
+        for side in ("BUY", "SELL") for span, ms in (("short", _HOUR), ("long", 5 * _HOUR))
+    )
+    return f"""
 WITH ev AS (SELECT * FROM ticks WHERE event_type = 'purchase'), sp AS (SELECT * FROM ticks WHERE venue <> 'deribit'), pp AS (SELECT * FROM ticks WHERE venue = 'deribit'),
-s AS (SELECT e.seq, x.price AS spot, x.ts_ms AS spot_ts FROM ev e ASOF LEFT JOIN sp x ON x.asset = e.asset AND e.ts_ms >= x.ts_ms),
-p AS (SELECT e.seq, x.price AS perp FROM ev e ASOF LEFT JOIN pp x ON x.asset = e.asset AND e.ts_ms >= x.ts_ms),
-q AS (SELECT e.seq, (x.yes_bid + x.yes_ask) / 2 AS mid FROM ev e ASOF LEFT JOIN quotes x ON x.asset = e.asset AND e.ts_ms >= x.ts_ms),
-l AS (SELECT e.seq, (x.yes_bid + x.yes_ask) / 2 AS m FROM (SELECT seq, asset, ts_ms - 5000 * 3600 AS g FROM ev) e ASOF LEFT JOIN quotes x ON x.asset = e.asset AND e.g >= x.ts_ms),
-f AS (SELECT e.seq, coalesce(sum(CASE WHEN x.side = 'BUY' THEN x.qty WHEN x.side = 'SELL' THEN -x.qty END), 0) AS ofi FROM ev e LEFT JOIN sp x ON x.asset = e.asset AND x.ts_ms BETWEEN e.ts_ms - 5000 * 3600 AND e.ts_ms GROUP BY 1)
-SELECT seq AS eval_id, coalesce(spot, 0) AS spot, coalesce(perp, 0) AS perp_price, mid, m AS price_5s_ago, ofi AS ofi_long, round(CASE WHEN spot > 0 THEN (spot / 40 - 1) * 100 ELSE 0 END, 6) AS distance_to_target_pct, 'ok' AS verdict
-FROM s JOIN p USING (seq) JOIN q USING (seq) JOIN l USING (seq) JOIN f USING (seq)""")
+s AS (SELECT e.seq, e.asset, e.ts_ms, x.price AS spot, x.ts_ms AS spot_ts FROM ev e ASOF LEFT JOIN sp x ON x.asset = e.asset AND e.ts_ms >= x.ts_ms),
+g AS (SELECT seq, asset, o, spot_ts - o AS tgt FROM s, (SELECT unnest({offsets}) AS o) WHERE spot_ts IS NOT NULL),
+lo AS (SELECT g.seq, g.o, x.price AS p, x.ts_ms AS at FROM g ASOF LEFT JOIN sp x ON x.asset = g.asset AND g.tgt > x.ts_ms),
+hi AS (SELECT g.seq, g.o, g.tgt, x.price AS p, x.ts_ms AS at FROM g ASOF LEFT JOIN sp x ON x.asset = g.asset AND g.tgt <= x.ts_ms),
+v AS (SELECT hi.seq, hi.o, CASE WHEN hi.at = hi.tgt THEN hi.p WHEN lo.at IS NOT NULL AND hi.at IS NOT NULL THEN lo.p + (hi.p - lo.p) * ((hi.tgt - lo.at) / (hi.at - lo.at)) END AS v FROM hi JOIN lo USING (seq, o)),
+rets AS (SELECT seq, {rets} FROM v GROUP BY seq),
+steps AS (SELECT a.seq, a.o // {_HOUR} AS k, {up('a.v', 'b.v')} AS r FROM v a JOIN v b ON a.seq = b.seq AND b.o = a.o + {_HOUR} WHERE a.o % {_HOUR} = 0 AND a.o <= 23 * {_HOUR}),
+vols AS (SELECT seq, {vols} FROM steps GROUP BY seq),
+p AS (SELECT e.seq, x.price AS perp_price FROM ev e ASOF LEFT JOIN pp x ON x.asset = e.asset AND e.ts_ms >= x.ts_ms),
+q AS (SELECT e.seq, x.yes_bid, x.yes_ask, (x.yes_bid + x.yes_ask) / 2 AS mid FROM ev e ASOF LEFT JOIN quotes x ON x.asset = e.asset AND e.ts_ms >= x.ts_ms),
+{lags},
+f AS (SELECT e.seq, {sides} FROM ev e LEFT JOIN sp x ON x.asset = e.asset AND x.ts_ms BETWEEN e.ts_ms - {5 * _HOUR} AND e.ts_ms GROUP BY 1),
+a AS (SELECT s.seq, coalesce(spot, 0) AS spot, coalesce(perp_price, 0) AS perp_price, yes_bid, yes_ask, mid, {', '.join(features.LAGS)},
+  {', '.join(f'coalesce({n}, 0) AS {n}' for n in (*_SPOT_OFFSETS, *_FEATURE_VOLS))}, buy_short, sell_short, buy_long, sell_long
+  FROM s JOIN p USING (seq) JOIN q USING (seq) {' '.join(f'JOIN l{i} USING (seq)' for i in range(len(features.LAGS)))} JOIN f USING (seq) LEFT JOIN rets USING (seq) LEFT JOIN vols USING (seq)),
+d AS (SELECT *, CASE WHEN spot > 0 THEN (spot / 40.0 - 1) * 100 ELSE 0 END AS dist, greatest(realized_vol_1m_pct, 1e-6) AS sigma, greatest(realized_vol_5m_pct, 1e-6) AS slow FROM a),
+z AS (SELECT *, CASE WHEN spot > 0 THEN (ln(spot / 40.0) - 0.5 * sigma / 100 * sigma / 100 * 900) / (sigma / 100 * sqrt(900)) END AS z FROM d),
+n AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS pdf, abs(z) AS x FROM z)
+SELECT seq AS eval_id, spot, perp_price, yes_bid, yes_ask, mid, {', '.join(features.LAGS)}, {', '.join(f'round({n}, 6) AS {n}' for n in _SPOT_OFFSETS)}, {', '.join(f'round({n}, 4) AS {n}' for n in _FEATURE_VOLS)},
+  buy_short AS buy_vol, sell_short AS sell_vol, buy_short - sell_short AS ofi_short, buy_long - sell_long AS ofi_long,
+  round(CASE WHEN buy_long + sell_long > 0 THEN (buy_long - sell_long) / (buy_long + sell_long) ELSE 0 END, 6) AS imbalance,
+  round(CASE WHEN buy_long + sell_long > 0 THEN buy_long / (buy_long + sell_long) ELSE 0.5 END, 6) AS buy_ratio, 900 AS time_remaining_secs,
+  round(dist, 6) AS distance_to_target_pct, round(CASE WHEN spot > 0 AND perp_price > 0 THEN (spot / perp_price - 1) * 100 ELSE 0 END, 6) AS spot_perp_diff_pct,
+  round(ret_1s_pct / sigma, 3) AS move_zscore_1s, round(dist / (sigma * sqrt(900)), 3) AS distance_sigma, round(sigma / slow, 3) AS vol_regime_ratio,
+  round(CASE WHEN z IS NULL THEN 0.5
+    WHEN x <= 3 THEN 0.5 + pdf * z * list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(45, 0, -1), lambda i: i::DOUBLE)), lambda t, i: 1 + z * z * t / (2 * i + 1))
+    WHEN z > 0 THEN 1 - pdf / list_reduce(list_prepend(x, list_transform(range(40, 0, -1), lambda i: i::DOUBLE)), lambda t, i: x + i / t)
+    ELSE pdf / list_reduce(list_prepend(x, list_transform(range(40, 0, -1), lambda i: i::DOUBLE)), lambda t, i: x + i / t) END, 6) AS quant_baseline_p_yes, 'ok' AS verdict
+FROM n"""
+
+
+@query("E27_build_features", using="ticks quotes", sql=_features_sql())
 def _(t):
     got = _feature_rows(t)
-    return got.select("eval_id", "spot", "perp_price", "mid", "price_5s_ago", (col("ofi_long") + 0.0).alias("ofi_long"), r("distance_to_target_pct", "distance_to_target_pct"), "verdict")
+    exact = ("eval_id", "spot", "perp_price", "yes_bid", "yes_ask", "mid", *features.LAGS, "buy_vol", "sell_vol", "time_remaining_secs", "verdict")
+    places = dict.fromkeys((*_SPOT_OFFSETS, "imbalance", "buy_ratio", "distance_to_target_pct", "spot_perp_diff_pct", "quant_baseline_p_yes"), 6)
+    places |= dict.fromkeys(_FEATURE_VOLS, 4) | {"distance_sigma": 3, "move_zscore_1s": 3, "vol_regime_ratio": 3}
+    return got.select(*exact, (col("ofi_short") + 0.0).alias("ofi_short"), (col("ofi_long") + 0.0).alias("ofi_long"), *[r(c, c, n) for c, n in places.items()])
 
 
 @query("U1_evaluate", using="evals", sql="SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(1 - fill_toxic, 6) AS answer FROM evals")

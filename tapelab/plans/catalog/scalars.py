@@ -437,7 +437,18 @@ def _(t):
     )
 
 
-@query("P23_baseline_probability")
+# The distribution function by its power series near zero and the continued fraction of its tail further out.
+@query("P23_baseline_probability", using="evals", sql="""
+WITH k AS (SELECT *, greatest(pressure / 10, 1e-6) / 100 AS s, ret_5s_pct AS spot, ret_5s_pct * (1 + drift_5s_pp / 1000) AS target, latency_ms::BIGINT AS secs FROM evals),
+d AS (SELECT *, spot > 0 AND target > 0 AND isfinite(spot) AND isfinite(target) AS usable,
+  CASE WHEN spot > 0 AND target > 0 AND secs > 0 THEN (ln(spot / target) - 0.5 * s * s * secs) / (s * sqrt(secs)) END AS z FROM k),
+c AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS pdf, abs(z) AS x FROM d),
+n AS (SELECT *, CASE
+  WHEN x <= 3 THEN 0.5 + pdf * z * list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(45, 0, -1), lambda i: i::DOUBLE)), lambda t, i: 1 + z * z * t / (2 * i + 1))
+  WHEN z > 0 THEN 1 - pdf / list_reduce(list_prepend(x, list_transform(range(40, 0, -1), lambda i: i::DOUBLE)), lambda t, i: x + i / t)
+  ELSE pdf / list_reduce(list_prepend(x, list_transform(range(40, 0, -1), lambda i: i::DOUBLE)), lambda t, i: x + i / t) END AS p FROM c)
+SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(CASE WHEN NOT coalesce(usable, false) THEN 0.5
+  WHEN secs = 0 THEN CASE WHEN spot > target THEN 1.0 WHEN spot < target THEN 0.0 ELSE 0.5 END ELSE coalesce(p, 0.5) END::DOUBLE, 9) AS p_yes FROM n""")
 def _(t):
     return quant.quant_features(_quant_input(t)).select(*_IDS, r("quant_baseline_p_yes", "p_yes", 9))
 

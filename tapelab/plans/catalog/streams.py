@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapelab.operators import book, scan
 from tapelab.operators.scan import HOUR_MS
-from tapelab.plans.catalog.corpus import _LV, _messages
+from tapelab.plans.catalog.corpus import _LV, _levels, _messages
 from tapelab.plans.registry import query, r
 from tapelab.plans.views import Tables
 from tapelab.sources import sinks, venues
+from tapelab.session import settle
 from tapelab.streaming import streams
 
 col = F.col
@@ -19,36 +21,48 @@ col = F.col
 DELAY_MS = HOUR_MS
 
 
+#: Files of each micro-batch, so that tasks share the writing and the reading.
+FILES = 8
+
+
 class StreamTables(Tables):
-    """The same domain tables over a stream of two files, so two micro-batches, of the driver's events.
+    """The same domain tables over a stream of the driver's events, in ``parts`` micro-batches of several files.
 
-    ``late``: some rows of the last hour of the first half come with the second.
+    ``late``: some rows of the last hour before a part ends come with the next.
     """
 
     late = True
+    parts = 2
 
     def raw(self, name: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         out = sinks.scratch(self.spark, f"stream-{name}")
         ms = F.unix_millis(col("ts").cast("timestamp"))
-        half = rows.select(F.percentile_approx(ms, 0.5)).scalar()
-        second = ms > half
-        if self.late:
-            second = second | ((ms > half - DELAY_MS) & (col("event_id") % 3 == 0))
-        for part, chosen in (("a", ~second), ("b", second)):
-            rows.where(chosen).coalesce(1).write.parquet(f"{out}/{part}")
-        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/*")
-
-
-def _stream(t, late: bool = True) -> StreamTables:
+        part = F.lit(0)
+        for i in range(1, self.parts):
+            cut = rows.select(F.percentile_approx(ms, i / self.parts)).scalar()
+            after = ms > cut
+            if self.late:
+                after = after | ((ms > cut - DELAY_MS) & (col("event_id") % 3 == 0))
+            part = part + after.cast("int")
+        # The stream takes files by age: each part has FILES of them, small tables one.
+        each = FILES if rows.count() >= 100 * FILES * self.parts else 1
+        marked = rows.withColumn("_part", part)
+        for i in range(self.parts):
+            marked.where(col("_part") == i).drop("_part").repartition(each).write.parquet(f"{out}/{i}")
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{out}/*")
+
+
+def _stream(t, late: bool = True, parts: int = 2) -> StreamTables:
     tables = StreamTables(t.spark, t.dir)
-    tables.late = late
+    tables.late, tables.parts = late, parts
     return tables
 
 
 def run(df: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs the stream to the end of its input and returns what it wrote, with the batch."""
     spark = df.sparkSession
+    streams.state_store(spark)
     out = sinks.scratch(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -80,16 +94,37 @@ def _(t):
     return run(streams.event_time(rows, "10 seconds").select("seq", "event_ms"), "append", "T2").drop("batch")
 
 
-@query("T3_stream_order_flow", using="ticks", sql="""
+@query("T3_sliding_flow", using="ticks", sql="""
 WITH w AS (SELECT *, unnest([ts_ms // 7200000 * 7200000, ts_ms // 7200000 * 7200000 - 7200000, ts_ms // 7200000 * 7200000 - 14400000]) AS start_ms FROM ticks),
 g AS (SELECT asset, start_ms, start_ms + 21600000 AS end_ms, coalesce(sum(qty) FILTER (side = 'BUY'), 0) AS buy_vol, coalesce(sum(qty) FILTER (side = 'SELL'), 0) AS sell_vol FROM w
 WHERE start_ms + 21600000 <= (SELECT max(ts_ms) FROM ticks) - 3600000 GROUP BY 1, 2)
 SELECT *, buy_vol - sell_vol AS ofi, CASE WHEN buy_vol + sell_vol > 0 THEN buy_vol / (buy_vol + sell_vol) ELSE 0 END AS buy_ratio FROM g""")
 def _(t):
-    got = streams.stream_order_flow(_timed(_stream(t).ticks), "asset", "6 hours", "2 hours")
+    got = streams.sliding_flow(_timed(_stream(t).ticks), "asset", "6 hours", "2 hours")
     return run(got, "append", "T3").drop("batch")
 
 
+@query("T3_stream_order_flow", using="ticks", sql="""
+SELECT asset, seq, ts_ms AS event_ms, coalesce(sum(qty) FILTER (side = 'BUY') OVER s, 0) AS buy_vol, coalesce(sum(qty) FILTER (side = 'SELL') OVER s, 0) AS sell_vol,
+  coalesce(sum(CASE side WHEN 'BUY' THEN qty WHEN 'SELL' THEN -qty END) OVER s, 0) AS ofi_short, coalesce(sum(CASE side WHEN 'BUY' THEN qty WHEN 'SELL' THEN -qty END) OVER l, 0) AS ofi_long,
+  round(CASE WHEN sum(qty) FILTER (side IS NOT NULL) OVER s > 0 THEN coalesce(sum(CASE side WHEN 'BUY' THEN qty WHEN 'SELL' THEN -qty END) OVER s, 0) / sum(qty) FILTER (side IS NOT NULL) OVER s ELSE 0 END, 6) AS imbalance,
+  round(CASE WHEN sum(qty) FILTER (side IS NOT NULL) OVER s > 0 THEN coalesce(sum(qty) FILTER (side = 'BUY') OVER s, 0) / sum(qty) FILTER (side IS NOT NULL) OVER s ELSE 0 END, 6) AS buy_ratio
+FROM ticks WINDOW s AS (PARTITION BY asset ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW), l AS (PARTITION BY asset ORDER BY ts_ms RANGE BETWEEN 18000000 PRECEDING AND CURRENT ROW)
+QUALIFY ts_ms <= (SELECT max(ts_ms) FROM ticks) - 3600000""")
+def _(t):
+    return trailing(t, 2)
+
+
+def trailing(t, parts: int) -> DataFrame:
+    """Spans of one and five hours, as the ticks are minutes apart; slices of a day."""
+    got = streams.trailing_flow(_timed(_stream(t, parts=parts).ticks), "asset", "seq", HOUR_MS, 5 * HOUR_MS, slice_ms=24 * HOUR_MS)
+    got = run(got, "append", "T3").drop("batch")
+    return got.select(
+        "asset", "seq", "event_ms", "buy_vol", "sell_vol", (col("ofi_short") + 0.0).alias("ofi_short"), (col("ofi_long") + 0.0).alias("ofi_long"),
+        r("imbalance", "imbalance"), r("buy_ratio", "buy_ratio"),
+    )
+
+
 @query("T4_latest_venue_price", using="ticks", sql="""
 SELECT asset, venue, arg_max(CASE WHEN event_type = 'view' THEN (price + (price + 2)) / 2 ELSE price END, ts_ms::HUGEINT * 1000000000 + seq) AS microprice, max(ts_ms) AS as_of_ms FROM ticks GROUP BY 1, 2""")
 def _(t):
@@ -134,15 +169,28 @@ def _(t):
     return run(streams.stream_labels(rows, "asset", _HZ, _GRACE, partial=False), "append", "T7").drop("batch")
 
 
+# Every 97th message states a wrong hash, the others the hash that the batch form finds.
 @query("T8_stream_book", using="quotes", sql=f"""
 WITH {_LV}, z AS (SELECT * FROM cur WHERE q > 0),
-m AS (SELECT asset, seq, kind, lag(seq) OVER (PARTITION BY asset ORDER BY seq) AS before FROM (SELECT DISTINCT asset, seq, kind FROM lv)),
-st AS (SELECT asset, s IS NULL OR coalesce(bool_or(kind = 'delta' AND seq <> before + 1) FILTER (seq > s), false) AS stale FROM m LEFT JOIN snap USING (asset) GROUP BY asset, s),
+n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY seq) + CASE WHEN seq % 11 = 1 THEN 1 ELSE 0 END AS s FROM (SELECT DISTINCT asset, seq, kind FROM lv)),
+k AS (SELECT *, lag(s) OVER (PARTITION BY asset ORDER BY seq) AS e FROM n),
+f AS (SELECT *, CASE WHEN seq % 97 = 5 OR (kind = 'delta' AND s <> e + 1) THEN 1 ELSE 0 END AS bad, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY seq) AS ep FROM k),
+st AS (SELECT asset, arg_max(stale, seq) AS stale FROM (SELECT asset, seq, ep = 0 OR sum(bad) OVER (PARTITION BY asset, ep ORDER BY seq) > 0 AS stale FROM f) GROUP BY 1),
 b AS (SELECT asset, max(p) FILTER (side = 'BID') AS best_bid_micros, min(p) FILTER (side = 'ASK') AS best_ask_micros, count(*) AS n FROM z GROUP BY 1)
 SELECT asset AS token_id, best_bid_micros, best_ask_micros, coalesce(n, 0) AS n_levels, stale FROM st LEFT JOIN b USING (asset)""")
 def _(t):
-    msgs = venues.parse_market_messages(_messages(_stream(t, late=False)))
-    rows = msgs.where(col("kind").isin("snapshot", "delta") & col("reject_reason").isNull()).withColumn("sequence", col("msg"))
+    return streamed_book(t, 2)
+
+
+def streamed_book(t, parts: int) -> DataFrame:
+    """The last row of each token; sequences follow each other but for every 11th message."""
+    levels = _levels(t)
+    msgs = scan.numbered(levels.select("token_id", "msg").distinct(), ["token_id"], "msg", width=100_000, rn="n")
+    stated = book.book_hashes(levels, width=10_000).join(msgs, ["token_id", "msg"]).select(
+        "token_id", "msg", F.when(col("msg") % 97 == 5, "wrong").otherwise(col("book_hash")).alias("stated_hash"),
+        (col("n") + F.when(col("msg") % 11 == 1, 1).otherwise(0)).alias("sequence"))
+    rows = venues.parse_market_messages(_messages(_stream(t, late=False, parts=parts)))
+    rows = rows.where(col("kind").isin("snapshot", "delta") & col("reject_reason").isNull()).join(settle(stated, "T8-stated"), ["token_id", "msg"])
     rows = rows.withColumn("event_ts", F.timestamp_millis("event_ms")).withWatermark("event_ts", f"{DELAY_MS} milliseconds")
     got = run(streams.stream_book(rows, expire_ms=10_000 * HOUR_MS), "update", "T8")
     cols = ("best_bid_micros", "best_ask_micros", "n_levels", "stale")
@@ -152,7 +200,7 @@ def _(t):
 
 
 @query("T9_stream_candles", using="ticks", sql="""
-SELECT asset, ts_ms // 86400000 * 86400000 AS start_ms, arg_min(price, ts_ms) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts_ms) AS close FROM ticks
+SELECT asset, ts_ms // 86400000 * 86400000 AS start_ms, arg_min(price, ts_ms::HUGEINT * 1000000000 + seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts_ms::HUGEINT * 1000000000 + seq) AS close FROM ticks
 WHERE ts_ms // 86400000 * 86400000 + 86400000 <= (SELECT max(ts_ms) FROM ticks) - 3600000 GROUP BY 1, 2""")
 def _(t):
     got = streams.stream_candles(_timed(_stream(t).ticks), "asset")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapelab.operators import fills, flow, intervals, sampling, scan
 from tapelab.operators.scan import DAY_MS, HOUR_MS
+from tapelab.plans import features
 from tapelab.plans.registry import query, r
 
 col = F.col
@@ -62,15 +63,16 @@ def _(t):
 
 _VOL_SQL = """
 WITH e AS (SELECT DISTINCT asset, ts_ms // 21600000 * 21600000 AS ts_ms FROM ticks),
-g AS (SELECT DISTINCT asset, ts_ms - k * 3600000 AS tgt FROM e, range(0, 25) r(k)),
+g AS (SELECT DISTINCT asset, ts_ms - k * 360000 AS tgt FROM e, range(0, 3601) r(k)),
 l AS (SELECT g.asset, g.tgt, b.price p, b.ts_ms s FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt > b.ts_ms),
 h AS (SELECT g.asset, g.tgt, b.price p, b.ts_ms s FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt <= b.ts_ms),
 v AS (SELECT h.asset, h.tgt, CASE WHEN h.s = h.tgt THEN h.p WHEN l.s IS NOT NULL AND h.s IS NOT NULL THEN l.p + (h.p - l.p) * ((h.tgt - l.s) / (h.s - l.s)) END AS v
   FROM h JOIN l ON h.asset = l.asset AND h.tgt = l.tgt),
-ret AS (SELECT a.asset, a.tgt, (a.v / b.v - 1) * 100 AS r FROM v a JOIN v b ON a.asset = b.asset AND b.tgt = a.tgt - 3600000)
-SELECT e.asset, e.ts_ms, round(CASE WHEN count(r) FILTER (tgt > e.ts_ms - 6 * 3600000) = 6 THEN stddev_pop(r) FILTER (tgt > e.ts_ms - 6 * 3600000) ELSE 0 END, 4) AS vol_6,
- round(CASE WHEN count(r) = 24 THEN stddev_pop(r) ELSE 0 END, 4) AS vol_24
-FROM e LEFT JOIN ret ON e.asset = ret.asset AND tgt <= e.ts_ms AND tgt > e.ts_ms - 24 * 3600000 GROUP BY 1, 2"""
+ret AS (SELECT a.asset, a.tgt, (a.v / b.v - 1) * 100 AS r FROM v a JOIN v b ON a.asset = b.asset AND b.tgt = a.tgt - 360000)
+SELECT e.asset, e.ts_ms, round(CASE WHEN count(r) FILTER (tgt > e.ts_ms - 60 * 360000) = 60 THEN stddev_pop(r) FILTER (tgt > e.ts_ms - 60 * 360000) ELSE 0 END, 4) AS vol_60,
+ round(CASE WHEN count(r) FILTER (tgt > e.ts_ms - 300 * 360000) = 300 THEN stddev_pop(r) FILTER (tgt > e.ts_ms - 300 * 360000) ELSE 0 END, 4) AS vol_300,
+ round(CASE WHEN count(r) = 3600 THEN stddev_pop(r) ELSE 0 END, 4) AS vol_3600
+FROM e LEFT JOIN ret ON e.asset = ret.asset AND tgt <= e.ts_ms AND tgt > e.ts_ms - 3600 * 360000 GROUP BY 1, 2"""
 
 
 @query("E3_realized_vol", using="ticks", sql=_VOL_SQL)
@@ -78,9 +80,9 @@ def _(t):
     ticks = t.ticks.select("seq", "asset", "ts_ms", "price")
     ends = ticks.select("asset", (col("ts_ms") - F.pmod("ts_ms", F.lit(6 * HOUR_MS))).alias("ts_ms")).distinct()
     got = flow.realized_vol(
-        ends, ticks, "ts_ms", ["asset"], "price", {"vol_6": 6, "vol_24": 24}, step_ms=HOUR_MS, tie="seq", width=DAY_MS
+        ends, ticks, "ts_ms", ["asset"], "price", {f"vol_{n}": n for n in features.VOLS.values()}, step_ms=360_000, tie="seq", width=DAY_MS
     )
-    return got.select("asset", "ts_ms", r("vol_6", "vol_6", 4), r("vol_24", "vol_24", 4))
+    return got.select("asset", "ts_ms", *[r(f"vol_{n}", f"vol_{n}", 4) for n in features.VOLS.values()])
 
 
 @query("E4_ret_prev", using="ticks", sql="""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapelab.functions import prices, quant, signals, times
 from tapelab.operators import asof, flow, scan
 from tapelab.operators.scan import DAY_MS, HOUR_MS
+from tapelab.session import settle
 
 # The return horizons, volatility spans and quote lags of a feature row, in ms.
 RETURNS = {
@@ -44,34 +45,37 @@ def build_features(
     by, ids = ["asset"], ["eval_id"]
     vols = vols or VOLS
     series = spot.select("asset", "ts_ms", "seq", "price")
-    # The end of the series is the newest tick known at the evaluation.
-    rows = asof.asof_backward(
-        evals, series.withColumnRenamed("price", "spot"), "ts_ms", by, ["spot"], tie="seq", matched_ts="spot_ts", width=width
+    # The end of the series is the newest tick known at the evaluation. All that follows starts from here, so it is written once.
+    base = settle(
+        asof.asof_backward(
+            evals, series.withColumnRenamed("price", "spot"), "ts_ms", by, ["spot"], tie="seq", matched_ts="spot_ts", width=width
+        ),
+        "feature-base",
     )
     spans = {n: ms * scale for n, ms in RETURNS.items()}
-    rows = flow.horizon_returns(rows, series, "spot_ts", by, ids, "price", spans, tick_on="ts_ms", tie="seq", width=width)
-    ends = rows.where(F.col("spot_ts").isNotNull()).select(*by, F.col("spot_ts").alias("ts_ms")).distinct()
+    ended = base.select(*ids, *by, "spot_ts")
+    rets = flow.horizon_returns(ended, series, "spot_ts", by, ids, "price", spans, tick_on="ts_ms", tie="seq", width=width)
+    ends = base.where(F.col("spot_ts").isNotNull()).select(*by, F.col("spot_ts").alias("ts_ms")).distinct()
     vol_rows = flow.realized_vol(
         ends, series, "ts_ms", by, "price", vols, step_ms=1_000 * scale, tie="seq", width=width
     ).withColumnRenamed("ts_ms", "spot_ts")
-    rows = rows.join(vol_rows, [*by, "spot_ts"], "left")
     rows = asof.asof_backward(
-        rows, perp.select("asset", "ts_ms", "seq", F.col("price").alias("perp_price")), "ts_ms", by, ["perp_price"],
+        base, perp.select("asset", "ts_ms", "seq", F.col("price").alias("perp_price")), "ts_ms", by, ["perp_price"],
         tie="seq", matched_ts="perp_ts", width=width,
     )
+    # The quote at the evaluation and the mids before it are lags of one series.
     mids = quotes.withColumn("mid", (F.col("yes_bid") + F.col("yes_ask")) / 2.0)
-    rows = asof.asof_backward(
-        rows, mids.select("market", "ts_ms", "seq", "yes_bid", "yes_ask", "mid"), "ts_ms", ["market"],
-        ["yes_bid", "yes_ask", "mid"], tie="seq", matched_ts="quote_ts", width=width,
-    )
-    rows = asof.lag_asof(
-        rows, mids.select("market", "ts_ms", "seq", "mid").withColumnRenamed("mid", "_m"), "ts_ms", ["market"], ids, "_m",
-        {n: ms * scale for n, ms in LAGS.items()}, tie="seq", width=width,
-    )
+    quote = F.struct("yes_bid", "yes_ask", "mid", F.col("ts_ms").alias("quote_ts"))
+    lags = {"_quote": 0} | {n: ms * scale for n, ms in LAGS.items()}
+    known = asof.lag_asof(
+        base.select(*ids, "market", "ts_ms"), mids.select("market", "ts_ms", "seq", quote.alias("_q")), "ts_ms", ["market"], ids, "_q",
+        lags, tie="seq", width=width,
+    ).select(*ids, "_quote.*", *[F.col(f"{n}.mid").alias(n) for n in LAGS])
     flows = flow_at(
         evals, spot, ids, by, "ts_ms", short_ms=1_000 * scale, long_ms=5_000 * scale, basis="long", empty_ratio=0.5, width=width
     )
-    rows = rows.join(flows, ids, "left")
+    rows = rows.join(rets.select(*ids, *RETURNS), ids, "left").join(known, ids, "left").join(flows, ids, "left")
+    rows = rows.join(vol_rows, [*by, "spot_ts"], "left")
     zero = [*RETURNS, *vols, "spot", "perp_price"]
     rows = rows.fillna(0.0, subset=zero)
     rows = rows.withColumns(

@@ -1,22 +1,24 @@
 """Streaming forms of the tick operators.
 
-Aggregations use windows and watermarks; operators with their own memory use
-``applyInPandasWithState``, with state bounded by a retention, a capacity or a book's price grid.
+Aggregations use windows and watermarks; operators with their own memory use ``transformWithStateInPandas`` (lists and maps, of
+which a batch writes what changed) or ``applyInPandasWithState``, with state bounded by a retention, a capacity or a book's price grid.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapelab.functions import times
 from tapelab.functions.prices import positive
+from tapelab.operators.book import DEPTH
 
 SPOT_RETENTION_MS = 65 * 60 * 1_000
 HORIZONS_MS = (1_000, 5_000, 10_000, 30_000, 60_000)
@@ -35,7 +37,22 @@ def event_time(df: DataFrame, delay: str, exchange: str = "exchange_ms", local:
     return df.withColumn("event_ms", ms).withColumn("event_ts", F.timestamp_millis("event_ms")).withWatermark("event_ts", delay)
 
 
-def stream_order_flow(df: DataFrame, key: str, span: str = "5 seconds", slide: str = "1 second") -> DataFrame:
+def state_store(spark) -> None:
+    """Queries started from here on keep their state in RocksDB, which the operators with list and map state need."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+
+
+def late_rows(query) -> int:
+    """Rows that a query has dropped behind its watermark so far.
+
+    Operators that aggregate before their state count what is left after the tasks' own sums; ``trailing_flow`` counts rows.
+    """
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+
+
+def sliding_flow(df: DataFrame, key: str, span: str = "5 seconds", slide: str = "1 second") -> DataFrame:
     """Buy and sell volume per key and sliding window; state is one row per open window."""
     size = F.when(positive(F.col("qty")), F.col("qty"))
     buy = F.coalesce(F.sum(F.when(F.col("side") == "BUY", size)), F.lit(0.0))
@@ -49,6 +66,93 @@ def stream_order_flow(df: DataFrame, key: str, span: str = "5 seconds", slide: s
     )
 
 
+class _TrailingFlow(StatefulProcessor):
+    """The ticks of one key and time slice until the watermark has passed them, and as long as later ticks look back on them."""
+
+    def __init__(self, key: str, ident: str, short_ms: int, long_ms: int, slice_ms: int) -> None:
+        self.key, self.ident, self.short, self.long, self.slice = key, ident, short_ms, long_ms, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "ts BIGINT, id BIGINT, buy DOUBLE, sell DOUBLE, own BOOLEAN")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            own = (pdf["at_ms"] // self.slice == key[1]).to_numpy()
+            values = zip(pdf["at_ms"].tolist(), pdf[self.ident].tolist(), pdf["buy"].tolist(), pdf["sell"].tolist(), own.tolist(), strict=True)
+            self.rows.appendList(list(values))
+            if own.any():
+                low = int(pdf["at_ms"][own].min())
+                first = low if first is None else min(first, low)
+        self.handle.registerTimer((key[1] + 1) * self.slice)
+        if first is not None:
+            self.handle.registerTimer(first)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.rows.get()) if self.rows.exists() else []
+        ts, ident = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
+        own = np.array([r[4] for r in held], bool)
+        sums = [np.concatenate(([0.0], np.cumsum([r[i] for r in held]))) for i in (2, 3)]
+        ready = own & (ts <= passed)
+        now, end = ts[ready], np.searchsorted(ts, ts[ready], side="right")
+        spans = {n: [s[end] - s[np.searchsorted(ts, now - ms, side="left")] for s in sums] for n, ms in (("short", self.short), ("long", self.long))}
+        if (key[1] + 1) * self.slice <= passed:
+            self.rows.clear()
+        else:
+            keep = (ts > passed - self.long) | (own & ~ready)
+            left = [(t, i, b, s, bool(o and not r)) for (t, i, b, s, o), r, k in zip(held, ready.tolist(), keep.tolist(), strict=True) if k]
+            self.rows.put(left) if left else self.rows.clear()
+            waiting = ts[own & ~ready]
+            if len(waiting):
+                self.handle.registerTimer(int(waiting.min()))
+        if ready.any():
+            (sb, ss), (lb, ls) = spans["short"], spans["long"]
+            yield pd.DataFrame({self.key: key[0], self.ident: ident[ready], "event_ms": now, "short_buy": sb, "short_sell": ss, "long_buy": lb, "long_sell": ls})
+        else:
+            yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_flow(
+    df: DataFrame, key: str, ident: str = "seq", short_ms: int = 1_000, long_ms: int = 5_000, basis: str = "short",
+    empty_ratio: float = 0.0, slice_ms: int = 60_000,
+) -> DataFrame:
+    """Order flow of every tick over its trailing spans, closed at both ends: the live form of ``flow.order_flow``.
+
+    A tick is emitted once the watermark has passed it, so the answer does not depend on how the stream is cut into batches; rows
+    behind the watermark are dropped and counted (``late_rows``). State is dealt by key and time slice: a busy key
+    is many tasks, a slice's state goes when the watermark passes its end, and ticks near that end are context of the next slice. Needs
+    ``state_store``.
+    """
+    wide = max(slice_ms, long_ms)
+    size = F.when(positive(F.col("qty")), F.col("qty"))
+    home = F.expr(f"event_ms div {wide}")
+    rows = df.select(
+        key, ident, "event_ts", F.col("event_ms").alias("at_ms"),
+        F.coalesce(F.when(F.col("side") == "BUY", size), F.lit(0.0)).alias("buy"),
+        F.coalesce(F.when(F.col("side") == "SELL", size), F.lit(0.0)).alias("sell"),
+        F.explode(F.when(F.col("event_ms") + long_ms >= (home + 1) * wide, F.array(home, home + 1)).otherwise(F.array(home))).alias("slice"),
+    )
+    kind = df.schema[key].dataType.simpleString()
+    spans = "short_buy DOUBLE, short_sell DOUBLE, long_buy DOUBLE, long_sell DOUBLE"
+    got = rows.groupBy(key, "slice").transformWithStateInPandas(
+        _TrailingFlow(key, ident, short_ms, long_ms, wide), f"{key} {kind}, {ident} BIGINT, event_ms BIGINT, {spans}", "append", "EventTime"
+    )
+    b, s = (F.col("short_buy"), F.col("short_sell")) if basis == "short" else (F.col("long_buy"), F.col("long_sell"))
+    total = b + s
+    return got.select(
+        key, ident, "event_ms", F.col("short_buy").alias("buy_vol"), F.col("short_sell").alias("sell_vol"),
+        (F.col("short_buy") - F.col("short_sell")).alias("ofi_short"), (F.col("long_buy") - F.col("long_sell")).alias("ofi_long"),
+        F.when(total > 0, F.try_divide(b - s, total)).otherwise(0.0).alias("imbalance"),
+        F.when(total > 0, F.try_divide(b, total)).otherwise(F.lit(empty_ratio)).alias("buy_ratio"),
+    )
+
+
 def latest_venue_price(df: DataFrame, tie: str = "seq") -> DataFrame:
     """Newest usable price per asset and venue: the mid if both sides are positive, else the trade; ``tie`` orders equal times."""
     quoted = positive(F.col("best_bid")) & positive(F.col("best_ask"))
@@ -188,61 +292,105 @@ def stream_labels(
     )
 
 
-def stream_book(df: DataFrame, token: str = "token_id", expire_ms: int | None = None, ts: str = "event_ms") -> DataFrame:
+class _Book(StatefulProcessor):
+    """Live levels of one token, a map entry each; the expected sequence and whether the book is stale."""
+
+    def __init__(self, token: str, ts: str, expire_ms: int | None, depth: int) -> None:
+        self.token, self.ts, self.expire, self.depth = token, ts, expire_ms, depth
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.levels = handle.getMapState("levels", "side STRING, price BIGINT", "quantity BIGINT")
+        self.mark = handle.getValueState("mark", "expected BIGINT, stale BOOLEAN, until BIGINT")
+
+    def hash(self, book: dict[tuple[str, int], int]) -> str:
+        def side(name: str, sign: int) -> str:
+            best = sorted((sign * p, p, q) for (s, p), q in book.items() if s == name)[: self.depth]
+            return ",".join(f"{p}:{q}" for _, p, q in best)
+
+        return hashlib.md5(f"{side('BID', -1)}|{side('ASK', 1)}".encode()).hexdigest()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["msg", "pos"])
+        expected, stale, until = self.mark.get() if self.mark.exists() else (None, True, 0)
+        before = {tuple(k): v[0] for k, v in self.levels.iterator()} if self.levels.exists() else {}
+        book = dict(before)
+        columns = [pdf[c].tolist() for c in ("msg", "kind", "sequence", "stated_hash", "side", "price_micros", "quantity")]
+        last = None
+        for i, (msg, kind, seq, stated, side, price, quantity) in enumerate(zip(*columns, strict=True)):
+            if msg != last:
+                last = msg
+                seq = None if pd.isna(seq) else int(seq)
+                if kind == "snapshot":
+                    book.clear()
+                    stale, expected = False, seq
+                else:
+                    stale = stale or (expected is not None and seq != expected + 1)
+                    expected = expected if seq is None else seq
+            if not pd.isna(quantity):
+                if quantity > 0:
+                    book[side, int(price)] = int(quantity)
+                else:
+                    book.pop((side, int(price)), None)
+            ends = i + 1 == len(pdf) or columns[0][i + 1] != msg
+            if ends and isinstance(stated, str) and stated != self.hash(book):
+                stale = True
+        for level in before.keys() - book.keys():
+            self.levels.removeKey(level)
+        for level, quantity in book.items():
+            if before.get(level) != quantity:
+                self.levels.updateValue(level, (quantity,))
+        if self.expire is not None:
+            until = max(until, int(pdf[self.ts].max()) + self.expire)
+            self.handle.registerTimer(max(until, timerValues.getCurrentWatermarkInMs() + 1))
+        self.mark.update((expected, stale, until))
+        sides = [[p for s, p in book if s == name] for name in ("BID", "ASK")]
+        yield pd.DataFrame(
+            {self.token: [key[0]], "msg": [int(pdf["msg"].max())], "best_bid_micros": pd.array([max(sides[0], default=None)], "Int64"),
+             "best_ask_micros": pd.array([min(sides[1], default=None)], "Int64"), "n_levels": [len(book)], "stale": [stale]}
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.mark.exists() and self.mark.get()[2] <= timerValues.getCurrentWatermarkInMs():
+            self.levels.clear()
+            self.mark.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_book(
+    df: DataFrame, token: str = "token_id", expire_ms: int | None = None, ts: str = "event_ms", depth: int = DEPTH
+) -> DataFrame:
     """Book per token from snapshot and delta level rows; only a snapshot clears ``stale``.
 
-    Rows carry ``msg, pos, kind, side, price_micros, quantity, sequence``; a snapshot row without a level clears the book, so
-    an empty snapshot leaves none. The state holds the live levels, which the price grid bounds; with ``expire_ms`` (and
-    a watermark) it goes that long after the token's newest message.
+    Rows carry ``msg, pos, kind, side, price_micros, quantity, sequence`` and, if messages state it, ``stated_hash``; a snapshot row
+    without a level clears the book, so an empty snapshot leaves none. A book is stale before its first snapshot, after a gap
+    in the sequence, and after a message whose hash is not that of the book then (``book.book_hash``). The state holds one
+    entry per live level, which the price grid bounds, and a batch writes the changed ones; with ``expire_ms`` (and a watermark) it goes
+    that long after the token's newest message. Needs ``state_store``.
     """
     kind = df.schema[token].dataType.simpleString()
     out = f"{token} {kind}, msg BIGINT, best_bid_micros BIGINT, best_ask_micros BIGINT, n_levels INT, stale BOOLEAN"
+    if "stated_hash" not in df.columns:
+        df = df.withColumn("stated_hash", F.lit(None).cast("string"))
+    columns = ("msg", "pos", "kind", "side", "price_micros", "quantity", "sequence", "stated_hash")
+    stamp = [c for c in ("event_ts",) if c in df.columns]
+    rows = df.select(token, *columns, *[c for c in (ts,) if c not in columns], *stamp)
+    mode = "None" if expire_ms is None else "EventTime"
+    return rows.groupBy(token).transformWithStateInPandas(_Book(token, ts, expire_ms, depth), out, "update", mode)
 
-    def update(group, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            raw, expected, stale = state.get
-            book = {s: {int(k): v for k, v in lv.items()} for s, lv in json.loads(raw).items()}
-        else:
-            book, expected, stale = {"BID": {}, "ASK": {}}, None, True
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["msg", "pos"])
-        for _, part in pdf.groupby("msg", sort=True):
-            seq = part["sequence"].iloc[0]
-            seq = None if pd.isna(seq) else int(seq)
-            if part["kind"].iloc[0] == "snapshot":
-                book, stale, expected = {"BID": {}, "ASK": {}}, False, None
-            elif expected is not None and seq != expected:
-                stale = True
-            for r in part.itertuples():
-                if pd.isna(r.quantity):
-                    continue
-                if r.quantity > 0:
-                    book[r.side][int(r.price_micros)] = int(r.quantity)
-                else:
-                    book[r.side].pop(int(r.price_micros), None)
-            if seq is not None:
-                expected = seq + 1
-        state.update((json.dumps(book), expected, stale))
-        if expire_ms is not None:
-            _keep_until(state, int(pdf[ts].max()), expire_ms)
-        yield pd.DataFrame(
-            {token: [group[0]], "msg": [int(pdf["msg"].max())], "best_bid_micros": [max(book["BID"], default=None)],
-             "best_ask_micros": [min(book["ASK"], default=None)], "n_levels": [len(book["BID"]) + len(book["ASK"])], "stale": [stale]}
-        )
-
-    return df.groupBy(token).applyInPandasWithState(
-        update, out, "book STRING, expected BIGINT, stale BOOLEAN", "update", _timeout(expire_ms)
-    )
 
+def stream_candles(df: DataFrame, key: str, price: str = "price", tie: str = "seq") -> DataFrame:
+    """UTC-day candles, each emitted once the watermark passes its day; ``tie`` orders ticks of one time.
 
-def stream_candles(df: DataFrame, key: str, price: str = "price") -> DataFrame:
-    """UTC-day candles, each emitted once the watermark passes its day."""
+    Rows behind the watermark are dropped; ``late_rows`` tells how many.
+    """
     good = df.where(positive(F.col(price)))
     out = good.groupBy(key, F.window("event_ts", "1 day")).agg(
-        F.min_by(price, "event_ms").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by(price, "event_ms").alias("close"),
+        F.min_by(price, F.struct("event_ms", tie)).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, F.struct("event_ms", tie)).alias("close"),
     )
     return out.select(key, F.unix_millis("window.start").alias("start_ms"), "open", "high", "low", "close")
 

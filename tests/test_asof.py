@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tapelab.operators import asof
+from tapelab.operators import asof, scan
 
 
 def series(seed, n, keys="ab", span=400):
@@ -48,6 +48,29 @@ def test_no_keys_and_tolerance(spark):
     assert {r.ts: r.x for r in got.collect()} == {5: 9.0, 50: None}
 
 
+def test_edges_list_no_bucket_without_rows(spark):
+    """Two ticks ten years apart and one reading between them: three buckets a key, whatever the distance."""
+    year = 365 * 24 * 3_600_000
+    right = spark.createDataFrame([(f"k{k}", t * year, 0, float(t)) for k in range(100) for t in (0, 10)], "k string, ts long, seq long, x double")
+    left = spark.createDataFrame([(f"k{k}", t * year) for k in range(100) for t in (-1, 5, 5, 11)], "k string, ts long")
+    narrow = right.select("k", scan.bucket_of(F.col("ts"), scan.HOUR_MS).alias(scan.BUCKET), F.col("ts").alias("_t"), F.lit(0).alias("_tie"), F.struct("x").alias("_v"))
+    cells = left.select("k", scan.bucket_of(F.col("ts"), scan.HOUR_MS).alias(scan.BUCKET))
+    assert asof.edges(cells, narrow, ["k"], True, True).count() == 100 * (3 + 2)
+    back = asof.asof_backward(left, right, "ts", ["k"], ["x"], tie="seq")
+    ahead = asof.asof_forward(left, right, "ts", ["k"], ["x"], tie="seq")
+    assert {(r.ts // year, r.x) for r in back.collect()} == {(-1, None), (5, 0.0), (11, 10.0)}
+    assert {(r.ts // year, r.x) for r in ahead.collect()} == {(-1, 0.0), (5, 10.0), (11, None)}
+
+
+def test_cells_of_another_table_serve_as_well(spark):
+    rights, lefts = series(3, 100), series(4, 60)
+    left = frame(spark, lefts).select("k", "ts", F.col("seq").alias("id"))
+    right = frame(spark, rights).withColumnRenamed("v", "x")
+    more = left.select("k", "ts").unionByName(right.select("k", "ts"))
+    read = lambda **o: sorted(map(str, asof.asof_backward(left, right, "ts", ["k"], ["x"], tie="seq", width=7, **o).collect()))
+    assert read() == read(cells=more)
+
+
 def test_look_ahead_is_impossible(spark):
     rows = series(7, 120)
     left = frame(spark, rows).select("k", "ts", F.col("seq").alias("id")).where("ts <= 200")

@@ -1,9 +1,10 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tapelab.operators import cooldown, intervals, regimes, research, sampling, scan
+from tapelab.operators import book, cooldown, flow, intervals, regimes, research, sampling, scan
 
 
 def rows(seed=3, n=200, span=500):
@@ -48,6 +49,117 @@ def test_running_and_numbered(df, data, width):
             last = r[3]
 
 
+@pytest.mark.parametrize("width", [7, 100_000])
+def test_one_pass_gives_all_outputs(df, data, width):
+    outputs = {
+        "sum": scan.total(F.col("v")), "low": scan.latest(F.when(F.col("v") < 0, F.col("v"))),
+        "before": scan.latest(F.when(F.col("v") < 0, F.col("v")), inclusive=False), "top": scan.highest(F.col("v")),
+        "rn": scan.number(), "n": scan.rows_of_key(), "prev": scan.previous("seq", "v"),
+    }
+    for frame, keys in ((df, ["k"]), (df, [])):
+        got = scan.ordered(frame, keys, "ts", outputs, ("seq",), width)
+        assert got.columns == [*frame.columns, *outputs]
+        rows_ = {r.seq: r for r in got.collect()}
+        parts = by_key(data).values() if keys else [sorted(data, key=lambda r: (r[1], r[2]))]
+        for part in parts:
+            total, low, top, prev = 0.0, None, None, None
+            for i, r in enumerate(part):
+                total, mine = total + r[3], rows_[r[2]]
+                assert mine.before == low
+                low = r[3] if r[3] < 0 else low
+                top = r[3] if top is None else max(top, r[3])
+                assert mine.sum == pytest.approx(total) and (mine.low, mine.top, mine.rn, mine.n) == (low, top, i + 1, len(part))
+                assert (mine.prev and tuple(mine.prev)) == prev
+                prev = (r[2], r[3])
+
+
+def scans_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+@pytest.mark.parametrize(("key", "most"), [("E29_quote_lock", 4), ("E10_stale_flags", 4), ("D5_triggers", 2), ("E28_cooldown", 3), ("J1_asof_backward", 4), ("E11_sample_even", 2)])
+def test_scans_per_query(spark, key, most):
+    """How often a query reads its table; E10 numbers its messages first, which is half of its reads."""
+    import __spark_entry__ as entry
+
+    assert scans_of(entry.queries()[key](spark, "/root/testdata/sf0.001")) <= most
+
+
+@pytest.mark.parametrize("width", [9, 100_000])
+def test_stale_flags(spark, width):
+    """Every kind of message against the state machine: gaps, missing sequences, wrong hashes, snapshots with and without sequence."""
+    rnd = random.Random(6)
+    rows_, n = [], 0
+    for i in range(400):
+        n += 1
+        kind = "snapshot" if rnd.random() < 0.12 else "delta"
+        seq = None if rnd.random() < 0.2 else n + (rnd.random() < 0.1)
+        rows_.append((rnd.choice("ab"), i // 2, i, kind, seq, rnd.choice((True, True, True, True, True, None, False))))
+    msgs = spark.createDataFrame(rows_, "k string, ts long, seq long, kind string, sequence long, hash_ok boolean")
+    got = {r.seq: r.stale for r in book.stale_flags(msgs, ["k"], "ts", ("seq",), width).collect()}
+    for key in "ab":
+        stale, expected = True, None
+        for k, _, i, kind, seq, ok in rows_:
+            if k != key:
+                continue
+            if kind == "snapshot":
+                stale, expected = False, None if seq is None else seq + 1
+            else:
+                stale = stale or (expected is not None and seq != expected)
+                expected = expected if seq is None else seq + 1
+            stale = stale or ok is False
+            assert got[i] == stale, i
+
+
+@pytest.mark.parametrize("width", [5, 64])
+def test_book_hashes_after_every_message(spark, width):
+    rnd = random.Random(8)
+    rows_, held, want = [], {"BID": {}, "ASK": {}}, {}
+    for msg in range(150):
+        kind = "snapshot" if rnd.random() < 0.1 else "delta"
+        if kind == "snapshot":
+            held = {"BID": {}, "ASK": {}}
+            rows_.append(("t", msg, kind, None, None, None, -1))
+        for pos in range(rnd.randrange(1, 5)):
+            side, price, qty = rnd.choice(("BID", "ASK")), rnd.randrange(12) * 10_000, rnd.choice((0, 3, 7))
+            rows_.append(("t", msg, kind, side, price, qty, pos))
+            held[side].pop(price, None)
+            if qty:
+                held[side][price] = qty
+        bids, asks = (sorted(held[s].items(), reverse=s == "BID")[:5] for s in ("BID", "ASK"))
+        text = "|".join(",".join(f"{p}:{q}" for p, q in side) for side in (bids, asks))
+        want[msg] = hashlib.md5(text.encode()).hexdigest()
+    levels = spark.createDataFrame(rows_, "token_id string, msg long, kind string, side string, price_micros long, quantity long, pos int")
+    assert {r.msg: r.book_hash for r in book.book_hashes(levels, width=width).collect()} == want
+    last = book.book_state(book.book_levels(levels)).first()
+    assert last.book_hash == want[149]
+
+
+def test_volatility_over_shared_grids(spark):
+    """Ends of several phases, long and short gaps between them, against the definition."""
+    import numpy as np
+
+    rnd = random.Random(12)
+    ticks = [("k", t, i, 50 + rnd.random() * 10) for i, t in enumerate(sorted(rnd.sample(range(0, 60_000, 7), 300)))]
+    ends = sorted({rnd.choice((0, 100, 137)) + 1_000 * rnd.randrange(1, 60) for _ in range(60)})
+    ts, price = np.array([t[1] for t in ticks]), np.array([t[3] for t in ticks])
+
+    def at(x):
+        return np.interp(x, ts, price) if ts[0] <= x <= ts[-1] else np.nan
+
+    got = flow.realized_vol(
+        spark.createDataFrame([("k", e) for e in ends], "k string, ts long"), spark.createDataFrame(ticks, "k string, ts long, seq long, p double"),
+        "ts", ["k"], "p", {"v3": 3, "v20": 20}, step_ms=1_000, tie="seq", width=5_000,
+    )
+    rows_ = {r.ts: r for r in got.collect()}
+    assert len(rows_) == len(ends)
+    for e in ends:
+        for name, n in (("v3", 3), ("v20", 20)):
+            p = np.array([at(e - k * 1_000) for k in range(n + 1)])
+            r = (p[:-1] / p[1:] - 1) * 100
+            assert rows_[e][name] == pytest.approx(0.0 if np.isnan(r).any() else r.std(), abs=1e-7)
+
+
 @pytest.mark.parametrize("width", [40, 100_000])
 def test_range_window(df, data, width):
     got = {r.seq: (r.a, r.b) for r in scan.range_window(df, ["k"], "ts", {"a": (5, F.count("v")), "b": (30, F.sum("v"))}, width).collect()}
@@ -77,9 +189,9 @@ def test_drawdown_and_peak(df, data, width):
 
 @pytest.mark.parametrize("width", [15, 100_000])
 def test_cooldown_and_lock(df, data, width):
-    got = {r.seq: r.accepted for r in cooldown.cooldown(df, ["k"], "ts", 12, ("seq",), width, shards=2).collect()}
+    got = {r.seq: r.accepted for r in cooldown.cooldown(df, ["k"], "ts", 12, ("seq",), width).collect()}
     lock_in = df.withColumn("ok", F.col("v") > -0.3)
-    lock = {r.seq: (r.entered, r.cancelled) for r in cooldown.quote_lock(lock_in, ["k"], "ts", "ok", 12, ("seq",), width, 2).collect()}
+    lock = {r.seq: (r.entered, r.cancelled) for r in cooldown.quote_lock(lock_in, ["k"], "ts", "ok", 12, ("seq",), width).collect()}
     for part in by_key(data).values():
         last, quote = None, None
         for _, ts, seq, v in part:

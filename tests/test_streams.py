@@ -1,5 +1,7 @@
 """Streams fed in several micro-batches must end where the batch form ends."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def feed(spark, tmp_path):
 def test_cooldown_equals_batch(feed):
     batch, stream, _ = feed
     got = {r.seq for r in run(streams.stream_cooldown(stream, "k", 3_000), "append", "t").collect()}
-    want = cooldown.cooldown(batch, ["k"], "event_ms", 3_000, ("seq",), width=20_000, shards=2).where("accepted")
+    want = cooldown.cooldown(batch, ["k"], "event_ms", 3_000, ("seq",), width=20_000).where("accepted")
     assert got == {r.seq for r in want.collect()}
 
 
@@ -96,7 +98,7 @@ def test_history_takes_late_samples(feed):
 
 def test_windows_and_candles(feed):
     batch, stream, rows = feed
-    got = {(r.k, r.start_ms): (r.buy_vol, r.sell_vol) for r in run(streams.stream_order_flow(stream, "k", "10 seconds", "5 seconds"), "append", "t").collect()}
+    got = {(r.k, r.start_ms): (r.buy_vol, r.sell_vol) for r in run(streams.sliding_flow(stream, "k", "10 seconds", "5 seconds"), "append", "t").collect()}
     assert got
     for (k, a), (b, s) in got.items():
         inside = [x for x in rows if x[0] == k and a <= x[2] < a + 10_000]
@@ -104,6 +106,68 @@ def test_windows_and_candles(feed):
     assert flow.candles(batch, ["k"], "event_ms", "price", ("seq",)).count() == 2
 
 
+@pytest.mark.parametrize("files", [1, 2, 7])
+def test_trailing_flow_equals_batch(spark, tmp_path, files):
+    """Rows come out of order within the delay; each cut gives every tick that the watermark has passed, and counts late rows."""
+    rows = [("ab"[i % 3 == 0], i, 1_000_000 + i * 700 // (1 + i % 2), 1.0, ("BUY", "SELL", None)[i % 3], float(i % 5)) for i in range(210)]
+    arrival = sorted(rows, key=lambda r: r[2] + (1_900 if r[1] % 4 == 1 else 0))
+    size = -(-len(rows) // files)
+    (tmp_path / "in").mkdir()
+    for n in range(files):
+        spark.createDataFrame(arrival[n * size : (n + 1) * size], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        next((tmp_path / f"p{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("event_ts", F.timestamp_millis("event_ms")).withWatermark("event_ts", "80 seconds")
+    got = run(streams.trailing_flow(stream, "k", slice_ms=9_000), "append", "t").drop("batch")
+    want = flow.order_flow(spark.createDataFrame(rows, SCHEMA), ["k"], "event_ms", width=20_000)
+    passed = max(r[2] for r in rows) - 80_000
+    columns = ("k", "seq", "event_ms", "buy_vol", "sell_vol", "ofi_short", "ofi_long", "imbalance", "buy_ratio")
+    want = {tuple(r) for r in want.where(F.col("event_ms") <= passed).select(*columns).collect()}
+    assert {tuple(r) for r in got.select(*columns).collect()} == want and len(want) > 60 and got.count() == len(want)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = [[("a", i, 1_000_000 + i * 1_000, 1.0, "BUY", 1.0) for i in range(60)], [("a", 90, 1_001_000, 1.0, "BUY", 1.0), ("a", 91, 1_070_000, 1.0, "BUY", 1.0)]]
+    streams.state_store(spark)
+    (tmp_path / "in").mkdir()
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        next((tmp_path / f"p{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("event_ts", F.timestamp_millis("event_ms")).withWatermark("event_ts", "5 seconds")
+    q = streams.trailing_flow(stream, "k", slice_ms=1_000_000).writeStream.format("noop").trigger(availableNow=True)
+    q = q.option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    assert streams.late_rows(q) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_entries_do_not_depend_on_the_cut(spark, parts):
+    from tapelab.plans.catalog import streams as entries
+    from tapelab.plans.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for made in (entries.trailing, entries.streamed_book):
+        assert sorted(map(str, made(t, parts).collect())) == sorted(map(str, made(t, 2).collect()))
+
+
+def test_book_hash_marks_a_book_stale(spark, tmp_path):
+    schema = "token_id string, msg long, pos int, kind string, side string, price_micros long, quantity long, sequence long, stated_hash string"
+    right = hashlib.md5(b"410000:7|450000:9").hexdigest()
+    steps = [
+        [("t", 1, 0, "snapshot", "BID", 410000, 7, 1, right), ("t", 1, 1, "snapshot", "ASK", 450000, 9, 1, right)],
+        [("t", 2, 0, "delta", "ASK", 450000, 9, 2, "wrong")], [("t", 3, 0, "delta", "ASK", 450000, 9, 3, right)],
+        [("t", 4, 0, "snapshot", "ASK", 460000, 1, 4, None)],
+    ]
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        next((tmp_path / f"p{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(streams.stream_book(stream), "update", "t").orderBy("batch").collect()
+    assert [(r.best_bid_micros, r.n_levels, r.stale) for r in got] == [(410000, 2, False), (410000, 2, True), (410000, 2, True), (None, 1, False)]
+
+
 def test_book_recovers_only_by_snapshot(spark, tmp_path):
     schema = "token_id string, msg long, pos int, kind string, side string, price_micros long, quantity long, sequence long"
     steps = [
