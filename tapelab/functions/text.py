@@ -23,6 +23,11 @@ OPERATOR_WORDS = (
     "above", "below", "over", "under", "greater", "less", "reach", "hit", "at least",
     "higher", "lower",
 )
+# An asset named by itself.
+LONE = {
+    "BTC": r"(?i)(?<![a-z0-9])(?:btc|bitcoin)(?![a-z0-9])",
+    "ETH": r"(?i)(?<![a-z0-9])(?:eth|ethereum)(?![a-z0-9])",
+}
 # Number units.
 UNITS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "b": 1e9, "billion": 1e9}
 # A number with optional currency sign and unit.
@@ -103,12 +108,8 @@ def extract_strike(df: DataFrame, question: str, rules: str, asset: str | None =
     """
     text = F.trim(F.concat_ws(" ", F.trim(F.coalesce(question_col(question), F.lit(""))),
                               F.trim(F.coalesce(question_col(rules), F.lit("")))))
-    lone = {
-        "BTC": r"(?i)(?<![a-z0-9])(?:btc|bitcoin)(?![a-z0-9])",
-        "ETH": r"(?i)(?<![a-z0-9])(?:eth|ethereum)(?![a-z0-9])",
-    }
     given = F.upper(F.trim(F.coalesce(F.col(asset), F.lit("")))) if asset else F.lit("")
-    named = F.when(text.rlike(lone["BTC"]), "BTC").when(text.rlike(lone["ETH"]), "ETH")
+    named = F.when(text.rlike(LONE["BTC"]), "BTC").when(text.rlike(LONE["ETH"]), "ETH")
     work = df.withColumn("_text", text).withColumn("_named", named)
     whole = F.regexp_extract_all("_text", F.lit(NUMBER), F.lit(0))
     parts = F.split(F.col("_text"), NUMBER, -1)
@@ -137,8 +138,8 @@ def extract_strike(df: DataFrame, question: str, rules: str, asset: str | None =
         lo = F.greatest(F.lit(0), at - 40)
         window = F.substring(F.col("_text"), lo + 1, at + F.length(m) + 40 - lo)
         has_op = window.rlike(ops)
-        near = F.when(F.col("_named") == "BTC", window.rlike(lone["BTC"])).when(
-            F.col("_named") == "ETH", window.rlike(lone["ETH"])
+        near = F.when(F.col("_named") == "BTC", window.rlike(LONE["BTC"])).when(
+            F.col("_named") == "ETH", window.rlike(LONE["ETH"])
         )
         keep = (
             (value > 0)
@@ -155,9 +156,8 @@ def extract_strike(df: DataFrame, question: str, rules: str, asset: str | None =
         return F.when(keep, F.struct(score.alias("score"), (-at).alias("pos"), value.alias("value")))
 
     best = F.array_max(F.filter(F.zip_with("_m", "_at", scored), lambda x: x.isNotNull()))
-    fallback = F.when(given.isin("BTC", "ETH"), given).otherwise(given)
     return work.withColumns(
-        {"strike": best.getField("value"), "reference": F.coalesce(F.col("_named"), fallback)}
+        {"strike": best.getField("value"), "reference": F.coalesce(F.col("_named"), given)}
     ).drop("_text", "_named", "_m", "_parts", "_at")
 
 

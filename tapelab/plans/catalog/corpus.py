@@ -152,7 +152,7 @@ SELECT seq, venue, copy, CASE WHEN user_id % 13 = 0 THEN 'unexpected_symbol' WHE
  CASE WHEN venue = 'binance' AND NOT trade THEN (price + (price + 1)) / 2 ELSE price END AS price,
  CASE WHEN NOT trade AND venue <> 'deribit' THEN 0.0::DOUBLE ELSE qty END AS trade_size, CASE WHEN venue = 'binance' AND NOT trade THEN 0 ELSE ts_ms END AS exchange_ms FROM k""")
 def _(t):
-    rows = _venue_payload(t)
+    rows = _venue_payload(t.wide)
     out = None
     for v in ("binance", "coinbase", "deribit"):
         got = venues.parse_venue_json(rows.where(col("venue") == v).select("seq", "payload"), v)
@@ -205,12 +205,12 @@ UNION ALL SELECT seq, 'last_trade', 'BUY', bid_micros, 12500000, 0, NULL FROM qu
 UNION ALL SELECT seq, 'tick_size', NULL, 10000, NULL, 0, 'price' FROM quotes WHERE event_type = 'error' AND user_id % 7 <> 0
 UNION ALL SELECT seq, 'resolved', NULL, NULL, NULL, 0, NULL FROM quotes WHERE event_type NOT IN ('view', 'click', 'purchase', 'error') AND NOT (event_type = 'signup' AND user_id % 5 = 0)""")
 def _(t):
-    got = venues.parse_market_messages(_messages(t))
+    got = venues.parse_market_messages(_messages(t.wide))
     return got.select("msg", "kind", "side", "price_micros", "quantity", col("pos").cast("long").alias("pos"), "reject_reason")
 
 
 def _levels(t):
-    got = venues.parse_market_messages(_messages(t))
+    got = venues.parse_market_messages(_messages(t.wide))
     return got.where(col("kind").isin("snapshot", "delta") & col("reject_reason").isNull()).withColumnRenamed("event_ms", "ts_ms")
 
 
@@ -333,13 +333,40 @@ def _(t):
     return got.select("key", "start_ms", r("sma50", "sma50", 4))
 
 
-@query("E19_indicators")
+# The smoothed averages by recursion over the numbered days of each key.
+_INDICATORS = """WITH RECURSIVE o AS (SELECT 'K' || (o_custkey % 5) AS key, epoch_ms(o_orderdate) AS ts, o_totalprice AS p, epoch_ms(o_orderdate)::HUGEINT * 1000000000 + o_orderkey AS ord FROM orders),
+day AS (SELECT key, ts // 86400000 * 86400000 AS start_ms, arg_min(p, ord) AS open, max(p) AS high, min(p) AS low, arg_max(p, ord) AS close FROM o GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER w AS k, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl, avg(close) OVER (PARTITION BY key ORDER BY start_ms ROWS 6 PRECEDING) AS s7,
+  CASE WHEN count(*) OVER (PARTITION BY key ORDER BY start_ms ROWS 49 PRECEDING) = 50 THEN avg(close) OVER (PARTITION BY key ORDER BY start_ms ROWS 49 PRECEDING) END AS sma50
+  FROM (SELECT * FROM day QUALIFY start_ms < max(start_ms) OVER (PARTITION BY key)) WINDOW w AS (PARTITION BY key ORDER BY start_ms)),
+d AS (SELECT *, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS dn, greatest(high - low, abs(high - pc), abs(low - pc)) AS rng,
+  CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS plus, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS minus FROM c),
+em AS (SELECT key, k, s7 AS ema7 FROM d WHERE k = 7 UNION ALL SELECT d.key, d.k, e.ema7 * (1 - 0.25::DOUBLE) + d.close * 0.25::DOUBLE FROM em e JOIN d ON d.key = e.key AND d.k = e.k + 1),
+seed AS (SELECT a.key, (a.up + b.up) / 2 AS g, (a.dn + b.dn) / 2 AS l, (a.rng + b.rng) / 2 AS tr, (a.plus + b.plus) / 2 AS sp, (a.minus + b.minus) / 2 AS sm FROM d a JOIN d b ON a.key = b.key AND a.k = 2 AND b.k = 3),
+wi AS (SELECT key, 3 AS k, g, l, tr, sp, sm, CASE WHEN tr <> 0 AND sp + sm <> 0 THEN 100 * abs(100 * sp / tr - 100 * sm / tr) / (100 * sp / tr + 100 * sm / tr) END AS adx FROM seed
+  UNION ALL SELECT key, k, g, l, tr, sp, sm, CASE WHEN tr <> 0 AND sp + sm <> 0 THEN adx * 0.5::DOUBLE + 100 * abs(100 * sp / tr - 100 * sm / tr) / (100 * sp / tr + 100 * sm / tr) * 0.5::DOUBLE END
+  FROM (SELECT d.key, d.k, w.g * 0.5::DOUBLE + d.up * 0.5::DOUBLE AS g, w.l * 0.5::DOUBLE + d.dn * 0.5::DOUBLE AS l, w.tr * 0.5::DOUBLE + d.rng * 0.5::DOUBLE AS tr, w.sp * 0.5::DOUBLE + d.plus * 0.5::DOUBLE AS sp,
+    w.sm * 0.5::DOUBLE + d.minus * 0.5::DOUBLE AS sm, w.adx FROM wi w JOIN d ON d.key = w.key AND d.k = w.k + 1)),
+i AS (SELECT d.key, d.start_ms, d.k, d.close, d.sma50, e.ema7, CASE WHEN w.l = 0 THEN 100.0::DOUBLE ELSE least(greatest(100 * w.g / (w.g + w.l), 0), 100) END AS rsi2, least(greatest(w.adx, 0), 100) AS adx2
+  FROM d LEFT JOIN em e ON e.key = d.key AND e.k = d.k LEFT JOIN (SELECT * FROM wi) w ON w.key = d.key AND w.k = d.k)"""
+
+
+@query("E19_indicators", sql=f"""{_INDICATORS}
+SELECT key, start_ms, round(sma50, 4) AS sma50, round(ema7, 4) AS ema7, CASE WHEN k >= 3 THEN round(rsi2, 4) END AS rsi2, CASE WHEN adx2 IS NOT NULL AND k >= 3 THEN round(adx2, 4) END AS adx2 FROM i""")
 def _(t):
     got = indicators.indicators(_day_candles(t), "key", "start_ms")
     return got.select("key", "start_ms", *[r(c, c, 4) for c in ("sma50", "ema7", "rsi2", "adx2")])
 
 
-@query("E20_daily_positions")
+@query("E20_daily_positions", sql=f"""{_INDICATORS},
+r AS (SELECT *, coalesce(k >= 60 AND sma50 IS NOT NULL AND ema7 IS NOT NULL AND k >= 3 AND adx2 IS NOT NULL, false) AS ready FROM i),
+f AS (SELECT *, CASE WHEN ready AND close > sma50 AND close > ema7 AND rsi2 > adx2 THEN 1 WHEN ready AND rsi2 < adx2 THEN 0 END AS flip FROM r),
+a AS (SELECT *, coalesce(last_value(flip IGNORE NULLS) OVER (PARTITION BY key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS pos FROM f),
+b AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY key ORDER BY k), 0) AS was FROM a),
+s AS (SELECT *, last_value(CASE WHEN was = 0 AND pos = 1 THEN start_ms END IGNORE NULLS) OVER w AS since, last_value(CASE WHEN ready AND was = 0 AND pos = 1 THEN close END IGNORE NULLS) OVER w AS ref
+  FROM b WINDOW w AS (PARTITION BY key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT key, start_ms, CASE WHEN NOT ready THEN 'hold_insufficient_history' WHEN was = 0 AND pos = 1 THEN 'enter_long_up' WHEN was = 1 AND pos = 0 THEN 'exit_flat' WHEN was = 0 THEN 'hold_no_signal' ELSE 'hold_still_long' END AS decision,
+  CASE WHEN pos = 1 THEN 'long_up' ELSE 'flat' END AS position, CASE WHEN pos = 1 THEN since END AS since_day, CASE WHEN ready AND was = 1 AND pos = 0 THEN round(close - ref, 2) END AS realized_pnl FROM s""")
 def _(t):
     got = indicators.daily_positions(indicators.indicators(_day_candles(t), "key", "start_ms"), "key", "start_ms")
     return got.select("key", "start_ms", "decision", "position", "since_day", r("realized_pnl", "realized_pnl", 2))
@@ -633,17 +660,25 @@ def _(t):
 
 
 @query("D2_market_features", using="quotes prints", sql="""
-WITH q AS (SELECT seq, asset, ts_ms, (yes_bid + yes_ask) / 2 AS mid FROM quotes), e AS (SELECT asset, max(ts_ms) AS end_ms FROM quotes GROUP BY 1),
+WITH q AS (SELECT seq, asset, ts_ms, (yes_bid + yes_ask) / 2 AS mid, yes_ask - yes_bid AS spread FROM quotes), e AS (SELECT asset, max(ts_ms) AS end_ms FROM quotes GROUP BY 1),
+f AS (SELECT x.seq, q.mid AS m FROM (SELECT seq, asset, ts_ms - 300000 * 10 AS g FROM q) x ASOF LEFT JOIN q ON q.asset = x.asset AND x.g >= q.ts_ms),
 a AS (SELECT x.seq, q.mid AS m FROM (SELECT seq, asset, ts_ms - 3600000 * 10 AS g FROM q) x ASOF LEFT JOIN q ON q.asset = x.asset AND x.g >= q.ts_ms),
 d AS (SELECT x.seq, q.mid AS m FROM (SELECT seq, asset, ts_ms - 86400000 AS g FROM q) x ASOF LEFT JOIN q ON q.asset = x.asset AND x.g >= q.ts_ms),
+b AS (SELECT *, CASE WHEN mid > 0 AND lag(mid) OVER w > 0 THEN (mid / lag(mid) OVER w - 1) * 100 END AS r FROM q WINDOW w AS (PARTITION BY asset ORDER BY ts_ms, seq)),
+s AS (SELECT seq, stddev_pop(r) OVER (PARTITION BY asset ORDER BY ts_ms RANGE BETWEEN 36000000 PRECEDING AND CURRENT ROW) AS vol FROM b),
 v AS (SELECT seq, sum(size) OVER (PARTITION BY asset ORDER BY ts_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS v FROM quotes)
-SELECT q.seq, round(CASE WHEN a.m > 0 AND q.mid > 0 THEN (q.mid / a.m - 1) * 100 END, 6) AS momentum_1h, round(CASE WHEN d.m > 0 AND q.mid > 0 THEN (q.mid / d.m - 1) * 100 END, 6) AS one_day_change,
- v.v AS volume_24h, (e.end_ms - q.ts_ms) // 60000 AS minutes_to_resolution FROM q JOIN a USING (seq) JOIN d USING (seq) JOIN v USING (seq) JOIN e ON e.asset = q.asset""")
+SELECT q.seq, q.mid, round(q.spread, 6) AS spread, round(CASE WHEN f.m > 0 AND q.mid > 0 THEN (q.mid / f.m - 1) * 100 END, 6) AS momentum_5m,
+ round(CASE WHEN a.m > 0 AND q.mid > 0 THEN (q.mid / a.m - 1) * 100 END, 6) AS momentum_1h, round(s.vol, 4) AS volatility_1h, CASE WHEN e.asset <> 'A3' THEN 1000.0::DOUBLE END AS liquidity,
+ round(CASE WHEN d.m > 0 AND q.mid > 0 THEN (q.mid / d.m - 1) * 100 END, 6) AS one_day_change,
+ v.v AS volume_24h, (e.end_ms - q.ts_ms) // 60000 AS minutes_to_resolution, round(CASE WHEN q.mid > 0 THEN (q.mid / 0.5 - 1) * 100 ELSE 0 END, 6) AS distance_to_target
+FROM q JOIN f USING (seq) JOIN a USING (seq) JOIN d USING (seq) JOIN s USING (seq) JOIN v USING (seq) JOIN e ON e.asset = q.asset""")
 def _(t):
     q = t.quotes.select(col("asset").alias("market"), "ts_ms", "seq", "yes_bid", "yes_ask")
-    ends = q.groupBy("market").agg(F.max("ts_ms").alias("end_ms")).withColumn("target", F.lit(0.5))
+    liquidity = F.when(col("market") != "A3", 1000.0).alias("liquidity")
+    ends = q.groupBy("market").agg(F.max("ts_ms").alias("end_ms")).select("*", F.lit(0.5).alias("target"), liquidity)
     got = features.market_features(q, t.prints.select("market", "ts_ms", "qty"), ends, scale=10)
-    return got.select("seq", r("momentum_1h", "momentum_1h"), r("one_day_change", "one_day_change"), "volume_24h", "minutes_to_resolution")
+    rounded = ("spread", "momentum_5m", "momentum_1h", "one_day_change", "distance_to_target")
+    return got.select("seq", "mid", "liquidity", "volume_24h", "minutes_to_resolution", *[r(c, c) for c in rounded], r("volatility_1h", "volatility_1h", 4))
 
 
 @query("D3_external_ticks", using="ticks", sql="""

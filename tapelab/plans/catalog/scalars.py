@@ -139,7 +139,7 @@ def _(t):
 @query("P9_extract_strike")
 def _(t):
     asset = F.when(col("doc_id") % 2 == 0, "BTC").otherwise("ETH")
-    df = t.raw("documents").select("doc_id", "text", "source", asset.alias("asset"))
+    df = t.wide.raw("documents").select("doc_id", "text", "source", asset.alias("asset"))
     return text.extract_strike(df, "text", "source", "asset").select("doc_id", "reference", "strike")
 
 
@@ -317,7 +317,7 @@ SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, signal_erro
   CASE WHEN signal_error IS NULL THEN fill_toxic END AS fill_toxic,
   CASE WHEN signal_error IS NULL THEN move_persists END AS repricing_confidence FROM k""")
 def _(t):
-    got = signals.parse_signal(_answer_json(t), "json")
+    got = signals.parse_signal(_answer_json(t.wide), "json")
     return got.select(
         *_IDS, "signal_error", r("signal.p_up", "p_up"), col("signal.fill_toxic").alias("fill_toxic"),
         col("signal.repricing_confidence").alias("repricing_confidence"),
@@ -332,7 +332,7 @@ SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, pressure_er
   CASE WHEN pressure_error IS NULL THEN CASE WHEN l_linenumber = 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS pressure,
   CASE WHEN pressure_error IS NULL THEN move_persists END AS pressure_confidence FROM k""")
 def _(t):
-    got = signals.parse_pressure(_answer_json(t, pressure=True), "json")
+    got = signals.parse_pressure(_answer_json(t.wide, pressure=True), "json")
     return got.select(*_IDS, "pressure_error", r("pressure", "pressure"), "pressure_confidence")
 
 
@@ -450,7 +450,7 @@ n AS (SELECT *, CASE
 SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(CASE WHEN NOT coalesce(usable, false) THEN 0.5
   WHEN secs = 0 THEN CASE WHEN spot > target THEN 1.0 WHEN spot < target THEN 0.0 ELSE 0.5 END ELSE coalesce(p, 0.5) END::DOUBLE, 9) AS p_yes FROM n""")
 def _(t):
-    return quant.quant_features(_quant_input(t)).select(*_IDS, r("quant_baseline_p_yes", "p_yes", 9))
+    return quant.quant_features(_quant_input(t.wide)).select(*_IDS, r("quant_baseline_p_yes", "p_yes", 9))
 
 
 @query("P24_returns_and_distance", using="quotes", sql="""

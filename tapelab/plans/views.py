@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapelab.session import spread
+
 DAY_MS = 86_400_000
 
 SQL_VIEWS: dict[str, str] = {
@@ -139,6 +141,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @property
+    def wide(self) -> Tables:
+        """The same tables for costly row functions: scans of fewer partitions than cores are dealt out to all cores."""
+        return _Wide(self.spark, self.dir)
+
     @cached_property
     def _events(self) -> DataFrame:
         k = F.regexp_extract("props", "[0-9]+", 0)
@@ -320,3 +327,8 @@ class Tables:
             F.concat(F.lit("M"), F.col("o_custkey").cast("string")).alias("condition_id"),
             "info_start_ms", "resolution_ms", "n_orders",
         )
+
+
+class _Wide(Tables):
+    def raw(self, name: str) -> DataFrame:
+        return spread(super().raw(name))

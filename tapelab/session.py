@@ -68,3 +68,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with its rows dealt to all cores where it has fewer partitions than cores, else as it is.
+
+    For costly row functions over files of one or a few row groups, which one task each would read and work on; a table of many files is
+    left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

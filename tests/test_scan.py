@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tapelab.operators import book, cooldown, flow, intervals, regimes, research, sampling, scan
+from tapelab.operators import book, cooldown, fills, flow, intervals, regimes, research, sampling, scan
 
 
 def rows(seed=3, n=200, span=500):
@@ -160,6 +160,50 @@ def test_volatility_over_shared_grids(spark):
             assert rows_[e][name] == pytest.approx(0.0 if np.isnan(r).any() else r.std(), abs=1e-7)
 
 
+@pytest.mark.parametrize("block", [3, 64])
+def test_fills_equal_brute_force(spark, monkeypatch, block):
+    """Many prints of one time, both sides, all profiles; blocks of three prints cut times and levels apart."""
+    monkeypatch.setattr(fills, "BLOCK", block)
+    monkeypatch.setattr(fills, "WIDTH", 4)
+    rnd = random.Random(21)
+    prints = [("m", rnd.randrange(120), rnd.randrange(1, 9), rnd.choice(("BUY", "SELL", "UNKNOWN")), float(rnd.choice((0, 1, 2, 5)))) for _ in range(160)]
+    orders = []
+    for i in range(60):
+        a = rnd.randrange(-5, 115)
+        orders.append((i, "m" if i % 10 else "none", rnd.random() < 0.5, rnd.randrange(1, 9), a, a + rnd.randrange(60), float(rnd.choice((0, 1, 3, 12)))))
+    p = spark.createDataFrame(prints, "market string, ts_ms long, level long, aggressor string, qty double")
+    o = spark.createDataFrame(orders, "order_id long, market string, side_buy boolean, level long, arrival_ms long, end_ms long, size double")
+    got = {x: {r.order_id: r for r in fills.fill_labels(o, p, x, width=17, volume_width=3_000_000).collect()} for x in fills.QUEUE_AHEAD}
+    seen = {r.order_id: r for r in fills.order_evidence(o, p, width=17).collect()}
+    for i, m, buy, level, start, end, size in orders:
+        mine = {}
+        for market, ts, price, who, qty in prints:
+            weight = 0.5 if who == "UNKNOWN" else float(who == ("SELL" if buy else "BUY"))
+            better = price < level if buy else price > level
+            if market == m and start <= ts <= end and qty > 0 and weight and (better or price == level):
+                v, n = mine.get(ts, (0.0, 0))
+                mine[ts] = (v + qty * weight * (1.0 if better else 0.5), n + better)
+        total, through = sum(v for v, _ in mine.values()), sum(n for _, n in mine.values())
+        assert (seen[i].evidence_qty, seen[i].through_prints, seen[i].last_print_ms) == (total, through, max(mine, default=None)), i
+        for profile, queue in fills.QUEUE_AHEAD.items():
+            share, r = 1.0 - queue, got[profile][i]
+            eff = total * share
+            if profile == "CONSERVATIVE":
+                want = (1.0 if eff >= 2 * size - 1e-9 else 0.5 if eff >= size / 2 - 1e-9 else None) if through >= 2 and size else None
+                threshold, two, complete = (2 * size if want == 1.0 else size / 2), 2, want is not None
+            else:
+                want, threshold, two, complete = (1.0 if eff > 0 else None), size, 0, size > 0 and eff >= size - 1e-9
+            qty = min(size * want, eff) if want and size and eff > 0 else 0.0
+            assert r.fill_qty == pytest.approx(qty) and r.filled == (qty > 0)
+            if qty > 0:
+                done, sum_v, sum_n = None, 0.0, 0
+                for ts in sorted(mine):
+                    sum_v, sum_n = sum_v + mine[ts][0], sum_n + mine[ts][1]
+                    if done is None and sum_n >= two and sum_v * share >= threshold - 1e-6:
+                        done = ts
+                assert r.fill_ts_ms == (done if complete else max(mine)), (i, profile)
+
+
 @pytest.mark.parametrize("width", [40, 100_000])
 def test_range_window(df, data, width):
     got = {r.seq: (r.a, r.b) for r in scan.range_window(df, ["k"], "ts", {"a": (5, F.count("v")), "b": (30, F.sum("v"))}, width).collect()}
