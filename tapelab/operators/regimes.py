@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapelab.functions.prices import finite
 from tapelab.operators import scan
 from tapelab.operators.scan import DAY_MS
+from tapelab.session import settle
 
 
 def earlier_smaller(values: np.ndarray) -> np.ndarray:
@@ -42,70 +42,74 @@ def earlier_smaller(values: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rows of a block in time and, up to the error of a sketch, of a block of values.
+BLOCK_ROWS = 200_000
+#: Value borders that a row is compared with in each of two steps.
+STEP = 64
+
+
+def _value_block(value: str, edges: str) -> Column:
+    """Twice the number of borders below the value, plus one if it is a border itself; borders are searched in two steps."""
+    v = F.col(value)
+    coarse = F.filter(edges, lambda e, i: (i % STEP == STEP - 1) & (e < v))
+    rest = F.slice(edges, F.size(coarse) * STEP + 1, STEP)
+    below = F.size(coarse) * STEP + F.size(F.filter(rest, lambda e: e < v))
+    return 2 * below + F.exists(rest, lambda e: e == v).cast("int")
+
+
 def expanding_rank(
-    df: DataFrame, by: Sequence[str], ts: str, value: str, tie: Sequence[str] = (), width: int = DAY_MS,
-    time_block: int = 200_000, value_blocks: int = 64,
+    df: DataFrame, by: Sequence[str], ts: str, value: str, tie: Sequence[str] = (), width: int = DAY_MS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Adds ``_rn`` (rows so far) and ``_less`` (earlier rows with a smaller value), exact.
 
-    A pair (earlier, smaller) falls into one of three cases, each counted apart:
-    both its time block and its value block are lower (a table of block counts), the
-    time block is the same and the value block lower (inside a time block), or the value
-    block is the same (inside a value block). No task holds more than one block.
+    A pair (earlier, smaller) falls into one of three cases, each counted apart: both its time block and its value block are
+    lower (a table of block counts), the time block is the same and the value block lower (inside a time block), or the value block is the
+    same (inside a value block). Time blocks have ``block_rows`` rows. Value blocks lie between borders that a sketch sets for as many
+    rows each; the rows on a border are a block of equal values, of which none is smaller than another, so a value that
+    most rows share costs nothing. The two inner counts see numbers of rows and values alone.
     """
-    rows = scan.numbered(df.where(finite(F.col(value))), by, ts, tie, width, rn="_rn")
     keys = list(by)
-    probs = [i / value_blocks for i in range(1, value_blocks)]
-    edges = df.where(finite(F.col(value))).groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, probs, 10_000)).alias("_edges")
-    )
-    work = rows.join(edges, keys) if keys else rows.withColumn("_edges", edges.scalar())
-    work = work.withColumns(
-        {
-            "_tb": F.floor((F.col("_rn") - 1) / time_block).cast("int"),
-            "_vb": F.size(F.filter("_edges", lambda e: F.col(value) > e)),
-        }
-    ).drop("_edges")
-
-    grid = work.groupBy(*keys, "_tb", "_vb").agg(F.count(F.lit(1)).alias("_c"))
-    counts = grid.groupBy(*keys, "_tb").agg(F.collect_list(F.struct("_vb", "_c")).alias("_m"))
-    # Blocks per key are few (rows / time_block), and each row is one small array.
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(value_blocks)),
-        lambda v: F.coalesce(F.aggregate(
-            F.filter("_m", lambda x: x["_vb"] < v), F.lit(0).cast("long"), lambda acc, x: acc + x["_c"]), F.lit(0)),
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    rows = scan.numbered(df.where(finite(F.col(value))), by, ts, tie, width, rn="_rn").withColumn("_key", key)
+    most = rows.groupBy("_key").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    blocks = min(STEP * STEP, max(2, -(-most // block_rows)))
+    probs = [i / blocks for i in range(1, blocks)]
+    edges = rows.groupBy("_key").agg(F.array_distinct(F.percentile_approx(value, probs, max(10_000, 20 * blocks))).alias("_edges"))
+    tb = F.expr(f"cast((_rn - 1) div {block_rows} as int)")
+    narrow = rows.select("_key", "_rn", value, tb.alias("_tb")).join(edges, "_key")
+    narrow = settle(narrow.select("_key", "_rn", value, "_tb", _value_block(value, "_edges").alias("_vb")), "ranks")
+
+    grid = narrow.groupBy("_key", "_tb", "_vb").agg(F.count(F.lit(1)).alias("_c"))
+    # Blocks of a key are few (rows / block_rows), and each row is one small array.
+    counts = grid.groupBy("_key", "_tb").agg(F.sort_array(F.collect_list(F.struct("_vb", "_c"))).alias("_m"))
+    below = F.transform(
+        F.sequence(F.lit(0), F.lit(2 * blocks)),
+        lambda v: F.aggregate(F.filter("_m", lambda x: x["_vb"] < v), F.lit(0).cast("long"), lambda acc, x: acc + x["_c"]),
     )
-    counts = counts.select(*keys, "_tb", F.posexplode(dense).alias("_vb", "_below"))
-    from pyspark.sql import Window
-
-    earlier = F.sum("_below").over(
-        Window.partitionBy(*keys, "_vb").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    table = counts.select(*keys, "_tb", "_vb", F.coalesce(earlier, F.lit(0)).cast("long").alias("_a"))
-
-    schema = T.StructType([*work.schema.fields, T.StructField("_b", T.LongType())])
-
-    def inside_time(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        return pdf.assign(_b=earlier_smaller(pdf["_vb"].to_numpy()))
-
-    schema2 = T.StructType([*schema.fields, T.StructField("_d", T.LongType())])
-
-    def inside_value(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        return pdf.assign(_d=earlier_smaller(pdf[value].to_numpy()))
-
-    got = work.groupBy(*keys, "_tb").applyInPandas(inside_time, schema)
-    got = got.groupBy(*keys, "_vb").applyInPandas(inside_value, schema2)
-    got = got.join(table, [*keys, "_tb", "_vb"], "left")
-    return got.withColumn("_less", F.col("_a") + F.col("_b") + F.col("_d")).drop(
-        "_a", "_b", "_d", "_tb", "_vb"
+    counts = counts.select("_key", "_tb", F.posexplode(below).alias("_vb", "_below"))
+    earlier = F.sum("_below").over(Window.partitionBy("_key", "_vb").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1))
+    table = counts.select("_key", "_tb", "_vb", F.coalesce(earlier, F.lit(0)).cast("long").alias("_a"))
+
+    def inside(column: str, out: str):
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_rn")
+            return pdf.assign(**{out: earlier_smaller(pdf[column].to_numpy())})[["_key", "_rn", out]]
+
+        return count
+
+    times = narrow.select("_key", "_tb", "_rn", "_vb").groupBy("_key", "_tb").applyInPandas(inside("_vb", "_b"), "_key string, _rn long, _b long")
+    between = narrow.where(F.col("_vb") % 2 == 0).select("_key", "_vb", "_rn", F.col(value).cast("double").alias("_v"))
+    values = between.groupBy("_key", "_vb").applyInPandas(inside("_v", "_d"), "_key string, _rn long, _d long")
+    less = (
+        narrow.join(table, ["_key", "_tb", "_vb"], "left").join(times, ["_key", "_rn"], "left").join(values, ["_key", "_rn"], "left")
+        .select("_key", "_rn", (F.col("_a") + F.col("_b") + F.coalesce("_d", F.lit(0))).alias("_less"))
     )
+    return rows.join(less, ["_key", "_rn"]).select(*df.columns, "_rn", "_less")
 
 
 def pit_vol_regime(
     df: DataFrame, by: Sequence[str], ts: str, vol: str, warmup: int, tie: Sequence[str] = (),
-    width: int = DAY_MS, time_block: int = 200_000, value_blocks: int = 64,
+    width: int = DAY_MS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """low/normal/high/extreme against the quartiles of the history up to the row.
 
@@ -114,7 +118,7 @@ def pit_vol_regime(
     labels follow from ranks and no quantile is ever computed. Rows before ``warmup`` finite
     values, and rows without a finite value, are normal.
     """
-    ranked = expanding_rank(df, by, ts, vol, tie, width, time_block, value_blocks)
+    ranked = expanding_rank(df, by, ts, vol, tie, width, block_rows)
     n, less = F.col("_rn"), F.col("_less")
     at_most = lambda q: less <= F.floor(F.lit(q) * (n - 1))
     label = (

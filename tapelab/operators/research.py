@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,39 +53,38 @@ def variance_split(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
     return whole.join(inner, "name")
 
 
-def rank_values(df: DataFrame, x: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+def rank_values(df: DataFrame, x: str, probs: Sequence[float], accuracy: int = 10_000, most: int = 100_000) -> DataFrame:
     """``sorted(x)[floor(n * p)]`` for each ``p``: one row, array ``cuts``.
 
-    A sketch brackets each rank, the rows below the bracket are counted and only the
-    distinct values inside it are ordered, so no task sorts the column. The bracket is
-    three error bounds wide; a rank outside it fails the query instead of being wrong.
+    A sketch brackets each rank by three of its error bounds. While a bracket holds more than ``most`` rows, a sketch of the rows inside
+    brackets the rank again; then the distinct values inside are ordered, so no task orders more than that. Only the borders and
+    counts of the brackets reach the driver. A rank outside its bracket fails the query instead of being wrong.
     """
     v = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("v"))
+    whole = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    ranks = [min(int(math.floor(whole.n * p)), whole.n - 1) for p in probs]
+    # of every rank: its bracket, the rows below the bracket and those inside
+    brackets = [(whole.lo, whole.hi, 0, whole.n)] * len(ranks)
     slack = 3.0 / accuracy
-    lows = [max(p - slack, 0.0) for p in probs]
-    highs = [min(p + slack, 1.0) for p in probs]
-    sketch = v.agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", lows, accuracy).alias("lo"),
-        F.percentile_approx("v", highs, accuracy).alias("hi"),
-    )
-    k = len(probs)
-    target = F.array(*[F.floor(F.col("n") * F.lit(p)).cast("long") for p in probs])
-    target = F.transform(target, lambda t: F.least(t, F.col("n") - 1))
-    one = sketch.withColumn("t", target)
-    rows = v.withColumn("_k", one.select(F.struct("lo", "hi", "t")).scalar())
-    below = rows.agg(F.array(*[F.count_if(F.col("v") < F.col("_k.lo")[i]) for i in range(k)]))
-    at = lambda c: F.get(F.col(f"_k.{c}"), F.col("i"))
-    near = (
-        rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .where((F.col("v") >= at("lo")) & (F.col("v") <= at("hi")))
-        .groupBy("i", "v")
-        .agg(F.count(F.lit(1)).alias("c"), F.first(at("t")).alias("t"))
-    )
-    cum = F.sum("c").over(Window.partitionBy("i").orderBy("v"))
-    placed = near.withColumns({"cum": cum, "below": below.scalar()}).withColumn("b", F.get("below", F.col("i")))
-    first = placed.where(F.col("b") + F.col("cum") > F.col("t"))
-    picks = first.groupBy("i").agg(F.min("v").alias("cut"), F.min(F.col("b") - F.col("t")).alias("gap"))
+    while any(inside > most and lo < hi for lo, hi, _, inside in brackets):
+        asks = []
+        for (lo, hi, below, inside), t in zip(brackets, ranks, strict=True):
+            p = (t - below) / inside
+            held = F.when(F.col("v").between(lo, hi), F.col("v"))
+            asks.append(F.percentile_approx(held, [max(p - slack, 0.0), min(p + slack, 1.0)], accuracy))
+        narrowed = v.agg(*[a.alias(f"b{i}") for i, a in enumerate(asks)]).first()
+        borders = [tuple(b) for b in narrowed]
+        within = lambda lo, hi: F.count_if(F.col("v").between(lo, hi))
+        counts = v.agg(*[c for i, (lo, hi) in enumerate(borders) for c in (F.count_if(F.col("v") < lo).alias(f"l{i}"), within(lo, hi).alias(f"n{i}"))]).first()
+        after = [(*b, counts[2 * i], counts[2 * i + 1]) for i, b in enumerate(borders)]
+        if [b[:2] for b in after] == [b[:2] for b in brackets]:
+            break  # as narrow as sketches can make it
+        brackets = after
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), *(F.lit(b).alias(n) for n, b in zip(("lo", "hi", "below", "t"), (*b[:3], t), strict=True))) for i, (b, t) in enumerate(zip(brackets, ranks, strict=True))])
+    near = v.withColumn("_b", F.explode(F.filter(sides, lambda b: F.col("v").between(b["lo"], b["hi"])))).groupBy("_b", "v").agg(F.count(F.lit(1)).alias("c"))
+    cum = F.sum("c").over(Window.partitionBy("_b.i").orderBy("v"))
+    first = near.withColumn("cum", cum).where(F.col("_b.below") + F.col("cum") > F.col("_b.t"))
+    picks = first.groupBy("_b.i").agg(F.min("v").alias("cut"), F.min(F.col("_b.below") - F.col("_b.t")).alias("gap"))
     checked = F.when(F.col("gap") > 0, F.raise_error(F.lit("rank outside its bracket"))).otherwise(F.col("cut"))
     ordered = F.array_sort(F.collect_list(F.struct("i", checked.alias("cut"))))
     return picks.agg(F.transform(ordered, lambda s: s["cut"]).alias("cuts"))

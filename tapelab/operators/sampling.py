@@ -1,4 +1,7 @@
-"""Numbering, thinning, splitting, deduplication and top-n."""
+"""Numbering, thinning, splitting, deduplication and top-n.
+
+Where rows are numbered, ``most`` sets the rows of a bucket in crowded times (``scan.even_buckets``).
+"""
 
 from __future__ import annotations
 
@@ -13,31 +16,31 @@ from tapelab.operators.scan import DAY_MS, KEYLESS_MS
 
 def scan_window(
     df: DataFrame, asset_col: str, asset: str, ts: str, lo: int, hi: int, every: int = 1,
-    limit: int | None = None, tie: Sequence[str] = (), width: int = KEYLESS_MS,
+    limit: int | None = None, tie: Sequence[str] = (), width: int = KEYLESS_MS, most: int | None = None,
 ) -> DataFrame:
     """Rows of one asset in ``[lo, hi]``, every n-th, up to a cap the user asked for."""
     got = df.where((F.col(asset_col) == asset) & F.col(ts).between(lo, hi))
     if every <= 1 and limit is None:
         return got
-    got = scan.numbered(got, [], ts, tie, width, rn="_rn")
+    got = scan.numbered(got, [], ts, tie, width, rn="_rn", most=most)
     keep = F.pmod(F.col("_rn") - 1, F.lit(every)) == 0
     if limit is not None:
         keep = keep & (F.floor((F.col("_rn") - 1) / every) < limit)
     return got.where(keep).drop("_rn")
 
 
-def sample_even(df: DataFrame, by: Sequence[str], ts: str, k: int, tie: Sequence[str] = (), width: int = DAY_MS) -> DataFrame:
+def sample_even(df: DataFrame, by: Sequence[str], ts: str, k: int, tie: Sequence[str] = (), width: int = DAY_MS, most: int | None = None) -> DataFrame:
     """Rows at positions ``floor(i * n / k)``; all rows when a key has at most ``k``."""
-    got = scan.numbered(df, by, ts, tie, width, rn="_rn", total="_n")
+    got = scan.numbered(df, by, ts, tie, width, rn="_rn", total="_n", most=most)
     pos, n = F.col("_rn") - 1, F.col("_n")
     i = F.ceil(pos * k / n).cast("long")
     hit = (i < k) & (F.floor(i * n / k) == pos)
     return got.where((n <= k) | hit).drop("_rn", "_n")
 
 
-def sample_endpoints(df: DataFrame, by: Sequence[str], ts: str, k: int, tie: Sequence[str] = (), width: int = DAY_MS) -> DataFrame:
+def sample_endpoints(df: DataFrame, by: Sequence[str], ts: str, k: int, tie: Sequence[str] = (), width: int = DAY_MS, most: int | None = None) -> DataFrame:
     """Rows at positions ``i * (n - 1) div (k - 1)``; the middle row when ``k`` is 1."""
-    got = scan.numbered(df, by, ts, tie, width, rn="_rn", total="_n")
+    got = scan.numbered(df, by, ts, tie, width, rn="_rn", total="_n", most=most)
     pos, n = F.col("_rn") - 1, F.col("_n")
     if k <= 0:
         return got.where(F.lit(False)).drop("_rn", "_n")
@@ -49,9 +52,9 @@ def sample_endpoints(df: DataFrame, by: Sequence[str], ts: str, k: int, tie: Seq
     return got.where(F.when(take == 1, middle).otherwise(hit)).drop("_rn", "_n")
 
 
-def stride(df: DataFrame, by: Sequence[str], ts: str, cap: int, head: int, tie: Sequence[str] = (), width: int = DAY_MS):
+def stride(df: DataFrame, by: Sequence[str], ts: str, cap: int, head: int, tie: Sequence[str] = (), width: int = DAY_MS, most: int | None = None):
     """Strided rows (stride ``n div cap``, up to ``head``) and the dense head for labels."""
-    got = scan.numbered(df, by, ts, tie, width, rn="_rn", total="_n")
+    got = scan.numbered(df, by, ts, tie, width, rn="_rn", total="_n", most=most)
     step = F.greatest(F.floor(F.col("_n") / max(cap, 1)), F.lit(1))
     pos = F.col("_rn") - 1
     strided = got.where((F.pmod(pos, step) == 0) & (F.floor(pos / step) < head))
@@ -65,17 +68,18 @@ def cap_per_bucket(df: DataFrame, bucket: Sequence[str], ts: str, cap: int, tie:
     return df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap).drop("_rn")
 
 
-def round_robin(df: DataFrame, bucket: Sequence[str], ts: str, tie: Sequence[str] = (), width: int = DAY_MS) -> DataFrame:
+def round_robin(df: DataFrame, bucket: Sequence[str], ts: str, tie: Sequence[str] = (), width: int = DAY_MS, most: int | None = None) -> DataFrame:
     """First of every bucket, then second of every bucket, and so on; adds ``round``."""
-    got = scan.numbered(df, bucket, ts, tie, width, rn="round")
+    got = scan.numbered(df, bucket, ts, tie, width, rn="round", most=most)
     return got.orderBy("round", *bucket)
 
 
 def temporal_split(
-    df: DataFrame, fractions: dict[str, float], ts: str, tie: Sequence[str] = (), width: int = KEYLESS_MS
+    df: DataFrame, fractions: dict[str, float], ts: str, tie: Sequence[str] = (), width: int = KEYLESS_MS,
+    most: int | None = None,
 ) -> DataFrame:
     """Chronological split: each named fraction takes ``floor(n * f)`` rows, the last name the rest."""
-    got = scan.numbered(df, [], ts, tie, width, rn="_rn", total="_n")
+    got = scan.numbered(df, [], ts, tie, width, rn="_rn", total="_n", most=most)
     names = list(fractions)
     label, end = F.lit(None).cast("string"), F.lit(0)
     conditions = []

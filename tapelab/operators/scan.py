@@ -19,11 +19,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapelab.session import settle
+
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
 #: Bucket of scans without a key: a busy day is 96 buckets, ten years are 350,000 rows of the second window.
 KEYLESS_MS = 900_000
 BUCKET = "_bucket"
+#: Slots of the histogram of a crowded time cell.
+FINE = 4096
 
 
 def bucket_of(ts: Column, width: int) -> Column:
@@ -49,10 +53,9 @@ def across(by: Sequence[str], descending: bool = False):
     )
 
 
-def join_carry(df: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Left join on (key, bucket), null keys included."""
-    keys = [*by, BUCKET]
-    renamed = carried.withColumnsRenamed({k: f"_c{i}" for i, k in enumerate(keys)})
+def join_null_safe(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys``, null keys included."""
+    renamed = right.withColumnsRenamed({k: f"_c{i}" for i, k in enumerate(keys)})
     cond = None
     for i, k in enumerate(keys):
         term = df[k].eqNullSafe(renamed[f"_c{i}"])
@@ -60,6 +63,33 @@ def join_carry(df: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFram
     return df.join(renamed, cond, "left").drop(*[f"_c{i}" for i in range(len(keys))])
 
 
+def join_carry(df: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
+    return join_null_safe(df, carried, [*by, BUCKET])
+
+
+def even_buckets(df: DataFrame, by: Sequence[str], ts: str, width: int, most: int) -> DataFrame:
+    """Buckets of about ``most`` rows where time cells of ``width`` hold more, in place of one bucket per cell.
+
+    Cells are counted first. Those above ``most`` get a histogram of ``FINE`` slots, whose running count says where a bucket ends; a bucket
+    holds ``most`` rows and one slot at most. The map has at most ``FINE`` rows per crowded cell and is written once, so
+    that all readers of the buckets see the same borders.
+    """
+    by = list(by)
+    cell = bucket_of(F.col(ts), width)
+    slot = F.floor((F.col(ts) - F.col("_cell") * width) * FINE / width).cast("long")
+    work = df.withColumn("_cell", cell)
+    crowded = settle(work.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most), "crowded")
+    if crowded.isEmpty():
+        return df.withColumn(BUCKET, cell * FINE)
+    work = work.withColumn("_slot", slot)
+    inside = join_null_safe(work.select(*by, "_cell", "_slot"), crowded, [*by, "_cell"]).where(F.col("_n").isNotNull())
+    slots = inside.groupBy(*by, "_cell", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    slots = settle(slots.select(*by, "_cell", "_slot", F.floor(F.coalesce(before, F.lit(0)) / most).cast("long").alias("_part")), "slots")
+    work = join_null_safe(work, slots, [*by, "_cell", "_slot"])
+    return work.withColumn(BUCKET, F.col("_cell") * FINE + F.coalesce("_part", F.lit(0))).drop("_cell", "_slot", "_part")
+
+
 def last_value(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
@@ -118,16 +148,17 @@ def previous(*columns: str) -> Running:
 
 
 def ordered(
-    df: DataFrame, by: Sequence[str], ts: str, outputs: dict[str, Running], tie: Sequence[str] = (), width: int = HOUR_MS
+    df: DataFrame, by: Sequence[str], ts: str, outputs: dict[str, Running], tie: Sequence[str] = (), width: int = HOUR_MS,
+    most: int | None = None,
 ) -> DataFrame:
     """Adds every running value of ``outputs`` in (ts, tie) order per key.
 
     All of them share one bucket, one summary, one sort of the rows and one join; the input is read twice, for the rows and for
-    the summary.
+    the summary. With ``most`` a bucket holds about so many rows, however crowded its time (``even_buckets``).
     """
     names, by = list(outputs), list(by)
     made = list(outputs.values())
-    work = with_bucket(df, ts, width)
+    work = with_bucket(df, ts, width) if most is None else even_buckets(df, by, ts, width, most)
     work = work.withColumns({f"_x{i}": o.value for i, o in enumerate(made) if o.value is not None})
     value = lambda i: F.col(f"_x{i}") if made[i].value is not None else F.lit(1)
     order = F.struct(ts, *tie)
@@ -171,10 +202,10 @@ def running_max(
 
 def numbered(
     df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str] = (), width: int = HOUR_MS, rn: str = "_rn",
-    total: str | None = None,
+    total: str | None = None, most: int | None = None,
 ) -> DataFrame:
     """Row number per key in (ts, tie) order, from 1; optionally the key's row count."""
-    return ordered(df, by, ts, {rn: number()} | ({total: rows_of_key()} if total else {}), tie, width)
+    return ordered(df, by, ts, {rn: number()} | ({total: rows_of_key()} if total else {}), tie, width, most)
 
 
 def previous_row(

@@ -300,7 +300,7 @@ WITH k AS (SELECT *, quantile_cont(qty / 7, [0.25, 0.5, 0.75]) OVER w AS q, coun
 SELECT seq, CASE WHEN n < 20 THEN 'normal' WHEN qty / 7 <= q[1] THEN 'low' WHEN qty / 7 <= q[2] THEN 'normal' WHEN qty / 7 <= q[3] THEN 'high' ELSE 'extreme' END AS vol_regime FROM k""")
 def _(t):
     df = t.ticks.select("seq", "asset", "venue", "ts_ms", (col("qty") / 7).alias("vol"))
-    got = regimes.pit_vol_regime(df, ["asset", "venue"], "ts_ms", "vol", 20, ("seq",), width=DAY_MS, time_block=100, value_blocks=8)
+    got = regimes.pit_vol_regime(df, ["asset", "venue"], "ts_ms", "vol", 20, ("seq",), width=DAY_MS)
     return got.select("seq", "vol_regime")
 
 

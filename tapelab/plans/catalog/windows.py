@@ -171,7 +171,7 @@ WITH k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts_ms, seq)
 i AS (SELECT a.asset, least(9, a.n) AS take, a.n, unnest(range(0, least(9, a.n))) AS o FROM (SELECT DISTINCT asset, n FROM k) a)
 SELECT k.seq, k.asset FROM k JOIN i ON k.asset = i.asset AND k.p = i.o * (i.n - 1) // (i.take - 1)""")
 def _(t):
-    return sampling.sample_endpoints(t.ticks, ["asset"], "ts_ms", 9, ("seq",)).select("seq", "asset")
+    return sampling.sample_endpoints(t.ticks, ["asset"], "ts_ms", 9, ("seq",), most=30).select("seq", "asset")
 
 
 @query("E13_stride", using="ticks", sql="""

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,25 @@ def test_one_pass_gives_all_outputs(df, data, width):
                 prev = (r[2], r[3])
 
 
+@pytest.mark.parametrize("most", [10, 1_000])
+def test_buckets_of_a_crowded_key_are_even(spark, most):
+    """All rows of one key in one time cell, half of them in a tenth of it; another key is sparse, a third is null."""
+    rnd = random.Random(15)
+    rows_ = [("hot", rnd.randrange(4_096 if i % 2 else 400), i, 1.0) for i in range(400)] + [("b", i * 5_000, 1_000 + i, 1.0) for i in range(20)]
+    rows_ += [(None, rnd.randrange(4_096), 2_000 + i, 1.0) for i in range(60)]
+    frame = spark.createDataFrame(rows_, "k string, ts long, seq long, v double")
+    made = scan.even_buckets(frame, ["k"], "ts", 4_096, most)
+    sizes = [r["count"] for r in made.groupBy("k", scan.BUCKET).count().collect()]
+    slot = max(Counter((k, t) for k, t, *_ in rows_).values())
+    assert max(sizes) < most + slot and (most > 400 or len(sizes) > 40)
+    spans = made.groupBy("k", scan.BUCKET).agg(F.min("ts"), F.max("ts")).orderBy("k", scan.BUCKET).collect()
+    assert all(a[0] != b[0] or a[3] < b[2] for a, b in zip(spans, spans[1:]))
+    got = {r.seq: (r._rn, r.n) for r in scan.numbered(frame, ["k"], "ts", ("seq",), 4_096, total="n", most=most).collect()}
+    for k in ("hot", "b", None):
+        part = sorted((r for r in rows_ if r[0] == k), key=lambda r: (r[1], r[2]))
+        assert all(got[r[2]] == (i + 1, len(part)) for i, r in enumerate(part))
+
+
 def scans_of(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
 
@@ -253,11 +273,11 @@ def test_cooldown_and_lock(df, data, width):
 def test_regime_walk_and_brute_force(spark, df, data):
     walk = spark.createDataFrame([("A", i, float(v)) for i, v in enumerate((1, 2, 3, 4))], "k string, ts long, vol double")
     for warmup, want in ((1, ["low", "extreme", "extreme", "extreme"]), (4, ["normal", "normal", "normal", "extreme"])):
-        got = regimes.pit_vol_regime(walk, ["k"], "ts", "vol", warmup, width=2, time_block=2, value_blocks=2)
+        got = regimes.pit_vol_regime(walk, ["k"], "ts", "vol", warmup, width=2, block_rows=2)
         assert [r.vol_regime for r in sorted(got.collect(), key=lambda r: r.ts)] == want
     import numpy as np
 
-    got = {r.seq: r.vol_regime for r in regimes.pit_vol_regime(df, ["k"], "ts", "v", 10, ("seq",), 50, 20, 4).collect()}
+    got = {r.seq: r.vol_regime for r in regimes.pit_vol_regime(df, ["k"], "ts", "v", 10, ("seq",), 50, 20).collect()}
     for part in by_key(data).values():
         for i, r in enumerate(part):
             hist = np.array([x[3] for x in part[: i + 1]])
@@ -266,6 +286,19 @@ def test_regime_walk_and_brute_force(spark, df, data):
             assert got[r[2]] == want
 
 
+def test_ranks_with_one_value_in_most_rows(spark):
+    """Nine of ten rows are equal, and one key is null."""
+    rnd = random.Random(2)
+    data = [("a", i, 5.0 if rnd.random() < 0.9 else round(rnd.random() * 9, 2)) for i in range(600)] + [(None, i, 1.0) for i in range(40)]
+    frame = spark.createDataFrame(data, "k string, ts long, v double")
+    got = {(r.k, r.ts): (r._rn, r._less) for r in regimes.expanding_rank(frame, ["k"], "ts", "v", (), 50, 30).collect()}
+    for k in ("a", None):
+        part = [v for x, _, v in data if x == k]
+        for i, v in enumerate(part):
+            assert got[k, i] == (i + 1, sum(x < v for x in part[:i]))
+    assert len(got) == len(data)
+
+
 def test_earlier_smaller():
     import numpy as np
 
