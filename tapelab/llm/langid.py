@@ -99,13 +99,19 @@ def clusters(x: np.ndarray, k: int, rounds: int = ITERATIONS) -> np.ndarray:
 def drawn(rows: DataFrame, most: int) -> DataFrame:
     """(lang, order, text): for each language the ``most`` different texts with the smallest hashes, or all if it has fewer.
 
-    Copies count once and only texts with an n-gram count. A task keeps no more than ``most`` hashes of a language before the shuffle; the
-    last hash of each language is a row of a table that is joined back. Tasks drop the copies they see before the shuffle.
+    Copies count once and only texts with an n-gram count. The hashes of all different texts are written once; about twice ``most`` of a
+    language are ordered, and the last hash of each language is a row of a table that is joined back. Tasks drop the copies they see
+    before the shuffle.
     """
     rows = rows.where((F.octet_length("text") > 1) & F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).withColumn("order", F.xxhash64("text"))
+    different = keep(rows.select("lang", "order").distinct(), "langid-texts")
+    sizes = keep(different.groupBy("lang").agg(F.count("*").alias("n")), "langid-sizes")
+    # hashes are spread evenly, so a part of their range holds a little more than twice as many as are wanted
+    part = F.expr(f"least(cast(18446744073709551616 as decimal(20,0)), floor(cast(18446744073709551616 as decimal(20,0)) * {2 * most + 100} / n))")
+    low = different.join(sizes, "lang").where(F.col("order") <= part - F.expr("cast(9223372036854775809 as decimal(20,0))"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    first = rows.select("lang", "order").distinct().withColumn("place", place).where(F.col("place") <= most)
-    last = keep(first.groupBy("lang").agg(F.max("order").alias("last")), "langid-last")
+    last = low.withColumn("place", place).where(F.col("place") <= most).groupBy("lang").agg(F.max("order").alias("last"))
+    last = keep(last, "langid-last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
