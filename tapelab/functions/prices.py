@@ -22,10 +22,6 @@ def unit(x: Column) -> Column:
     return finite(x) & (x >= 0) & (x <= 1)
 
 
-def finite_or_zero(x: Column) -> Column:
-    return F.when(finite(x), x).otherwise(F.lit(0.0))
-
-
 def yes_price(price: Column, label: Column) -> dict[str, Column]:
     """Price of the YES side and whether the label allowed normalising it."""
     side = F.lower(F.trim(label))

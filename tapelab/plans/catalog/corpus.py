@@ -42,6 +42,11 @@ def _(t):
     return got.select("agg_id", "ts_ms", "price", "qty", "aggressor_side")
 
 
+@query("S2_agg_rejects", using="ticks", sql="SELECT 'price' AS reject_reason, count(*) AS n FROM ticks WHERE user_id % 11 = 0")
+def _(t):
+    return readers.agg_rejects(_raw_agg(t), "BTC", "spot")
+
+
 @query("S3_filter_archives", sql="""
 WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders),
 f AS (SELECT 'x/BTCUSDT-aggTrades-' || strftime(d, '%Y-%m-%d') || '.zip' AS path, d AS a, d AS b FROM d UNION ALL SELECT DISTINCT 'x/BTCUSDT-aggTrades-' || strftime(d, '%Y-%m') || '.zip', date_trunc('month', d)::DATE, last_day(d) FROM d)
@@ -761,12 +766,12 @@ a AS (SELECT s.seq, coalesce(spot, 0) AS spot, coalesce(perp_price, 0) AS perp_p
 d AS (SELECT *, CASE WHEN spot > 0 THEN (spot / 40.0 - 1) * 100 ELSE 0 END AS dist, greatest(realized_vol_1m_pct, 1e-6) AS sigma, greatest(realized_vol_5m_pct, 1e-6) AS slow FROM a),
 z AS (SELECT *, CASE WHEN spot > 0 THEN (ln(spot / 40.0) - 0.5 * sigma / 100 * sigma / 100 * 900) / (sigma / 100 * sqrt(900)) END AS z FROM d),
 n AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS pdf, abs(z) AS x FROM z)
-SELECT seq AS eval_id, spot, perp_price, yes_bid, yes_ask, mid, {', '.join(features.LAGS)}, {', '.join(f'round({n}, 6) AS {n}' for n in _SPOT_OFFSETS)}, {', '.join(f'round({n}, 4) AS {n}' for n in _FEATURE_VOLS)},
+SELECT seq AS eval_id, spot, perp_price, yes_bid, yes_ask, mid, {', '.join(features.LAGS)}, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in _SPOT_OFFSETS)}, {', '.join(f'round({n}, 4) AS {n}' for n in _FEATURE_VOLS)},
   buy_short AS buy_vol, sell_short AS sell_vol, buy_short - sell_short AS ofi_short, buy_long - sell_long AS ofi_long,
-  round(CASE WHEN buy_long + sell_long > 0 THEN (buy_long - sell_long) / (buy_long + sell_long) ELSE 0 END, 6) AS imbalance,
-  round(CASE WHEN buy_long + sell_long > 0 THEN buy_long / (buy_long + sell_long) ELSE 0.5 END, 6) AS buy_ratio, 900 AS time_remaining_secs,
-  round(dist, 6) AS distance_to_target_pct, round(CASE WHEN spot > 0 AND perp_price > 0 THEN (spot / perp_price - 1) * 100 ELSE 0 END, 6) AS spot_perp_diff_pct,
-  round(ret_1s_pct / sigma, 3) AS move_zscore_1s, round(dist / (sigma * sqrt(900)), 3) AS distance_sigma, round(sigma / slow, 3) AS vol_regime_ratio,
+  round(CASE WHEN buy_long + sell_long > 0 THEN (buy_long - sell_long) / (buy_long + sell_long) ELSE 0 END, 6) + 0.0 AS imbalance,
+  round(CASE WHEN buy_long + sell_long > 0 THEN buy_long / (buy_long + sell_long) ELSE 0.5 END, 6) + 0.0 AS buy_ratio, 900 AS time_remaining_secs,
+  round(dist, 6) + 0.0 AS distance_to_target_pct, round(CASE WHEN spot > 0 AND perp_price > 0 THEN (spot / perp_price - 1) * 100 ELSE 0 END, 6) + 0.0 AS spot_perp_diff_pct,
+  round(ret_1s_pct / sigma, 3) + 0.0 AS move_zscore_1s, round(dist / (sigma * sqrt(900)), 3) + 0.0 AS distance_sigma, round(sigma / slow, 3) AS vol_regime_ratio,
   round(CASE WHEN z IS NULL THEN 0.5
     WHEN x <= 3 THEN 0.5 + pdf * z * list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(45, 0, -1), lambda i: i::DOUBLE)), lambda t, i: 1 + z * z * t / (2 * i + 1))
     WHEN z > 0 THEN 1 - pdf / list_reduce(list_prepend(x, list_transform(range(40, 0, -1), lambda i: i::DOUBLE)), lambda t, i: x + i / t)
@@ -800,6 +805,20 @@ def _(t):
     return features.strategy(t.evals, rule).groupBy("variant").agg(F.count_if("q").alias("n_quotes"))
 
 
+# A rule with memory: of the rows of a variant in time order it quotes every third that passes.
+@query("U2_stateful", using="evals", sql="""
+WITH h AS (SELECT variant, l_partkey, row_number() OVER (PARTITION BY variant ORDER BY ts_ms, pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM evals WHERE underreact_up > 0.5)
+SELECT variant, count(*) FILTER (n % 3 = 0) AS n_quotes, coalesce(sum(l_partkey) FILTER (n % 3 = 0), 0)::BIGINT AS parts FROM h GROUP BY 1""")
+def _(t):
+    def rule(pdf):
+        passing = pdf[pdf["underreact_up"] > 0.5].sort_values(["ts_ms", "pair_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+        quoted = passing.iloc[2::3]
+        return passing[["variant"]].head(1).assign(n_quotes=len(quoted), parts=int(quoted["l_partkey"].sum()))
+
+    rows = t.evals.select("variant", "ts_ms", "pair_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "underreact_up")
+    return features.strategy(rows, rule, ["variant"], "variant string, n_quotes long, parts long")
+
+
 @query("U3_fit_thresholds", using="evals", sql="""
 WITH f AS (SELECT asset, avg(underreact_up) + stddev_pop(underreact_up) AS cut FROM evals WHERE split = 'EXPLORATION' GROUP BY 1)
 SELECT e.asset, round(max(cut), 6) AS cut, count(*) FILTER (underreact_up > cut) AS n_above FROM evals e JOIN f USING (asset) WHERE split = 'OUT_OF_SAMPLE' GROUP BY 1""")

@@ -336,6 +336,24 @@ def _(t):
     return got.select(*_IDS, "pressure_error", r("pressure", "pressure"), "pressure_confidence")
 
 
+@query("P17_parse_fair_value", using="evals", sql="""
+SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_linenumber = 3 THEN 'missing_field:fair_p_yes' WHEN l_linenumber = 5 THEN 'probability:fair_p_yes'
+  WHEN l_linenumber = 6 THEN 'missing_answer:fair_p_yes' END AS fair_error, CASE WHEN l_linenumber NOT IN (3, 5, 6) THEN fair_p_yes END AS fair_p_yes FROM evals""")
+def _(t):
+    value = F.when(col("l_linenumber") == 5, col("fair_p_yes") + 2).when(col("l_linenumber") != 3, col("fair_p_yes"))
+    answer = F.struct(F.lit("noul").alias("type"), value.alias("noul"))
+    body = F.struct(F.struct(F.when(col("l_linenumber") != 6, answer).alias("fair_p_yes")).alias("answers"))
+    rows = t.wide.evals.select(*_IDS, F.to_json(body).alias("json"))
+    return signals.parse_fair_value(rows, "json").select(*_IDS, "fair_error", "fair_p_yes")
+
+
+@query("P18_p_up", using="evals", sql="""
+SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(underreact_up / 2 + CASE WHEN l_linenumber <> 2 THEN underreact_up / 4 ELSE 0 END, 6) AS p_up FROM evals""")
+def _(t):
+    buckets = F.to_json(F.struct((col("underreact_up") / 2).alias("up_3_plus"), F.when(col("l_linenumber") != 2, col("underreact_up") / 4).alias("up_1")))
+    return t.evals.select(*_IDS, r(signals.p_up_from_buckets(buckets), "p_up"))
+
+
 @query("P18_extract_features", using="quotes", sql="""
 SELECT seq, size AS ret_5s_pct, 0.0::DOUBLE AS ofi_5s, CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE yes_bid END AS move_zscore_1s,
   CASE WHEN event_type = 'click' THEN 0.5::DOUBLE ELSE (ask_micros - bid_micros) / 1000000.0::DOUBLE END AS spread FROM quotes""")
@@ -513,6 +531,14 @@ def _(t):
     return decisions.decide(df, _CUTS).select(*_IDS, "skip_reason", "decision", "quote_micros")
 
 
+@query("P27_risk_block", using="evals", sql="""
+SELECT pair_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_linenumber = 7 THEN 'killed' WHEN stale_skipped THEN 'stale_book'
+  WHEN l_linenumber >= 4 THEN 'too_many_outstanding_quotes' WHEN latency_ms > 500 THEN 'latency_exceeded' END AS risk_reason FROM evals""")
+def _(t):
+    reason = decisions.risk_block(col("l_linenumber") == 7, col("stale_skipped"), col("l_linenumber"), 4, col("latency_ms"), 500)
+    return t.evals.select(*_IDS, reason.alias("risk_reason"))
+
+
 @query("P28_size_entry", using="evals", sql="""
 WITH k AS (SELECT *, CASE WHEN NOT (fair_p_yes > 0 AND fair_p_yes < 1) THEN 'price_range' WHEN NOT (move_persists * 5 - 0.5 > 0) THEN 'stake' END AS bad,
   floor(fair_p_yes / 0.25 + 0.5) * 0.25 AS p, move_persists * 5 - 0.5 AS stake FROM evals),

@@ -140,11 +140,22 @@ def _newest(df: DataFrame) -> DataFrame:
 
 
 @query("T5_spot_history", using="ticks", sql="""
-WITH m AS (SELECT *, max(ts_ms) OVER (PARTITION BY asset) AS mx FROM ticks) SELECT asset, count(DISTINCT ts_ms) AS n, min(ts_ms) AS oldest_ms, max(ts_ms) AS newest_ms, arg_max(price, ts_ms) AS last_price
+WITH m AS (SELECT *, max(ts_ms) OVER (PARTITION BY asset) AS mx FROM ticks) SELECT asset, count(DISTINCT ts_ms) AS n, min(ts_ms) AS oldest_ms, max(ts_ms) AS newest_ms, arg_max(price, ts_ms::HUGEINT * 1000000000 + seq) AS last_price
 FROM m WHERE ts_ms >= mx - 234000000 GROUP BY 1""")
 def _(t):
-    rows = _stream(t).ticks.withColumn("event_ms", col("ts_ms"))
-    return _newest(run(streams.spot_history(_timed(rows), retention_ms=65 * HOUR_MS, expire_ms=65 * HOUR_MS), "update", "T5"))
+    return history(t, 2)
+
+
+def history(t, parts: int) -> DataFrame:
+    """The last 65 hours of each asset, read from the samples that the stream has written."""
+    span = 65 * HOUR_MS
+    rows = _timed(_stream(t, parts=parts).ticks.withColumn("event_ms", col("ts_ms")))
+    wrote = run(streams.spot_history(rows, retention_ms=span, slice_ms=6 * HOUR_MS), "update", "T5")
+    held = wrote.groupBy("asset", "event_ms").agg(F.max_by("price", F.struct("seq", "batch")).alias("price"))
+    newest = held.groupBy(col("asset").alias("_a")).agg(F.max("event_ms").alias("_newest"))
+    held = held.join(newest, col("asset") == col("_a")).where(col("event_ms") >= col("_newest") - span)
+    return held.groupBy("asset").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_ms").alias("oldest_ms"), F.max("event_ms").alias("newest_ms"), F.max_by("price", "event_ms").alias("last_price"))
 
 
 @query("T6_late_history", using="ticks", sql="""

@@ -149,7 +149,10 @@ def evaluate(misses: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[
 
 
 def strategy(df: DataFrame, rule: Callable[[DataFrame], DataFrame], by: Sequence[str] = (), schema=None) -> DataFrame:
-    """A strategy is a DataFrame function, or a per-key pandas function where it must keep state."""
+    """A strategy is a DataFrame function, or a per-key pandas function where it must keep state.
+
+    With a state all rows of a key are one pandas group: choose ``by`` so that a group fits a task (a market, a market and day).
+    """
     if schema is None:
         return rule(df)
     return df.groupBy(*by).applyInPandas(rule, schema)

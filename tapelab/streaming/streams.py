@@ -177,9 +177,7 @@ _HISTORY = "n INT, n_late BIGINT, oldest_ms BIGINT, newest_ms BIGINT, last_price
 _HISTORY_STATE = "ts ARRAY<BIGINT>, price ARRAY<DOUBLE>, late BIGINT"
 
 
-def _history(
-    df: DataFrame, key: str, ts: str, price: str, retention_ms: int | None, capacity: int | None, expire_ms: int | None
-) -> DataFrame:
+def _history(df: DataFrame, key: str, ts: str, price: str, capacity: int, expire_ms: int | None) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def update(group, batches: Iterator[pd.DataFrame], state: GroupState):
@@ -190,8 +188,7 @@ def _history(
         pdf = pd.concat(list(batches), ignore_index=True)
         held = pd.Series([*old_price, *pdf[price]], index=[*old_ts, *pdf[ts].astype("int64")])
         held = held[~held.index.duplicated(keep="last")].sort_index()
-        first = held.index[-1] - retention_ms if retention_ms is not None else held.index[0]
-        kept = held[held.index >= first].iloc[-capacity if capacity is not None else 0 :]
+        kept = held.iloc[-capacity:]
         # a new sample older than what was held before, and than what is kept, came too late to count
         if old_ts:
             late += int((pdf[ts] < min(kept.index[0], old_ts[0])).sum())
@@ -211,22 +208,62 @@ def _history(
     )
 
 
+class _Samples(StatefulProcessor):
+    """Samples of one key and time slice, an entry per time, until the retention has passed."""
+
+    def __init__(self, key: str, ts: str, price: str, tie: str, retention_ms: int, slice_ms: int) -> None:
+        self.names, self.retention, self.slice = (key, ts, price, tie), retention_ms, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.samples = handle.getMapState("samples", "ts BIGINT", "price DOUBLE, tie BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        name, ts, price, tie = self.names
+        newest: dict[int, tuple[int, float]] = {}
+        for pdf in rows:
+            for at, n, p in zip(pdf[ts].tolist(), pdf[tie].tolist(), pdf[price].tolist(), strict=True):
+                newest[at] = max(newest.get(at, (n, p)), (n, p))
+        self.handle.registerTimer((key[1] + 1) * self.slice + self.retention)
+        changed = []
+        for at, (n, p) in newest.items():
+            held = self.samples.getValue((at,)) if self.samples.containsKey((at,)) else None
+            if held is None or (held[1], held[0]) < (n, p):
+                self.samples.updateValue((at,), (p, n))
+                changed.append((at, n, p))
+        yield pd.DataFrame({name: key[0], ts: [c[0] for c in changed], tie: [c[1] for c in changed], price: [c[2] for c in changed]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.samples.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
 def spot_history(
-    df: DataFrame, key: str = "asset", ts: str = "event_ms", price: str = "price", retention_ms: int = SPOT_RETENTION_MS,
-    expire_ms: int | None = None,
+    df: DataFrame, key: str = "asset", ts: str = "event_ms", price: str = "price", tie: str = "seq",
+    retention_ms: int = SPOT_RETENTION_MS, slice_ms: int = 300_000,
 ) -> DataFrame:
-    """Retained spot samples per key, late ones inserted in order; those older than the retention are counted in ``n_late``.
+    """The samples of the spot history as they come or change, late ones too: key, ts, tie, price.
 
-    With ``expire_ms`` (and a watermark) the state of a key goes that long after its newest sample.
+    Of samples of one time the highest ``tie`` counts, whatever order they come in, so the newest row of each time in the output is the
+    history for any cut of the stream; readers look back as far as they need. State is dealt by key and time slice, a batch
+    writes the samples that changed, and a slice goes once the watermark is the retention past its end. Rows behind the watermark
+    are dropped and counted (``late_rows``), so its delay says how late a sample may be. Needs ``state_store``.
     """
-    return _history(df, key, ts, price, retention_ms, None, expire_ms)
+    rows = df.where(positive(F.col(price))).select(key, ts, price, tie, "event_ts", F.expr(f"{ts} div {slice_ms}").alias("slice"))
+    kind = df.schema[key].dataType.simpleString()
+    return rows.groupBy(key, "slice").transformWithStateInPandas(
+        _Samples(key, ts, price, tie, retention_ms, slice_ms), f"{key} {kind}, {ts} BIGINT, {tie} BIGINT, {price} DOUBLE", "update", "EventTime"
+    )
 
 
 def late_history(
     df: DataFrame, cap: int, key: str = "asset", ts: str = "event_ms", price: str = "price", expire_ms: int | None = None
 ) -> DataFrame:
     """The newest ``cap`` samples per key; an equal time replaces the older sample, ``n_late`` counts what came too late."""
-    return _history(df, key, ts, price, None, cap, expire_ms)
+    return _history(df, key, ts, price, cap, expire_ms)
 
 
 def stream_labels(

@@ -261,3 +261,10 @@ def test_memo_budget(spark):
     cache = spark.createDataFrame([("h1", True, 1.0), ("h3", False, 2.0)], "h string, live boolean, result double")
     got = {r.ts: r.memo for r in lookups.memo_join(states, cache, ["h"], True, "ts", 2).collect()}
     assert got == {1: "hit", 2: "call", 3: "reuse", 4: "call", 5: "over_budget"}
+
+
+def test_fee_rates_and_net_invariant(spark):
+    rates = spark.createDataFrame([(x,) for x in (0.0, 0.5, 1.0, -0.1, float("nan"), None)], "x double")
+    assert [r.ok for r in rates.select(accounting.valid_rate(F.col("x")).alias("ok")).collect()] == [True, True, False, False, False, False]
+    rows = spark.createDataFrame([(1.0, 0.2, 0.1, 0.9), (1.0, 0.2, 0.0, 0.9), (float("inf"), 0.0, 0.0, 1.0)], "gross_pnl_usd double, fees_usd double, rebates_usd double, net_pnl_usd double")
+    assert [r.ok for r in rows.select(accounting.net_invariant_ok(rows).alias("ok")).collect()] == [True, False, False]

@@ -96,6 +96,25 @@ def test_history_takes_late_samples(feed):
         assert [(x.ts, x.price) for x in r.s.samples] == mine and r.s.n == 30
 
 
+def test_spot_history_writes_what_changes(spark, tmp_path):
+    """Repeated and late samples: each time is written when it changes, and the newest rows are the history."""
+    steps = [
+        [("a", 1, 1_000, 5.0), ("a", 2, 2_000, 6.0), ("b", 3, 1_000, 1.0)], [("a", 2, 2_000, 6.0), ("a", 4, 1_500, 7.0), ("a", 5, 2_000, 8.0)],
+        [("a", 3, 2_000, 9.0), ("a", 6, 9_000, 2.0), ("a", 7, 9_500, -1.0)],
+    ]
+    streams.state_store(spark)
+    schema = "k string, seq long, event_ms long, price double"
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        next((tmp_path / f"p{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("event_ts", F.timestamp_millis("event_ms")).withWatermark("event_ts", "1 minute")
+    got = run(streams.spot_history(stream, "k", retention_ms=60_000, slice_ms=1_000), "update", "t").collect()
+    assert {(r.batch, r.k, r.event_ms, r.price) for r in got} == {
+        (0, "a", 1_000, 5.0), (0, "a", 2_000, 6.0), (0, "b", 1_000, 1.0), (1, "a", 1_500, 7.0), (1, "a", 2_000, 8.0), (2, "a", 9_000, 2.0)}
+
+
 def test_windows_and_candles(feed):
     batch, stream, rows = feed
     got = {(r.k, r.start_ms): (r.buy_vol, r.sell_vol) for r in run(streams.sliding_flow(stream, "k", "10 seconds", "5 seconds"), "append", "t").collect()}
@@ -147,7 +166,7 @@ def test_entries_do_not_depend_on_the_cut(spark, parts):
     from tapelab.plans.views import Tables
 
     t = Tables(spark, "/root/testdata/sf0.001")
-    for made in (entries.trailing, entries.streamed_book):
+    for made in (entries.trailing, entries.streamed_book, entries.history):
         assert sorted(map(str, made(t, parts).collect())) == sorted(map(str, made(t, 2).collect()))
 
 
