@@ -146,7 +146,7 @@ def test_trailing_flow_equals_batch(spark, tmp_path, files):
 
 
 def test_late_rows_are_counted(spark, tmp_path):
-    rows = [[("a", i, 1_000_000 + i * 1_000, 1.0, "BUY", 1.0) for i in range(60)], [("a", 90, 1_001_000, 1.0, "BUY", 1.0), ("a", 91, 1_070_000, 1.0, "BUY", 1.0)]]
+    rows = [[("a", i, 1_000_000 + i * 1_000, 1.0, "BUY", 1.0) for i in range(60)], [("a", 89, 1_069_000, 1.0, "BUY", 1.0)], [("a", 90, 1_001_000, 1.0, "BUY", 1.0), ("a", 91, 1_070_000, 1.0, "BUY", 1.0)]]
     streams.state_store(spark)
     (tmp_path / "in").mkdir()
     for n, part in enumerate(rows):
