@@ -414,7 +414,7 @@ def stream_book(
         df = df.withColumn("stated_hash", F.lit(None).cast("string"))
     columns = ("msg", "pos", "kind", "side", "price_micros", "quantity", "sequence", "stated_hash")
     stamp = [c for c in ("event_ts",) if c in df.columns]
-    rows = df.select(token, *columns, *[c for c in (ts,) if c not in columns], *stamp)
+    rows = df.select(token, *columns, *([ts] if expire_ms is not None else []), *stamp)
     mode = "None" if expire_ms is None else "EventTime"
     return rows.groupBy(token).transformWithStateInPandas(_Book(token, ts, expire_ms, depth), out, "update", mode)
 
