@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelab.llm.common import batch, keep
+from tapelab.llm.common import batch, keep, map_batches
 
 #: Control strings of the template; each is one token, after the 256 bytes.
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 CONTROLS = {ROLE: 256, TEXT: 257, END: 258}
+NAMES = {i: name for name, i in CONTROLS.items()}
 #: The role whose texts are learned.
 LEARNED = "assistant"
 #: Siblings are summed in so many parts, by the first bits of their keys.
@@ -44,25 +45,39 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def token_ids(formatted: str) -> tuple[list[int], list[bool]]:
+def token_ids(formatted: str) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes, each control string as one id; and which tokens are learned: the learned role's text and its end."""
-    ids: list[int] = []
-    mask: list[bool] = []
+    ids: list[np.ndarray] = []
+    mask: list[np.ndarray] = []
     role, inside = "", None
     for part in _CONTROL.split(formatted):
-        learned = unescape(role) == LEARNED and inside == TEXT
+        learned = inside == TEXT and unescape(role) == LEARNED
         if part in CONTROLS:
-            ids.append(CONTROLS[part])
-            mask.append(learned and part == END)
+            ids.append(np.array([CONTROLS[part]], np.int32))
+            mask.append(np.array([learned and part == END]))
             if part == ROLE:
                 role = ""
             inside = part
         else:
             role = part if inside == ROLE else role
-            raw = part.encode("utf-8", "surrogatepass")
-            ids += raw
-            mask += [learned] * len(raw)
-    return ids, mask
+            raw = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
+            ids.append(raw.astype(np.int32))
+            mask.append(np.full(len(raw), learned))
+    return np.concatenate(ids), np.concatenate(mask)
+
+
+def read_tokens(ids: np.ndarray) -> str:
+    """The formatted text of token ids."""
+    out, at = [], 0
+    for place in np.flatnonzero(ids > 255).tolist():
+        out += [ids[at:place].astype(np.uint8).tobytes().decode("utf-8", "surrogatepass"), NAMES[int(ids[place])]]
+        at = place + 1
+    return "".join(out) + ids[at:].astype(np.uint8).tobytes().decode("utf-8", "surrogatepass")
+
+
+def learned_texts(ids: np.ndarray, mask: np.ndarray) -> str:
+    """The texts under the mask, end to end and unescaped; in a mask each text closes with its end token."""
+    return "".join(unescape(t) for t in read_tokens(ids[mask]).split(END))
 
 
 def key_of(before: int, formatted: str) -> int:
@@ -158,39 +173,61 @@ def prefix_trees(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keep(laid, "chat-laid"), ways.select("conv_id", "nodes")
 
 
+TRAINING = "node long, tree long, start long, tokens array<int>, positions array<long>, learned array<boolean>, attend array<struct<start: bigint, end: bigint>>"
+
+
+def tokenised(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The training columns of a slice of nodes."""
+    made = [token_ids(t) for t in part.column("text").to_pylist()]
+    first = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in made], dtype=np.int64)])
+    position = part.column("position").to_numpy()
+    lists = lambda flat: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat))
+    ids, mask = (np.concatenate(x) for x in zip(*made, strict=True))
+    return batch(
+        **{c: part.column(c) for c in ("node", "tree", "start")}, tokens=lists(ids),
+        positions=lists(np.arange(len(ids)) + np.repeat(position - first[:-1], np.diff(first))), learned=lists(mask), attend=part.column("attend"),
+    )
+
+
 def training_rows(nodes: DataFrame) -> DataFrame:
-    """tree, start, tokens, positions, learned (mask), attend of each node; ordered by start they are the tree's sequence."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            made = [token_ids(t) for t in part.column("text").to_pylist()]
-            first = part.column("position").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("tree"), part.column("start"), pa.array([ids for ids, _ in made], pa.list_(pa.int32())),
-                    pa.array([np.arange(p, p + len(ids)) for p, (ids, _) in zip(first, made, strict=True)], pa.list_(pa.int64())),
-                    pa.array([mask for _, mask in made], pa.list_(pa.bool_())), part.column("attend"),
-                ],
-                ["tree", "start", "tokens", "positions", "learned", "attend"],
-            )
+    """node, tree, start, tokens, positions, learned (mask), attend of each node; ordered by start they are the tree's sequence.
 
-    schema = "tree long, start long, tokens array<int>, positions array<long>, learned array<boolean>, attend array<struct<start: bigint, end: bigint>>"
-    return nodes.select("tree", "start", "position", "text", "attend").mapInArrow(run, schema)
+    A slice of at most 1 MB of text (one node at least) is worked on at once. Nodes hold no nulls; a repeated node is
+    repeated; no nodes give no rows.
+    """
+    return map_batches(nodes.select("node", "tree", "start", "position", "text", "attend"), lambda part: [tokenised(part)], TRAINING)
 
 
 def read_back(nodes: DataFrame, ways: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns, learned: every conversation as read from the nodes on its way."""
+    """conv_id, formatted, turns, learned: every conversation as read from the training rows of the nodes on its way.
+
+    ``formatted`` and ``turns`` are decoded from the token ids, ``learned`` from those under the mask: a node is whole turns,
+    so no text lies in two of them. A conversation without turns reads as empty; empty tables give none.
+    """
+
+    def decoded(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = tokenised(part)
+        ids, mask, at = (rows.column("tokens").flatten().to_numpy(), rows.column("learned").flatten().to_numpy(zero_copy_only=False), rows.column("tokens").offsets.to_pylist())
+        spans = list(zip(at[:-1], at[1:], strict=True))
+        yield batch(
+            node=rows.column("node"), text=pa.array([read_tokens(ids[a:b]) for a, b in spans], pa.string()),
+            learned=pa.array([learned_texts(ids[a:b], mask[a:b]) for a, b in spans], pa.string()),
+        )
+
+    made = map_batches(nodes.select("node", "tree", "start", "position", "text", "attend"), decoded, "node long, text string, learned string")
     steps = ways.select("conv_id", F.posexplode_outer("nodes").alias("depth", "node"))
-    found = steps.join(nodes.select("node", "text"), "node", "left")
-    whole = found.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "text"))).alias("parts"))
+    found = steps.join(made, "node", "left")
+    whole = found.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "text", "learned"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            texts = ["".join(p["text"] or "" for p in parts) for parts in part.column("parts").to_pylist()]
+            held = part.column("parts").to_pylist()
+            texts = ["".join(p["text"] or "" for p in parts) for parts in held]
             turns = [read_turns(t) for t in texts]
             yield batch(
                 conv_id=part.column("conv_id"), formatted=pa.array(texts, pa.string()),
                 turns=pa.array([[{"role": r, "text": t} for r, t in own] for own in turns], pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))),
-                learned=pa.array(["".join(t for r, t in own if r == LEARNED) for own in turns], pa.string()),
+                learned=pa.array(["".join(p["learned"] or "" for p in parts) for parts in held], pa.string()),
             )
 
     return whole.mapInArrow(run, "conv_id long, formatted string, turns array<struct<role: string, text: string>>, learned string")

@@ -171,11 +171,67 @@ def test_fingerprints_locate_edits():
     edited = text.replace("Next", "Last")
     a, b = merkle.fingerprint(text), merkle.fingerprint(edited)
     assert "".join(merkle.pieces(text)) == text and merkle.fingerprint(str(text)) == a
-    assert merkle.changed(a, b) == [(1, 0)] and 0.7 < merkle.likeness(a, b) < 1 and merkle.likeness(a, a) == 1
+    assert merkle.changed(a, b) == [(1, 0, 1, 0)] and 0.7 < merkle.likeness(a, b) < 1 and merkle.likeness(a, a) == 1
     assert merkle.fingerprint("")[:32] == merkle.fingerprint("")[:32] != merkle.fingerprint(" ")[:32]
     assert merkle.likeness(merkle.fingerprint(""), a) == 0 and merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1
 
 
+def longest_common(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_branches_are_aligned(spark):
+    random.seed(8)
+    lines = [f"Line {i} says {random.random()}, and ends.\n" for i in range(9)]
+    mark = merkle.fingerprint("".join(lines))
+    new = "A line that is new.\n"
+    assert merkle.changed(mark, merkle.fingerprint("".join([new, *lines]))) == [(None, None, 0, 0)]
+    assert merkle.changed(merkle.fingerprint("".join([*lines[:4], new, *lines[4:]])), mark) == [(0, 4, None, None)]
+    assert merkle.changed(mark, merkle.fingerprint("")) == [(0, i, None, None) for i in range(9)] and merkle.changed(mark, mark) == []
+    parts = ["".join(lines[:3]) + "\n", "".join(lines[3:6]) + "\n", "".join(lines[6:])]
+    moved = merkle.changed(merkle.fingerprint("".join(parts)), merkle.fingerprint("".join([parts[0], new + "\n", *parts[1:]])))
+    assert moved == [(None, None, 1, 0)]
+    for _ in range(300):
+        # without repeats an aligned child is a longest common subsequence; with repeats never more, and all pairs are equal
+        x, y = ([random.choice("abcdefgh") for _ in range(random.randint(0, 9))] for _ in range(2))
+        found = merkle.in_both(x, y)
+        assert all(x[i] == y[j] for i, j in found) and found == sorted(found) and len({j for _, j in found}) == len(found) <= longest_common(x, y)
+        x, y = list(dict.fromkeys(x)), list(dict.fromkeys(y))
+        assert len(merkle.in_both(x, y)) == longest_common(x, y)
+        one, two = ([i for i, _ in merkle.gaps(x, y) if i is not None], [j for _, j in merkle.gaps(x, y) if j is not None])
+        assert sorted(one + [i for i, _ in merkle.in_both(x, y)]) == list(range(len(x))) and sorted(two + [j for _, j in merkle.in_both(x, y)]) == list(range(len(y)))
+    pairs = spark.createDataFrame([(1, mark, merkle.fingerprint(new + "".join(lines)), "x"), (2, mark, mark, None), (3, None, mark, "")], "id long, fingerprint string, edited_fingerprint string, edits string")
+    got = {r.id: [tuple(e) for e in r.edits] for r in merkle.locate_edits(pairs).collect()}
+    assert got == {1: [(None, None, 0, 0)], 2: [], 3: []}
+    assert merkle.locate_edits(pairs.limit(0)).count() == 0
+
+
+def test_leaves_follow_the_content():
+    random.seed(9)
+    script = "".join(chr(random.randrange(0x4E00, 0x9FA5)) for _ in range(6000))
+    for at in (3, 300, 5000):
+        edited = script[:at] + "\u4e00" + script[at:]
+        assert "".join(merkle.pieces(edited)) == edited
+        assert merkle.likeness(merkle.fingerprint(script), merkle.fingerprint(edited)) > 0.9
+    for text in ("a" * 100_000, " " * 70_000, "a b" * 9_000, "\n" * 600, "x" * 255 + "\n\n" + "y" * 600, "\ud800" * 900):
+        assert "".join(merkle.pieces(text)) == text
+        assert max(map(len, merkle.pieces(text.replace(" ", "z").replace("\n", "z")))) <= 400
+    assert merkle.fingerprint("x" * 255 + "\n\n" + "y" * 600).count("|") == 1
+
+
+def test_ids_are_cut_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANKS", 4)
+    ids = spark.range(4000).select((F.col("id") * F.col("id")).alias("doc_id")).repartition(5)
+    borders = merkle.range_borders(ids, 32)
+    sizes = np.bincount(np.searchsorted(borders, (np.arange(4000) ** 2)))
+    assert 28 <= len(borders) + 1 <= 33 and sizes.max() <= 2.5 * 4000 / 32 and (np.diff(borders) > 0).all()
+    assert len(merkle.range_borders(ids.limit(0), 32)) == 0 and len(merkle.range_borders(ids, 1)) == 0
+
+
 def test_every_document_meets_the_next(spark, dirty, nothing):
     texts = {r[0]: r[1] or "" for r in rows() if r[0] is not None and r[0] < 26}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
@@ -187,6 +243,7 @@ def test_every_document_meets_the_next(spark, dirty, nothing):
         r = got[k]
         assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (merkle.fingerprint(own), merkle.fingerprint(edited))
+        assert [tuple(e) for e in r.edits] == merkle.changed(r.fingerprint, r.edited_fingerprint)
         assert r.near_next == merkle.likeness(r.fingerprint, merkle.fingerprint(after)) and 0 <= r.near_edited <= 1
     assert merkle.compare_with_next(dirty).count() == merkle.fingerprints(dirty).count() == len(rows())
     assert merkle.compare_with_next(nothing).count() == 0
@@ -335,6 +392,15 @@ def test_escapes_are_reversible():
         assert chat.read_turns(chat.format_turn(text, text) * 2) == [(text, text)] * 2
 
 
+def test_masks_hold_the_learned_texts():
+    long = "\u00e9<|end|>" * 60_000
+    for turns in ([("user", "a"), ("assistant", ""), ("assistant", long), ("system", "<|role|>assistant<|text|>")], [("<|text|>", "assistant")], [("assistant", "<\\|end|>"), ("assistant", "b")]):
+        ids, mask = chat.token_ids("".join(chat.format_turn(*t) for t in turns))
+        assert chat.read_turns(chat.read_tokens(ids)) == turns
+        assert chat.learned_texts(ids, mask) == "".join(x for r, x in turns if r == "assistant")
+        assert not chat.learned_texts(ids, np.zeros(len(ids), bool))
+
+
 def conversation_rows():
     talks = {
         1: ["hi", "yes", "more", "ok"], 2: ["hi", "yes", "less", "no"], 3: ["hi", "no"], 4: ["alone", "b"], 5: ["hi", "yes"], 6: ["hi", "yes", "more", "ok"], 7: ["<|end|>", None],
@@ -375,8 +441,15 @@ def test_trees_share_turns_and_read_back(spark):
         mine = sorted(((t if t is not None else -1, r or "", x or "") for k, t, r, x in given if k == c))
         assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in mine]
         assert got[c].learned == "".join(x for _, r, x in mine if r == "assistant")
-    made = chat.training_rows(nodes).collect()
-    for r in made:
-        assert len(r.tokens) == len(r.positions) == len(r.learned)
+    made = {r.node: r for r in chat.training_rows(nodes).collect()}
+    names = {i: x for x, i in chat.CONTROLS.items()}
+    for n in held:
+        r = made[n["node"]]
+        assert r.positions == list(range(n["position"], n["position"] + n["n_tokens"])) and len(r.tokens) == len(r.learned) == n["n_tokens"]
+        assert b"".join(names[t].encode() if t > 255 else bytes([t]) for t in r.tokens).decode() == n["text"] == chat.read_tokens(np.array(r.tokens))
+        shown = [bytes(t for t, m in zip(r.tokens, r.learned, strict=True) if m and t < 256).decode(), sum(m and t == 258 for t, m in zip(r.tokens, r.learned, strict=True))]
+        own = [chat.escape(x) for role, x in chat.read_turns(n["text"]) if role == "assistant"]
+        assert shown == ["".join(own), len(own)]
+    assert chat.training_rows(nodes.limit(0)).count() == 0
     empty, none = chat.prefix_trees(turns.limit(0))
     assert empty.count() == none.count() == 0
