@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapelab.functions.decisions import splitmix64
 from tapelab.functions.prices import finite
 from tapelab.operators import ledger
+from tapelab.session import mounted, scratch
 
-#: Blocks whose totals one task holds, and draws that it sums over them.
-CHUNK, DRAWS_PER_TASK = 65_536, 250
+#: Totals in a file of the stored table, draws of a task, and picks that it makes at once.
+CHUNK, DRAWS_PER_TASK, PICKS = 1 << 20, 250, 1 << 20
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,39 +44,65 @@ def dense_blocks(df: DataFrame, block: str, value: str) -> DataFrame:
     )
 
 
-def block_bootstrap(df: DataFrame, block: str, value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """``draw, total``: each draw takes as many whole blocks, with replacement, as exist.
+def stored_totals(blocks: DataFrame) -> tuple[str, int]:
+    """Writes the totals of numbered blocks as one array a ``CHUNK`` of indexes; returns the folder and the number of blocks.
 
-    Pick ``i`` of draw ``d`` is the output of the splitmix64 stream of ``seed`` at ``d * n + i``, modulo ``n``, so a draw
-    does not depend on any other. A task holds one chunk of totals and one range of draws: it makes the
-    picks of its draws and sums those that fall into its chunk. What is shuffled are the totals, once for each range of
-    draws, and one partial sum per draw and chunk; no pick is.
+    Each task writes its own files and puts them in place whole, so a repeated task changes nothing that is read.
     """
-    blocks = dense_blocks(df, block, value)
-    n = blocks.agg(F.count(F.lit(1)).alias("n"))
-    chunk = F.floor(F.col("index") / CHUNK).alias("chunk")
-    chunks = blocks.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct("index", "total"))).alias("held"))
-    ranges = F.sequence(F.lit(0), F.lit(max(draws - 1, 0)), F.lit(DRAWS_PER_TASK))
-    tasks = chunks.select((F.col("chunk") * CHUNK).alias("low"), F.col("held.total").alias("totals"), F.explode(ranges).alias("first"))
-    tasks = tasks.withColumn("n", n.scalar()).repartition("low", "first")
+    folder = mounted(scratch(blocks.sparkSession, "totals"))
+    held = F.array_sort(F.collect_list(F.struct("index", "total")))
+    chunks = blocks.groupBy(F.floor(F.col("index") / CHUNK).alias("chunk")).agg(held.alias("held")).select("chunk", F.col("held.total").alias("totals"))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for part in batches:
+            sizes = []
+            for chunk, totals in zip(part.column("chunk").to_pylist(), part.column("totals"), strict=True):
+                values = totals.values.to_numpy(zero_copy_only=False)
+                own = f"{folder}/{chunk}-{uuid.uuid4().hex}"
+                values.astype("<f8").tofile(own)
+                os.replace(own, f"{folder}/{chunk}")
+                sizes.append(len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n"])
+
+    return folder, chunks.mapInArrow(store, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def drawn(spark: SparkSession, folder: str, size: int, draws: int, seed: int) -> DataFrame:
+    """``draw, total, picks`` over a stored table of ``size`` totals, which the tasks map into memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.memmap(f"{folder}/{c}", np.dtype("<f8"), "r") for c in range(-(-size // CHUNK))]
+        starts = np.arange(len(tables) + 1, dtype=np.uint64) * np.uint64(CHUNK)
         for part in batches:
-            for row in range(part.num_rows):
-                low, first, size = (part.column(c)[row].as_py() for c in ("low", "first", "n"))
-                totals = part.column("totals")[row].values.to_numpy(zero_copy_only=False)
-                ids = np.arange(first, min(first + DRAWS_PER_TASK, draws))
-                sums = np.zeros(len(ids))
-                for k, draw in enumerate(ids):
-                    for at in range(0, size, 1 << 20):
-                        places = np.arange(draw * size + at, draw * size + min(size, at + (1 << 20)), dtype=np.uint64)
-                        with np.errstate(over="ignore"):
-                            picks = splitmix64(np.uint64(seed % 2**64) + places * _GAMMA) % np.uint64(size)
-                        inside = picks.astype(np.int64) - low
-                        sums[k] += totals[inside[(inside >= 0) & (inside < len(totals))]].sum()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(sums)], ["draw", "part"])
-
-    return tasks.mapInArrow(run, "draw int, part double").groupBy("draw").agg(F.sum("part").alias("total"))
+            ids = part.column("id").to_numpy()
+            sums, made = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+            for k, draw in enumerate(ids.tolist()):
+                for at in range(0, size, PICKS):
+                    places = np.arange(draw * size + at, draw * size + min(size, at + PICKS), dtype=np.uint64)
+                    with np.errstate(over="ignore"):
+                        picks = splitmix64(np.uint64(seed % 2**64) + places * _GAMMA) % np.uint64(size)
+                    # in order they fall into one run a file
+                    picks.sort()
+                    cuts = np.searchsorted(picks, starts)
+                    for table, first, a, b in zip(tables, starts, cuts, cuts[1:]):
+                        sums[k] += table[picks[a:b] - first].sum()
+                    made[k] += len(picks)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(sums), pa.array(made)], ["draw", "total", "picks"])
+
+    tasks = spark.range(0, draws if size else 0, 1, max(1, -(-draws // DRAWS_PER_TASK)))
+    return tasks.mapInArrow(run, "draw int, total double, picks long")
+
+
+def block_bootstrap(df: DataFrame, block: str, value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """``draw, total``: each draw takes as many whole blocks, with replacement, as exist; no blocks give no draws.
+
+    Pick ``i`` of draw ``d`` is the output of the splitmix64 stream of ``seed`` at ``d * n + i``, modulo ``n``, so a draw
+    does not depend on any other. The totals are written once, by index, to the shared folder (a mounted one), and the task
+    of a range of draws maps them: every pick is made once, and neither picks nor totals are shuffled for a draw.
+    """
+    folder, size = stored_totals(dense_blocks(df, block, value))
+    return drawn(df.sparkSession, folder, size, draws, seed).select("draw", "total")
 
 
 def summarize_distribution(samples: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

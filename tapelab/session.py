@@ -11,6 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/tapelab-{name}-{uuid.uuid4().hex}"
 
 
+def mounted(path: str) -> str:
+    """A folder of the shared storage as a path that workers can map into memory."""
+    found = urlsplit(path)
+    if found.scheme not in ("", "file"):
+        raise ValueError(f"{path}: its files are memory-mapped; name a mounted shared folder in spark.checkpoint.dir")
+    return found.path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate table once and reads it back.
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import urlsplit
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,14 +135,41 @@ def markdown(summary: DataFrame, order: Sequence[str], limit: int = 10_000) -> s
 
 
 def lineage(spark: SparkSession, path: str, dataset: str, glob: str = "*") -> DataFrame:
-    """One row per file: path, size, change time and SHA-256, hashed on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.lit(dataset).alias("dataset"), "path", F.col("length").alias("bytes"),
-        F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"),
+    """One row per file: path, size, change time and SHA-256, hashed on the executors.
+
+    Spark lists the files; a worker reads each from the file system in pieces of 1 MB, so a file may have any size and takes
+    constant memory. A file that changed or went since the listing fails the query; empty files have no row, as Spark's scans
+    leave them out.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            named = zip(part.column("path").to_pylist(), part.column("length").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([file_digest(p, n) for p, n in named], pa.string())], [*part.schema.names, "sha256"])
+
+    found = files.mapInArrow(run, "path string, length long, modificationTime timestamp, sha256 string")
+    return found.select(
+        F.lit(dataset).alias("dataset"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "sha256",
     )
 
 
+def file_digest(path: str, length: int, piece: int = 1 << 20) -> str:
+    """SHA-256 of a file of a known length, by its path or URI."""
+    if urlsplit(path).scheme in ("", "file"):
+        system, place = fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    else:
+        system, place = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    found, seen = hashlib.sha256(), 0
+    with system.open_input_stream(place, compression=None) as stream:
+        while data := stream.read(piece):
+            found.update(data)
+            seen += len(data)
+    if seen != length:
+        raise ValueError(f"{path}: read {seen} bytes of {length}")
+    return found.hexdigest()
+
+
 def lineage_entry(before: DataFrame, after: DataFrame, ts: str, market: str, dataset: str, filters: str) -> DataFrame:
     """Row counts before and after, time range and markets of one processing step."""
     b = before.agg(F.count(F.lit(1)).alias("rows_before"))

@@ -161,6 +161,28 @@ def test_latency_sampling_matches_the_published_generator(spark):
         assert draws[d] == pytest.approx(want)
 
 
+def test_bootstrap_makes_each_pick_once(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "CHUNK", 4)
+    monkeypatch.setattr(bootstrap, "PICKS", 5)
+    rows = spark.createDataFrame([(f"b{i % 19}", float(i)) for i in range(60)] + [(None, 1.5), ("b1", None), ("b2", float("nan"))], "b string, v double").repartition(5)
+    blocks = bootstrap.dense_blocks(rows, "b", "v")
+    folder, size = bootstrap.stored_totals(blocks)
+    totals = [r.total for r in blocks.orderBy("index").collect()]
+    assert size == len(totals) == 20
+    got = bootstrap.drawn(spark, folder, size, 300, 7).collect()
+    assert sorted(r.draw for r in got) == list(range(300)) and sum(r.picks for r in got) == 300 * 20
+    m, gamma = 2**64 - 1, 0x9E3779B97F4A7C15
+    for r in got:
+        want = 0.0
+        for i in range(20):
+            z = (7 + (r.draw * 20 + i + 1) * gamma) & m
+            z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & m
+            z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & m
+            want += totals[(z ^ (z >> 31)) % 20]
+        assert r.total == pytest.approx(want)
+    assert bootstrap.block_bootstrap(rows.limit(0), "b", "v").count() == 0
+
+
 EP = "episode_id string, is_filled boolean, gross_pnl_usd double, net_pnl_usd double, pnl_current_usd double, actual_notional_usd double, capital_seconds_usd_s double, exit_type string, is_maker boolean, markout_5s_pp double, fill_ts_ms long, exit_ts_ms long"
 
 

@@ -1,6 +1,7 @@
 """Readers over real files: archives of both layouts, markets without their files, window tables, market messages."""
 
 import gzip
+import hashlib
 import json
 
 import pytest
@@ -95,3 +96,17 @@ def test_a_cluster_must_name_the_shared_folder():
         session.checkpoint_dir(Session("local-cluster[2,1,1024]", None))
     assert session.checkpoint_dir(Session("yarn", "hdfs://x/y")) == "hdfs://x/y"
     assert session.checkpoint_dir(Session("local[2]", None)) == session.checkpoint_dir(Session("local[2]", None))
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path):
+    held = {"a.bin": b"", "b c%20.bin": b"abc", "d.bin": bytes(range(256)) * 12_289, "skip.txt": b"no", "e.gz.bin": gzip.compress(b"x")}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
+    got = sinks.lineage(spark, str(tmp_path), "set", "*.bin")
+    assert {(r.path.rsplit("/", 1)[1], r.bytes, r.sha256, r.dataset) for r in got.collect()} == {
+        (name, len(data), hashlib.sha256(data).hexdigest(), "set") for name, data in held.items() if data and name != "skip.txt"
+    }
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sinks.file_digest(f"file://{tmp_path}/d.bin", len(held["d.bin"]), 7) == hashlib.sha256(held["d.bin"]).hexdigest()
+    with pytest.raises(ValueError, match="bytes of"):
+        sinks.file_digest(str(tmp_path / "d.bin"), 5)
