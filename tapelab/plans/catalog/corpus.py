@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tapelab.operators import book, cooldown, flow, indicators, lookups, quality, regimes, scan
@@ -565,6 +567,62 @@ def _(t):
     return back.groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("price"), "total", 2))
 
 
+# Rows of all event tables by table: the view, the time, and the columns after it, in words that both engines read.
+_DIM = {c: c for c in ("run_id", "pair_id", "market_id", "asset", "horizon")}
+_MARKS = {f"mid_{s}s": e for s, e in ((1, "drift_1s_pp"), (5, "drift_5s_pp"), (10, "markout_5s_pp"), (30, "pnl_pp"), (60, "p_up"))}
+_REPRICING = {f"repricing_{n}": f"underreact_up / {i + 2}" for i, n in enumerate(("up_3_plus", "up_2", "up_1", "flat", "down_1", "down_2", "down_3_plus"))}
+_CYCLE = "ts_ms % 2592000000"
+_EVENT_ROWS = {
+    "trades": ("prints", "ts_ms", {"condition_id": "market", "token_id": "event_type", "outcome": "aggressor", "price": "price", "size": "qty", "fee_bps": "level", "tx_hash": "market"}),
+    "top_of_book": ("quotes", "ts_ms", {"token_id": "asset", "best_bid": "yes_bid", "best_ask": "yes_ask", "spread": "yes_ask - yes_bid", "mid": "(yes_bid + yes_ask) / 2"}),
+    "book_snapshots": ("quotes", "ts_ms", {"token_id": "asset", "book_hash": "event_type", "imbalance": "size / 100", "microprice": "yes_ask"}),
+    "market_features": ("quotes", "ts_ms", {"condition_id": "asset", "mid": "yes_bid", "spread": "yes_ask - yes_bid", "momentum_5m": "size", "volume_24h": "size * 2", "minutes_to_resolution": "user_id"}),
+    "external_ticks": ("ticks", "ts_ms", {"symbol": "asset", "price": "price", "ret_5m": "qty / 100"}),
+    "news_items": ("ticks", "ts_ms", {"source": "venue", "condition_id": "asset", "text_en": "event_type", "published_minutes_ago": "user_id", "dedup_hash": "side"}),
+    "signals": ("evals", _CYCLE, {"condition_id": "market_id", "state_seq": "l_partkey", "state_hash": "regime", "latency_ms": "latency_ms", "variant": "variant", "fill_toxic": "fill_toxic",
+        "fill_before_decay": "fill_before_decay", "repricing_confidence": "move_persists", "move_persists": "move_persists", "underreact_up": "underreact_up",
+        "underreact_down": "underreact_down", "yes_pressure_5s": "yes_pressure_5s", "no_pressure_5s": "no_pressure_5s"} | _REPRICING | _DIM),
+    "paper_decisions": ("evals", _CYCLE, {"condition_id": "market_id", "edge": "pressure", "threshold": "spread", "decision": "fill_model", "variant": "variant", "fair_value": "fair_p_yes"} | _DIM),
+    "resolutions": ("evals", _CYCLE, {"condition_id": "market_id", "winning_token_id": "pair_id", "winning_outcome": "asset"}),
+    "maker_markouts": ("evals", _CYCLE, {"condition_id": "market_id", "side": "asset", "price": "p_up", "size": "spread", "variant": "variant", "pnl_5s_pp": "pnl_pp"} | _MARKS | _DIM),
+    "ab_pairs": ("evals", _CYCLE, _DIM | {"condition_id": "market_id", "status": "split", "state_seq": "l_suppkey", "observed_at_ms": "ts_ms", "control_ok": "l_linenumber"}),
+    "paper_fills": ("evals", _CYCLE, {"condition_id": "market_id", "variant": "variant", "order_id": "l_orderkey", "price": "p_up", "size": "spread", "filled_at_ms": "ts_ms"} | _DIM),
+    "paper_equity": ("evals", _CYCLE, {"condition_id": "market_id", "variant": "variant", "position": "spread", "realized_pnl": "pnl_pp", "exposure": "p_up"} | _DIM),
+    "signal_markouts": ("evals", _CYCLE, {"condition_id": "market_id", "variant": "variant", "ref_price": "p_up", "mo_5s_pp": "markout_5s_pp"} | _MARKS | _DIM),
+    "trade_episodes": ("episodes", "x0 % 2592000000", {c: c for c in ("episode_id", "strategy_version", "market", "asset", "horizon", "fill_price", "fill_qty", "exit_type", "exit_price", "gross_pnl_usd",
+        "net_pnl_usd", "pnl_historical_usd", "fill_profile", "stake_usd")} | {"fees_usd": "fees_usd", "judge_start_ts_ms": "f0"}),
+}
+
+
+def _of_type(name: str, kind: str) -> list[str]:
+    return [c for c, k in sinks.event_columns(name).items() if k == kind]
+
+
+def _event_rows_sql(name: str) -> str:
+    view, at, columns = _EVENT_ROWS[name]
+    cells = " + ".join(f"count({e})" for e in columns.values())
+    whole, total = (" + ".join(f"coalesce(sum({e}), 0)" for c, e in columns.items() if c in _of_type(name, k)) or "0" for k in ("BIGINT", "DOUBLE"))
+    return f"""SELECT '{name}' AS stored, strftime(make_timestamp(({at}) * 1000), '%Y-%m-%d') AS day, count(*) AS n, ({cells})::BIGINT AS cells,
+  ({whole})::BIGINT AS whole, round(({total})::DOUBLE, 5) + 0.0 AS total
+FROM {view} GROUP BY 2"""
+
+
+@query("S11_all_event_tables", using="ticks quotes prints evals episodes", sql=" UNION ALL ".join(map(_event_rows_sql, _EVENT_ROWS)))
+def _(t):
+    folder, read = sinks.scratch(t.spark, "event-tables"), []
+    for name, (view, at, columns) in _EVENT_ROWS.items():
+        rows = getattr(t, view).select(F.timestamp_millis(F.expr(at)).alias("ts"), *(F.expr(e).alias(c) for c, e in columns.items()))
+        sinks.write_event_table(rows, name, f"{folder}/{name}")
+        back = t.spark.read.parquet(f"{folder}/{name}")
+        cells = sum((F.count(c) for c in sinks.event_columns(name)), F.lit(0))
+        whole, total = (sum((F.coalesce(F.sum(c), F.lit(0)) for c in _of_type(name, k)), F.lit(0)).cast(k) for k in ("BIGINT", "DOUBLE"))
+        read.append(
+            back.groupBy(F.date_format("date", "yyyy-MM-dd").alias("day"))
+            .agg(F.count(F.lit(1)).alias("n"), cells.cast("long").alias("cells"), whole.alias("whole"), r(total, "total", 5)).withColumn("stored", F.lit(name))
+        )
+    return functools.reduce(lambda a, b: a.unionByName(b), read)
+
+
 @query("S12_write_checked", using="quotes", sql="""
 SELECT asset, count(*) AS n, round(sum(yes_bid), 4) AS bids, count(*) FILTER (NOT has_ask_depth) AS no_depth FROM (SELECT *, false AS has_ask_depth FROM quotes) GROUP BY 1""")
 def _(t):

@@ -76,6 +76,11 @@ def shaped(df: DataFrame, schema: str) -> DataFrame:
     )
 
 
+def event_columns(name: str) -> dict[str, str]:
+    """The columns of an event table after its time, and their types."""
+    return dict(c.split() for c in EVENT_TABLES[name].split(", "))
+
+
 def write_event_table(df: DataFrame, name: str, path: str, mode: str = "append") -> None:
     """One of the event tables, partitioned by UTC day and sorted by time inside a file.
 

@@ -10,6 +10,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tapelab.plans.catalog import corpus
+from tapelab.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 QUICK = (
@@ -18,6 +20,7 @@ QUICK = (
     "P16_parse_signal", "T9_stream_candles", "S5_scan_window", "S7_market_metas", "S10_parse_market_messages", "S19_window_table", "E8_book_tops",
     "A17_block_bootstrap", "A19_oos_headline", "A20_corr_matrix", "A26_branch_verdict", "D3_external_ticks", "E21_temporal_split", "E29_quote_lock", "J17_memo_join",
     "P35_exact_latency", "T3_stream_order_flow", "T7_stream_labels", "T8_stream_book",
+    "S11_all_event_tables",
 )
 
 
@@ -57,6 +60,12 @@ def test_twin(spark, con, key):
     assert mine == table([d[0] for d in res.description], res.fetchall())
 
 
+def test_event_rows_reach_every_table():
+    assert set(corpus._EVENT_ROWS) == set(sinks.EVENT_TABLES)
+    for name, (_, _, columns) in corpus._EVENT_ROWS.items():
+        assert set(columns) <= set(sinks.event_columns(name))
+
+
 def test_entry_and_inventory(spark):
     assert entry.entry(spark).limit(1).count() == 1
     have = {k.split("_")[0] for k in entry.queries()}
