@@ -109,9 +109,8 @@ def market_features(quotes: DataFrame, prints: DataFrame, ends: DataFrame, scale
     rows = asof.lag_asof(q, mids, "ts_ms", ["market"], ["seq"], "_m", lags, tie="seq", width=width)
     back = scan.previous_row(q, ["market"], "ts_ms", ["mid"], ("seq",), width)
     ret = back.withColumn("_r", prices.pct_return(F.col("prev_mid"), F.col("mid")))
-    vol = scan.range_window(
-        ret.select("market", "ts_ms", "seq", "_r"), ["market"], "ts_ms",
-        {"volatility_1h": (3_600_000 * scale, F.stddev_pop("_r"))}, width,
+    vol = scan.range_spread(
+        ret.select("market", "ts_ms", "seq", "_r"), ["market"], "ts_ms", 3_600_000 * scale, "_r", "volatility_1h"
     ).select("seq", "volatility_1h")
     both = prints.select("market", "ts_ms", "qty").unionByName(q.select("market", "ts_ms", "seq"), allowMissingColumns=True)
     volume = scan.range_window(both, ["market"], "ts_ms", {"_v": (DAY_MS, F.sum("qty"))}, width)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -233,6 +234,25 @@ def test_range_window(df, data, width):
         assert got[seq][1] == pytest.approx(sum(x[3] for x in near(30)))
 
 
+def test_range_spread(df, data):
+    high = df.withColumn("v", F.col("v") + 1e6)
+    got = {r.seq: r.d for r in scan.range_spread(high, ["k"], "ts", 30, "v", "d").collect()}
+    for k, ts, seq, _ in data:
+        near = [x[3] for x in data if x[0] == k and ts - 30 <= x[1] <= ts]
+        mean = sum(near) / len(near)
+        assert got[seq] == pytest.approx((sum((v - mean) ** 2 for v in near) / len(near)) ** 0.5, abs=1e-6)
+
+
+def test_range_window_of_a_crowded_span(spark):
+    # 120,000 rows in one span: frames that are summed anew for every row would add 7,200,000,000 values.
+    n = 120_000
+    rows = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("ts"), F.lit(1.0).alias("v"))
+    begun = time.monotonic()
+    got = scan.range_window(rows, ["k"], "ts", {"s": (n, F.sum("v")), "c": (n, F.count("v"))}).agg(F.sum("s"), F.sum("c")).first()
+    assert tuple(got) == (n * (n + 1) / 2, n * (n + 1) // 2)
+    assert time.monotonic() - begun < 30
+
+
 @pytest.mark.parametrize("width", [9, 100_000])
 def test_drawdown_and_peak(df, data, width):
     dd = {r.k: r.max_drawdown for r in scan.max_drawdown(df, ["k"], "ts", F.col("v"), ("seq",), width).collect()}
