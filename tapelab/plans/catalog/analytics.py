@@ -223,7 +223,7 @@ def _(t):
 
 
 @query("A15_profit_factor", using="episodes", sql="""
-SELECT market, round(sum(gross_pnl_usd) FILTER (gross_pnl_usd > 0) / -sum(gross_pnl_usd) FILTER (gross_pnl_usd < 0), 6) AS gross_profit_factor,
+SELECT market, round(coalesce(sum(gross_pnl_usd) FILTER (gross_pnl_usd > 0), 0) / -sum(gross_pnl_usd) FILTER (gross_pnl_usd < 0), 6) AS gross_profit_factor,
  round(coalesce(sum(net_pnl_usd) FILTER (net_pnl_usd > 0), 0) / -sum(net_pnl_usd) FILTER (net_pnl_usd < 0), 6) AS net_profit_factor FROM episodes GROUP BY 1""")
 def _(t):
     return t.episodes.groupBy("market").agg(
