@@ -45,13 +45,16 @@ def _interp_sql(offsets):
     ctes, sel, joins = [], [], []
     for n, ms in offsets.items():
         ctes.append(f"""g{n} AS (SELECT seq, asset, ts_ms - {ms} AS tgt FROM ticks),
- l{n} AS (SELECT g.seq, b.price p, b.ts_ms s FROM g{n} g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt > b.ts_ms),
- h{n} AS (SELECT g.seq, g.tgt, b.price p, b.ts_ms s FROM g{n} g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt <= b.ts_ms),
+ l{n} AS (SELECT g.seq, b.last p, b.ts_ms s FROM g{n} g ASOF LEFT JOIN one b ON g.asset = b.asset AND g.tgt > b.ts_ms),
+ h{n} AS (SELECT g.seq, g.tgt, b.first p, b.ts_ms s FROM g{n} g ASOF LEFT JOIN one b ON g.asset = b.asset AND g.tgt <= b.ts_ms),
  v{n} AS (SELECT h.seq, CASE WHEN h.s = h.tgt THEN h.p WHEN l.s IS NOT NULL AND h.s IS NOT NULL THEN l.p + (h.p - l.p) * ((h.tgt - l.s) / (h.s - l.s)) END AS v
    FROM h{n} h JOIN l{n} l ON h.seq = l.seq)""")
-        sel.append(f"round(coalesce((t.price / v{n}.v - 1) * 100, 0), 6) AS {n}")
+        sel.append(f"round(coalesce((one.first / v{n}.v - 1) * 100, 0), 6) AS {n}")
         joins.append(f"JOIN v{n} ON v{n}.seq = t.seq")
-    return f"WITH {', '.join(ctes)} SELECT t.seq, {', '.join(sel)} FROM ticks t {' '.join(joins)}"
+    # The series has one price a time: the first in seq order where a time is hit or lies ahead, the last where it lies behind.
+    one = "one AS (SELECT asset, ts_ms, arg_min(price, seq) AS first, arg_max(price, seq) AS last FROM ticks GROUP BY 1, 2)"
+    ends = "JOIN one ON one.asset = t.asset AND one.ts_ms = t.ts_ms"
+    return f"WITH {one}, {', '.join(ctes)} SELECT t.seq, {', '.join(sel)} FROM ticks t {ends} {' '.join(joins)}"
 
 
 @query("E2_horizon_returns", using="ticks", sql=_interp_sql(_HZ))
