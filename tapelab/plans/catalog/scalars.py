@@ -384,7 +384,8 @@ def _(t):
 
 @query("P20_pair_id", using="ticks", sql="""
 SELECT seq, asset || ':' || ts_ms || ':' || substr(sha256(asset), 1, 12) AS pair_id,
-  CASE WHEN user_id % 2 = 0 THEN 'run-' || lpad(seq::VARCHAR, 6, '0') ELSE 'run-' || asset || '-' || lpad(seq::VARCHAR, 6, '0') END AS replay_pair_id FROM ticks""")
+  CASE WHEN user_id % 2 = 0 THEN 'run-' || lpad(seq::VARCHAR, greatest(6, length(seq::VARCHAR))::INTEGER, '0')
+    ELSE 'run-' || asset || '-' || lpad(seq::VARCHAR, greatest(6, length(seq::VARCHAR))::INTEGER, '0') END AS replay_pair_id FROM ticks""")
 def _(t):
     ns = F.when(col("user_id") % 2 == 0, "").otherwise(col("asset"))
     return t.ticks.select(
