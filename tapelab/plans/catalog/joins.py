@@ -36,9 +36,12 @@ def _offset_sql(offsets, op):
     )
     ctes = ", ".join(
         f"h{i} AS (SELECT a.seq, b.price FROM (SELECT seq, asset, ts_ms + {ms} AS tgt FROM ticks) a "
-        f"ASOF LEFT JOIN ticks b ON a.asset = b.asset AND a.tgt {op} b.ts_ms)"
+        f"ASOF LEFT JOIN b ON a.asset = b.asset AND a.tgt {op} b.ts_ms)"
         for i, ms in enumerate(offsets.values())
     )
+    # Of ticks of one time the one nearest to the target in seq order counts.
+    pick = "arg_min" if op == "<=" else "arg_max"
+    ctes = f"b AS (SELECT asset, ts_ms, {pick}(price, seq) AS price FROM ticks GROUP BY 1, 2), {ctes}"
     return f"WITH {ctes} SELECT t.seq, t.asset, t.ts_ms, {cols} FROM ticks t {joins}"
 
 
