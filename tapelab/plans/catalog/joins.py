@@ -78,13 +78,15 @@ def _(t):
     return asof.lag_exact(s, "ts_ms", ["market_id"], "mid", {"mid_1d": DAY_MS, "mid_5d": 5 * DAY_MS})
 
 
+# Rounded half up by its decimal digits, as Spark rounds a double; DuckDB's own rounding multiplies the double first.
 @query("J5_interpolate", using="ticks", sql="""
 WITH g AS (SELECT seq, asset, ts_ms + 3600000 AS tgt FROM ticks),
-lo AS (SELECT g.seq, b.price, b.ts_ms FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt > b.ts_ms),
-hi AS (SELECT g.seq, b.price, b.ts_ms FROM g ASOF LEFT JOIN ticks b ON g.asset = b.asset AND g.tgt <= b.ts_ms)
-SELECT g.seq, g.asset, g.tgt, round(CASE WHEN hi.ts_ms = g.tgt THEN hi.price
+one AS (SELECT asset, ts_ms, arg_min(price, seq) AS first, arg_max(price, seq) AS last FROM ticks GROUP BY 1, 2),
+lo AS (SELECT g.seq, b.last AS price, b.ts_ms FROM g ASOF LEFT JOIN one b ON g.asset = b.asset AND g.tgt > b.ts_ms),
+hi AS (SELECT g.seq, b.first AS price, b.ts_ms FROM g ASOF LEFT JOIN one b ON g.asset = b.asset AND g.tgt <= b.ts_ms)
+SELECT g.seq, g.asset, g.tgt, round((CASE WHEN hi.ts_ms = g.tgt THEN hi.price
   WHEN lo.ts_ms IS NOT NULL AND hi.ts_ms IS NOT NULL
-  THEN lo.price + (hi.price - lo.price) * ((g.tgt - lo.ts_ms) / (hi.ts_ms - lo.ts_ms)) END, 6) AS price_at
+  THEN lo.price + (hi.price - lo.price) * ((g.tgt - lo.ts_ms) / (hi.ts_ms - lo.ts_ms)) END)::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS price_at
 FROM g JOIN lo ON g.seq = lo.seq JOIN hi ON g.seq = hi.seq
 """)
 def _(t):
