@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelab.functions import signals
@@ -75,9 +75,11 @@ def coverage_gaps(df: DataFrame, key: str, day: str, requested: DataFrame | None
     """
     seen = df.select(key, F.col(day).alias("day")).distinct()
     if requested is None:
-        requested = seen.groupBy(key).agg(F.min("day").alias("_a"), F.max("day").alias("_b")).select(
-            key, F.explode(F.sequence("_a", "_b", F.lit(DAY_MS).cast("long"))).alias("day")
-        )
+        # Days between neighbouring observed days: nothing that is listed here is shuffled or joined. A key has one row per day.
+        before = F.lag("day").over(Window.partitionBy(key).orderBy("day"))
+        gaps = seen.where(F.col("day").isNotNull()).withColumn("_p", before).where(F.col("day") - F.col("_p") > DAY_MS)
+        step = F.lit(DAY_MS).cast("long")
+        return gaps.select(key, F.explode(F.sequence(F.col("_p") + step, F.col("day") - step, step)).alias("day"))
     return requested.join(seen, [key, "day"], "left_anti")
 
 

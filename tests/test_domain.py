@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tapelab.functions import accounting, decisions, prices, quant, signals, text, times
 from tapelab.operators import bootstrap, fills, indicators, ledger, lookups, quality, walkforward
+from tapelab.plans import features
 
 
 def one(df):
@@ -290,3 +291,43 @@ def test_fee_rates_and_net_invariant(spark):
     assert [r.ok for r in rates.select(accounting.valid_rate(F.col("x")).alias("ok")).collect()] == [True, True, False, False, False, False]
     rows = spark.createDataFrame([(1.0, 0.2, 0.1, 0.9), (1.0, 0.2, 0.0, 0.9), (float("inf"), 0.0, 0.0, 1.0)], "gross_pnl_usd double, fees_usd double, rebates_usd double, net_pnl_usd double")
     assert [r.ok for r in rows.select(accounting.net_invariant_ok(rows).alias("ok")).collect()] == [True, False, False]
+
+
+def test_coverage_gaps_shuffle_no_generated_day(spark):
+    day = 86_400_000
+    rows = spark.createDataFrame([("x", 0), ("x", 0), ("x", 3 * day), ("x", 4 * day), ("y", 7 * day), (None, 0), (None, 2 * day)], "s string, d long")
+    got = quality.coverage_gaps(rows, "s", "d")
+    assert sorted((r.s or "", r.day // day) for r in got.collect()) == [("", 1), ("x", 1), ("x", 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_strategy_with_a_state_sees_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        rows = spark.range(100).select((F.col("id") % 3).alias("k"), (100 - F.col("id")).alias("ts"))
+
+        def rule(state, pdf):
+            return (state or 0) + len(pdf), pdf.assign(first=int(state is None), most=len(pdf), before=state or 0)
+
+        got = features.strategy(rows, rule, ["k"], "k long, ts long, first long, most long, before long", ["ts"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 100 and max(r.most for r in got) <= 10
+    for k in range(3):
+        mine = sorted(r.ts for r in got if r.k == k)
+        assert [r.ts for r in sorted((r for r in got if r.k == k), key=lambda r: (r.before, r.ts))] == mine
+        assert {r.before for r in got if r.k == k and r.first} == {0}
+
+
+def test_admission_reads_its_object_once(spark):
+    names = ("timestamp", "state_hash", "observed_latency_ms", "error", *quality.PROBABILITIES, "repricing_confidence")
+    good = '{"up_3_plus":0,"up_2":0,"up_1":0.5,"flat":"0.5","down_1":0,"down_2":0,"down_3_plus":0}'
+    rows = spark.createDataFrame(
+        [("t", "h", "1", None, *[0.5] * len(quality.PROBABILITIES), 0.5, True, x) for x in (good, good.replace("0.5", "0.7"), "{", None)],
+        ", ".join(f"{n} {'string' if i < 4 else 'double'}" for i, n in enumerate(names)) + ", live boolean, repricing_ticks string",
+    )
+    got = quality.admit_evaluations(rows, True, False)
+    assert [r.skip_reason for r in got.collect()] == [None, "malformed", "malformed", "malformed"]
+    assert got.columns == [*rows.columns, "skip_reason"]
+    assert "get_json_object" not in got._jdf.queryExecution().optimizedPlan().toString()
