@@ -134,7 +134,7 @@ def _malformed(required: Sequence[str]) -> Column:
         bad = bad | ~F.coalesce(unit(F.col(c)), F.lit(False))
     conf = F.col("repricing_confidence")
     bad = bad | ~F.coalesce(unit(conf), F.lit(False))
-    buckets = [F.get_json_object("repricing_ticks", f"$.{f}").try_cast("double") for f in signals.BUCKET_FIELDS]
+    buckets = [F.col(f"_tick_{f}").try_cast("double") for f in signals.BUCKET_FIELDS]
     total = sum(buckets[1:], buckets[0])
     for b in buckets:
         bad = bad | ~F.coalesce(unit(b), F.lit(False))
@@ -155,7 +155,9 @@ def admit_evaluations(
         F.when(has_error, "error").when(F.col("live").isNull(), "malformed").when(mode, "mode")
         .when(off, "version").when(_malformed(required), "malformed")
     )
-    return df.withColumn("skip_reason", reason)
+    # The object is read once for all its fields.
+    ticks = F.json_tuple("repricing_ticks", *signals.BUCKET_FIELDS).alias(*[f"_tick_{f}" for f in signals.BUCKET_FIELDS])
+    return df.select("*", ticks).select(*df.columns, reason.alias("skip_reason"))
 
 
 def audit_lineage(files: DataFrame, manifest: DataFrame) -> DataFrame:
