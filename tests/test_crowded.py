@@ -54,7 +54,7 @@ def drift(monkeypatch):
     monkeypatch.setattr(streams.F, "percentile_approx", fake)
 
 
-@pytest.mark.parametrize("key", ("T11_stream_tables",))
+@pytest.mark.parametrize("key", ("T2_event_time", "T11_stream_tables"))
 def test_stream_twin_where_percentiles_drift(spark, drift, key):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
