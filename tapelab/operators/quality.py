@@ -11,6 +11,7 @@ from tapelab.functions import signals
 from tapelab.functions.prices import finite, unit
 from tapelab.operators import scan
 from tapelab.operators.scan import DAY_MS
+from tapelab.session import tasks_for
 
 
 def reason_counts(df: DataFrame, reason: str, by: Sequence[str] = ()) -> DataFrame:
@@ -22,13 +23,16 @@ def complete_windows(ticks: DataFrame, markets: DataFrame, n: int, key: str = "c
     """Per market: in-window rows, distinct seconds, null quotes and the drop reason.
 
     A market is kept when every one of its ``n`` seconds is present once. ``t`` and
-    ``start_s`` are seconds; rows outside ``[start, start + n)`` are only counted.
+    ``start_s`` are seconds; rows outside ``[start, start + n)`` are only counted. Both tables are dealt by market once, to as
+    many tasks as the ticks need, so that the memory of a task does not grow with the tables.
     """
+    tasks = tasks_for(ticks)
+    ticks, markets = ticks.repartition(tasks, key), markets.repartition(tasks, key)
     off = F.col("t") - F.col("start_s")
     inside = off.between(0, n - 1)
     null_quote = F.col("bid").isNull() | F.isnan("bid") | F.col("ask").isNull() | F.isnan("ask")
     rows = ticks.join(markets.select(key, "start_s"), key)
-    # One row per (market, second) first: a hot market is spread over its seconds.
+    # One row per (market, second) first.
     per_second = rows.groupBy(key, F.when(inside, off).alias("_off")).agg(
         F.count(F.lit(1)).alias("_c"), F.count_if(null_quote).alias("_null")
     )

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tapelab import session
 from tapelab.functions import accounting, decisions, prices, quant, signals, text, times
 from tapelab.operators import bootstrap, fills, indicators, ledger, lookups, quality, walkforward
 from tapelab.plans import features
@@ -279,6 +280,15 @@ def test_admission_and_windows(spark):
     assert sorted(r.day for r in gaps.collect()) == [86_400_000, 2 * 86_400_000]
 
 
+def test_windows_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 10)
+    ticks = spark.range(200).selectExpr("id div 4 AS condition_id", "1 + id % 4 AS t", "0.1D AS bid", "0.2D AS ask")
+    markets = spark.range(50).selectExpr("id AS condition_id", "1L AS start_s")
+    got = quality.complete_windows(ticks, markets, 3)
+    assert got.rdd.getNumPartitions() == 20
+    assert got.where("drop_reason IS NULL AND out_of_window_rows = 1").count() == 50
+
+
 def test_memo_budget(spark):
     states = spark.createDataFrame([("h1", 1), ("h2", 2), ("h2", 3), ("h3", 4), ("h4", 5)], "h string, ts long")
     cache = spark.createDataFrame([("h1", True, 1.0), ("h3", False, 2.0)], "h string, live boolean, result double")
