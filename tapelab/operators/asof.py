@@ -246,32 +246,22 @@ def interpolated_offsets(
 
 
 def lag_exact(
-    df: DataFrame, on: str, by: Sequence[str], value: str, lags: dict[str, int]
+    df: DataFrame, on: str, by: Sequence[str], value: str, lags: dict[str, int], width: int = scan.DAY_MS
 ) -> DataFrame:
-    """Value exactly ``lag`` earlier; ``incomplete_reason`` names a missing lag.
+    """Value exactly ``lag`` earlier (the highest of equal times); ``incomplete_reason`` names a missing lag.
 
-    The lags are folded into one shuffle: each row is emitted under its own time and
-    under each time it serves as a lag for, then grouped by (key, time).
+    Rows are dealt by key and time bucket, and those that a row of the next bucket may look back to are copied into it: one
+    shuffle and one sort for all lags, and nothing is joined. A bucket is ``width`` wide, or four times the longest lag.
     """
-    tags = F.explode(
-        F.array(
-            F.struct(F.lit("").alias("_n"), F.col(on).alias("_at")),
-            *[
-                F.struct(F.lit(n).alias("_n"), (F.col(on) + F.lit(ms)).alias("_at"))
-                for n, ms in lags.items()
-            ],
-        )
-    )
-    keys = list(by)
-    lookup = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).alias("_v"), tags.alias("_x"))
-        .groupBy(*keys, F.col("_x._at").alias(on))
-        .agg(
-            *[F.max(F.when(F.col("_x._n") == n, F.col("_v"))).alias(n) for n in lags],
-        )
-    )
-    out = df.join(lookup, [*keys, on], "left")
+    keys, size = list(by), max(width, 4 * max(lags.values()))
+    home = scan.bucket_of(F.col(on), size)
+    near_end = F.col(on) + max(lags.values()) >= (home + 1) * size
+    copies = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
+    work = df.withColumn("_home", home).withColumn(scan.BUCKET, F.explode(copies))
+    rows = scan.bucket_window(keys).orderBy(on)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, on)])
+    work = work.withColumns({n: F.when(known, F.max(value).over(rows.rangeBetween(-ms, -ms))) for n, ms in lags.items()})
+    out = work.where(F.col(scan.BUCKET).eqNullSafe(F.col("_home"))).drop("_home", scan.BUCKET)
     missing = F.when(F.col(value).isNull(), F.lit("null_quote"))
     complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in lags])
     return out.withColumn(

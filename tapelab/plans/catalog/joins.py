@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapelab.operators import asof
 from tapelab.operators.scan import DAY_MS, HOUR_MS
 from tapelab.plans.registry import query, r
+from tapelab.session import tasks_for
 
 _BUY = "buys AS (SELECT * FROM ticks WHERE side = 'BUY'), sells AS (SELECT * FROM ticks WHERE side = 'SELL')"
 
@@ -74,8 +75,10 @@ LEFT JOIN s c ON a.market_id = c.market_id AND c.ts_ms = a.ts_ms - 432000000
 """)
 def _(t):
     day = F.col("ts_ms") - F.pmod("ts_ms", F.lit(DAY_MS))
-    s = t.evals.groupBy("market_id", day.alias("ts_ms")).agg(F.max("ret_5s_pct").alias("mid"))
-    return asof.lag_exact(s, "ts_ms", ["market_id"], "mid", {"mid_1d": DAY_MS, "mid_5d": 5 * DAY_MS})
+    # Dealt to tasks by rows: nearly every line is a day of its market of its own, so a task holds what it reads.
+    lines = t.evals.select("market_id", day.alias("ts_ms"), "ret_5s_pct").repartition(tasks_for(t.raw("lineitem")), "market_id", "ts_ms")
+    s = lines.groupBy("market_id", "ts_ms").agg(F.max("ret_5s_pct").alias("mid"))
+    return asof.lag_exact(s, "ts_ms", ["market_id"], "mid", {"mid_1d": DAY_MS, "mid_5d": 5 * DAY_MS}, width=365 * DAY_MS)
 
 
 # Rounded half up by its decimal digits, as Spark rounds a double; DuckDB's own rounding multiplies the double first.

@@ -104,3 +104,16 @@ def test_plan_has_no_nested_loop_for_keyed_joins(spark):
     right = frame(spark, series(2, 10)).withColumnRenamed("v", "x")
     plan = asof.asof_backward(left, right, "ts", ["k"], ["x"], tie="seq")._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_lag_exact_is_one_pass_and_whole(spark):
+    rows = [(k, t, v) for k, t, _, v in series(5, 300)] + [(None, 7, 1.0), ("a", None, 2.0), ("b", 11, None)]
+    df = frame(spark, rows, "k string, ts long, v double")
+    got = asof.lag_exact(df, "ts", ["k"], "v", {"l3": 3, "l40": 40}, width=50)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    best = {}
+    for k, t, v in rows:
+        if None not in (k, t, v):
+            best[k, t] = max(best.get((k, t), v), v)
+    want = [(k, t, v, *(best.get((k, t - ms)) if t is not None else None for ms in (3, 40))) for k, t, v in rows]
+    assert sorted(map(repr, ((r.k, r.ts, r.v, r.l3, r.l40) for r in got.collect()))) == sorted(map(repr, want))
