@@ -72,3 +72,9 @@ def test_entry_and_inventory(spark):
     want = {f"{c}{i}" for c, n in (("S", 19), ("P", 39), ("J", 19), ("A", 38), ("E", 29), ("O", 7), ("T", 11), ("U", 4), ("D", 7)) for i in range(1, n + 1)}
     assert want - have == set()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("key", ("A2_economy_summary_overall",))
+def test_lines_are_joined_once(spark, key):
+    files = entry.queries()[key](spark, SF).inputFiles()
+    assert files and not [f for f in files if f.endswith(("lineitem.parquet", "orders.parquet"))]
