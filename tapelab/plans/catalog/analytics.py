@@ -318,7 +318,7 @@ SELECT side, fills, nofills, round(net, 6) AS net_pnl_usd, round(coalesce(net /
   round(cs, 0) AS capital_seconds, round(dd, 6) AS max_drawdown_usd, round(pc, 2) AS max_simultaneous_capital_usd, round(lo, 2) AS ci95_low, round(mid, 2) AS median, round(hi, 2) AS ci95_high, round(pp, 4) AS p_positive
 FROM b LEFT JOIN d USING (side) LEFT JOIN pk USING (side) LEFT JOIN ci USING (side)""")
 def _(t):
-    got = bootstrap.oos_headline(_ep(t), col("fill_profile") == "O", "market", draws=10_000, seed=42)
+    got = bootstrap.oos_headline(_ep(t.joined), col("fill_profile") == "O", "market", draws=10_000, seed=42)
     # sums are multiples of 5e-6, so six digits are exact and no sum lies on a rounding edge
     digits = {"capital_seconds": 0, "max_simultaneous_capital_usd": 2, "net_pnl_usd": 6, "max_drawdown_usd": 6, "ci95_low": 2, "median": 2, "ci95_high": 2}
     return got.select("side", "fills", "nofills", *[r(c, c, digits.get(c, 4)) for c in got.columns if c not in ("side", "fills", "nofills")])
