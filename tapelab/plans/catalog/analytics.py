@@ -8,6 +8,7 @@ from tapelab.functions import accounting
 from tapelab.operators import bootstrap, ledger, reports, research, sampling, walkforward
 from tapelab.operators.scan import DAY_MS
 from tapelab.plans.registry import query, r
+from tapelab.session import settle
 
 col = F.col
 _SEG = ", ".join(reports.SEGMENT)
@@ -406,7 +407,8 @@ q AS (SELECT CASE WHEN count(m) < 5 THEN greatest(max(m), 0) - least(min(m), 0)
 SELECT round(std, 6) AS std, (SELECT round(min(s), 6) FROM v) AS std_least, (SELECT round(max(s), 6) FROM v) AS std_most, n, round(r, 6) AS r, round(x, 6) AS spread_pp,
  CASE WHEN std >= 0.1 AND abs(r) >= 0.3 AND n >= 50 AND x >= 1 THEN 1 WHEN std >= 0.1 THEN 2 ELSE 3 END AS branch FROM w, q""")
 def _(t):
-    got = research.branch_verdict(t.evals, "underreact_up", "drift_1s_pp", "variant")
+    rows = settle(t.evals.select("variant", "underreact_up", "drift_1s_pp"), "branch")
+    got = research.branch_verdict(rows, "underreact_up", "drift_1s_pp", "variant")
     return got.select(*[r(c, c) if c not in ("n", "branch") else c for c in got.columns])
 
 

@@ -74,7 +74,7 @@ def test_entry_and_inventory(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("key", ("A2_economy_summary_overall", "A19_oos_headline"))
+@pytest.mark.parametrize("key", ("A26_branch_verdict", "A2_economy_summary_overall", "A19_oos_headline"))
 def test_lines_are_joined_once(spark, key):
     files = entry.queries()[key](spark, SF).inputFiles()
     assert files and not [f for f in files if f.endswith(("lineitem.parquet", "orders.parquet"))]
