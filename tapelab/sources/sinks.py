@@ -9,11 +9,12 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapelab.session import scratch as scratch  # noqa: PLC0414
+from tapelab.session import settle
 
 # The stored event tables and their columns after ``ts``.
 _DIMS = "run_id STRING, pair_id STRING, market_id STRING, asset STRING, horizon STRING"
@@ -81,14 +82,22 @@ def event_columns(name: str) -> dict[str, str]:
     return dict(c.split() for c in EVENT_TABLES[name].split(", "))
 
 
-def write_event_table(df: DataFrame, name: str, path: str, mode: str = "append") -> None:
+def write_event_table(df: DataFrame, name: str, path: str, mode: str = "append", clustered: bool = False) -> None:
     """One of the event tables, partitioned by UTC day and sorted by time inside a file.
 
     The rows are clustered by day with AQE free to split large days, so a day is neither
-    thousands of small files nor one task.
+    thousands of small files nor one task. ``clustered``: the rows come from files that hold few days each (``by_day``) and
+    are not dealt out again.
     """
     rows = shaped(df, f"ts TIMESTAMP, {EVENT_TABLES[name]}").withColumn("date", F.to_date("ts"))
-    rows.hint("rebalance", "date").sortWithinPartitions("date", "ts").write.mode(mode).partitionBy("date").parquet(path)
+    rows = rows if clustered else rows.hint("rebalance", "date")
+    rows.sortWithinPartitions("date", "ts").write.mode(mode).partitionBy("date").parquet(path)
+
+
+def by_day(df: DataFrame, day: Column, name: str) -> DataFrame:
+    """The rows clustered by day and written once, for a source of several event tables: their writes then need no shuffle."""
+    rows = df.withColumn("_day", day).hint("rebalance", "_day").sortWithinPartitions("_day")
+    return settle(rows, name).drop("_day")
 
 
 def write_checked(df: DataFrame, path: str, schema: str = QUOTE_TAPE, partition: str | None = "date") -> int:

@@ -8,6 +8,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tapelab.plans.catalog import corpus
@@ -78,3 +79,12 @@ def test_entry_and_inventory(spark):
 def test_lines_are_joined_once(spark, key):
     files = entry.queries()[key](spark, SF).inputFiles()
     assert files and not [f for f in files if f.endswith(("lineitem.parquet", "orders.parquet"))]
+
+
+def test_event_tables_by_day_are_written_whole(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("timestamp_millis(id * 60000) AS ts", "'A' AS symbol", "id / 2 AS price")
+    days = sinks.by_day(rows, F.to_date("ts"), "days")
+    sinks.write_event_table(days, "external_ticks", str(tmp_path / "t"), clustered=True)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert (back.count(), back.agg(F.sum("price")).first()[0]) == (5000, 4999 * 5000 / 4)
+    assert back.where("date != to_date(ts)").isEmpty()
