@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,46 @@ def test_book_recovers_only_by_snapshot(spark, tmp_path):
     got = run(streams.stream_book(stream), "update", "t").orderBy("batch").collect()
     assert [(r.best_bid_micros, r.best_ask_micros, r.stale) for r in got] == [
         (400000, None, True), (410000, 450000, False), (420000, 450000, False), (410000, 450000, True), (390000, None, False)]
+
+
+class _Counting:
+    """A state handle in memory that counts the calls made on its states."""
+
+    def __init__(self):
+        self.calls, self.rows = 0, []
+
+    def registerTimer(self, _):
+        pass
+
+    def getListState(self, *_):
+        return self
+
+    getMapState = getListState
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("exists", "containsKey"):
+                return name == "exists" and bool(self.rows)
+            if name == "get":
+                return iter(list(self.rows))
+            if name in ("put", "appendList"):
+                self.rows = [*([] if name == "put" else self.rows), *args[0]]
+            return None
+
+        return call
+
+
+def test_spot_history_calls_its_state_a_few_times_a_batch():
+    held, samples = _Counting(), streams._Samples("asset", "event_ms", "price", "seq", 1_000_000, 10_000)
+    samples.init(held)
+    batch = lambda low, high, shift: pd.DataFrame(
+        {"event_ms": range(low, high), "seq": range(low + shift, high + shift), "price": [float(i + shift) for i in range(low, high)]})
+    first, = samples.handleInputRows(("A", 0), iter([batch(0, 600, 0), batch(500, 1000, 0)]), None)
+    assert len(first) == 1000 and held.calls <= 3
+    again, = samples.handleInputRows(("A", 0), iter([batch(900, 1100, 0)]), None)
+    assert again["event_ms"].tolist() == list(range(1000, 1100)) and held.calls <= 6
+    for shift in (1, 2):
+        later, = samples.handleInputRows(("A", 0), iter([batch(0, 1100, shift)]), None)
+        assert len(later) == 1100 and later["price"].tolist() == [float(i + shift) for i in range(1100)]
+    assert len(held.rows) == 1100
