@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelab.operators import asof, intervals, scan
+from tapelab.session import settle
 
 # Fixed value: the levels a side that a book's hash covers.
 DEPTH = 5
@@ -59,24 +60,26 @@ def book_state(levels: DataFrame, token: str = "token_id", depth: int = DEPTH) -
 def _covered(levels: DataFrame, token: str, width: int, cover_levels: int) -> tuple[DataFrame, DataFrame]:
     """The blocks of message numbers that each live level fills, and the blocks that each message lies in.
 
-    A level is live from its message to the next message about it or the next snapshot. That run of message numbers is covered by
-    aligned blocks of 16^k numbers (at most 30 a size), and a message lies in one block of each size: no book is rebuilt, and no
-    token needs one task.
+    The messages of a token are numbered without gaps, so that a level that lives for few messages fills few blocks, however far
+    apart their ids are. A level is live from its message to the next message about it or the next snapshot. That run of message numbers
+    is covered by aligned blocks of 16^k numbers (at most 30 a size), and a message lies in one block of each size: no book is rebuilt,
+    and no token needs one task.
     """
-    messages = levels.select(token, "msg").distinct()
-    snapshots = levels.where(F.col("kind") == "snapshot").select(token, F.col("msg").alias("_next_snap")).distinct()
-    change = Window.partitionBy(token, "side", "price_micros").orderBy("msg", "pos")
-    rows = levels.where(F.col("price_micros").isNotNull()).select(
-        token, "side", "price_micros", "quantity", "msg", F.lead("msg").over(change).alias("_until")
+    messages = levels.groupBy(token, "msg").agg(F.max(F.col("kind") == "snapshot").alias("_snap"))
+    messages = settle(scan.numbered(messages, [token], "msg", width=width, rn="_rn"), "messages")
+    snapshots = messages.where("_snap").select(token, F.col("_rn").alias("_next_snap"))
+    change = Window.partitionBy(token, "side", "price_micros").orderBy("_rn", "pos")
+    rows = levels.where(F.col("price_micros").isNotNull()).join(messages, [token, "msg"]).select(
+        token, "side", "price_micros", "quantity", "_rn", F.lead("_rn").over(change).alias("_until")
     )
-    rows = rows.where(F.col("quantity") > 0).withColumn("_after", F.col("msg") + 1)
+    rows = rows.where(F.col("quantity") > 0).withColumn("_after", F.col("_rn") + 1)
     rows = asof.asof_forward(rows, snapshots, "_after", [token], ["_next_snap"], right_on="_next_snap", width=width)
-    last = messages.groupBy(token).agg(F.max("msg").alias("_last"))
+    last = messages.groupBy(token).agg(F.max("_rn").alias("_last"))
     level = [token, "side", "price_micros", "quantity"]
     spans = rows.join(last, token).select(
-        *level, F.col("msg").alias("_lo"), F.least("_until", "_next_snap", F.col("_last") + 1).alias("_hi")
+        *level, F.col("_rn").alias("_lo"), F.least("_until", "_next_snap", F.col("_last") + 1).alias("_hi")
     )
-    places = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("msg") / intervals.FAN**n).cast("long").alias("block")) for n in range(cover_levels)])
+    places = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("_rn") / intervals.FAN**n).cast("long").alias("block")) for n in range(cover_levels)])
     probes = messages.select(token, "msg", F.explode(places).alias("_p")).select(token, "msg", "_p.level", "_p.block")
     return intervals.cover(spans, level, cover_levels), probes
 
