@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
 from tapelab.plans.catalog import streams
@@ -68,3 +69,15 @@ def test_stream_parts_hold_every_row_once(spark, drift):
     got = streams.run(tables.raw("events").select("event_id"), "append", "whole")
     want = spark.read.parquet(f"{SF}/events.parquet").select("event_id")
     assert got.select("event_id").exceptAll(want).isEmpty() and want.exceptAll(got.select("event_id")).isEmpty()
+
+
+def test_stream_parts_of_more_files_lose_no_row(spark, monkeypatch):
+    """A session that deals to more tasks than it was asked for writes more files a part."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    dealt = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, n, *columns: dealt(df, n + 5 if n == streams.FILES else n, *columns))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    df = entry.queries()["T11_stream_tables"](spark, folder)
+    res = con.execute(entry.oracle_sql()["T11_stream_tables"])
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in res.description], res.fetchall())
