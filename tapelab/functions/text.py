@@ -45,6 +45,25 @@ MONTHS = (
 )
 
 
+def _token_pattern(inner: str) -> str:
+    """The inner pattern between token borders; it is tried only where a horizon's first character stands."""
+    first = "".join(sorted({w[0] for ws in HORIZON_WORDS.values() for w in ws}))
+    return f"(?=[{first}])(?<![a-z0-9])(?:{inner})(?![a-z0-9])"
+
+
+def _pair_pattern() -> str:
+    """Two neighbouring tokens that make a horizon word when joined, for every cut of every word."""
+    rest: dict[str, list[str]] = {}
+    for w in [w for ws in HORIZON_WORDS.values() for w in ws]:
+        for i in range(1, len(w)):
+            rest.setdefault(w[:i], []).append(w[i:])
+    return _token_pattern("|".join(f"{head}[^a-z0-9]++(?:{'|'.join(tails)})" for head, tails in rest.items()))
+
+
+HORIZON_TOKEN = _token_pattern("|".join(w for ws in HORIZON_WORDS.values() for w in ws))
+HORIZON_PAIR = _pair_pattern()
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
 
@@ -77,22 +96,19 @@ def guess_kind(*texts: Column) -> Column:
     return F.when(updown, "UPDOWN").when(below, "BELOW").otherwise("ABOVE")
 
 
-def _first_horizon(tokens: Column) -> Column:
-    words = F.create_map(
-        *[F.lit(x) for h, ws in HORIZON_WORDS.items() for w in ws for x in (w, h)]
-    )
-    known = F.array(*[F.lit(w) for ws in HORIZON_WORDS.values() for w in ws])
-    hit = F.filter(tokens, lambda x: F.array_contains(known, x))
-    return F.when(F.size(hit) > 0, words[hit[0]])
+def _first_horizon(blob: Column, pattern: str) -> Column:
+    """Horizon of the first place where the pattern fits; what separates two tokens is left out."""
+    words = F.create_map(*[F.lit(x) for h, ws in HORIZON_WORDS.items() for w in ws for x in (w, h)])
+    return words[F.regexp_replace(F.regexp_extract(blob, pattern, 0), "[^a-z0-9]+", "")]
 
 
 def guess_horizon(*texts: Column, duration_s: Column | None = None) -> Column:
-    """Single tokens first, then joined neighbours, then the duration within 5%."""
+    """Single tokens first, then joined neighbours, then the duration within 5%.
+
+    Both are sought in the text as it is, so no list of a long text's tokens is built.
+    """
     blob = _blob(*texts)
-    tokens = F.filter(F.split(blob, "[^a-z0-9]+"), lambda x: x != "")
-    tail = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
-    pairs = F.zip_with(tokens, tail, lambda a, b: F.concat(a, b))
-    out = F.coalesce(_first_horizon(tokens), _first_horizon(F.filter(pairs, lambda x: x.isNotNull())))
+    out = F.coalesce(_first_horizon(blob, HORIZON_TOKEN), _first_horizon(blob, HORIZON_PAIR))
     if duration_s is not None:
         for name, secs in HORIZON_TARGETS.items():
             near = F.abs(duration_s - secs) / secs < 0.05

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -341,3 +343,22 @@ def test_admission_reads_its_object_once(spark):
     assert [r.skip_reason for r in got.collect()] == [None, "malformed", "malformed", "malformed"]
     assert got.columns == [*rows.columns, "skip_reason"]
     assert "get_json_object" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_horizon_words_without_token_lists(spark):
+    """Against lists of tokens, on texts of pieces of horizon words; no expression builds such a list."""
+    horizon = {w: h for h, ws in text.HORIZON_WORDS.items() for w in ws}
+    pieces = ["5", "15", "1", "4", "m", "h", "r", "hr", "hour", "our", "min", "mins", "s", "es", "5m", "15M", "1Hour", "x", "51", "m5", "é", "日本", "\U0001f600", "\n"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "-", " \n-", "日"]) for _ in range(rng.randrange(9))) for _ in range(3000)]
+
+    def want(value: str) -> str:
+        tokens = [x for x in re.split("[^a-z0-9]+", value.lower()) if x]
+        joined = [a + b for a, b in zip(tokens, tokens[1:], strict=False)]
+        return next((horizon[x] for x in [*tokens, *joined] if x in horizon), "")
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("h", text.guess_horizon(F.col("t")))
+    got = {r.id: r.h for r in df.collect()}
+    assert [got[i] for i in range(len(texts))] == [want(t) for t in texts]
+    assert len(set(got.values())) == 5
+    assert "lambda" not in df._jdf.queryExecution().analyzed().toString()
