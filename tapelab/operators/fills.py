@@ -143,15 +143,17 @@ def order_evidence(orders: DataFrame, prints: DataFrame, width: int = scan.HOUR_
     return _evidence(orders, *_tables(orders, prints, width), width)
 
 
-def _passed(orders: DataFrame, sums: DataFrame, arrays: DataFrame, need: str, volume: bool, width: int, out: str) -> DataFrame:
+def _passed(
+    orders: DataFrame, sums: DataFrame, arrays: DataFrame, need: str, volume: bool, width: int, out: str, cells: DataFrame | None = None
+) -> DataFrame:
     """Adds the time at which an order's running sum reaches ``need``: the block by an as-of join on the sums, then the print in it.
 
-    ``volume`` says which sum: of volume, in lots, or of through prints.
+    ``volume`` says which sum: of volume, in lots, or of through prints. ``cells`` is a cheaper table with the keys and needs of the orders.
     """
     total = _lots(F.col("cum_vol")) if volume else F.col("cum_thr").cast("long")
     before = F.col("cum_vol") - F.col("vol") if volume else F.col("cum_thr") - F.col("thr")
     ends = sums.select(*KEYS, total.alias("_sum"), before.cast("double").alias("_before"), F.col("block").alias("_block"))
-    got = asof.asof_forward(orders, ends, need, KEYS, ["_block", "_before"], right_on="_sum", tie="_block", width=width)
+    got = asof.asof_forward(orders, ends, need, KEYS, ["_block", "_before"], right_on="_sum", tie="_block", width=width, cells=cells)
     got = got.join(arrays.withColumnsRenamed({"market": "_m", "block": "_b"}), (F.col("market") == F.col("_m")) & (F.col("_block") == F.col("_b")), "left")
 
     def step(done: Column, x: Column) -> Column:
@@ -171,6 +173,8 @@ def fill_labels(
     """Filled flag, fraction and completing print time of each resting order."""
     queue = QUEUE_AHEAD[profile] if queue_ahead is None else min(max(queue_ahead, 0.0), 1.0)
     numbered, sums, arrays = _tables(orders, prints, width)
+    # Read for the evidence and for each time that is looked up.
+    arrays = settle(arrays, "arrays")
     ev = _evidence(orders, numbered, sums, arrays, width)
     size = F.when(finite(F.col("size")) & (F.col("size") > 0), F.col("size"))
     share = 1.0 - queue
@@ -196,12 +200,13 @@ def fill_labels(
         }
     )
     # Orders that never complete look nothing up: their target is null.
-    work = work.withColumn("_need", F.when(F.col("_complete"), F.col("_need")))
+    work = work.withColumns({c: F.when(F.col("_complete"), v) for c, v in (("_need", F.col("_need")), ("_two", F.col("base_thr") + 2))})
+    # An as-of join reads the keys of its left side a second time: the evidence is written once.
+    work = settle(work, "evidence")
     out = _passed(work, sums, arrays, "_need", True, volume_width, "_vts")
     done: Column = F.col("_vts")
     if profile == "CONSERVATIVE":
-        out = out.withColumn("_two", F.when(F.col("_complete"), F.col("base_thr") + 2))
-        out = _passed(out, sums, arrays, "_two", False, 100_000, "_tts")
+        out = _passed(out, sums, arrays, "_two", False, 100_000, "_tts", cells=work)
         done = F.greatest("_vts", "_tts")
     out = out.withColumn("_done", done)
     filled = F.col("fill_qty") > 0

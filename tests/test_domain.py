@@ -362,3 +362,15 @@ def test_horizon_words_without_token_lists(spark):
     assert [got[i] for i in range(len(texts))] == [want(t) for t in texts]
     assert len(set(got.values())) == 5
     assert "lambda" not in df._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("profile", list(fills.QUEUE_AHEAD))
+def test_fill_evidence_is_computed_once(spark, profile):
+    """The plan after the evidence reads it back; it neither reads blocks nor builds their arrays again."""
+    orders = spark.createDataFrame([(1, "m", 10, 99, 43, 1.0, True)], "order_id long, market string, arrival_ms long, end_ms long, level long, size double, side_buy boolean")
+    prints = spark.createDataFrame([("m", 20 + i, 42, 5.0, "SELL") for i in range(3)], "market string, ts_ms long, level long, qty double, aggressor string")
+    got = fills.fill_labels(orders, prints, profile)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "_p.v" not in plan
+    row = one(got)
+    assert row.filled and row.fill_fraction == 1.0 and row.fill_ts_ms == (21 if profile == "CONSERVATIVE" else 20)
