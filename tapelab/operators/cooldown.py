@@ -101,19 +101,22 @@ def cooldown(
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_buckets(batches):
             s = _Steps(pdf, width, interval)
-            enter = pdf["_start"].to_numpy()[s.starts] - pdf[scan.BUCKET].to_numpy()[s.starts] * width
-            at = np.searchsorted(s.place, s.code[s.starts] * s.span + enter, side="left")
-            picks = []
+            at = np.flatnonzero(pdf["_start"].to_numpy())
+            picks = [at]
             while len(at):
-                picks.append(at)
                 at = s.next[at[s.next[at] < s.end[at]]]
+                picks.append(at)
             yield pdf.iloc[np.concatenate(picks)][[_KEY, _T]]
 
     dealt = times.repartition(*group)
     doors = dealt.sortWithinPartitions(*group, _T).mapInPandas(entries, f"{schema}, _enter long, _leave long")
     starts = doors.repartition(_KEY).sortWithinPartitions(*group, "_enter").mapInPandas(walk, f"{schema}, _start long")
-    begun = times.join(starts, group).repartition(*group).sortWithinPartitions(*group, _T)
-    hits = begun.select(*group, _T, "_start").mapInPandas(replay, f"{_KEY} string, {_T} long").withColumn("_hit", F.lit(True))
+    # Starts are rows of their own and are not joined: Spark drops a dealing out that follows a join by the same columns, and a join that
+    # becomes a broadcast while it runs then leaves a bucket in several tasks.
+    marked = times.select(*group, _T, F.lit(False).alias("_start"))
+    begun = marked.unionByName(starts.select(*group, F.col("_start").alias(_T), F.lit(True).alias("_start")))
+    begun = begun.repartition(*group).sortWithinPartitions(*group, _T)
+    hits = begun.mapInPandas(replay, f"{_KEY} string, {_T} long").withColumn("_hit", F.lit(True))
     rows = df.withColumns({_KEY: key, _T: F.col(ts).cast("long"), "_among": taking}).join(hits, [_KEY, _T], "left")
     first = F.row_number().over(Window.partitionBy(_KEY, _T).orderBy(F.desc("_among"), *tie)) == 1
     ok = F.coalesce(F.col("_hit") & F.col("_among"), F.lit(False)) & first

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
+from tapelab.operators import cooldown
 from tapelab.plans.catalog import streams
 from tests.test_twins import SF, table
 
@@ -81,3 +82,25 @@ def test_stream_parts_of_more_files_lose_no_row(spark, monkeypatch):
     df = entry.queries()["T11_stream_tables"](spark, folder)
     res = con.execute(entry.oracle_sql()["T11_stream_tables"])
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in res.description], res.fetchall())
+
+
+@pytest.mark.parametrize("width", (1_000, 100_000))
+def test_cooldown_where_a_join_turns_into_a_broadcast(spark, width):
+    """Several map tasks, and joins that become broadcasts while they run: each bucket must still meet in one task."""
+    joins = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = spark.range(0, 4_000, 1, 6).selectExpr("id AS seq", "pmod(id * 7919, 4000) div 2 AS ts", "substr('aaab', 1 + id % 4, 1) AS k")
+    for key, value in joins.items():
+        spark.conf.set(key, value)
+    try:
+        got = cooldown.cooldown(rows, ["k"], "ts", 30, ("seq",), width).collect()
+    finally:
+        for key in joins:
+            spark.conf.unset(key)
+    want = set()
+    for key in "ab":
+        free = 0
+        for t, seq in sorted((r.ts, r.seq) for r in got if r.k == key):
+            if t >= free:
+                want.add(seq)
+                free = t + 30
+    assert len(got) == 4_000 and {r.seq for r in got if r.accepted} == want
