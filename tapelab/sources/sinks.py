@@ -94,10 +94,20 @@ def write_event_table(df: DataFrame, name: str, path: str, mode: str = "append",
     rows.sortWithinPartitions("date", "ts").write.mode(mode).partitionBy("date").parquet(path)
 
 
-def by_day(df: DataFrame, day: Column, name: str) -> DataFrame:
+def by_day(df: DataFrame, day: Column, name: str, path: str | None = None) -> DataFrame:
     """The rows clustered by day and written once, for a source of several event tables: their writes then need no shuffle."""
     rows = df.withColumn("_day", day).hint("rebalance", "_day").sortWithinPartitions("_day")
-    return settle(rows, name).drop("_day")
+    return settle(rows, name, path).drop("_day")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared storage that nothing reads any more, and the shuffle files of jobs that are over.
+
+    Spark keeps the latter until the driver collects its garbage, which one that only plans seldom does.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()
 
 
 def write_checked(df: DataFrame, path: str, schema: str = QUOTE_TAPE, partition: str | None = "date") -> int:

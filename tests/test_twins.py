@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tapelab.plans.catalog import corpus
+from tapelab.session import checkpoint_dir
 from tapelab.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +89,21 @@ def test_event_tables_by_day_are_written_whole(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "t"))
     assert (back.count(), back.agg(F.sum("price")).first()[0]) == (5000, 4999 * 5000 / 4)
     assert back.where("date != to_date(ts)").isEmpty()
+
+
+def test_event_tables_go_once_they_are_summed_up(spark):
+    """One table at a time is on the disk, and in the end none, nor the sources that were written for them."""
+    before = set(os.listdir(checkpoint_dir(spark)))
+    held, write = [], sinks.write_event_table
+
+    def counted(df, name, path, **more):
+        write(df, name, path, **more)
+        held.append(len(os.listdir(os.path.dirname(path))))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sinks, "write_event_table", counted)
+        rows = entry.queries()["S11_all_event_tables"](spark, SF)
+    assert {r.stored for r in rows.select("stored").distinct().collect()} == set(sinks.EVENT_TABLES) and held == [1] * len(sinks.EVENT_TABLES)
+    made = [os.path.join(checkpoint_dir(spark), f) for f in set(os.listdir(checkpoint_dir(spark))) - before]
+    kinds = {os.path.basename(f).rsplit("-", 1)[0] for f in made if any(files for *_, files in os.walk(f))}
+    assert kinds == {"tapelab-event-days"}
