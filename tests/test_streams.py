@@ -1,6 +1,7 @@
 """Streams fed in several micro-batches must end where the batch form ends."""
 
 import hashlib
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -79,6 +80,38 @@ def test_labels_do_not_depend_on_the_cut(spark, tmp_path, files):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("slice_ms", [1_500, 9_000])
+def test_labels_do_not_depend_on_the_slices(feed, slice_ms):
+    """Evaluations of a key lie in many slices, shorter than a horizon or longer, and find mids of later ones."""
+    _, stream, _ = feed
+    kinds = F.when(F.col("seq") % 4 == 0, F.array(F.lit("mid"), F.lit("eval"))).otherwise(F.array(F.lit("mid")))
+    s = stream.select("k", "event_ts", "event_ms", F.col("seq").alias("eval_id"), "price", F.explode(kinds).alias("kind"))
+    made = [run(streams.stream_labels(s, "k", (1_000, 5_000), 2_000, slice_ms=x), "append", "t").drop("batch") for x in (slice_ms, 10**9)]
+    got, whole = (sorted(map(str, m.collect())) for m in made)
+    assert got == whole and len(got) > 40
+
+
+def test_labels_pack_their_state():
+    """The mids of a slice are 24 bytes each in a few values, and go with the slice."""
+    held, seen, timers = _Clearing(), _Clearing(), []
+    handle = SimpleNamespace(getListState=lambda *_: held, getValueState=lambda *_: seen, registerTimer=timers.append)
+    labels = streams._Labels("k", (1_000,), 500, True, 100_000)
+    labels.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    frame = lambda t, is_eval: pd.DataFrame({"is_eval": is_eval, "event_ms": t, "eval_id": t, "price": [float(x) for x in t]})
+    for low in range(0, 100_000, 50_000):
+        times = range(low, low + 50_000)
+        list(labels.handleInputRows(("a", 0), iter([frame(times[:40_000], False), frame(times[40_000:], False), frame(times[::10_000], True)]), at(0)))
+    assert sum(len(m) for m, _ in held.rows) == 24 * 100_000 and held.calls <= 4 and set(timers) == {100_000, 1_000, 51_000}
+    out, = labels.handleExpiredTimer(("a", 0), at(45_000), None)
+    assert out["event_ms"].tolist() == [0, 10_000, 20_000, 30_000, 40_000] and (out["mid_1000"] == out["event_ms"] + 1_000).all()
+    assert sum(len(m) for m, _ in held.rows) == 24 * (100_000 - 46_000)
+    last, = labels.handleExpiredTimer(("a", 0), at(200_000), None)
+    assert len(last) == 5 and not list(labels.handleExpiredTimer(("a", 0), at(200_000), None)) and not held.rows
+    list(labels.handleInputRows(("a", 0), iter([frame(range(100_500, 100_600), False)]), at(200_000)))
+    assert not held.rows
+
+
 def test_state_goes_after_expiry(feed):
     _, stream, _ = feed
     one = stream.where("k = 'b' OR seq < 40")
@@ -233,6 +266,11 @@ class _Counting:
         return call
 
 
+class _Clearing(_Counting):
+    def clear(self):
+        self.rows = []
+
+
 def test_spot_history_calls_its_state_a_few_times_a_batch():
     held, samples = _Counting(), streams._Samples("asset", "event_ms", "price", "seq", 1_000_000, 10_000)
     samples.init(held)
